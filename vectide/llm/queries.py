@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectide.llm import topk
+from vectide.llm import linededup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_line_dedup": linededup.op4_line_dedup,
     "op9_exact_topk": topk.op9_exact_topk,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_line_dedup": linededup.OP4_SQL,
     "op9_exact_topk": topk.OP9_SQL,
 }
