@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectide.llm import linededup, topk
+from vectide.llm import licenses, linededup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": linededup.op4_line_dedup,
+    "op5_license_scan": licenses.op5_license_scan,
     "op9_exact_topk": topk.op9_exact_topk,
 }
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": linededup.OP4_SQL,
+    "op5_license_scan": licenses.op5_sql(),
     "op9_exact_topk": topk.OP9_SQL,
 }
