@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectide.llm import licenses, linededup, topk
+from vectide.llm import licenses, linededup, mixing, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix": mixing.op1_mix,
     "op4_line_dedup": linededup.op4_line_dedup,
     "op5_license_scan": licenses.op5_license_scan,
     "op9_exact_topk": topk.op9_exact_topk,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_mix": mixing.op1_sql(),
     "op4_line_dedup": linededup.OP4_SQL,
     "op5_license_scan": licenses.op5_sql(),
     "op9_exact_topk": topk.OP9_SQL,
