@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectide.llm import licenses, linededup, mixing, topk
+from vectide.llm import licenses, linededup, mixing, packing, tokenids, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": mixing.op1_mix,
+    "op2_token_ids": tokenids.op2_token_ids,
     "op4_line_dedup": linededup.op4_line_dedup,
     "op5_license_scan": licenses.op5_license_scan,
+    "op6_pack": packing.op6_pack,
     "op9_exact_topk": topk.op9_exact_topk,
 }
 
