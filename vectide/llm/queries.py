@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectide.llm import licenses, linededup, mixing, packing, tokenids, topk
+from vectide.llm import licenses, linededup, mixing, nearcopies, packing, tokenids, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": mixing.op1_mix,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": linededup.op4_line_dedup,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_pack": packing.op6_pack,
+    "op7_near_copies": nearcopies.op7_near_copies,
     "op9_exact_topk": topk.op9_exact_topk,
 }
 
