@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectide.llm import licenses, linededup, mixing, nearcopies, packing, telephony, tokenids, topk
+from vectide.llm import licenses, linededup, lm, mixing, nearcopies, packing, telephony, tokenids, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": mixing.op1_mix,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_copies": nearcopies.op7_near_copies,
     "op8_media": telephony.op8_media,
     "op9_exact_topk": topk.op9_exact_topk,
+    "op10_lm": lm.op10_lm,
 }
 
 ORACLES: dict[str, str] = {
