@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectide.llm import licenses, linededup, lm, mixing, nearcopies, packing, telephony, tokenids, topk
+from vectide.llm import licenses, linededup, lm, mixing, nearcopies, packing, telephony, tokenids, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": mixing.op1_mix,
     "op2_token_ids": tokenids.op2_token_ids,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_line_dedup": linededup.op4_line_dedup,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_pack": packing.op6_pack,
