@@ -6,10 +6,12 @@ evaluations give a signature of the same length, unbiased and of lower variance.
 2. Equal sets become one class; its smallest doc_id stands for it.
 3. Band buckets with more than one class: every member is paired with the bucket's smallest member - a star, so a bucket of
    any size gives as many pairs as members. Pairs are confirmed on full sets, made anew from the texts they need.
-4. Components of confirmed links. Where a bucket still holds several components, its members outside the bucket's
-   largest component meet the others; only pairs of different components whose sizes and sketches allow the
-   similarity are confirmed. So no pair that shares a band goes unexamined, unless it is known to be connected.
-   A pair of similarity 0.8 shares no band with probability 5e-7; the sketch bound is six standard deviations wide.
+4. Components of confirmed links. Where a bucket still holds several components, its members are open. Open members
+   list their shingles by rarity among them; sets of the similarity share one of their rarest shingles (a
+   prefix filter), early enough in both lists (a positional filter). Only pairs of different components that pass are
+   confirmed, so of a large group with links missing, edited shingles - rare ones - rule nearly all pairs out unseen.
+   This step loses nothing: a pair that shares a band is confirmed, ruled out, or known to be connected.
+   A pair of similarity 0.8 shares no band with probability 5e-7. The sketch only chooses which stars to confirm first.
 
 Defined results: null and empty texts have no shingles and link with nothing; fewer words than ``k`` give one shingle, the whole
 sequence; rows that share a doc_id are one document; a null doc_id links with nothing, its component is null and
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectide.llm import bytewords
@@ -32,7 +34,7 @@ from vectide.llm.tokenids import joined_rows, split_rows
 K, SIMILAR = 5, 80
 PERMUTATIONS, BANDS, ROWS = 144, 48, 6
 SEED = 20240229
-#: Bits of the sketch, and the most that may differ at similarity 0.8: half of 0.2, and six standard deviations.
+#: Bits of the sketch, and the most that differ in stars: at similarity 0.8 half of 0.2, and six standard deviations.
 SKETCH, SKETCH_BITS = 256, 54
 #: Counted ids up to which a list of documents is broadcast: 8 bytes each.
 ID_ROWS = 500_000
@@ -136,6 +138,20 @@ def _sets(k: int):
     return run
 
 
+def _listed(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column("text"), k)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            nodes = np.repeat(batch.column("doc_id").to_numpy(), sizes)
+            for at in range(0, len(flat), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[part], pa.int64()), pa.array(np.repeat(sizes, sizes)[part], pa.int64()), pa.array(flat[part].astype(np.int64))], ["node", "n", "shingle"])
+
+    return run
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,6 +192,26 @@ def _near(x: str, y: str) -> Column:
     return bits[0] + bits[1] + bits[2] + bits[3] <= SKETCH_BITS
 
 
+def _rare_pairs(texts: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b) of ``nodes`` (node, comp) that may be similar and have different components: every similar pair is there."""
+    found = texts.join(small(nodes, limit=ID_ROWS), F.col("doc_id") == F.col("node")).select("doc_id", "text").mapInArrow(_listed(k), "node long, n long, shingle long")
+    listed = save(found.distinct(), "near-listed")
+    often = save(listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1), "near-often")
+    ranked = listed.join(often, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")).cast("long"))
+    # a set that is similar shares at least percent of this one, so one of the first n - ceil(n * percent / 100) + 1
+    first = ranked.where((F.col("df") > 1) & (100 * (F.col("n") - F.col("at") + 1) >= percent * F.col("n"))).select("shingle", "node", "n", "at")
+    first = save(first.join(nodes, "node"), "near-prefixes")
+    counted = first.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("m"))
+    main = save(counted.groupBy("shingle").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("main")).where(F.col("comps") > 1).select("shingle", "main"), "near-main")
+    some = save(first.join(main, "shingle"), "near-shared")
+    x = some.where(F.col("comp") != F.col("main")).select("shingle", *[F.col(c).alias(f"x{c}") for c in ("node", "comp", "n", "at")])
+    y = some.select("shingle", *[F.col(c).alias(f"y{c}") for c in ("node", "comp", "n", "at")])
+    most = F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat")) + 1  # shared shingles, if this is the first one
+    fits = [x["shingle"] == y["shingle"], F.col("xcomp") != F.col("ycomp"), _sizes_fit(F.col("xn"), F.col("yn"), percent), (100 + percent) * most >= percent * (F.col("xn") + F.col("yn"))]
+    return x.join(y, fits).select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
 
@@ -211,13 +247,9 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILAR) -> Data
     links, tried = confirmed(stars)
     first = components(links)
     told = save(live.join(first, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("comp")), "near-told")
-    counted = told.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
-    mixed = counted.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("main")).where(F.col("comps") > 1).select("bucket", "main")
-    open_ = save(told.join(small(save(mixed, "near-mixed")), "bucket").join(about, "node"), "near-open")
-    x = open_.where(F.col("comp") != F.col("main")).select("bucket", *[F.col(c).alias(f"x{c}") for c in ("node", "comp", "n", *marks)])
-    y = open_.select("bucket", *[F.col(c).alias(f"y{c}") for c in ("node", "comp", "n", *marks)])
-    cond = [x["bucket"] == y["bucket"], F.col("xcomp") != F.col("ycomp"), _sizes_fit(F.col("xn"), F.col("yn"), percent), _near("x", "y")]
-    rest = x.join(y, cond).select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    mixed = told.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where(F.col("low") < F.col("high")).select("bucket")
+    open_ = save(told.join(small(save(mixed, "near-mixed")), "bucket").select("node", "comp").distinct(), "near-open")
+    rest = save(_rare_pairs(texts, open_, k, percent), "near-rest").join(tried, ["a", "b"], "left_anti")
     more, _ = confirmed(rest)
     labels = components(links.union(more)) if not more.isEmpty() else first
     of_class = classes.select("f0", "f1", "node").join(labels, "node", "left").select("f0", "f1", F.coalesce("label", "node").alias("component"))
