@@ -1,9 +1,10 @@
 """Toxicity scores of a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Each word is two inputs: a word vector (hashed words) and a character vector (mean of hashed byte trigrams, with marks at
-both ends, so spellings and endings share what they have in common). Two gated recurrent layers, one for each
+Each word is a word vector (hashed words) and two character vectors: means of hashed byte trigrams, with marks at both
+ends, and of hashed beginnings, so spellings, stems and endings share what they have in common. Two gated recurrent layers, one for each
 direction, read windows of WINDOW words; attention pools their states to a logit. Windows overlap by half and cover
-every whole text; a document's logit is its highest window's, as one toxic passage makes a document toxic.
+every whole text; a document's score comes from its highest window, as one toxic passage makes a document toxic, with the
+mean of its three highest and of all windows.
 
 Training picks each document's highest window (several instances, one label), by Adam with backpropagation through
 time, on a bounded sample: SAMPLE labelled documents of the classes, by smallest hash of doc_id, none held out. Scores are
@@ -30,9 +31,15 @@ from vectide.llm.common import bounded_batches, table
 #: Labelled documents of classes 0 and 1 that the network is fitted on, and the longest text among them in bytes.
 SAMPLE, SAMPLE_BYTES = (3000, 1500), 200_000
 WINDOW, STRIDE = 32, 16
-#: Hashed words, hashed trigrams, width of each vector, width of a direction's state.
-WORDS, TRIGRAMS, WIDE, STATE = 1 << 14, 1 << 13, 16, 16
-EPOCHS, BATCH, RATE, SEED = 14, 128, 4e-3, 11
+#: Hashed words, trigrams and beginnings, width of each vector, width of a direction's state.
+WORDS, TRIGRAMS, STARTS, WIDE, STATE = 1 << 14, 1 << 13, 1 << 15, 16, 16
+#: Bytes of the beginnings that are hashed.
+BEGINNINGS = (3, 4, 5, 6, 7, 9)
+EPOCHS, BATCH, RATE, SEED = 12, 128, 4e-3, 11
+#: Small samples get more epochs, up to this many batches.
+STEPS = 500
+#: Windows of one or two repeated words of clean texts that each batch gets besides: repetition alone is not toxic.
+REPEATS = 12
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.3
 
@@ -60,6 +67,7 @@ class Inputs:
         gram = (left << 16) | (w.buf[place].astype(np.int64) << 8) | right
         self.gram_row = (gram * 2654435761 >> 7) % TRIGRAMS
         self.gram_begin = ends - size
+        self.start_rows = np.stack([(bytewords.hashes(w.buf, start, np.minimum(size, b)) + np.uint64(b)) % np.uint64(STARTS) for b in BEGINNINGS], 1).astype(np.int64)
         n = np.diff(w.first)
         self.windows = 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE))
         self.doc = np.repeat(np.arange(len(n)), self.windows)
@@ -79,18 +87,21 @@ def initial(seed: int = SEED) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     n = lambda *s, k=0.1: (r.normal(size=s) * k).astype(np.float32)
     return {
-        "words": n(WORDS, WIDE), "grams": n(TRIGRAMS, WIDE, k=0.3), "x": n(2 * WIDE, 6 * STATE, k=0.25), "xb": np.zeros(6 * STATE, np.float32),
+        "words": n(WORDS, WIDE), "grams": n(TRIGRAMS, WIDE, k=0.3), "starts": n(STARTS, WIDE, k=0.1), "x": n(3 * WIDE, 6 * STATE, k=0.25), "xb": np.zeros(6 * STATE, np.float32),
         "h0": n(STATE, 3 * STATE, k=0.2), "h1": n(STATE, 3 * STATE, k=0.2), "nb0": np.zeros(STATE, np.float32), "nb1": np.zeros(STATE, np.float32),
         "a": n(2 * STATE, STATE, k=0.2), "ab": np.zeros(STATE, np.float32), "av": n(STATE, k=0.3), "o": n(2 * STATE, k=0.3), "ob": np.zeros(1, np.float32),
     }
 
 
 def vectors(p: dict[str, np.ndarray], x: Inputs, which: np.ndarray | None = None) -> np.ndarray:
-    """Word vector and character vector of distinct words."""
+    """Word vector and character vectors of distinct words."""
     if not len(x.word_row):
-        return np.zeros((1, 2 * WIDE), np.float32)
+        return np.zeros((1, 3 * WIDE), np.float32)
     grams = np.add.reduceat(p["grams"][x.gram_row], x.gram_begin, axis=0) / x.gram_count[:, None].astype(np.float32)
-    return np.concatenate([p["words"][x.word_row], grams], 1)
+    starts = p["starts"][x.start_rows[:, 0]]
+    for i in range(1, len(BEGINNINGS)):
+        starts = starts + p["starts"][x.start_rows[:, i]]
+    return np.concatenate([p["words"][x.word_row], grams, starts / np.float32(2)], 1)
 
 
 def _sigmoid(v: np.ndarray) -> np.ndarray:
@@ -189,7 +200,9 @@ def backward(p: dict[str, np.ndarray], x: Inputs, e: np.ndarray, rows: np.ndarra
         n = x.gram_count[used]
         ends = np.cumsum(n)
         at = np.arange(int(ends[-1])) + np.repeat(x.gram_begin[used] - (ends - n), n)
-        np.add.at(g["grams"], x.gram_row[at], np.repeat(d_e[:, WIDE:] / n[:, None].astype(np.float32), n, axis=0))
+        np.add.at(g["grams"], x.gram_row[at], np.repeat(d_e[:, WIDE : 2 * WIDE] / n[:, None].astype(np.float32), n, axis=0))
+        for i in range(len(BEGINNINGS)):
+            np.add.at(g["starts"], x.start_rows[used, i], d_e[:, 2 * WIDE :] / np.float32(2))
     return g
 
 
@@ -204,12 +217,16 @@ def window_logits(p: dict[str, np.ndarray], x: Inputs, size: int = 1024) -> np.n
 
 
 def document_logits(p: dict[str, np.ndarray], x: Inputs) -> tuple[np.ndarray, np.ndarray]:
-    """(highest logit, its window) of each document."""
+    """(highest logit, mean of the three highest, mean of all) and the highest window of each document."""
     logit = window_logits(p, x)
-    begin = np.cumsum(x.windows) - x.windows
-    best = np.maximum.reduceat(logit, begin) if len(begin) else np.zeros(0, np.float32)
+    n, begin = x.windows, np.cumsum(x.windows) - x.windows
+    if not len(n):
+        return np.zeros((0, 3)), begin
     order = np.lexsort((-logit, x.doc))
-    return best, order[begin] if len(begin) else order
+    high = logit[order].astype(np.float64)
+    some = np.minimum(n, 3)
+    three = sum(np.where(some > i, high[np.minimum(begin + i, len(high) - 1)], 0.0) for i in range(3)) / some
+    return np.stack([high[begin], three, np.add.reduceat(high, begin) / n], 1), order[begin]
 
 
 def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = SEED, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
@@ -217,7 +234,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = SEED, ep
     r = np.random.default_rng(seed)
     labels = np.asarray(labels, np.float32)
     if len(set(labels.tolist())) < 2:
-        return initial(seed) | {"scale": np.float64(0), "shift": np.float64(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))}
+        return initial(seed) | {"scale": np.zeros(3), "shift": np.float64(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))}
     x = Inputs(pa.array(texts, pa.string()))
     n = len(texts)
     unseen = r.permutation(n) % 6 == 0
@@ -225,6 +242,9 @@ def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = SEED, ep
     m, v, step = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
     begin = np.cumsum(x.windows) - x.windows
     train = np.flatnonzero(~unseen)
+    clean_windows = np.flatnonzero(np.isin(x.doc, train[labels[train] == 0]) & (x.length > 0))
+    clean_words = x.word[x.begin[clean_windows]] if len(clean_windows) else np.zeros(0, np.int64)
+    epochs = max(epochs, min(60, -(-STEPS * BATCH // (2 * len(train)))))
     for epoch in range(epochs):
         random_ = begin + (r.random(n) * x.windows).astype(np.int64)
         if epoch < 2:
@@ -239,6 +259,11 @@ def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = SEED, ep
         for i in range(0, len(order), BATCH):
             some, target = picked[order[i : i + BATCH]], y[order[i : i + BATCH]]
             rows, mask = x.rows(some)
+            if len(clean_words):
+                pair = clean_words[r.integers(0, len(clean_words), (2, REPEATS))]
+                made = np.where(np.arange(WINDOW)[:, None] < r.integers(1, WINDOW + 1, REPEATS)[None, :], pair[0], pair[1])
+                rows, mask = np.concatenate([rows, made], 1), np.concatenate([mask, np.ones_like(made, bool)], 1)
+                target = np.concatenate([target, np.zeros(REPEATS, np.float32)])
             # the words of this batch only
             words, back = np.unique(rows, return_inverse=True)
             part = _subset(x, words)
@@ -246,21 +271,21 @@ def fit(texts: list[str], labels: np.ndarray, share: float, seed: int = SEED, ep
             e = vectors(p, part)
             keep: dict = {}
             logit = forward(p, gates_of(p, e), rows, mask, keep)
-            d = ((1 / (1 + np.exp(-logit)) - target) / len(some)).astype(np.float32)
+            d = ((1 / (1 + np.exp(-logit)) - target) / len(target)).astype(np.float32)
             g = backward(p, part, e, rows, mask, keep, d)
             step += 1
             rate = RATE * min(1.0, step / 20) * (0.3 if epoch >= epochs - 4 else 1.0)
             norm = float(np.sqrt(sum(float((a * a).sum()) for a in g.values())))
             for k in p:
-                a = g[k] / max(1.0, norm / 5) + (1e-5 * p[k] if k in ("words", "grams") else 0)
+                a = g[k] / max(1.0, norm / 5) + (1e-5 * p[k] if k in ("words", "grams", "starts") else 0)
                 m[k] += 0.1 * (a - m[k])
                 v[k] += 0.01 * (a * a - v[k])
                 p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    logit = document_logits(p, x)[0].astype(np.float64)
+    found = document_logits(p, x)[0]
     mine = np.flatnonzero(unseen)
     weight = np.where(labels == 1, share / max(labels.mean(), 1e-9), (1 - share) / max(1 - labels.mean(), 1e-9))[mine]
-    scale, shift = calibrate(logit[mine], labels[mine], weight)
-    return p | {"scale": np.float64(scale), "shift": np.float64(shift)}
+    scale, shift = calibrate(found[mine], labels[mine], weight)
+    return p | {"scale": scale, "shift": np.float64(shift)}
 
 
 def _subset(x: Inputs, words: np.ndarray) -> Inputs:
@@ -268,23 +293,24 @@ def _subset(x: Inputs, words: np.ndarray) -> Inputs:
     n = x.gram_count[words] if len(x.word_row) else np.zeros(0, np.int64)
     ends = np.cumsum(n)
     at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat((x.gram_begin[words] if len(n) else n) - (ends - n), n)
+    out.start_rows = x.start_rows[words] if len(n) else x.start_rows
     out.word_row, out.gram_row, out.gram_count, out.gram_begin = (x.word_row[words] if len(n) else n), x.gram_row[at], n, ends - n
     return out
 
 
-def calibrate(logit: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Scale (over 0) and shift of logits by weighted logistic regression; a small pull keeps separable cases finite."""
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(a * logit + b, -30, 30)))
-        d, h = weight * (q - label), weight * q * (1 - q) + 1e-9
-        g = np.array([(d * logit).sum() + 0.5 * (a - 1), d.sum() + 0.5 * b * 0.1])
-        hess = np.array([[(h * logit * logit).sum() + 0.5, (h * logit).sum()], [(h * logit).sum(), h.sum() + 0.05]])
-        move = np.linalg.solve(hess, g)
-        a, b = max(a - move[0], 1e-3), b - move[1]
+def calibrate(found: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Scales and shift of a document's logits by weighted logistic regression, pulled towards the highest logit alone."""
+    x = np.concatenate([found, np.ones((len(found), 1))], 1)
+    prior, pull = np.array([1.0, 0.0, 0.0, 0.0]), np.array([0.5, 0.5, 0.5, 0.05])
+    c = prior.copy()
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
+        g = x.T @ (weight * (q - label)) + pull * (c - prior)
+        move = np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + np.diag(pull), g)
+        c -= move / max(1.0, np.abs(move).max())
         if np.abs(move).max() < 1e-9:
             break
-    return a, b
+    return c[:3], float(c[3])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -314,8 +340,8 @@ def _score(shared):
             if not batch.num_rows:
                 continue
             x = Inputs(batch.column("text"))
-            logit = document_logits(p, x)[0].astype(np.float64) if p["scale"] else np.zeros(batch.num_rows)
-            score = 1 / (1 + np.exp(-np.clip(p["scale"] * logit + p["shift"], -700, 700)))
+            logit = document_logits(p, x)[0] @ p["scale"] if p["scale"].any() else np.zeros(batch.num_rows)
+            score = 1 / (1 + np.exp(-np.clip(logit + p["shift"], -700, 700)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(score, pa.float64())], [*batch.schema.names, "__score"])
 
     return run
