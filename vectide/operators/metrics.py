@@ -126,12 +126,14 @@ def jaccard_counts(left: Column, right: Column, both: Column) -> Column:
 
 
 def jaccard(a: DataFrame, b: DataFrame, keys: list[str], member: str = "row_id") -> DataFrame:
-    """Jaccard index of the sets of ``a`` and ``b`` with equal (null-safe) keys, where both have the key."""
-    left, right = a.select(*keys, member).distinct(), b.select(*keys, member).distinct()
-    na, nb = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("na")), right.groupBy(*keys).agg(F.count(F.lit(1)).alias("nb"))
-    both = left.intersect(right).groupBy(*keys).agg(F.count(F.lit(1)).alias("nab"))
-    out = null_safe_join(null_safe_join(na, nb, keys), both, keys, "left")
-    return out.select(*keys, jaccard_counts(F.col("na"), F.col("nb"), F.coalesce("nab", F.lit(0))).alias("jaccard"))
+    """Jaccard index of the sets of ``a`` and ``b`` with equal (null-safe) keys, where both have the key.
+
+    Each side is read once; sides meet in one shuffle by key and member, and counts of sides in one by key.
+    """
+    side = lambda df, x, y: df.select(*keys, member, F.lit(x).alias("a"), F.lit(y).alias("b"))
+    met = side(a, 1, 0).union(side(b, 0, 1)).groupBy(*keys, member).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    out = met.groupBy(*keys).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.sum(F.col("a") * F.col("b")).alias("nab")).where((F.col("na") > 0) & (F.col("nb") > 0))
+    return out.select(*keys, jaccard_counts(F.col("na"), F.col("nb"), F.col("nab")).alias("jaccard"))
 
 
 def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -142,19 +144,22 @@ def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inne
 
 
 def adjacent_jaccard(members: DataFrame, sets: list[str], w: str = "w", member: str = "row_id") -> DataFrame:
-    """For each set and weight, the mean Jaccard index with the previous and the next weight of its sweep."""
-    order = Window.partitionBy(*sets).orderBy(w)
-    places = members.select(*sets, w).distinct().withColumn("at", F.row_number().over(order))
-    placed = null_safe_join(members.select(*sets, w, member), places, [*sets, w])
-    sizes = placed.groupBy(*sets, "at").agg(F.count(F.lit(1)).alias("size"))
-    nxt = placed.select(*sets, (F.col("at") - 1).alias("at"), member)
-    both = placed.select(*sets, "at", member).intersect(nxt).groupBy(*sets, "at").agg(F.count(F.lit(1)).alias("nab"))
-    later = sizes.select(*sets, (F.col("at") - 1).alias("at"), F.col("size").alias("nb"))
-    pair = null_safe_join(null_safe_join(sizes, later, [*sets, "at"]), both, [*sets, "at"], "left")
-    pair = pair.select(*sets, "at", jaccard_counts(F.col("size"), F.col("nb"), F.coalesce("nab", F.lit(0))).alias("j"))
-    ends = pair.union(pair.select(*sets, F.col("at") + 1, "j"))
-    found = ends.groupBy(*sets, "at").agg(F.avg("j").alias("adjacent_jaccard"))
-    return null_safe_join(places, found, [*sets, "at"], "left").drop("at")
+    """For each set and weight, the mean Jaccard index with the previous and the next weight of its sweep.
+
+    A member's weights are gathered once (as many as a sweep has); each says whether the next weight has the member too.
+    """
+    grid = members.groupBy(*sets).agg(F.sort_array(F.collect_set(w)).alias("grid"))
+    held = members.groupBy(*sets, member).agg(F.collect_set(w).alias("held"))
+    placed = null_safe_join(held, grid, sets).select(*sets, "grid", "held", F.explode(F.transform("held", lambda x: F.array_position("grid", x))).alias("at"))
+    nxt = F.get("grid", F.col("at").cast("int"))
+    counts = placed.groupBy(*sets, "at").agg(F.element_at(F.any_value("grid"), F.col("at").cast("int")).alias(w), F.count(F.lit(1)).alias("size"), F.count_if(F.array_contains("held", nxt)).alias("shared"))
+    order = Window.partitionBy(*sets).orderBy("at")
+    after = F.lead("size").over(order)
+    pair = counts.withColumn("next", F.when(after.isNotNull(), jaccard_counts(F.col("size"), after, F.col("shared"))))
+    before = F.lag("next").over(order)
+    n = F.col("next").isNotNull().cast("int") + before.isNotNull().cast("int")
+    mean = F.when(n > 0, (F.coalesce("next", F.lit(0.0)) + F.coalesce(before, F.lit(0.0))) / n)
+    return pair.withColumn("adjacent_jaccard", mean).select(*sets, w, "adjacent_jaccard")
 
 
 def curve_summary(runs: DataFrame, keys: list[str], metrics: list[str], size: str = "actual_size") -> DataFrame:

@@ -45,8 +45,9 @@ def rank(df: DataFrame, group: str | None, direction: str, eta: float | None = N
         kept = df.withColumn("rank", place).where(F.col("rank") <= candidate_k)  # WindowGroupLimit: partial before the shuffle
         sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("group_rows"))
         return kept.join(sizes, group).withColumn("rank", F.col("rank") - 1)
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("group_rows"))
-    return df.join(sizes, group).withColumn("rank", place).where(F.col("rank") <= quota(F.col("group_rows"), eta)).withColumn("rank", F.col("rank") - 1)
+    # the order of a group needs one shuffle by group; its size comes along in the same window
+    sized = df.withColumn("group_rows", F.count(F.lit(1)).over(Window.partitionBy(group))).withColumn("rank", place)
+    return sized.where(F.col("rank") <= quota(F.col("group_rows"), eta)).withColumn("rank", F.col("rank") - 1)
 
 
 def _ceil(x: float) -> int:
@@ -56,11 +57,11 @@ def _ceil(x: float) -> int:
 
 
 def with_utility(df: DataFrame, group: list[str], direction: str, loss: str = "recon_loss", name: str = "utility") -> DataFrame:
-    """Min-max of the oriented loss inside ``group``; 1 where all are equal. The bounds are an aggregate joined back, so a large group is no one task's."""
+    """Min-max of the oriented loss inside ``group``; 1 where all are equal. After a ranking by the same group it shuffles nothing more."""
     v = oriented(F.col(loss), direction)
-    bounds = df.groupBy(*group).agg(F.min(v).alias("__low"), F.max(v).alias("__high"))
-    joined = df.join(bounds, group) if group else df.join(F.broadcast(bounds))
-    return joined.withColumn(name, F.when(F.col("__low") == F.col("__high"), 1.0).otherwise((v - F.col("__low")) / (F.col("__high") - F.col("__low")))).drop("__low", "__high")
+    w = Window.partitionBy(*group)
+    bounded = df.withColumns({"__low": F.min(v).over(w), "__high": F.max(v).over(w)})
+    return bounded.withColumn(name, F.when(F.col("__low") == F.col("__high"), 1.0).otherwise((v - F.col("__low")) / (F.col("__high") - F.col("__low")))).drop("__low", "__high")
 
 
 def loss_summary(df: DataFrame, group: list[str], loss: str = "recon_loss", utility: str | None = "utility") -> DataFrame:
@@ -75,9 +76,9 @@ def loss_summary(df: DataFrame, group: list[str], loss: str = "recon_loss", util
 def stratified(df: DataFrame, group: str, eta: float, seed: int, key: str = "window_id") -> DataFrame:
     """A seeded baseline: the rows of smallest seeded hash, as many of each group as a ranking has; ``rank`` is the draw's order."""
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key)).cast("binary"))
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("group_rows"))
     w = Window.partitionBy(group).orderBy(draw, F.col(key))
-    return df.join(sizes, group).withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < quota(F.col("group_rows"), eta)).withColumn("utility", F.lit(1.0))
+    sized = df.withColumn("group_rows", F.count(F.lit(1)).over(Window.partitionBy(group)))
+    return sized.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < quota(F.col("group_rows"), eta)).withColumn("utility", F.lit(1.0))
 
 
 def numpy_stratified(df: DataFrame, group: str, eta: float, seed: int, key: str = "window_id") -> DataFrame:

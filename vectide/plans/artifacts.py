@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,8 +59,9 @@ def import_clustered(manifest: DataFrame, atlas_ids: DataFrame, display: DataFra
 
 def index_metrics(windows: DataFrame, members: DataFrame, keys: list[str], sample: DataFrame, published: DataFrame | None = None) -> DataFrame:
     """One row for each union of memberships: diversity, coverage, shares, loss percentiles, represented groups, overlap."""
-    rows = members.select(*keys, "window_id").join(windows, "window_id")
-    twice = members.groupBy(*keys, "window_id").count().where("count > 1").limit(1).count()
+    # read by six aggregates; a lost block is made again from its lineage
+    rows = members.select(*keys, "window_id").join(windows, "window_id").persist(StorageLevel.MEMORY_AND_DISK)
+    twice = rows.groupBy(*keys, "window_id").count().where("count > 1").limit(1).count()
     if twice:
         raise ContractError("a union lists a row twice")
     vendi = metrics.union_vendi(rows, keys).withColumn("vendi_union_normalized", F.col("vendi") / F.col("n")).withColumnRenamed("vendi", "vendi_union").withColumnRenamed("n", "k")
