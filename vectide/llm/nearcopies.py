@@ -8,7 +8,8 @@ evaluations give a signature of the same length, unbiased and of lower variance.
    any size gives as many pairs as members. Pairs are confirmed on full sets, made anew from the texts they need.
 4. Components of confirmed links. Where a bucket still holds several components, its members are open. Open members
    list their shingles by rarity among them; sets of the similarity share one of their rarest shingles (a
-   prefix filter), early enough in both lists (a positional filter). Only pairs of different components that pass are
+   prefix filter), early enough in both lists (a positional filter). First each open document is paired with one
+   central document of another component, for a few rounds; then all pairs of different components that pass are
    confirmed, so of a large group with links missing, edited shingles - rare ones - rule nearly all pairs out unseen.
    This step loses nothing: a pair that shares a band is confirmed, ruled out, or known to be connected.
    A pair of similarity 0.8 shares no band with probability 5e-7. The sketch only chooses which stars to confirm first.
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectide.llm import bytewords
-from vectide.llm.common import bounded_batches, discard, save, small, table
+from vectide.llm.common import bounded_batches, discard, save, small, table, trimmed
 from vectide.llm.tokenids import joined_rows, split_rows
 
 K, SIMILAR = 5, 80
@@ -36,6 +37,8 @@ PERMUTATIONS, BANDS, ROWS = 144, 48, 6
 SEED = 20240229
 #: Bits of the sketch, and the most that differ in stars: at similarity 0.8 half of 0.2, and six standard deviations.
 SKETCH, SKETCH_BITS = 256, 54
+#: Rounds of stars among open documents before all pairs that are left.
+ROUNDS = 3
 #: Counted ids up to which a list of documents is broadcast: 8 bytes each.
 ID_ROWS = 500_000
 
@@ -124,7 +127,7 @@ def _signed(k: int):
                 ["doc_id", "n", "f0", "f1", "bands", "s0", "s1", "s2", "s3"],
             )
 
-    return run
+    return trimmed(run)
 
 
 def _sets(k: int):
@@ -135,7 +138,7 @@ def _sets(k: int):
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), split_rows(flat, sizes)], ["node", "set"])
 
-    return run
+    return trimmed(run)
 
 
 def _listed(k: int):
@@ -149,7 +152,7 @@ def _listed(k: int):
                 part = slice(at, at + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[part], pa.int64()), pa.array(np.repeat(sizes, sizes)[part], pa.int64()), pa.array(flat[part].astype(np.int64))], ["node", "n", "shingle"])
 
-    return run
+    return trimmed(run)
 
 
 def _confirm(percent: int):
@@ -164,7 +167,7 @@ def _confirm(percent: int):
                 ok[i] = 100 * shared >= percent * (len(both) - shared) > 0
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], ["a", "b"])
 
-    return run
+    return trimmed(run)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -192,24 +195,51 @@ def _near(x: str, y: str) -> Column:
     return bits[0] + bits[1] + bits[2] + bits[3] <= SKETCH_BITS
 
 
-def _rare_pairs(texts: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b) of ``nodes`` (node, comp) that may be similar and have different components: every similar pair is there."""
+def _prefixes(texts: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(shingle, node, n, at) of the shingles of ``nodes`` that a similar set has to share one of: the rarest ones that are not a node's alone."""
     found = texts.join(small(nodes, limit=ID_ROWS), F.col("doc_id") == F.col("node")).select("doc_id", "text").mapInArrow(_listed(k), "node long, n long, shingle long")
     listed = save(found.distinct(), "near-listed")
     often = save(listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1), "near-often")
     ranked = listed.join(often, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")).cast("long"))
     # a set that is similar shares at least percent of this one, so one of the first n - ceil(n * percent / 100) + 1
-    first = ranked.where((F.col("df") > 1) & (100 * (F.col("n") - F.col("at") + 1) >= percent * F.col("n"))).select("shingle", "node", "n", "at")
-    first = save(first.join(nodes, "node"), "near-prefixes")
+    out = save(ranked.where((F.col("df") > 1) & (100 * (F.col("n") - F.col("at") + 1) >= percent * F.col("n"))).select("shingle", "node", "n", "at"), "near-prefixes")
+    discard(listed, often)
+    return out
+
+
+def _may_be_similar(percent: int) -> Column:
+    """Sizes fit, and a pair that shares this shingle first could still share enough; false within a component."""
+    most = F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat")) + 1
+    return (F.col("xcomp") != F.col("ycomp")) & _sizes_fit(F.col("xn"), F.col("yn"), percent) & ((100 + percent) * most >= percent * (F.col("xn") + F.col("yn")))
+
+
+def _shared(prefixes: DataFrame, comps: DataFrame) -> DataFrame:
+    """Prefix rows of shingles that several components share, with the shingle's largest component."""
+    first = prefixes.join(comps, "node")
     counted = first.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("m"))
     main = save(counted.groupBy("shingle").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("main")).where(F.col("comps") > 1).select("shingle", "main"), "near-main")
-    some = save(first.join(main, "shingle"), "near-shared")
-    x = some.where(F.col("comp") != F.col("main")).select("shingle", *[F.col(c).alias(f"x{c}") for c in ("node", "comp", "n", "at")])
-    y = some.select("shingle", *[F.col(c).alias(f"y{c}") for c in ("node", "comp", "n", "at")])
-    most = F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat")) + 1  # shared shingles, if this is the first one
-    fits = [x["shingle"] == y["shingle"], F.col("xcomp") != F.col("ycomp"), _sizes_fit(F.col("xn"), F.col("yn"), percent), (100 + percent) * most >= percent * (F.col("xn") + F.col("yn"))]
-    return x.join(y, fits).select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
+    return save(first.join(main, "shingle"), "near-shared")
+
+
+_COLUMNS = ("node", "comp", "n", "at")
+
+
+def _star_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each document outside a shingle's largest component with one row of it, the most central; at most one pair for a document."""
+    y = shared.where(F.col("comp") == F.col("main")).groupBy("shingle").agg(F.min(F.struct("at", "node", "n", "comp")).alias("y"))
+    y = save(y.select("shingle", F.col("y.node").alias("ynode"), F.col("y.comp").alias("ycomp"), F.col("y.n").alias("yn"), F.col("y.at").alias("yat")), "near-central")
+    x = shared.where(F.col("comp") != F.col("main")).select("shingle", *[F.col(c).alias(f"x{c}") for c in _COLUMNS])
+    fits = x.join(y, "shingle").where(_may_be_similar(percent)).withColumn("most", F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat")))
+    best = fits.groupBy("xnode").agg(F.max_by("ynode", F.struct("most", -F.col("ynode"))).alias("ynode"))
+    return best.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b"))
+
+
+def _rare_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that may be similar and have different components: every similar pair is there."""
+    x = shared.where(F.col("comp") != F.col("main")).select("shingle", *[F.col(c).alias(f"x{c}") for c in _COLUMNS])
+    y = shared.select("shingle", *[F.col(c).alias(f"y{c}") for c in _COLUMNS])
+    return x.join(y, [x["shingle"] == y["shingle"], _may_be_similar(percent)]).select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILAR) -> DataFrame:
@@ -248,10 +278,25 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILAR) -> Data
     first = components(links)
     told = save(live.join(first, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("comp")), "near-told")
     mixed = told.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where(F.col("low") < F.col("high")).select("bucket")
-    open_ = save(told.join(small(save(mixed, "near-mixed")), "bucket").select("node", "comp").distinct(), "near-open")
-    rest = save(_rare_pairs(texts, open_, k, percent), "near-rest").join(tried, ["a", "b"], "left_anti")
-    more, _ = confirmed(rest)
-    labels = components(links.union(more)) if not more.isEmpty() else first
+    open_ = save(told.join(small(save(mixed, "near-mixed")), "bucket").select("node").distinct(), "near-open")
+    prefixes = _prefixes(texts, open_, k, percent)
+    labels = first
+    for _ in range(ROUNDS):  # stars around central documents leave few documents apart
+        comps = open_.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("comp"))
+        pairs = save(_star_pairs(_shared(prefixes, comps), percent).join(tried, ["a", "b"], "left_anti"), "near-star")
+        if pairs.isEmpty():
+            break
+        more, new = confirmed(pairs)
+        tried = save(tried.union(new), "near-tried")
+        if more.isEmpty():
+            break
+        links = save(links.union(more), "near-links")
+        labels = components(links)
+    comps = open_.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("comp"))
+    rest = save(_rare_pairs(_shared(prefixes, comps), percent).join(tried, ["a", "b"], "left_anti"), "near-rest")
+    if not rest.isEmpty():
+        more, _ = confirmed(rest)
+        labels = components(links.union(more)) if not more.isEmpty() else labels
     of_class = classes.select("f0", "f1", "node").join(labels, "node", "left").select("f0", "f1", F.coalesce("label", "node").alias("component"))
     # a document with several rows: the smallest component of any of them
     known = save(of_class, "near-components")
