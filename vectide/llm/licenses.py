@@ -118,11 +118,12 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, text
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with __n_words, __base (struct), __spans (array of spans)."""
+    """Every row of ``docs`` with __n_words, __n_base, __first_word, __last_word, __labels (base labels), __spans (array of structs)."""
     keyed = _row_key(docs, "__row")
     spans, base = license_spans(keyed, templates, text_col)
     per_row = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("label", "first_word", "last_word", "votes", "share"))).alias("spans"))
-    found = base.join(per_row, "row", "full").withColumnRenamed("row", "__row")
+    found = base.join(per_row, "row", "full")
+    found = found.select(*[F.col(c).alias(f"__{c}") for c in found.columns])
     n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
     flat = keyed.select(*docs.columns, "__row", n_words.cast("long").alias("__n_words"))
     return flat.join(found, "__row", "left")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm.common import BROADCAST_ROWS, bounded_batches, save, table
+from vectide.llm.common import BROADCAST_ROWS, bounded_batches, save, table, trimmed
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BITS_PER_KEY, PROBES = 16, 4
@@ -76,7 +76,7 @@ def _hashes(least: int, shards: int, shard: int):
             h = np.sort(h[h % np.uint64(shards) == np.uint64(shard)])
             yield pa.RecordBatch.from_arrays([pa.array([h.astype("<u8").tobytes()], pa.binary()), pa.array([len(h)], pa.int64())], ["hashes", "n"])
 
-    return run
+    return trimmed(run)
 
 
 def _deal(bits: int, groups: int):
@@ -124,7 +124,7 @@ def _fold(bits: int, groups: int):
             if two.any():
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(two).tobytes()], pa.binary())], ["segment", "twice"])
 
-    return run
+    return trimmed(run)
 
 
 def _suspects(least: int, shards: int, shard: int, bits: int, filters):
@@ -157,17 +157,17 @@ def _suspects(least: int, shards: int, shard: int, bits: int, filters):
                 pa.array([keys[i] for i in pick], pa.binary()), pa.array([where[i][1] for i in pick], pa.list_(pa.int32())),
             ], ["row", "doc_id", "key", "lines"])
 
-    return run
+    return trimmed(run)
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_filter_bits: int = MAX_FILTER_BITS, bits_per_key: int = BITS_PER_KEY) -> DataFrame:
     """(row, drop): the numbers of the lines that a row of ``docs`` (row, doc_id, text) loses."""
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select("text")
     packed = save(texts.mapInArrow(_hashes(min_chars, 1, 0), "hashes binary, n long"), "line-hashes")
     total = packed.agg(F.sum("n")).first()[0] or 0
-    wanted = max(SEGMENT_BITS, 1 << max(0, int(total * BITS_PER_KEY - 1).bit_length()))
+    wanted = max(SEGMENT_BITS, 1 << max(0, int(total * bits_per_key - 1).bit_length()))
     bits = min(wanted, max_filter_bits)
     shards = -(-wanted // bits)
     out = None
@@ -199,7 +199,7 @@ def _only(shards: int, shard: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_filter_bits: int = MAX_FILTER_BITS, bits_per_key: int = BITS_PER_KEY) -> DataFrame:
     """Every row of ``docs`` with its text after line dedup: all columns, then __lines, __dropped (long), __kept (text).
 
     A line's key is the line stripped and lower-cased; keys of at least ``min_chars`` code points found in at least
@@ -212,11 +212,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         numbered = docs.withColumn("__row", F.concat(F.hex(F.xxhash64("_metadata.file_path")), F.lit(":"), F.col("_metadata.row_index").cast("string")))
     else:
         numbered = save(docs.withColumn("__row", F.monotonically_increasing_id().cast("string")), "line-rows")
-    lost = dropped_lines(numbered.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), min_chars, min_docs, max_filter_bits)
+    lost = dropped_lines(numbered.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), min_chars, min_docs, max_filter_bits, bits_per_key)
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    joined = numbered.join(lost.withColumnRenamed("row", "__row"), "__row", "left").withColumn("__all", lines)
-    drop = F.coalesce(F.col("drop"), F.array().cast("array<int>"))
-    kept = F.when(F.col("drop").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.filter("__all", lambda x, i: ~F.array_contains(drop, i)), "\n"))
+    joined = numbered.join(lost.select(F.col("row").alias("__row"), F.col("drop").alias("__drop")), "__row", "left").withColumn("__all", lines)
+    drop = F.coalesce(F.col("__drop"), F.array().cast("array<int>"))
+    kept = F.when(F.col("__drop").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.filter("__all", lambda x, i: ~F.array_contains(drop, i)), "\n"))
     return joined.select(*[F.col(c) for c in docs.columns], F.size("__all").cast("long").alias("__lines"), F.size(drop).cast("long").alias("__dropped"), kept.alias("__kept"))
 
 
