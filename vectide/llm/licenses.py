@@ -15,6 +15,7 @@ document of its own, rows with equal doc_id included; an empty table gives no ro
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -76,7 +77,9 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, text
     spark = docs.sparkSession
     rows = template_rows(TEMPLATES if templates is None else templates)
     rows += [(f"\0{label}", 0, 1, *phrase.split()) for phrase, label in BASE.items() if len(phrase.split()) == K]
-    known = spark.createDataFrame(rows, "label string, at int, grams int, t0 string, t1 string, t2 string").withColumn("h", F.xxhash64("t0", "t1", "t2"))
+    names = ("label", "at", "grams", "t0", "t1", "t2")
+    listed = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    known = spark.range(1).select(F.inline(F.from_json(F.lit(listed), "array<struct<label: string, at: int, grams: int, t0: string, t1: string, t2: string>>"))).withColumn("h", F.xxhash64("t0", "t1", "t2"))
     w = F.col("w")
     n = F.size("w")
     slid = docs.select(F.col(key_col).alias("row"), _words(F.col(text_col)).alias("w")).select(
