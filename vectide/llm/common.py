@@ -6,14 +6,19 @@ An operator cuts its lineage by writing a table below the folder that the cluste
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The C library of this process, for malloc_trim; where there is none, memory is simply kept.
+_LIBC = ctypes.CDLL(None)
 #: Most rows and bytes that go to a Python worker at once; long texts are bounded by the bytes.
-BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 #: A table is broadcast only if it has been counted and has at most so many rows.
 BROADCAST_ROWS = 200_000
 
@@ -74,6 +79,38 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if rows <= limit else df
 
 
+def release() -> None:
+    """Give memory that numpy and pyarrow have freed back to the system: idle workers stay, and share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that releases memory when its partition is done."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
+def trimmed_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of a group that releases memory after each."""
+
+    def inner(group: pa.Table) -> pa.Table:
+        try:
+            return run(group)
+        finally:
+            release()
+
+    return inner
+
+
 def text_of(column: Column | str = "text") -> Column:
     """A text with null read as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.llm import bytewords
-from vectide.llm.common import bounded_batches, new_path, save, table
+from vectide.llm.common import bounded_batches, new_path, save, table, trimmed, trimmed_group
 
 #: Number of the end of a text in word hashes; words never get it.
 END_HASH = np.uint64(1)
@@ -172,7 +172,7 @@ def _words(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _held((word_hashes(b.column("text"))[0] for b in batches if b.num_rows), bits)
 
-    return run
+    return trimmed(run)
 
 
 def _word_range(folder: str):
@@ -184,7 +184,7 @@ def _word_range(folder: str):
         write_array(folder, f"counts-{shard}", counts.astype("<u4"))
         return pa.table({"shard": pa.array([shard], pa.int64()), "entries": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
 
-    return run
+    return trimmed_group(run)
 
 
 @dataclass(frozen=True)
@@ -236,7 +236,7 @@ def _pairs(vocabulary: Vocabulary, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _held((keys(b) for b in batches if b.num_rows), bits)
 
-    return run
+    return trimmed(run)
 
 
 def _sums(ids: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
@@ -277,7 +277,7 @@ def _pair_range(folder: str, step: int):
             rows["of_counts"][0] = of_counts
         return pa.table(rows, schema=pa.schema([("shard", pa.int64()), ("kind", pa.int64()), ("raw", pa.binary()), ("n", pa.int64()), ("of_counts", pa.list_(pa.int64()))]))
 
-    return run
+    return trimmed_group(run)
 
 
 def _number_range(folder: str, step: int, size: int):
@@ -435,7 +435,7 @@ def _score(model: Model):
             n, known, base, score = score_texts(model, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    return run
+    return trimmed(run)
 
 
 def held_out(doc_id: Column) -> Column:

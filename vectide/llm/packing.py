@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.llm.bytewords import mix
-from vectide.llm.common import bounded_batches, save, table
+from vectide.llm.common import bounded_batches, save, table, trimmed, trimmed_group
 from vectide.llm.encode import encoder
 from vectide.llm.tokenids import END, TOKENIZER, crc_of, id_type, joined_rows, split_rows
 
@@ -57,7 +57,7 @@ def _encode(path: str, end: int):
             ids, lengths = e.encode(batch.column("text"), end)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(_route(ids, lengths), pa.int64()), split_rows(ids.astype(id_type(e.vocab)), lengths)], ["doc_id", "n", "route", "ids"])
 
-    return run
+    return trimmed(run)
 
 
 def terms(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,7 +78,7 @@ def _document_counts(kind: str):
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    return run
+    return trimmed(run)
 
 
 class Index:
@@ -206,7 +206,7 @@ def _pack(kind: str, idf, mean: float, window: int):
             "sequence_id": pa.array((np.int64(shard) << 32) + sequence), "offset": pa.array(offset), "ids": split_rows(flat, size),
         })
 
-    return run
+    return trimmed_group(run)
 
 
 def shard_plan(routes: list[tuple[int, int]], shard_tokens: int = SHARD_TOKENS) -> list[tuple[int, int, int]]:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectide.llm import huffman
-from vectide.llm.common import bounded_batches, discard, save, small, table
+from vectide.llm.common import bounded_batches, discard, save, small, table, trimmed
 from vectide.llm.encode import encoder
 
 TOKENIZER, END = "word_bpe_49k.json", 1
@@ -60,7 +60,7 @@ def _ranged_ids(path: str, end: int | None):
             before += int(lengths.sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lengths), part), pa.int64()), pa.array(starts, pa.int64()), batch.column("doc_id"), pa.array(lengths, pa.int64()), split_rows(ids.astype(id_type(e.vocab)), lengths)], ["part", "local", "doc_id", "n", "ids"])
 
-    return run
+    return trimmed(run)
 
 
 def _count(kind: str):
@@ -101,7 +101,7 @@ def _contain(kind: str, lengths: bytes):
                 raw = huffman.write_container(batch.column("doc_id").slice(a, b - a).to_pylist(), sizes, ids, start, bits, codes)
                 yield pa.RecordBatch.from_arrays([pa.array([int(parts[a])], pa.int64()), pa.array([start], pa.int64()), pa.array([b - a], pa.int64()), pa.array([raw], pa.binary())], ["part", "start", "docs", "container"])
 
-    return run
+    return trimmed(run)
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

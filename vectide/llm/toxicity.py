@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.llm import bytewords
-from vectide.llm.common import bounded_batches, table
+from vectide.llm.common import bounded_batches, release, table, trimmed
 
 #: Labelled documents of classes 0 and 1 that the network is fitted on, and the longest text among them in bytes.
 SAMPLE, SAMPLE_BYTES = (3000, 1500), 200_000
@@ -55,19 +55,26 @@ class Inputs:
         # capital letters of Latin-1 in UTF-8
         high = np.flatnonzero((w.buf[:-1] == 0xC3) & (w.buf[1:] >= 0x80) & (w.buf[1:] <= 0x9E) & (w.buf[1:] != 0x97)) + 1
         w.buf[high] += 0x20
-        unique, at, self.word = np.unique(bytewords.hash_words(w), return_index=True, return_inverse=True)
-        self.word_row = (unique % np.uint64(WORDS)).astype(np.int64)
+        unique, at, back = np.unique(bytewords.hash_words(w), return_index=True, return_inverse=True)
+        self.word = back.astype(np.int32)
+        self.word_row = (unique % np.uint64(WORDS)).astype(np.int32)
         start, size = w.start[at], np.minimum(w.size[at], 64)
         self.gram_count = size
         ends = np.cumsum(size)
-        k = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
-        place = np.repeat(start, size) + k
-        left = np.where(k == 0, 1, w.buf[np.maximum(place - 1, 0)].astype(np.int64))
-        right = np.where(k == np.repeat(size, size) - 1, 2, w.buf[np.minimum(place + 1, len(w.buf) - 1)].astype(np.int64))
-        gram = (left << 16) | (w.buf[place].astype(np.int64) << 8) | right
-        self.gram_row = (gram * 2654435761 >> 7) % TRIGRAMS
+        made = int(ends[-1]) if len(ends) else 0
+        self.gram_row = np.empty(made, np.int16)
+        for a in range(0, len(size), 1 << 15):  # in parts: what lies between is several times the result
+            n, s = size[a : a + (1 << 15)], start[a : a + (1 << 15)]
+            e = np.cumsum(n)
+            k = np.arange(int(e[-1])) - np.repeat(e - n, n)
+            place = np.repeat(s, n) + k
+            left = np.where(k == 0, 1, w.buf[np.maximum(place - 1, 0)].astype(np.int64))
+            right = np.where(k == np.repeat(n, n) - 1, 2, w.buf[np.minimum(place + 1, len(w.buf) - 1)].astype(np.int64))
+            gram = (left << 16) | (w.buf[place].astype(np.int64) << 8) | right
+            begin = int(ends[a] - size[a])
+            self.gram_row[begin : begin + len(gram)] = (gram * 2654435761 >> 7) % TRIGRAMS
         self.gram_begin = ends - size
-        self.start_rows = np.stack([(bytewords.hashes(w.buf, start, np.minimum(size, b)) + np.uint64(b)) % np.uint64(STARTS) for b in BEGINNINGS], 1).astype(np.int64)
+        self.start_rows = np.stack([(bytewords.hashes(w.buf, start, np.minimum(size, b)) + np.uint64(b)) % np.uint64(STARTS) for b in BEGINNINGS], 1).astype(np.int32)
         n = np.diff(w.first)
         self.windows = 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE))
         self.doc = np.repeat(np.arange(len(n)), self.windows)
@@ -206,13 +213,22 @@ def backward(p: dict[str, np.ndarray], x: Inputs, e: np.ndarray, rows: np.ndarra
     return g
 
 
-def window_logits(p: dict[str, np.ndarray], x: Inputs, size: int = 1024) -> np.ndarray:
-    parts = gates_of(p, vectors(p, x))
-    order = np.argsort(-x.length, kind="stable")  # full windows together need no masks
-    out = np.empty(len(order), np.float32)
-    for i in range(0, len(order), size):
-        some = order[i : i + size]
-        out[some] = forward(p, parts, *x.rows(some))
+def window_logits(p: dict[str, np.ndarray], x: Inputs, size: int = 1024, most_words: int = 1 << 17) -> np.ndarray:
+    """Logits of all windows, ``size`` at a time; a table of more distinct words is taken in parts, each with its own words."""
+    out = np.empty(len(x.doc), np.float32)
+    some_words = len(x.word_row) <= most_words
+    step = max(1, len(out)) if some_words else 1 << 14
+    parts = gates_of(p, vectors(p, x)) if some_words else None
+    for begin in range(0, len(out), step):
+        mine = np.arange(begin, min(begin + step, len(out)))
+        mine = mine[np.argsort(-x.length[mine], kind="stable")]  # full windows together need no masks
+        if not some_words:
+            rows, _ = x.rows(mine)
+            words, back = np.unique(rows, return_inverse=True)
+            parts, back = gates_of(p, vectors(p, _subset(x, words))), back.reshape(rows.shape)
+        for i in range(0, len(mine), size):
+            rows, mask = x.rows(mine[i : i + size])
+            out[mine[i : i + size]] = forward(p, parts, rows if some_words else back[:, i : i + size], mask)
     return out
 
 
@@ -330,7 +346,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
         # rows that repeat a doc_id do not add to the bound
         rows += [(r[0], r[1] or "", label) for r in found.groupBy("doc_id").agg(F.min("text").alias("text")).collect()]
     rows.sort(key=lambda r: (r[0], r[2]))
-    return fit([r[1] for r in rows], np.array([r[2] for r in rows]), share, seed)
+    out = fit([r[1] for r in rows], np.array([r[2] for r in rows]), share, seed)
+    del rows
+    release()
+    return out
 
 
 def _score(shared):
@@ -344,12 +363,12 @@ def _score(shared):
             score = 1 / (1 + np.exp(-np.clip(logit + p["shift"], -700, 700)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(score, pa.float64())], [*batch.schema.names, "__score"])
 
-    return run
+    return trimmed(run)
 
 
 def score_toxicity(docs: DataFrame, parameters: dict[str, np.ndarray]) -> DataFrame:
     """All columns of ``docs`` and __score, from 0 to 1."""
-    bounded_batches(docs.sparkSession, size=4 << 20)
+    bounded_batches(docs.sparkSession, size=2 << 20)
     shared = docs.sparkSession.sparkContext.broadcast(parameters)
     from pyspark.sql.types import DoubleType, StructField, StructType
 
