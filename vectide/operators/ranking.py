@@ -50,6 +50,17 @@ def rank(df: DataFrame, group: str | None, direction: str, eta: float | None = N
     return sized.where(F.col("rank") <= quota(F.col("group_rows"), eta)).withColumn("rank", F.col("rank") - 1)
 
 
+def rank_sweep(df: DataFrame, group: str, directions: tuple[str, ...], etas: tuple[float, ...], key: str = "window_id") -> DataFrame:
+    """Rankings of all directions and shares in one shuffle by group: a row for each that selects it, with direction, eta and rank."""
+    w = Window.partitionBy(group)
+    sized = df.withColumn("__n", F.count(F.lit(1)).over(w))
+    for d in directions:
+        sized = sized.withColumn(f"__{d}", F.row_number().over(w.orderBy(*order_of(d, key=key))))
+    some = [F.when(F.col(f"__{d}") <= quota(F.col("__n"), e), F.struct(F.lit(d).alias("direction"), F.lit(float(e)).alias("eta"), (F.col(f"__{d}") - 1).alias("rank"))) for d in directions for e in etas]
+    out = sized.withColumn("__s", F.explode(F.filter(F.array(*some), lambda x: x.isNotNull())))
+    return out.select(*df.columns, "__s.direction", "__s.eta", "__s.rank")
+
+
 def _ceil(x: float) -> int:
     import math
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -247,9 +245,9 @@ ETAS = (0.05, 0.1, 0.2)
 
 def rankings(spark: SparkSession, d: str, directions: tuple[str, ...] = ("top", "bottom")) -> DataFrame:
     """Memberships of rankings at three shares, in the shape of a sweep's: direction, eta 0.1, kernel ranking, w the share."""
-    w = windows(spark, d)
-    parts = [ranking.rank(w, "big_recording_index", x, eta=e).select(F.lit(x).alias("direction"), F.lit(0.1).alias("eta"), F.lit("ranking").alias("kernel"), F.lit(e).alias("w"), F.col("window_id").alias("row_id"), "big_recording_index", "recon_loss") for x in directions for e in ETAS]
-    return reduce(DataFrame.unionByName, parts)
+    w = windows(spark, d).select("window_id", "big_recording_index", "recon_loss")
+    swept = ranking.rank_sweep(w, "big_recording_index", directions, ETAS)
+    return swept.select("direction", F.lit(0.1).alias("eta"), F.lit("ranking").alias("kernel"), F.col("eta").alias("w"), F.col("window_id").alias("row_id"), "big_recording_index", "recon_loss")
 
 
 def rankings_sql(directions: tuple[str, ...] = ("top", "bottom")) -> str:
