@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILAR) -> Data
     if percent < 80:
         raise ValueError("bands and sketch are made for a similarity of 0.8 or more")
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, size=2 << 20)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = save(texts.mapInArrow(_signed(k), "doc_id long, n long, f0 long, f1 long, bands array<long>, s0 long, s1 long, s2 long, s3 long"), "near-signed")
     usable = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())

@@ -30,6 +30,8 @@ from vectide.llm.tokenids import END, TOKENIZER, crc_of, id_type, joined_rows, s
 WINDOW = 2048
 #: Ids a shard holds, give or take a document; routes that shards are made of.
 SHARD_TOKENS, ROUTES = 1 << 20, 4096
+#: Bytes of texts that a worker encodes at once; what lies between is some fifty times as much.
+BATCH_BYTES = 1 << 20
 #: BM25 parameters; terms of a query (the seed's weightiest) and neighbours looked at for a window.
 K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 24, 48
 
@@ -232,7 +234,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end: int = END
     tokenizer = tokenizer or public_tokenizers.path(TOKENIZER)
     vocab = max(encoder(tokenizer).vocab, end + 1)
     kind = id_type(vocab)
-    bounded_batches(spark)
+    bounded_batches(spark, size=BATCH_BYTES)
     encoded = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(tokenizer, end), "doc_id long, n long, route long, ids binary"), "pack-ids")
     # numbers of the whole corpus: a vocabulary's worth, and ROUTES rows
     found = np.zeros(vocab)
