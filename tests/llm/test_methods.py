@@ -327,3 +327,21 @@ def test_crc_is_unsigned(spark) -> None:
     from vectide.llm.tokenids import crc_of
 
     assert spark.range(1).select(crc_of(F.lit("abc").cast("binary"))).first()[0] == zlib.crc32(b"abc")
+
+
+def test_packing_retrieves_across_shards(spark) -> None:
+    """Small shards give the windows of a single one, and those of a plain search over all documents."""
+    import public_tokenizers
+
+    r = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[j] for j in r.integers(40 * (i % 7), 40 * (i % 7) + 80, int(r.integers(5, 120))))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    take = lambda n: sorted(map(tuple, packing.digest(packing.pack_documents(df, window=256, shard_tokens=n)).collect()))
+    one = take(1 << 21)
+    assert take(1 << 10) == one
+    e = encode.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    ids, lengths = e.encode(pa.array([t for _, t in rows]), 1)
+    df_of = np.bincount(packing.terms(ids, lengths)[1], minlength=e.vocab)
+    index = packing.Index(ids, lengths, np.log(1 + (300 - df_of + 0.5) / (df_of + 0.5)), float(lengths.mean()))
+    assert sorted((p[0], p[1], p[2], p[3], p[4]) for p in packing.pack_shard(lengths, index, 256)) == sorted((p[0], p[1], p[2], p[5], p[6]) for p in one)
