@@ -345,3 +345,18 @@ def test_packing_retrieves_across_shards(spark) -> None:
     df_of = np.bincount(packing.terms(ids, lengths)[1], minlength=e.vocab)
     index = packing.Index(ids, lengths, np.log(1 + (300 - df_of + 0.5) / (df_of + 0.5)), float(lengths.mean()))
     assert sorted((p[0], p[1], p[2], p[3], p[4]) for p in packing.pack_shard(lengths, index, 256)) == sorted((p[0], p[1], p[2], p[5], p[6]) for p in one)
+
+
+def test_packing_scores_all_terms_and_goes_past_48_neighbours() -> None:
+    # row 0: 24 rare pairs of terms shared with row 1, and a common term that only row 2 shares
+    docs = [[*range(24), 30], list(range(24)), [30, 31], [32]]
+    lengths = np.array([len(d) for d in docs])
+    idf = np.where(np.arange(40) < 24, 5.0, 1.0)
+    index = packing.Index(np.concatenate(docs), lengths, idf, float(lengths.mean()))
+    assert index.neighbours(0, np.array([True, False, False, False])).tolist() == [1, 2]
+    # the window has room for all 60 short neighbours; the long rows share nothing with them
+    docs = [[1] * 40, *([[1]] * 60), [2] * 39, [2] * 39]
+    lengths = np.array([len(d) for d in docs])
+    index = packing.Index(np.concatenate(docs), lengths, np.ones(3), float(lengths.mean()))
+    first = {p[0] for p in packing.pack_shard(lengths, index, 100) if p[3] == 0}
+    assert first == set(range(61))
