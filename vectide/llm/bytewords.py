@@ -43,7 +43,24 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets - low
 
 
-def split(texts: pa.Array, separators: np.ndarray = SPACES, lower: bool = False) -> Words:
+#: Bytes of ASCII letters, and of ASCII digits and punctuation.
+LETTERS, MARKS = np.zeros(256, bool), np.zeros(256, bool)
+LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+MARKS[[*range(0x21, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
+
+def after_letters(buf: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of the first ``n`` bytes is an ASCII digit or punctuation right after a letter of ASCII or Latin-1."""
+    letter = LETTERS[buf[: max(0, n - 1)]]
+    high = np.flatnonzero(buf[: max(0, n - 2)] == 0xC3) + 1
+    letter[high] |= (buf[high] >= 0x80) & (buf[high] != 0x97) & (buf[high] != 0xB7)
+    out = np.zeros(n, bool)
+    out[1:] = letter & MARKS[buf[1:n]]
+    return out
+
+
+def split(texts: pa.Array, separators: np.ndarray = SPACES, lower: bool = False, marks_apart: bool = False) -> Words:
+    """Words between separators; with ``marks_apart`` what follows a letter from a digit or punctuation mark on is a word of its own."""
     buf, offsets = text_bytes(texts)
     if lower:
         buf = LOWER[buf]
@@ -52,6 +69,8 @@ def split(texts: pa.Array, separators: np.ndarray = SPACES, lower: bool = False)
     edge = np.zeros(n + 1, bool)
     edge[0] = True
     edge[offsets] = True
+    if marks_apart:
+        edge[:n] |= after_letters(buf, n)
     begins = word.copy()
     begins[1:] &= ~word[:-1] | edge[1:n]
     ends = word.copy()

@@ -2,7 +2,9 @@
 
 A tokenizer whose pre-tokenizer drops white space splits a text at white space before anything else, so a text's ids are
 its words' ids one after another. Words are looked up by a 64-bit hash in a table of fixed size; those it does not
-know are encoded once a batch by the tokenizers library and remembered while there is room.
+know are encoded once a batch by the tokenizers library and remembered while there is room. Whether a tokenizer does so,
+also splits before marks that follow letters, and ignores case, is tried on PROBES when it is loaded; one that does
+not drop white space encodes whole texts.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from vectide.llm import bytewords
 
 #: Remembered words (at most half of the slots), and the longest word in bytes that is remembered.
 SLOTS, MEMO_BYTES = 1 << 21, 64
+#: Pieces that are put together to try a tokenizer: letters, marks, white space.
+PROBES = (("ab", "Zoe", "\u00e9t\u00e9", "\u00fc", "x"), (".", "'s", "'t", "12", "...", "#", "-ab", "_", "'", ")."), (" ", "\t", "\n", "\r\n", "  ", "\x0b", "\x0c"))
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -27,6 +31,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab = self.tokenizer.get_vocab_size()
+        one = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        letters, marks, spaces = PROBES
+        self.by_words = all(one(a + s + b) == one(a) + one(b) for a in (*letters, *marks) for b in (*letters, *marks) for s in spaces) and not any(one(s) for s in spaces)
+        self.marks_apart = self.by_words and all(one(a + b) == one(a) + one(b) for a in letters for b in marks)
+        self.lower = self.by_words and all(one(a) == one(a.upper()) for a in (*letters, *marks))
+        # strings that stand for one id wherever they are in a text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_words = self.by_words and not any(c.isspace() for t in self.added for c in t)
         self.mask = np.uint64(slots - 1)
         self.key, self.number = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -66,9 +78,22 @@ class Encoder:
             rest[put] = False
             h, numbers = h[rest], numbers[rest]
 
+    def _has_added(self, texts: pa.Array) -> bool:
+        buf = bytewords.LOWER[bytewords.text_bytes(texts)[0]].tobytes()
+        return any(t.lower().encode() in buf for t in self.added)
+
+    def _whole(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        closing = [] if end is None else [end]
+        ids = [[*e.ids, *closing] for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
+
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each); ``end`` is appended to each text."""
-        w = bytewords.split(texts)
+        if not self.by_words:
+            return self._whole(texts, end)
+        plain = not self._has_added(texts)  # words that may hold such strings stay as they are
+        w = bytewords.split(texts, lower=self.lower and plain, marks_apart=self.marks_apart and plain)
         h = bytewords.hash_words(w)
         codes = self._find(h)
         kept = self.words, self.used
