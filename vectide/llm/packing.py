@@ -1,20 +1,21 @@
-"""Lexical retrieval packing: a BM25 index over the whole corpus gives each seed document unused neighbours that fill its window.
-
-Documents are sorted by (doc_id, ids) and written in shards of about SHARD_TOKENS ids, which bounds what a task holds;
-document frequencies and the mean length are those of the whole corpus. A document's full windows are cut off first.
-What is left is packed in rounds. The seeds of a round are windows that still have room, then rests of documents that
-were cut, then the longest unused rests, at most SEEDS. Their terms go to every shard; each shard returns its best unused
-documents, and a merge keeps the part of the list that no unseen document of any shard can enter. In the order of the
-seeds, each window takes the unused documents of its list by falling score; the one that does not fit is cut to close the
-window, and its rest is a seed of the next round. A window whose list ends while it has room asks again in the next
-round. So the result does not depend on shards, and only the last window can be short: it is cut into sequences
-of powers of two, which need no padding.
-
-Every seed is scored against every unused document, so time grows with the square of the corpus. The driver holds 17 bytes
-a document (length, place, order, whether used).
+"""Lexical retrieval packing: shards of a BM25 index give each seed document unused neighbours that fill its window.
+
+Document frequencies and the mean length are those of the whole corpus. Each document is placed by two of its terms, drawn
+by a hash of the term raced against its BM25 weight, the same for all documents: two documents draw the same term with about
+the probability of their weighted overlap. Documents in that order are cut into shards of about SHARD_TOKENS ids, each an
+inverted index that one task holds. A document's full windows are cut off first. Then, in a shard, the longest unused
+rest is a seed; it is scored by all its terms against all unused documents, and these fill its window by falling score. The
+one that does not fit is cut to close the window, and its rest is the next seed. Only where no unused document of the shard shares a
+term the longest rests follow. The shard's last window is cut into sequences of powers of two, so nothing is padded.
+
+A seed's neighbours come from its shard: of the corpus's ten best for a seed a part is in other shards (measured in the
+README). ``whole_corpus`` asks every shard for every seed instead, in rounds: seeds of a round are windows that still have
+room, then rests, then the longest unused documents, at most SEEDS; each shard returns its best unused documents, and a merge
+keeps the part of the list that no unseen document of any shard can enter, so the result does not depend on
+shards. Its time grows with the square of the corpus, and the driver holds 17 bytes a document (length, place, order, whether used).
 
 Defined results: a null or empty text is its end id alone; each row is packed by itself, also rows that repeat a doc_id;
-equal scores go to the earlier row (doc_id, then text); an empty table gives no sequences; other columns are not read.
+texts of any length are encoded whole; equal scores go to the earlier row; an empty table gives no sequences; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectide.llm import bytewords
 from vectide.llm.common import bounded_batches, discard, new_path, release, save, table, trimmed, trimmed_group
 from vectide.llm.encode import encoder
 from vectide.llm.tokenids import END, TOKENIZER, crc_of, id_type, joined_rows, split_rows
 
 WINDOW = 2048
-#: Ids a shard of the index holds, give or take a document.
-SHARD_TOKENS = 1 << 21
+#: Ids a shard of the index holds, give or take a document, and shards that one task makes one after another.
+SHARD_TOKENS, TASK_SHARDS = 1 << 19, 4
 #: Seeds of a round; hits that a shard returns in a round for all of them, and the least and most for one.
 SEEDS, HITS, LEAST_HITS, MOST_HITS = 4096, 1 << 16, 16, 4096
 #: Pieces that the driver holds before they are written.
@@ -48,14 +50,14 @@ K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def _encode(path: str, end: int):
+def _encode(path: str, end: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, lengths = e.encode(batch.column("text"), end)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths, pa.int64()), split_rows(ids.astype(id_type(e.vocab)), lengths)], ["doc_id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(lengths, pa.int64()), split_rows(ids.astype(kind), lengths)], ["doc_id", "place", "n", "ids"])
 
     return trimmed(run)
 
@@ -100,11 +102,14 @@ class Index:
 
     def search(self, query: np.ndarray, used: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray]:
         """(rows, scores) of the best ``most`` unused rows that share a term with the query, by falling score, then row."""
-        lists = [slice(a, b) for a, b in zip(self.begin[query].tolist(), self.begin[query + 1].tolist(), strict=True) if a < b]
-        if not lists:
+        first = self.begin[query]
+        many = self.begin[query + 1] - first
+        ends = np.cumsum(many)
+        if not len(ends) or not ends[-1]:
             return np.zeros(0, np.int64), np.zeros(0)
+        at = np.arange(ends[-1]) + np.repeat(first - (ends - many), many)
         # each row's weights are added in the order of terms, whatever else the index holds
-        score = np.bincount(np.concatenate([self.row[s] for s in lists]), weights=np.concatenate([self.weight[s] for s in lists]), minlength=self.rows)
+        score = np.bincount(self.row[at], weights=self.weight[at], minlength=self.rows)
         if used is not None:
             score[used] = 0
         if most < len(score):
@@ -218,7 +223,7 @@ def pieces_of(windows: list[Pieces], sequence: int, window: int = WINDOW) -> tup
     return pieces, sequence
 
 
-def pack_shard(lengths: np.ndarray, index: Index, window: int = WINDOW, seeds: int = SEEDS) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(lengths: np.ndarray, index: Index, window: int = WINDOW, seeds: int = 1) -> list[tuple[int, int, int, int, int]]:
     """(row, start, length, sequence, offset) of pieces that hold every id of every row once, of rows that one index holds."""
     full = [(r, start, window) for r, n in enumerate(lengths.tolist()) for start in range(0, n - window + 1, window)]
     pieces = [(r, start, n, i, 0) for i, (r, start, n) in enumerate(full)]
@@ -379,31 +384,85 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("number"), pa.array([x.values.to_numpy().astype("<i4").tobytes() for x in batch.column("sizes")], pa.binary())], ["part", "number", "sizes"])
 
 
-def shard_plan(routes: list[tuple[int, int]], shard_tokens: int = SHARD_TOKENS) -> list[tuple[int, int, int]]:
-    """(route, ids) in route order -> (route, first shard, number of shards): small routes share one, large ones have several."""
-    out, shard, held = [], 0, 0
-    for route, n in sorted(routes):
-        if n > shard_tokens:
-            shard += held > 0
-            many = -(-n // shard_tokens)
-            out.append((route, shard, many))
-            shard, held = shard + many, 0
-            continue
-        if held and held + n > shard_tokens:
-            shard, held = shard + 1, 0
-        out.append((route, shard, 1))
-        held += n
-    return out
-
-
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, end: int = END, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def draw(ids: np.ndarray, lengths: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two terms of each row, by a race of the terms' hashes at the speed of their weights; -1 where there is no second."""
+    row, term, times = terms(ids, lengths)
+    chance = ((bytewords.mix((term.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+    race = -np.log(chance) / np.maximum(idf[term] * times * (K1 + 1) / (times + K1), 1e-9)
+    first = np.searchsorted(row, np.arange(len(lengths) + 1))
+    out = np.full((2, len(lengths)), -1, np.int64)
+    for i in (0, 1):
+        some = np.flatnonzero(np.diff(first) > 0)
+        least = np.full(len(lengths), np.inf)
+        least[some] = np.minimum.reduceat(race, first[some]) if len(some) else 0
+        at = np.flatnonzero((race == least[row]) & (race < np.inf))[::-1]  # equal ones: the smaller term, written last
+        out[i, row[at]] = term[at]
+        race[np.flatnonzero(out[i, row] == term)] = np.inf
+    return out[0], out[1]
+
+
+def _routes(kind: str, idf):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one, two = draw(*joined_rows(batch.column("ids"), kind), idf.value)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(one), pa.array(two)], [*batch.schema.names, "one", "two"])
+
+    return trimmed(run)
+
+
+def _pack_shards(kind: str, idf, mean: float, window: int, most: int):
+    """Sorted rows of a partition, shard by shard, to pieces with their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, number = TaskContext.get().partitionId(), 0
+        docs, sizes, held, total = [], [], [], 0
+
+        def shard() -> pa.RecordBatch:
+            ids, lengths = np.concatenate(held), np.concatenate(sizes)
+            pieces = np.array(pack_shard(lengths, Index(ids, lengths, idf.value, mean), window), np.int64).reshape(-1, 5)
+            pieces = pieces[np.lexsort((pieces[:, 4], pieces[:, 3]))]
+            row, start, size, sequence, offset = pieces.T
+            ends = np.cumsum(size)
+            begin = (np.cumsum(lengths) - lengths)[row] + start
+            flat = ids[np.arange(int(size.sum())) + np.repeat(begin - (ends - size), size)].astype("<u4")
+            owner = pa.concat_arrays(docs).take(pa.array(row))
+            return pa.RecordBatch.from_arrays([owner, *[pa.array(np.ascontiguousarray(x), pa.int64()) for x in (start, size, lengths[row], (((part << 20) + number) << 24) + sequence, offset)], split_rows(flat, size)], OUT.names)
+
+        for batch in batches:
+            ids, lengths = joined_rows(batch.column("ids"), kind)
+            ends = np.cumsum(lengths)
+            begin = 0
+            while begin < len(lengths):
+                # the rows that this shard still takes, one at least
+                base = int(ends[begin - 1]) if begin else 0
+                stop = max(begin + 1, int(np.searchsorted(ends, base + most - total, "right")))
+                if total and total + int(ends[begin]) - base > most:
+                    yield shard()
+                    docs, sizes, held, total, number = [], [], [], 0, number + 1
+                    continue
+                docs.append(batch.column("doc_id").slice(begin, stop - begin))
+                sizes.append(lengths[begin:stop])
+                held.append(ids[base : ends[stop - 1]])
+                total += int(ends[stop - 1]) - base
+                begin = stop
+        if total:
+            yield shard()
+
+    return trimmed(run)
+
+
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, end: int = END, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, whole_corpus: bool = False) -> DataFrame:
     """All documents in sequences of at most ``window`` ids: one row a piece, with its ids (unsigned 32-bit)."""
     spark = docs.sparkSession
     tokenizer = tokenizer or public_tokenizers.path(TOKENIZER)
     vocab = max(encoder(tokenizer).vocab, end + 1)
     kind = id_type(vocab)
     bounded_batches(spark, size=BATCH_BYTES)
-    encoded = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(tokenizer, end), "doc_id long, n long, ids binary"), "pack-ids")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("place"), "text")
+    encoded = save(rows.mapInArrow(_encode(tokenizer, end, kind), "doc_id long, place long, n long, ids binary"), "pack-ids")
     # numbers of the whole corpus: a vocabulary's worth
     found = np.zeros(vocab)
     for i, n in encoded.select("ids").mapInArrow(_document_counts(kind), "id long, n long").groupBy("id").agg(F.sum("n")).collect():
@@ -411,7 +470,19 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end: int = END
     total, tokens = encoded.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     mean = tokens / max(total, 1)
     idf = spark.sparkContext.broadcast(np.log(1 + (total - found + 0.5) / (found + 0.5)))
-    ranged = encoded.repartitionByRange(max(1, -(-tokens // shard_tokens)), "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    if whole_corpus:
+        return _pack_across(encoded, kind, idf, mean, tokens, window, shard_tokens)
+    # rows that are alike in everything are told apart by their place
+    by = ("one", "two", "doc_id", F.xxhash64("ids"), "place")
+    routed = encoded.mapInArrow(_routes(kind, idf), "doc_id long, place long, n long, ids binary, one long, two long")
+    ranged = routed.repartitionByRange(max(1, -(-tokens // (TASK_SHARDS * shard_tokens))), *by).sortWithinPartitions(*by)
+    return ranged.select("doc_id", "ids").mapInArrow(_pack_shards(kind, idf, mean, window, shard_tokens), PIECES)
+
+
+def _pack_across(encoded: DataFrame, kind: str, idf, mean: float, tokens: int, window: int, shard_tokens: int) -> DataFrame:
+    """Packing whose seeds ask all shards, round by round."""
+    spark = encoded.sparkSession
+    ranged = encoded.repartitionByRange(max(1, -(-tokens // shard_tokens)), "doc_id", "ids", "place").sortWithinPartitions("doc_id", "ids", "place")
     shards = save(ranged.mapInArrow(_shards(kind, shard_tokens), "part long, number long, doc_ids array<long>, sizes array<long>, ids binary"), "pack-shards")
     discard(encoded)
     # lengths of all rows in order, the number of each shard's first row and of its first full window
