@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +38,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths that this process has given out and not removed.
+MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nobody has used."""
-    return f"{shared_dir(spark)}/vectide/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/vectide/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Each name, with more underscores before it while the input has a column of that name in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def as_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so helper columns beside it clash with nothing."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
 
 
 def save(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -65,6 +86,18 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in MADE:
+        MADE.remove(path)
+
+
+def file_row(df: DataFrame) -> Column | None:
+    """A name of each row that a repeated task gives again: its file and its place there; None if rows do not come straight from files."""
+    place = F.concat(F.hex(F.xxhash64("_metadata.file_path")), F.lit(":"), F.col("_metadata.row_index").cast("string"))
+    try:
+        df.select(place)
+    except AnalysisException:
+        return None
+    return place
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:

@@ -10,18 +10,20 @@ Template tables hold a few hundred rows whatever the corpus is, so they are broa
 row per (document, template, diagonal) is all that shuffles.
 
 Defined results: a null or empty text has no words, so all counts are 0, places null, labels empty; each row is a
-document of its own, rows with equal doc_id included; an empty table gives no rows; other columns are not read.
+document of its own, rows with equal doc_id included; texts of any length are read whole; an empty table gives no
+rows; other columns are kept, those named like a result are replaced.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import string
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import save, table
+from vectide.llm.common import as_row, file_row, save, table
 
 #: Words: runs of ASCII letters, digits and all characters past ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,7 +48,7 @@ TEMPLATES = {
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in re.split(SEPARATORS, text.lower()) if w]
+    return [w for w in re.split(SEPARATORS, text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))) if w]
 
 
 def template_rows(templates: dict[str, str]) -> list[tuple]:
@@ -61,15 +63,15 @@ def template_rows(templates: dict[str, str]) -> list[tuple]:
 
 
 def _words(text: Column) -> Column:
-    # lower() also changes letters past ASCII; they stay letters of the same word, so no word is cut or joined
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
+    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase), SEPARATORS), lambda w: w != "")
 
 
-def _row_key(docs: DataFrame, name: str) -> DataFrame:
-    try:
-        return docs.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")))
-    except Exception:  # noqa: BLE001  analysis error: rows that do not come straight from files get a written number
-        return save(docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("i"))), "license-rows")
+def _keyed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` with __row, a name of each row; rows that do not come straight from files get a written number."""
+    place = file_row(docs)
+    if place is not None:
+        return docs.select(*columns, place.alias("__row"))
+    return save(docs.select(*columns, F.monotonically_increasing_id().cast("string").alias("__row")), "license-rows")
 
 
 def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str = "text", key_col: str = "__row", gap: int = GAP, coverage: float = COVERAGE) -> tuple[DataFrame, DataFrame]:
@@ -121,20 +123,24 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, text
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with __n_words, __n_base, __first_word, __last_word, __labels (base labels), __spans (array of structs)."""
-    keyed = _row_key(docs, "__row")
-    spans, base = license_spans(keyed, templates, text_col)
+    """Every row of ``docs`` with __n_words, __n_base, __first_word, __last_word, __labels (base labels), __spans (array of structs).
+
+    They take the place of columns of the same names.
+    """
+    keyed = _keyed(docs, as_row(docs).alias("__doc"), F.col(text_col).alias("__text"))
+    spans, base = license_spans(keyed, templates, "__text")
     per_row = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("label", "first_word", "last_word", "votes", "share"))).alias("spans"))
     found = base.join(per_row, "row", "full")
     found = found.select(*[F.col(c).alias(f"__{c}") for c in found.columns])
-    n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    flat = keyed.select(*docs.columns, "__row", n_words.cast("long").alias("__n_words"))
-    return flat.join(found, "__row", "left")
+    n_words = F.regexp_count(F.coalesce(F.col("__text"), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    made = ["__n_words", "__n_base", "__first_word", "__last_word", "__labels", "__spans"]
+    old = [F.col("__doc").getField(c).alias(c) for c in docs.columns if c.lower() not in made]
+    return keyed.select("__doc", "__row", n_words.cast("long").alias("__n_words")).join(found, "__row", "left").select(*old, *made)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    keyed = _row_key(docs, "__row")
+    keyed = _keyed(docs, F.col("doc_id"), F.col("text"))
     n_words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
     spans, base = license_spans(keyed)
     per_row = spans.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("best"))

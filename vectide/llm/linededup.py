@@ -10,7 +10,7 @@ each shard has a pass of its own with a filter of bounded size, so broadcast sta
 
 Defined results: a null or empty text is one empty line; each row is a document, also if its doc_id repeats or is
 null (null ids count as smaller than any other); rows that share the largest doc_id of a line all keep it; an empty
-table gives no rows. Column names of the input do not clash, since only id and text are read.
+table gives no rows; other columns are kept, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm.common import BROADCAST_ROWS, bounded_batches, save, table, trimmed
+from vectide.llm.common import BROADCAST_ROWS, as_row, bounded_batches, file_row, save, table, trimmed
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BITS_PER_KEY, PROBES = 16, 4
@@ -199,33 +199,28 @@ def _only(shards: int, shard: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_filter_bits: int = MAX_FILTER_BITS, bits_per_key: int = BITS_PER_KEY) -> DataFrame:
-    """Every row of ``docs`` with its text after line dedup: all columns, then __lines, __dropped (long), __kept (text).
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_filter_bits: int = MAX_FILTER_BITS, bits_per_key: int = BITS_PER_KEY, names: tuple[str, str, str] = ("__lines", "__dropped", "__kept")) -> DataFrame:
+    """Every row of ``docs`` with its text after line dedup: all columns, then ``names``: lines, dropped lines (long), text that is kept.
+
+    They take the place of columns of the same names.
 
     A line's key is the line stripped and lower-cased; keys of at least ``min_chars`` code points found in at least
     ``min_docs`` documents lose all their lines but those of the largest id.
     """
     if min_docs < 2:
         raise ValueError("min_docs has to be 2 or more: a line that one document has is no repeat")
+    columns = as_row(docs).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
     # a row name that a task can repeat: the file and the place in it
-    if _from_files(docs):
-        numbered = docs.withColumn("__row", F.concat(F.hex(F.xxhash64("_metadata.file_path")), F.lit(":"), F.col("_metadata.row_index").cast("string")))
-    else:
-        numbered = save(docs.withColumn("__row", F.monotonically_increasing_id().cast("string")), "line-rows")
-    lost = dropped_lines(numbered.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), min_chars, min_docs, max_filter_bits, bits_per_key)
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    joined = numbered.join(lost.select(F.col("row").alias("__row"), F.col("drop").alias("__drop")), "__row", "left").withColumn("__all", lines)
-    drop = F.coalesce(F.col("__drop"), F.array().cast("array<int>"))
-    kept = F.when(F.col("__drop").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.filter("__all", lambda x, i: ~F.array_contains(drop, i)), "\n"))
-    return joined.select(*[F.col(c) for c in docs.columns], F.size("__all").cast("long").alias("__lines"), F.size(drop).cast("long").alias("__dropped"), kept.alias("__kept"))
-
-
-def _from_files(docs: DataFrame) -> bool:
-    try:
-        docs.select("_metadata.row_index")
-        return True
-    except Exception:  # noqa: BLE001  analysis error: the rows do not come straight from files
-        return False
+    place = file_row(docs)
+    numbered = docs.select(*columns, place.alias("row")) if place is not None else save(docs.select(*columns, F.monotonically_increasing_id().cast("string").alias("row")), "line-rows")
+    lost = dropped_lines(numbered.select("row", "doc_id", "text"), min_chars, min_docs, max_filter_bits, bits_per_key)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    joined = numbered.join(lost, "row", "left").withColumn("all", F.split(text, "\n", -1))
+    drop = F.coalesce(F.col("drop"), F.array().cast("array<int>"))
+    kept = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(F.filter("all", lambda x, i: ~F.array_contains(drop, i)), "\n"))
+    old = [F.col("doc").getField(c).alias(c) for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    made = F.struct(F.size("all").cast("long").alias("lines"), F.size(drop).cast("long").alias("dropped"), kept.alias("kept"))
+    return joined.select("doc", made.alias("made")).select(*old, *[F.col("made").getField(x).alias(name) for x, name in zip(("lines", "dropped", "kept"), names, strict=True)])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,15 +58,15 @@ def unplanes(raw: bytes, kind: str) -> np.ndarray:
 
 
 def pack_sorted(keys: np.ndarray, *values: np.ndarray) -> bytes:
-    """Sorted u64 keys as differences, then u32 values."""
+    """Sorted u64 keys as differences, then u64 values; high planes of small numbers compress to nothing."""
     steps = keys.astype("<u8").copy()
     steps[1:] -= keys[:-1].astype("<u8")
-    return planes(steps) + b"".join(planes(v.astype("<u4")) for v in values)
+    return planes(steps) + b"".join(planes(v.astype("<u8")) for v in values)
 
 
 def unpack_sorted(raw: bytes, n: int, values: int) -> list[np.ndarray]:
     out = [np.cumsum(unplanes(raw[: 8 * n], "<u8"), dtype=np.uint64)]
-    return out + [unplanes(raw[8 * n + 4 * n * i : 8 * n + 4 * n * (i + 1)], "<u4") for i in range(values)]
+    return out + [unplanes(raw[8 * n * (i + 1) : 8 * n * (i + 2)], "<i8") for i in range(values)]
 
 
 def merge(keys: list[np.ndarray], values: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -181,7 +181,7 @@ def _word_range(folder: str):
         parts = [unpack_sorted(r, n, 1) for r, n in zip(group["raw"].to_pylist(), group["n"].to_pylist(), strict=True)]
         keys, (counts,) = merge([p[0] for p in parts], [[p[1] for p in parts]])
         write_array(folder, f"words-{shard}", keys.astype("<u8"))
-        write_array(folder, f"counts-{shard}", counts.astype("<u4"))
+        write_array(folder, f"counts-{shard}", counts.astype("<u8"))
         return pa.table({"shard": pa.array([shard], pa.int64()), "entries": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
 
     return trimmed_group(run)
@@ -207,7 +207,7 @@ class Vocabulary:
             place = np.minimum(np.searchsorted(known, hashes[a:b]), len(known) - 1)
             hit = known[place] == hashes[a:b]
             numbers[a:b][hit] = self.first[shard] + place[hit]
-            counts[a:b][hit] = read_array(self.folder, f"counts-{shard}", "<u4")[place[hit]]
+            counts[a:b][hit] = read_array(self.folder, f"counts-{shard}", "<u8")[place[hit]]
         return numbers, counts
 
 
@@ -258,7 +258,7 @@ def _pair_range(folder: str, step: int):
         write_array(folder, f"pairs-{shard}", keys.astype("<u8"))
         write_array(folder, f"times-{shard}", np.minimum(counts, BIG).astype(np.uint8))
         write_array(folder, f"places-{shard}", big.astype("<u4"))
-        write_array(folder, f"many-{shard}", counts[big].astype("<u4"))
+        write_array(folder, f"many-{shard}", counts[big].astype("<u8"))
         with np.errstate(over="ignore"):
             plain = keys * np.uint64(UNDO)
         rows: dict[str, list] = {"shard": [], "kind": [], "raw": [], "n": [], "of_counts": []}
@@ -295,8 +295,8 @@ def _number_range(folder: str, step: int, size: int):
                     row[ids] += v
             else:
                 continuations[ids] += values[0]
-        write_array(folder, f"contexts-{part}", contexts.astype("<u4"))
-        write_array(folder, f"continuations-{part}", continuations.astype("<u4"))
+        write_array(folder, f"contexts-{part}", contexts.astype("<u8"))
+        write_array(folder, f"continuations-{part}", continuations.astype("<u8"))
         out = [int((continuations == i).sum()) for i in (1, 2, 3, 4)]
         return pa.table({"shard": pa.array([part], pa.int64()), "kinds": pa.array([int(continuations.sum())], pa.int64()), "of_counts": pa.array([out], pa.list_(pa.int64()))})
 
@@ -332,7 +332,7 @@ class Model:
         out = np.zeros((rows, len(numbers)), np.int64)
         for part in np.unique(numbers // self.step).tolist():
             a, b = np.searchsorted(numbers, [part * self.step, (part + 1) * self.step])
-            values = read_array(self.vocabulary.folder, f"{name}-{part}", "<u4").reshape(rows, -1)
+            values = read_array(self.vocabulary.folder, f"{name}-{part}", "<u8").reshape(rows, -1)
             out[:, a:b] = values[:, numbers[a:b] - part * self.step]
         return out
 
@@ -349,7 +349,7 @@ class Model:
             n = read_array(folder, f"times-{shard}", "u1")[place[hit]].astype(np.int64)
             big = np.flatnonzero(n == BIG)
             if len(big):
-                n[big] = read_array(folder, f"many-{shard}", "<u4")[np.searchsorted(read_array(folder, f"places-{shard}", "<u4"), place[hit[big]])]
+                n[big] = read_array(folder, f"many-{shard}", "<u8")[np.searchsorted(read_array(folder, f"places-{shard}", "<u4"), place[hit[big]])]
             out[a + hit] = n
         return out
 

@@ -12,7 +12,8 @@ over the documents applies it without moving a text.
 
 Defined results: a null language or source is the leaf "unknown"; null texts have no tokens; tokens are runs without
 white space (space, \\t-\\r); documents of a leaf that share a doc_id are taken or left together; a document without
-tokens goes with its place in the order; an empty table gives no rows.
+tokens goes with its place in the order; texts of any length are counted whole; an empty table gives no rows; the
+mixed documents keep all columns of the input, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import discard, save, small, table
+from vectide.llm.common import as_row, discard, save, small, table
 
 #: Domain of a source by the number at its end, modulo four; "other" without a number.
 DOMAINS = ("web", "books", "forums", "reference")
@@ -83,11 +84,10 @@ def quotas(leaves: DataFrame, budget_share: float, max_epochs: int, domain_weigh
     langs = water_fill(langs.join(domains, "domain"), ["domain"], "lang").select("domain", "lang", F.col("granted").alias("budget"))
     out = water_fill(cap.withColumn("weight", F.lit(source_weight).cast("long")).join(langs, ["domain", "lang"]), ["domain", "lang"], "source")
     # whole tokens: floors, then one token each by largest remainder until the granted sum is used
-    every = Window.partitionBy(F.lit(0))
-    out = out.withColumns({"whole": F.floor(F.col("granted") + 1e-6).cast("long"), "part": F.round(F.col("granted") - F.floor(F.col("granted") + 1e-6), 6)})
-    out = out.withColumn("left", (F.round(F.sum("granted").over(every), 3) + 1e-6).cast("long") - F.sum("whole").over(every))
-    place = F.row_number().over(every.orderBy((F.col("whole") >= F.col("capacity")).cast("int"), F.desc("part"), *LEAF))
-    out = out.withColumn("quota", F.col("whole") + ((place <= F.col("left")) & (F.col("whole") < F.col("capacity"))).cast("long"))
+    out = save(out.withColumns({"whole": F.floor(F.col("granted") + 1e-6).cast("long"), "part": F.round(F.col("granted") - F.floor(F.col("granted") + 1e-6), 6)}), "mix-granted")
+    left = out.agg(F.coalesce((F.round(F.sum("granted"), 3) + 1e-6).cast("long") - F.sum("whole"), F.lit(0))).first()[0]
+    one_more = out.where(F.col("whole") < F.col("capacity")).orderBy(F.desc("part"), *LEAF).limit(max(0, left)).select(*LEAF, F.lit(1).alias("more"))
+    out = out.join(one_more, LEAF, "left").withColumn("quota", F.col("whole") + F.coalesce(F.col("more"), F.lit(0)))
     full = F.when(F.col("supply") > 0, F.floor(F.col("quota") / F.col("supply")).cast("long")).otherwise(F.lit(0).cast("long"))
     return out.withColumn("full_epochs", full).withColumn("rest", F.col("quota") - F.col("full_epochs") * F.col("supply")).select(*LEAF, "supply", "capacity", "quota", "full_epochs", "rest")
 
@@ -138,7 +138,7 @@ def apply_plan(keyed: DataFrame, leaf_plan: DataFrame, seed: int, cols: dict[str
 
 def leaf_counts(docs: DataFrame) -> DataFrame:
     """The narrow table that plans are made from; texts are read once for it."""
-    return save(with_leaf(docs).select("doc_id", F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__n").alias("n")), "mix-counts")
+    return save(with_leaf(docs.select("doc_id", "lang", "source", "text")).select("doc_id", F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__n").alias("n")), "mix-counts")
 
 
 def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, **weights: dict) -> DataFrame:
@@ -150,9 +150,10 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = M
     leaf_plan = plan(counts, budget_share, max_epochs, seed, **weights)
     discard(counts)
     names = {"domain": "__domain", "lang": "__lang", "source": "__source", "doc_id": "doc_id", "n": "__n"}
-    out = apply_plan(with_leaf(docs), leaf_plan, seed, names)
+    rows = with_leaf(docs.select(as_row(docs).alias("__doc"), "doc_id", "lang", "source", "text")).drop("lang", "source", "text")
+    out = apply_plan(rows, leaf_plan, seed, names)
     copies = F.col("__full_epochs").cast("int") + F.coalesce((2 * F.col("__partial") >= F.col("__n")).cast("int"), F.lit(0))
-    return out.withColumn("__copies", copies).where(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    return out.withColumn("__copies", copies).where(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__doc.*")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

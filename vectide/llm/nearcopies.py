@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectide.llm import bytewords
-from vectide.llm.common import bounded_batches, discard, save, small, table, trimmed
+from vectide.llm.common import bounded_batches, discard, save, small, table, trimmed, unused
 from vectide.llm.tokenids import joined_rows, split_rows
 
 K, SIMILAR = 5, 80
@@ -271,10 +271,19 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILAR) -> Data
         discard(nodes, sets)
         return out, pairs
 
-    # rows that share a doc_id are one document: their sets are classes of one node
+    # rows that share a doc_id are one document: the classes of its sets are linked
+    several = signed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("f0", "f1")).alias("low"), F.max(F.struct("f0", "f1")).alias("high")).where(F.col("low") != F.col("high")).select("doc_id")
+    several = save(several, "near-several")
+    repeats = not several.isEmpty()
+    same = None
+    if repeats:
+        of_doc = usable.select("doc_id", "f0", "f1").join(small(several, limit=ID_ROWS), "doc_id").distinct().join(classes.select("f0", "f1", "node"), ["f0", "f1"])
+        first_of = of_doc.groupBy("doc_id").agg(F.min("node").alias("a"))
+        same = save(of_doc.join(first_of, "doc_id").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct(), "near-same")
     stars = live.where(F.col("node") != F.col("least")).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(rename("a"), F.col("a") == F.col("anode")).join(rename("b"), F.col("b") == F.col("bnode")).where(_sizes_fit(F.col("an"), F.col("bn"), percent) & _near("a", "b"))
     links, tried = confirmed(stars)
+    links = links if same is None else save(links.union(same), "near-links")
     first = components(links)
     told = save(live.join(first, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("comp")), "near-told")
     mixed = told.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where(F.col("low") < F.col("high")).select("bucket")
@@ -298,17 +307,22 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILAR) -> Data
         more, _ = confirmed(rest)
         labels = components(links.union(more)) if not more.isEmpty() else labels
     of_class = classes.select("f0", "f1", "node").join(labels, "node", "left").select("f0", "f1", F.coalesce("label", "node").alias("component"))
-    # a document with several rows: the smallest component of any of them
     known = save(of_class, "near-components")
     out = signed.select("doc_id", "n", "f0", "f1").join(known, ["f0", "f1"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    # one component for each document, also if some of its rows have no shingles
+    if repeats:
+        least = out.join(small(several, limit=ID_ROWS), "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+        out = out.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILAR) -> DataFrame:
     """The rows of ``docs`` whose document is kept: of each group of near copies, the smallest doc_id. All rows of a kept doc_id stay."""
-    gone = save(near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
-    return docs.join(small(gone, limit=ID_ROWS), F.col("doc_id") == F.col("__gone"), "left_anti")
+    (name,) = unused(docs.columns, "gone")
+    gone = save(near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct(), "near-gone")
+    return docs.join(small(gone, limit=ID_ROWS), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

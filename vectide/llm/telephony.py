@@ -5,12 +5,12 @@ reads the header, expands companded bytes by a table of 256 values, and steps th
 for each sample place, over all blocks at once. PCM is resampled by a polyphase filter and kept as 16-bit samples.
 
 Defined results: a null or empty text is stored as 64 zero bytes; a null medium decodes to null; bytes that are no such file raise
-ValueError; blocks end where the data ends; an empty table gives no rows; equal payloads give equal media and features.
+ValueError (parse_wav), and in a table decode to nulls, so one of them does not end the job; blocks end where the data ends; an empty table
+gives no rows; equal payloads give equal media and features; other columns are kept, those named like a result are replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
 from vectide.llm.common import bounded_batches, save, table
 
@@ -76,7 +77,11 @@ def parse_wav(raw: bytes) -> tuple[int, int, int, bytes]:
     while at + 8 <= len(raw):
         name, size = raw[at : at + 4], struct.unpack_from("<I", raw, at + 4)[0]
         if name == b"fmt ":
-            kind, _, rate, _, align, _ = struct.unpack_from("<HHIIHH", raw, at + 8)
+            if size < 16 or at + 24 > len(raw):
+                raise ValueError("a format chunk that is too short")
+            kind, channels, rate, _, align, _ = struct.unpack_from("<HHIIHH", raw, at + 8)
+            if kind in NAMES and (channels != 1 or not rate or align < (5 if kind == ADPCM else 1)):
+                raise ValueError("not one channel, no rate or too short a block")
             fmt = kind, rate, align
         elif name == b"data":
             if fmt is None or fmt[0] not in NAMES:
@@ -148,9 +153,16 @@ def resample(pcm: np.ndarray, rate: int, target: int) -> np.ndarray:
     return np.clip(np.rint(y), -32768, 32767).astype(np.int16)
 
 
+def _parsed(raw: bytes) -> tuple[int, int, int, bytes] | None:
+    try:
+        return parse_wav(raw)
+    except ValueError:
+        return None
+
+
 def decode_files(files: list[bytes | None]) -> list[tuple[str, int, bytes, np.ndarray] | None]:
     """(codec, rate, stored samples, PCM) of each WAV file; ADPCM blocks of all files of a block size go side by side."""
-    parsed = [None if raw is None else parse_wav(raw) for raw in files]
+    parsed = [None if raw is None else _parsed(raw) for raw in files]
     pcm: dict[int, np.ndarray] = {i: decode(p[0], p[2], p[3]) for i, p in enumerate(parsed) if p is not None and p[0] != ADPCM}
     for size in {p[2] for p in parsed if p is not None and p[0] == ADPCM}:
         some = [i for i, p in enumerate(parsed) if p is not None and p[0] == ADPCM and p[2] == size]
@@ -172,11 +184,14 @@ def _decode_media(target: int):
     return run
 
 
+RESULTS = StructType([StructField("codec", StringType()), StructField("rate", IntegerType()), StructField("payload", BinaryType()), StructField("pcm", BinaryType())])
+
+
 def decode_media(media: DataFrame, target_rate: int = TARGET_RATE) -> DataFrame:
     """``media`` (with a binary column media) plus codec, rate, payload (stored sample bytes), pcm (16-bit at ``target_rate``)."""
     bounded_batches(media.sparkSession, rows=256, size=2 << 20)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema) + ", codec string, rate int, payload binary, pcm binary"
-    return media.mapInArrow(_decode_media(target_rate), schema)
+    media = media.select(*[c for c in media.columns if c.lower() not in RESULTS.names])
+    return media.mapInArrow(_decode_media(target_rate), StructType([*media.schema.fields, *RESULTS.fields]))
 
 
 def store_pcm(media: DataFrame, path: str, target_rate: int = TARGET_RATE) -> DataFrame:
@@ -225,9 +240,3 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -UNIT, UNIT)).cast("long").alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
     )
-
-
-def brute_digest(text: str | None) -> dict:
-    """What op8 has to give for a text, apart from the feature."""
-    payload = payload_of(text)
-    return {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-UNIT:])}

@@ -12,8 +12,8 @@ calibrated on a part of the sample that the network has not seen, for the share
 
 Defined results: null and empty texts are one window without words; a null doc_id counts as the text "null" when
 documents are held out; labels null or of unknown documents do not count, of several labels the largest does; if
-the labels lack a class, every score is the share of label 1; an empty table gives no rows; other columns are not
-read (score_toxicity) or kept (drop_toxic).
+the labels lack a class, every score is the share of label 1; words and texts of any length are read whole when they are scored;
+an empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.llm import bytewords
-from vectide.llm.common import bounded_batches, release, table, trimmed
+from vectide.llm.common import bounded_batches, release, table, trimmed, unused
 
-#: Labelled documents of classes 0 and 1 that the network is fitted on, and the longest text among them in bytes.
+#: The sample of the fit: at most so many labelled documents of classes 0 and 1, none of more bytes (the driver holds them).
 SAMPLE, SAMPLE_BYTES = (3000, 1500), 200_000
 WINDOW, STRIDE = 32, 16
 #: Hashed words, trigrams and beginnings, width of each vector, width of a direction's state.
@@ -58,7 +58,7 @@ class Inputs:
         unique, at, back = np.unique(bytewords.hash_words(w), return_index=True, return_inverse=True)
         self.word = back.astype(np.int32)
         self.word_row = (unique % np.uint64(WORDS)).astype(np.int32)
-        start, size = w.start[at], np.minimum(w.size[at], 64)
+        start, size = w.start[at], w.size[at]
         self.gram_count = size
         ends = np.cumsum(size)
         made = int(ends[-1]) if len(ends) else 0
@@ -352,7 +352,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
     return out
 
 
-def _score(shared):
+def _score(shared, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
@@ -361,23 +361,25 @@ def _score(shared):
             x = Inputs(batch.column("text"))
             logit = document_logits(p, x)[0] @ p["scale"] if p["scale"].any() else np.zeros(batch.num_rows)
             score = 1 / (1 + np.exp(-np.clip(logit + p["shift"], -700, 700)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(score, pa.float64())], [*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(score, pa.float64())], [*batch.schema.names, name])
 
     return trimmed(run)
 
 
-def score_toxicity(docs: DataFrame, parameters: dict[str, np.ndarray]) -> DataFrame:
-    """All columns of ``docs`` and __score, from 0 to 1."""
+def score_toxicity(docs: DataFrame, parameters: dict[str, np.ndarray], name: str = "__score") -> DataFrame:
+    """All columns of ``docs`` and ``name``, a score from 0 to 1 that takes the place of a column of the same name."""
+    docs = docs.select(*[c for c in docs.columns if c.lower() != name.lower()])
     bounded_batches(docs.sparkSession, size=2 << 20)
     shared = docs.sparkSession.sparkContext.broadcast(parameters)
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(_score(shared), StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
+    return docs.mapInArrow(_score(shared, name), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score is below ``threshold``, with their columns."""
-    return score_toxicity(docs, train(docs, labels)).where(F.col("__score") < threshold).drop("__score")
+    (name,) = unused(docs.columns, "score")
+    return score_toxicity(docs, train(docs, labels), name).where(F.col(name) < threshold).drop(name)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
