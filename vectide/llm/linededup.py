@@ -209,12 +209,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if min_docs < 2:
         raise ValueError("min_docs has to be 2 or more: a line that one document has is no repeat")
-    columns = as_row(docs).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
     # a row name that a task can repeat: the file and the place in it
     place = file_row(docs)
-    numbered = docs.select(*columns, place.alias("row")) if place is not None else save(docs.select(*columns, F.monotonically_increasing_id().cast("string").alias("row")), "line-rows")
-    lost = dropped_lines(numbered.select("row", "doc_id", "text"), min_chars, min_docs, max_filter_bits, bits_per_key)
-    text = F.coalesce(F.col("text"), F.lit(""))
+    numbered = docs.select(as_row(docs).alias("doc"), place.alias("row")) if place is not None else save(docs.select(as_row(docs).alias("doc"), F.monotonically_increasing_id().cast("string").alias("row")), "line-rows")
+    read = F.col("doc").getField(text_col)
+    lost = dropped_lines(numbered.select("row", F.col("doc").getField(id_col).cast("long").alias("doc_id"), read.alias("text")), min_chars, min_docs, max_filter_bits, bits_per_key)
+    text = F.coalesce(read, F.lit(""))
     joined = numbered.join(lost, "row", "left").withColumn("all", F.split(text, "\n", -1))
     drop = F.coalesce(F.col("drop"), F.array().cast("array<int>"))
     kept = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(F.filter("all", lambda x, i: ~F.array_contains(drop, i)), "\n"))
