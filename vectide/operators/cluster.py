@@ -1,21 +1,30 @@
-"""Density groups and spherical k-means under size limits.
+"""Density groups and bounded groups of vectors, as passes over a distributed table.
 
-Distances are Euclidean between unit vectors. Neighbour lists come from block products in workers and hold only pairs within
-eps; components are found by minimum labels. The recursion over nodes keeps numbers of groups, never of rows, on the driver.
+Distances are Euclidean between unit vectors. A table of nodes (paths) is refined breadth-first: all open nodes share each pass, rows
+carry their node, and the driver keeps one row for each node or group, never one for a table row. Neighbours come from
+:mod:`vectide.operators.knn`, components from links of spanning size. The same steps are taken at any size.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.errors import ContractError
+from vectide.operators import knn
+from vectide.operators.graph import components
 from vectide.operators.metrics import unit_rows
+from vectide.operators.order import numbered
+from vectide.sources.scratch import written
+
+#: Bytes of centres that the driver holds and broadcasts at once, and rows of a node, for each centre, that starts are drawn from.
+CENTRE_BYTES, START_ROWS = 256 << 20, 32
 
 
 @dataclass(frozen=True)
@@ -34,261 +43,428 @@ class Limits:
     iterations: int = 50
     seed: int = 0
 
+    def levels(self) -> list[float]:
+        """Distances that are tried, from eps0 down to its floor."""
+        out = [self.eps0]
+        while out[-1] * self.gamma >= self.eps0 / self.floor_divisor:
+            out.append(out[-1] * self.gamma)
+        return out
 
-def canonical(labels: np.ndarray) -> np.ndarray:
-    """Labels from 0 by first place; -1 stays."""
-    out = np.full(len(labels), -1, np.int64)
-    names: dict[int, int] = {}
-    for i, x in enumerate(labels.tolist()):
-        if x >= 0:
-            out[i] = names.setdefault(x, len(names))
-    return out
 
+def require_limits(limits: Limits) -> None:
+    if limits.n_max < 2 * limits.n_min:
+        raise ContractError("n_max has to be at least twice n_min")
 
-def distances(unit: np.ndarray, at: slice) -> np.ndarray:
-    """Euclidean distances of some unit rows to all."""
-    return np.sqrt(np.maximum(2 - 2 * (unit[at] @ unit.T), 0))
-
-
-def reach(unit: np.ndarray, m: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """(core distance: to the m-th row, itself counted; reach: the smallest eps at which the row is in a cluster)."""
-    n = len(unit)
-    core = np.full(n, np.inf)
-    for a in range(0, n, block):
-        d = distances(unit, slice(a, a + block))
-        d[np.arange(len(d)), np.arange(a, a + len(d))] = 0
-        if n >= m:
-            core[a : a + block] = np.partition(d, m - 1, axis=1)[:, m - 1]
-    out = core.copy()
-    for a in range(0, n, block):
-        d = np.maximum(distances(unit, slice(a, a + block)), core[None, :])
-        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        out[a : a + block] = np.minimum(out[a : a + block], d.min(1))
-    return core, out
-
-
-def dbscan(unit: np.ndarray, eps: float, m: int, block: int = 1024) -> np.ndarray:
-    """Labels from 0, -1 for noise. A row within eps of cores of several clusters joins the one of the smallest label."""
-    n = len(unit)
-    near: list[np.ndarray] = []
-    for a in range(0, n, block):
-        d = distances(unit, slice(a, a + block))
-        d[np.arange(len(d)), np.arange(a, a + len(d))] = 0
-        near += [np.flatnonzero(row <= eps) for row in d]
-    core = np.array([len(x) >= m for x in near])
-    label = np.where(core, np.arange(n), n)
-    while True:  # smallest label among connected cores
-        new = label.copy()
-        for i in np.flatnonzero(core):
-            mine = near[i][core[near[i]]]
-            low = label[mine].min()
-            new[i] = min(new[i], low)
-        new = np.where(core, new[np.minimum(new, n - 1)], n)
-        if (new == label).all():
-            break
-        label = new
-    for i in np.flatnonzero(~core):
-        mine = near[i][core[near[i]]]
-        if len(mine):
-            label[i] = label[mine].min()
-    return canonical(np.where(label < n, label, -1))
-
-
-def spherical_kmeans(unit: np.ndarray, k: int, seed: int, iterations: int = 50) -> np.ndarray:
-    """Labels of k-means on 1 - cosine with k-means++ starts; an empty cluster takes the worst fitting row."""
-    n = len(unit)
-    k = max(1, min(k, n))
-    r = np.random.default_rng(seed)
-    picked = [int(r.integers(n))]
-    gap = np.maximum(1 - unit @ unit[picked[0]], 0)
-    while len(picked) < k:
-        total = gap.sum()
-        i = int(r.choice(n, p=gap / total)) if total > 0 else int(np.setdiff1d(np.arange(n), picked)[0])
-        picked.append(i)
-        gap = np.minimum(gap, np.maximum(1 - unit @ unit[i], 0))
-    centre, label = unit[picked].copy(), None
-    for _ in range(iterations):
-        s = unit @ centre.T
-        new, fit = s.argmax(1), s.max(1)
-        if label is not None and (new == label).all():
-            break
-        label = new
-        total = np.zeros_like(centre)
-        np.add.at(total, label, unit)
-        empty = np.flatnonzero(np.bincount(label, minlength=k) == 0)
-        total[empty] = unit[np.argsort(fit, kind="stable")[: len(empty)]]
-        centre = total / np.maximum(np.linalg.norm(total, axis=1), 1e-12)[:, None]
-    return label
-
-
-def bisect(unit: np.ndarray, seed: int, least: int) -> np.ndarray:
-    """Whether each row is in the first half: ordered by the margin of two centroids, both halves with at least ``least`` rows."""
-    n = len(unit)
-    label = spherical_kmeans(unit, 2, seed)
-    centre = [unit[label == i].sum(0) if (label == i).any() else unit[0] for i in (0, 1)]
-    margin = unit @ (centre[0] / np.linalg.norm(centre[0])) - unit @ (centre[1] / np.linalg.norm(centre[1]))
-    low = min(least, n // 2)
-    first = int(np.clip((label == 0).sum(), low, n - low))
-    out = np.zeros(n, bool)
-    out[np.lexsort((np.arange(n), -margin))[:first]] = True
-    return out
 
+# density
 
-def parts(unit: np.ndarray, k: int, seed: int, limits: Limits) -> list[np.ndarray]:
-    """Rows of k-means clusters, bisected until none exceeds n_max; by first row."""
-    label = spherical_kmeans(unit, k, seed, limits.iterations)
-    todo = [np.flatnonzero(label == x) for x in np.unique(label)]
-    done = []
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= limits.n_max:
-            done.append(rows)
-        else:
-            half = bisect(unit[rows], seed + len(rows), limits.n_min)
-            todo += [rows[half], rows[~half]]
-    return sorted(done, key=lambda rows: int(rows[0]))
-
-
-def group_rows(unit: np.ndarray, limits: Limits, control: bool = False) -> list[dict]:
-    """Leaves of a table that fits a task: rows, path, depth, split; attached rows by leaf. Rows are in id order."""
-    leaves: list[dict] = []
-    attached = np.zeros(len(unit), bool)
-
-    def node(rows: np.ndarray, eps: float, depth: int, path: str) -> None:
-        n = len(rows)
-        if n <= limits.n_max:
-            leaves.append({"rows": rows, "path": path, "depth": depth, "split": "dbscan" if depth else "root"})
-            return
-        mine = unit[rows]
-        _, far = reach(mine, limits.min_samples)
-        while eps >= limits.eps0 / limits.floor_divisor:
-            if (far <= eps).mean() >= limits.viable_frac:
-                label = dbscan(mine, eps, limits.min_samples)
-                sizes = np.bincount(label[label >= 0]) if (label >= 0).any() else np.zeros(0, np.int64)
-                viable = np.flatnonzero(sizes >= limits.n_min)
-                if len(viable) >= 2 and sizes[viable].sum() >= limits.viable_frac * n and sizes.max() < limits.largest_frac * n:
-                    child = np.full(len(sizes) + 1, -1)
-                    child[viable] = np.arange(len(viable))
-                    of = child[label]
-                    loose, kept = np.flatnonzero(of < 0), np.flatnonzero(of >= 0)
-                    for a in range(0, len(loose), 1024):
-                        some = loose[a : a + 1024]
-                        of[some] = of[kept[(mine[some] @ mine[kept].T).argmax(1)]]
-                    attached[rows[loose]] = True
-                    for c in range(len(viable)):
-                        node(rows[of == c], eps * limits.gamma, depth + 1, f"{path}.{c}")
-                    return
-            eps *= limits.gamma
-        k = math.ceil(n / (limits.fill * limits.n_max))
-        for i, part in enumerate(parts(mine, k, limits.seed + depth, limits)):
-            leaves.append({"rows": rows[part], "path": f"{path}.k{i}", "depth": depth + 1, "split": "kmeans"})
 
-    if control:
-        for i, part in enumerate(parts(unit, max(1, round(len(unit) / (limits.fill * limits.n_max))), limits.seed, limits)):
-            leaves.append({"rows": part, "path": str(i), "depth": 1, "split": "kmeans"})
-    else:
-        node(np.arange(len(unit)), limits.eps0, 0, "0")
-    return [leaf | {"attached": attached[leaf["rows"]]} for leaf in merge_small(unit, leaves, limits)]
+def core_distances(rows: DataFrame, m: int, key: str, vector: str = "unit", part: str | None = None) -> DataFrame:
+    """``rows`` with ``core``: the distance to the m-th row of the part, itself counted; infinite where there are fewer."""
+    far = knn.nearest(rows, rows, max(1, m - 1), key, vector, skip_self=True, part=part).where(F.col("place") == m - 1)
+    far = far.select(F.col("query").alias(key), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))).alias("core"))
+    none = F.lit(0.0 if m <= 1 else float("inf"))
+    return rows.join(far, key, "left").withColumn("core", F.coalesce("core", none))
 
 
-def merge_small(unit: np.ndarray, leaves: list[dict], limits: Limits) -> list[dict]:
-    """Leaves below n_min join the nearest centroid with room, smallest first; without room the union is bisected."""
-    leaves = [dict(leaf, total=unit[leaf["rows"]].sum(0)) for leaf in leaves]
-    while len(leaves) > 1:
-        small = [i for i, leaf in enumerate(leaves) if len(leaf["rows"]) < limits.n_min]
-        if not small:
-            break
-        i = min(small, key=lambda j: (len(leaves[j]["rows"]), int(leaves[j]["rows"][0])))
-        mine = leaves.pop(i)
-        centre = np.stack([leaf["total"] / max(np.linalg.norm(leaf["total"]), 1e-12) for leaf in leaves])
-        order = np.lexsort((np.arange(len(leaves)), -(centre @ (mine["total"] / max(np.linalg.norm(mine["total"]), 1e-12)))))
-        fits = [j for j in order.tolist() if len(leaves[j]["rows"]) + len(mine["rows"]) <= limits.n_max]
-        j = fits[0] if fits else int(order[0])
-        target = leaves[j]
-        rows = np.sort(np.concatenate([target["rows"], mine["rows"]]))
-        split = target["split"] if target["split"].endswith("+merged") else target["split"] + "+merged"
-        if len(rows) <= limits.n_max:
-            leaves[j] = dict(target, rows=rows, split=split, total=target["total"] + mine["total"])
-        else:
-            half = bisect(unit[rows], limits.seed + int(rows[0]), limits.n_min)
-            leaves[j] = dict(target, rows=rows[half], split=split, total=unit[rows[half]].sum(0))
-            leaves.append(dict(target, rows=rows[~half], split=split, total=unit[rows[~half]].sum(0)))
-    return leaves
-
-
-SCHEMA = "row_id string, group_path string, group_depth int, group_split string, attached boolean"
-
-
-def grouped(df: DataFrame, limits: Limits, most_rows: int = 1_000_000, control: bool = False) -> DataFrame:
-    """row_id, group_id, group_path, group_depth, group_split, group_size, attached for a table of row_id and embedding.
+def reach(rows: DataFrame, key: str, vector: str = "unit", part: str | None = None) -> DataFrame:
+    """``rows`` (with core) and ``reach``: the smallest eps at which a row is in a cluster, and ``via``, the row it is reached from."""
+    one = knn.nearest(rows, rows, 1, key, vector, "reach", skip_self=True, part=part, floor="core").select(F.col("query").alias(key), (-F.col("score")).alias("__far"), F.col("target").alias("via"))
+    return rows.join(one, key, "left").withColumn("reach", F.least("core", F.coalesce("__far", F.lit(float("inf"))))).drop("__far")
 
-    A table of more than ``most_rows`` is first cut by spherical k-means on a sample's centroids into cells of bounded size, and
-    cells are grouped each in a task: neighbours across cells are not seen, which the path tells by its first part.
-    """
-    n = df.count()
-    cells = max(1, -(-2 * n // most_rows)) if n > most_rows else 1
-    rows = unit_rows(df).select("row_id", "unit")
-    if cells > 1:
-        sample = rows.orderBy(F.md5(F.col("row_id").cast("binary")), "row_id").limit(min(n, 200 * cells)).collect()
-        unit = np.array([r["unit"] for r in sample])
-        label = spherical_kmeans(unit, cells, limits.seed, limits.iterations)
-        centre = np.stack([unit[label == c].sum(0) / max(np.linalg.norm(unit[label == c].sum(0)), 1e-12) for c in np.unique(label)])
-
-        def nearest_cell(batches):
-            for b in batches:
-                u = np.array(b.column("unit").to_pylist())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array((u @ centre.T).argmax(1), pa.int64())], [*b.schema.names, "cell"])
-
-        rows = rows.mapInArrow(nearest_cell, "row_id string, unit array<double>, cell long")
-        # a cell that is still too large is dealt by hash
-        sizes = rows.groupBy("cell").agg((F.floor(F.count(F.lit(1)) / most_rows) + 1).alias("many"))
-        rows = rows.join(F.broadcast(sizes), "cell").withColumn("cell", F.concat_ws("-", "cell", F.pmod(F.xxhash64("row_id"), F.col("many"))))
-    else:
-        rows = rows.withColumn("cell", F.lit("0"))
 
-    def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by("row_id")
-        ids, cell = np.array(part["row_id"].to_pylist(), object), part["cell"][0].as_py()
-        leaves = group_rows(np.array(part["unit"].to_pylist()), limits, control)
-        out = {"row_id": [], "group_path": [], "group_depth": [], "group_split": [], "attached": []}
-        for leaf in leaves:
-            m = len(leaf["rows"])
-            out["row_id"] += ids[leaf["rows"]].tolist()
-            out["group_path"] += [leaf["path"] if cell == "0" else f"{cell}/{leaf['path']}"] * m
-            out["group_depth"] += [leaf["depth"]] * m
-            out["group_split"] += [leaf["split"]] * m
-            out["attached"] += leaf["attached"].tolist()
-        return pa.table(out, schema=pa.schema([("row_id", pa.string()), ("group_path", pa.string()), ("group_depth", pa.int32()), ("group_split", pa.string()), ("attached", pa.bool_())]))
-
-    # leaves that came from one bisection share a path; their first rows tell them apart
-    return number_groups(rows.groupBy("cell").applyInArrow(run, SCHEMA), ["group_path", "group_split"])
+def density(df: DataFrame, m: int, key: str = "row_id") -> DataFrame:
+    """(key, core, reach) of all rows."""
+    rows = written(unit_rows(df).select(key, "unit"), "unit")
+    return reach(written(core_distances(rows, m, key), "core"), key).select(key, "core", "reach")
+
+
+def dbscan(df: DataFrame, eps: float, m: int, key: str = "row_id") -> DataFrame:
+    """(key, label): clusters from 0 by their smallest key, -1 for noise. A row within eps of cores of several clusters joins the one of the smallest core."""
+    rows = written(core_distances(numbered(unit_rows(df).select(key, "unit"), key, name="at"), m, "at"), "core")
+    cores = rows.where(F.col("core") <= eps)
+    joined = components(knn.links(cores, [eps], "at", "unit", "core"))
+    named = written(cores.select(key, "at", "unit").join(joined.withColumnRenamed("node", "at"), "at", "left").withColumn("label", F.coalesce("label", "at")), "cores")
+    beside = knn.least_within(rows.where(F.col("core") > eps).select("at", "unit"), named, eps, "at", "unit", "label")
+    of = named.select("at", "label").unionAll(beside.select("at", "label"))
+    return noise_labels(rows.select(key, "at").join(of, "at", "left"), "label", "at").select(key, F.col("canonical").cast("long").alias("label"))
 
 
 def number_groups(df: DataFrame, label: list[str], key: str = "row_id") -> DataFrame:
     """Adds group_id, dense by the smallest key of each label, and group_size."""
     leaves = df.groupBy(*label).agg(F.min(key).alias("__first"), F.count(F.lit(1)).cast("int").alias("group_size"))
-    named = leaves.withColumn("group_id", (F.dense_rank().over(Window.orderBy("__first")) - 1).cast("int")).drop("__first")
+    named = numbered(leaves, "__first", name="group_id").withColumn("group_id", F.col("group_id").cast("int")).drop("__first")
     return df.join(named, label)
 
 
 def noise_labels(df: DataFrame, label: str, key: str) -> DataFrame:
     """Adds ``canonical``: labels from 0 by their smallest key, -1 for null or negative ones."""
     firsts = df.where(F.col(label) >= 0).groupBy(label).agg(F.min(key).alias("__first"))
-    named = firsts.withColumn("canonical", (F.dense_rank().over(Window.orderBy("__first")) - 1).cast("int")).drop("__first")
+    named = numbered(firsts, "__first", name="canonical").withColumn("canonical", F.col("canonical").cast("int")).drop("__first")
     return df.join(named, label, "left").withColumn("canonical", F.coalesce("canonical", F.lit(-1)))
 
 
-def density(df: DataFrame, eps: float, m: int, key: str = "row_id") -> DataFrame:
-    """(key, label, core, reach) of a table that fits a task; larger ones go through :func:`grouped`."""
+# k-means of many parts at once
+
+
+def _by_node(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(node, places, unit vectors) of a batch."""
+    nodes, at = np.unique(np.array(batch.column("node").to_pylist(), object), return_inverse=True)
+    rows = knn.matrix(batch.column("unit"))
+    for i, node in enumerate(nodes.tolist()):
+        where = np.flatnonzero(at == i)
+        yield node, where, rows[where]
+
+
+def _normal(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-12)[:, None]
+
+
+def _starts(many, seed: int):
+    """Rows drawn one after another with a chance in proportion to 1 - cosine to those drawn before (a race of exponentials)."""
 
     def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by(key)
-        unit = np.array(part["unit"].to_pylist())
-        core, far = reach(unit, m)
-        return pa.table({key: part[key], "label": pa.array(dbscan(unit, eps, m), pa.int64()), "core": pa.array(core), "reach": pa.array(far)})
+        part = part.sort_by("draw")
+        node, rows = part["node"][0].as_py(), knn.matrix(part["unit"])
+        race = np.random.default_rng([seed, len(rows), *node.encode()[-8:]])
+        taken, gap = [0], 1 - rows @ rows[0]
+        for _ in range(min(many.value[node], len(rows)) - 1):
+            gap[taken] = -1
+            time = race.exponential(size=len(rows)) / np.maximum(gap, 1e-12)
+            time[taken] = np.inf
+            taken.append(int(np.argmin(time)))
+            gap = np.minimum(gap, 1 - rows @ rows[taken[-1]])
+        return pa.table({"node": [node], "centres": pa.array([rows[taken].tobytes()], pa.binary())})
+
+    return run
+
+
+def _assign(centres):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = np.full(batch.num_rows, -1, np.int64)
+            for node, where, rows in _by_node(batch):
+                if node in centres.value:
+                    part[where] = (rows @ centres.value[node].T).argmax(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], [*batch.schema.names, "part"])
+
+    return run
+
+
+def _sums(centres):
+    """Of each task, the sum and number of rows nearest to each centre, and the row that fits its own least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        worst: dict[str, tuple[float, np.ndarray]] = {}
+        for batch in batches:
+            for node, _, rows in _by_node(batch):
+                c = centres.value[node]
+                fit = rows @ c.T
+                part = fit.argmax(1)
+                held = total.setdefault(node, np.zeros((len(c), rows.shape[1] + 1)))
+                np.add.at(held, part, np.concatenate([rows, np.ones((len(rows), 1))], 1))
+                best = fit[np.arange(len(rows)), part]
+                i = int(best.argmin())
+                if node not in worst or best[i] < worst[node][0]:
+                    worst[node] = (float(best[i]), rows[i])
+        for node, held in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([held.tobytes()], pa.binary()), pa.array([worst[node][0]]), pa.array([worst[node][1].tobytes()], pa.binary())], ["node", "sums", "fit", "row"])
+
+    return run
+
+
+def _added(group: pa.Table) -> pa.Table:
+    group = group.sort_by([("fit", "ascending"), ("row", "ascending")])
+    total = sum(np.frombuffer(x, np.float64) for x in group["sums"].to_pylist())
+    return pa.table({"node": group["node"][:1], "sums": pa.array([total.tobytes()], pa.binary()), "rows": pa.array([b"".join(group["row"].to_pylist())], pa.binary())})
+
+
+def kmeans(rows: DataFrame, many: dict[str, int], seed: int, iterations: int) -> dict[str, np.ndarray]:
+    """Centres of spherical k-means of each node of ``rows`` (row_id, node, unit): assign and add up until no centre moves."""
+    if not many:
+        return {}
+    spark = rows.sparkSession
+    dim = rows.agg(F.max(F.size("unit"))).first()[0] or 1
+    if sum(many.values()) * dim * 8 > CENTRE_BYTES:
+        raise ContractError(f"{sum(many.values())} centres of {dim} numbers exceed {CENTRE_BYTES} bytes")
+    of = F.create_map(*[x for node, k in many.items() for x in (F.lit(node), F.lit(START_ROWS * k))])[F.col("node")]
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("row_id").cast("string")).cast("binary"))
+    some = rows.select("node", "unit", "row_id").withColumn("draw", draw).withColumn("p", F.row_number().over(Window.partitionBy("node").orderBy("draw", "row_id"))).where(F.col("p") <= of)
+    found = some.select("node", "unit", "draw").groupBy("node").applyInArrow(_starts(spark.sparkContext.broadcast(many), seed), "node string, centres binary").collect()
+    centres = {r["node"]: np.frombuffer(r["centres"], np.float64).reshape(-1, dim) for r in found}
+    for _ in range(iterations):
+        sums = rows.select("node", "unit").mapInArrow(_sums(spark.sparkContext.broadcast(centres)), "node string, sums binary, fit double, row binary")
+        moved = 0.0
+        for r in sums.groupBy("node").applyInArrow(_added, "node string, sums binary, rows binary").collect():
+            held = np.frombuffer(r["sums"], np.float64).reshape(-1, dim + 1).copy()
+            empty = np.flatnonzero(held[:, -1] == 0)
+            loose = np.frombuffer(r["rows"], np.float64).reshape(-1, dim)[: len(empty)]
+            held[empty[: len(loose)], :-1] = loose  # an empty part starts again at a row that fits badly
+            new = _normal(held[:, :-1])
+            moved = max(moved, float(np.abs(new - centres[r["node"]]).max()))
+            centres[r["node"]] = new
+        if moved < 1e-9:
+            break
+    return centres
+
+
+def assigned(rows: DataFrame, centres: dict[str, np.ndarray]) -> DataFrame:
+    """``rows`` with ``part``, the nearest centre of its node; -1 where the node has none."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", part long"
+    return rows.mapInArrow(_assign(rows.sparkSession.sparkContext.broadcast(centres)), schema)
+
+
+def _margin(axes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            along = np.zeros(batch.num_rows)
+            for node, where, rows in _by_node(batch):
+                along[where] = -(rows @ axes.value[node])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(along, 12))], [*batch.schema.names, "along"])
+
+    return run
+
+
+def sliced(rows: DataFrame, sizes: dict[str, int], limits: Limits) -> DataFrame:
+    """``rows`` of nodes of more than n_max rows, with ``slice``: rows in the order of their margin between two centres.
+
+    Two slices meet where the nearer centre changes, moved until both are within the limits; more are of equal size.
+    """
+    centres = kmeans(rows, dict.fromkeys(sizes, 2), limits.seed, limits.iterations)
+    axes = {node: c[0] - c[-1] for node, c in centres.items()}
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", along double"
+    placed = numbered(rows.mapInArrow(_margin(rows.sparkSession.sparkContext.broadcast(axes)), schema), "along", "row_id", within="node", name="place")
+    nearer = {r[0]: r[1] for r in placed.groupBy("node").agg(F.count_if(F.col("along") < 0)).collect()}
+    cuts = []
+    for node, n in sizes.items():
+        parts = -(-n // limits.n_max)
+        first = min(max(nearer.get(node, 0), limits.n_min, n - limits.n_max), n - limits.n_min, limits.n_max) if parts == 2 else 0
+        cuts.append((node, n, parts, first))
+    table = rows.sparkSession.createDataFrame(cuts, "node string, n long, parts long, first long")
+    number = F.when(F.col("parts") == 2, (F.col("place") >= F.col("first")).cast("long")).otherwise(F.floor(F.col("place") * F.col("parts") / F.col("n")))
+    return placed.join(F.broadcast(table), "node").withColumn("slice", number.cast("long")).drop("place", "along", "n", "parts", "first")
+
+
+# grouping
+
+
+@dataclass
+class _Node:
+    """What the driver keeps of a group of rows."""
+
+    size: int
+    depth: int
+    level: int = 0
+    split: str = "root"
+    path: str = ""
+    members: list[str] = field(default_factory=list)
 
-    kind = df.schema[key].dataType.simpleString()
-    return unit_rows(df).select(key, "unit").groupBy().applyInArrow(run, f"{key} {kind}, label long, core double, reach double")
+
+_ROWS = ("at", "row_id", "unit", "node", "attached")
+
+
+def _sizes(rows: DataFrame) -> dict[str, int]:
+    return {r[0]: r[1] for r in rows.groupBy("node").agg(F.count(F.lit(1))).collect()}
+
+
+def _codes(rows: DataFrame, nodes: list[str], name: str) -> DataFrame:
+    """``rows`` of these nodes, with the node's number."""
+    table = rows.sparkSession.createDataFrame(list(zip(nodes, range(len(nodes)), strict=True)), f"node string, {name} long")
+    return rows.join(F.broadcast(table), "node")
+
+
+def _chosen_levels(found: list, counts: dict[int, int], limits: Limits) -> dict[int, int]:
+    """The widest level of each node at which it falls apart: two viable clusters, enough rows in them, none too large."""
+    out: dict[int, int] = {}
+    for r in sorted(found, key=lambda r: r["level"]):
+        n = counts[r["part"]]
+        if r["part"] not in out and r["viable"] >= 2 and r["held"] >= limits.viable_frac * n and r["largest"] < limits.largest_frac * n:
+            out[r["part"]] = r["level"]
+    return out
+
+
+def _split_by_density(rows: DataFrame, open_: dict[str, _Node], limits: Limits) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
+    """(rows with ``child`` and ``loose``, accepted nodes: (level, children)) of one step of all open nodes."""
+    levels = limits.levels()
+    names = sorted(open_)
+    mine = written(core_distances(written(_codes(rows, names, "part"), "open"), limits.min_samples, "at", part="part"), "open-core")
+    mine = written(reach(mine, "at", part="part"), "open-reach")
+    # levels with too few rows in clusters need no components
+    share = mine.groupBy("part").agg(*[F.avg((F.col("reach") <= e).cast("double")).alias(f"s{i}") for i, e in enumerate(levels)]).collect()
+    tried = [(r["part"], i) for r in share for i in range(open_[names[r["part"]]].level, len(levels)) if r[f"s{i}"] >= limits.viable_frac]
+    if not tried:
+        return rows, {}
+    spark = rows.sparkSession
+    table = F.broadcast(spark.createDataFrame([(p, i, levels[i]) for p, i in tried], "part long, level int, eps double"))
+    used = sorted({i for _, i in tried}, reverse=True)  # ascending distances
+    links = knn.links(mine.where(F.col("core") <= levels[used[-1]]).join(F.broadcast(spark.createDataFrame([(p,) for p in {p for p, _ in tried}], "part long")), "part"), [levels[i] for i in used], "at", "unit", "core", "part")
+    wide = links.join(mine.select(F.col("at").alias("a"), "part"), "a").join(table.withColumnRenamed("level", "tried"), "part")
+    step = F.element_at(F.array(*[F.lit(levels[i]) for i in used]), F.col("level") + 1)
+    # a component of each level: levels are told apart in the number of a node
+    total = mine.count() + sum(n.size for n in open_.values()) + 1
+    base = (mine.agg(F.max("at")).first()[0] or 0) + total
+    at_level = lambda c: (F.col("tried").cast("long") * F.lit(base) + F.col(c)).alias(c)
+    joined = components(wide.where(step <= F.col("eps")).select(at_level("a"), at_level("b")))
+    joined = written(joined.select(F.floor(F.col("node") / base).cast("int").alias("level"), (F.col("node") % base).alias("at"), (F.col("label") % base).alias("label")), "open-labels")
+    each = mine.select("at", "part", "core", "reach", "via").join(table, "part")
+    label = joined.select(F.col("level").alias("__l"), F.col("at").alias("__at"), F.col("label").alias("__label"))
+    from_ = F.when(F.col("core") <= F.col("eps"), F.col("at")).when(F.col("reach") <= F.col("eps"), F.col("via"))
+    each = each.withColumn("from", from_).join(label, (F.col("__l") == F.col("level")) & (F.col("__at") == F.col("from")), "left").withColumn("cluster", F.coalesce("__label", "from"))
+    clusters = written(each.where(F.col("cluster").isNotNull()).groupBy("part", "level", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")), "open-clusters")
+    viable = F.col("n") >= limits.n_min
+    found = clusters.groupBy("part", "level").agg(F.count_if(viable).alias("viable"), F.sum(F.when(viable, F.col("n")).otherwise(0)).alias("held"), F.max("n").alias("largest")).collect()
+    chosen = _chosen_levels(found, {i: open_[n].size for i, n in enumerate(names)}, limits)
+    if not chosen:
+        return rows, {}
+    picked = F.broadcast(spark.createDataFrame(sorted(chosen.items()), "part long, level int"))
+    children = clusters.join(picked, ["part", "level"]).where(viable).withColumn("child", F.row_number().over(Window.partitionBy("part").orderBy("first")) - 1)
+    counts = {r[0]: r[1] for r in children.groupBy("part").agg(F.count(F.lit(1))).collect()}
+    named = each.select("at", "part", "level", "cluster").join(picked, ["part", "level"]).join(children.select("part", "level", "cluster", "child"), ["part", "level", "cluster"], "left").select("at", "child")
+    split = written(mine.join(picked, "part").drop("level").join(named, "at", "left"), "open-children")
+    kept, loose = split.where(F.col("child").isNotNull()), split.where(F.col("child").isNull())
+    near = knn.nearest(loose, kept, 1, "at", "unit", part="part").select(F.col("query").alias("at"), F.col("target").alias("__to"))
+    beside = loose.drop("child").join(near, "at").join(kept.select(F.col("at").alias("__to"), "child"), "__to").drop("__to").withColumn("attached", F.lit(True))
+    out = kept.select(*_ROWS, "child").unionAll(beside.select(*_ROWS, "child"))
+    return written(out, "open-split"), {names[p]: (level, counts[p]) for p, level in chosen.items()}
+
+
+def _merge_plan(leaves: dict[str, _Node], sums: dict[str, np.ndarray], firsts: dict[str, int], limits: Limits) -> tuple[dict[str, str], set[str]]:
+    """(leaf -> leaf that takes it, leaves that are then too large): small leaves, smallest first, go to the most similar one with room."""
+    names = sorted(leaves, key=lambda n: firsts[n])
+    centre = _normal(np.stack([sums[n] for n in names]))
+    size = np.array([leaves[n].size for n in names])
+    host = np.arange(len(names))
+    large: set[int] = set()
+    for i in sorted(np.flatnonzero(size < limits.n_min).tolist(), key=lambda i: (size[i], i)):
+        if size[i] >= limits.n_min or host[i] != i:
+            continue  # others have come to it, or it has gone
+        like = centre @ centre[i]
+        like[(host != np.arange(len(names))) | (np.arange(len(names)) == i)] = -np.inf
+        like[list(large)] = -np.inf
+        if not np.isfinite(like).any():
+            if not large:
+                break
+            like[list(large)] = (centre @ centre[i])[list(large)]
+        room = np.where(size + size[i] <= limits.n_max, like, -np.inf)
+        j = int(room.argmax()) if np.isfinite(room).any() else int(like.argmax())
+        host[host == i] = j
+        size[j] += size[i]
+        if size[j] > limits.n_max:
+            large.add(j)
+    return {names[i]: names[j] for i, j in enumerate(host.tolist()) if i != j}, {names[j] for j in large}
+
+
+def _vector_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for node, _, rows in _by_node(batch):
+            held[node] = held.get(node, 0) + rows.sum(0)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["node", "total"])
+
+
+def _total(group: pa.Table) -> pa.Table:
+    return pa.table({"node": group["node"][:1], "total": pa.array([sum(np.frombuffer(x, np.float64) for x in group["total"].to_pylist()).tobytes()], pa.binary())})
+
+
+def _renamed(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``rows`` whose node is renamed; a name for each group."""
+    if not names:
+        return rows
+    table = rows.sparkSession.createDataFrame(sorted(names.items()), "node string, __to string")
+    return rows.join(F.broadcast(table), "node", "left").withColumn("node", F.coalesce("__to", "node")).drop("__to")
+
+
+def _by_centres(rows: DataFrame, many: dict[str, int], name: Column, limits: Limits) -> DataFrame:
+    """k-means parts of each node as nodes of their own, none with more than n_max rows."""
+    out = assigned(rows, kmeans(rows, many, limits.seed, limits.iterations)).withColumn("node", name).drop("part")
+    out = written(out, "parts")
+    large = {n: c for n, c in _sizes(out).items() if c > limits.n_max}
+    if not large:
+        return out
+    some = F.col("node").isin(list(large))
+    cut = sliced(out.where(some), large, limits).withColumn("node", F.concat("node", F.lit("/"), F.col("slice"))).drop("slice")
+    return written(out.where(~some).select(*_ROWS).unionAll(cut.select(*_ROWS)), "parts-cut")
+
+
+def grouped(df: DataFrame, limits: Limits, control: bool = False) -> DataFrame:
+    """row_id, group_id, group_path, group_depth, group_split, group_size, attached for a table of row_id and embedding.
+
+    Nodes larger than n_max are split by density where a distance tells them apart, else by k-means; groups smaller than
+    n_min join others. ``control``: k-means of the whole table. Groups keep the limits if there are at least n_min rows and
+    n_max is twice n_min.
+    """
+    require_limits(limits)
+    rows = numbered(unit_rows(df).select("row_id", "unit"), "row_id", name="at").withColumns({"node": F.lit("0"), "attached": F.lit(False)}).select(*_ROWS)
+    rows = written(rows, "rows")
+    total = rows.count()
+    empty = rows.limit(0)
+    leaves: dict[str, _Node] = {}
+    done = [empty]
+    if control:
+        k = max(1, round(total / (limits.fill * limits.n_max)))
+        out = _by_centres(rows, {"0": k}, F.col("part").cast("string"), limits)
+        done.append(out)
+        leaves = {n: _Node(c, 1, split="kmeans", path=n.split("/")[0]) for n, c in _sizes(out).items()}
+        open_: dict[str, _Node] = {}
+    else:
+        open_ = {"0": _Node(total, 0, path="0")}
+    while open_:
+        for node in [n for n, x in open_.items() if x.size <= limits.n_max]:
+            leaves[node] = open_.pop(node)
+            done.append(rows.where(F.col("node") == node))
+        if not open_:
+            break
+        rows = rows.where(F.col("node").isin(list(open_)))
+        split, accepted = _split_by_density(rows, open_, limits)
+        left = {n: x for n, x in open_.items() if n not in accepted}
+        if left:
+            parts = _by_centres(rows.where(F.col("node").isin(list(left))), {n: math.ceil(x.size / (limits.fill * limits.n_max)) for n, x in left.items()}, F.concat("node", F.lit(".k"), F.col("part")), limits)
+            done.append(parts)
+            for n, c in _sizes(parts).items():
+                leaves[n] = _Node(c, left[n.rsplit(".k", 1)[0]].depth + 1, split="kmeans", path=n.split("/")[0])
+        if not accepted:
+            break
+        rows = split.withColumn("node", F.concat_ws(".", "node", "child")).select(*_ROWS)
+        of = {f"{n}.{c}": n for n, (_, many) in accepted.items() for c in range(many)}
+        open_ = {n: _Node(c, open_[of[n]].depth + 1, accepted[of[n]][0] + 1, "dbscan", n) for n, c in _sizes(rows).items()}
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionAll(more.select(*_ROWS))
+    out = written(out, "leaves")
+    while any(x.size < limits.n_min for x in leaves.values()) and len(leaves) > 1:
+        sums = {r[0]: np.frombuffer(r[1], np.float64) for r in out.select("node", "unit").mapInArrow(_vector_sums, "node string, total binary").groupBy("node").applyInArrow(_total, "node string, total binary").collect()}
+        firsts = {r[0]: r[1] for r in out.groupBy("node").agg(F.min("at")).collect()}
+        goes, large = _merge_plan(leaves, sums, firsts, limits)
+        if not goes:
+            break
+        out = written(_renamed(out, goes), "merged")
+        sizes = _sizes(out)
+        leaves = {n: _Node(sizes[n], x.depth, split=x.split if n not in goes.values() or x.split.endswith("+merged") else f"{x.split}+merged", path=x.path) for n, x in leaves.items() if n in sizes}
+        if large:
+            some = F.col("node").isin(list(large))
+            cut = sliced(out.where(some), {n: sizes[n] for n in large}, limits).withColumn("node", F.concat("node", F.lit("+"), F.col("slice"))).drop("slice")
+            out = written(out.where(~some).select(*_ROWS).unionAll(cut.select(*_ROWS)), "merged-cut")
+            for n, c in _sizes(out).items():
+                if n not in leaves:
+                    x = leaves[n.rsplit("+", 1)[0]]
+                    leaves[n] = _Node(c, x.depth, split=x.split, path=x.path)
+            leaves = {n: x for n, x in leaves.items() if n not in large}
+    about = F.broadcast(df.sparkSession.createDataFrame([(n, x.path, x.depth, x.split) for n, x in leaves.items()], "node string, group_path string, group_depth int, group_split string"))
+    named = number_groups(out.select("row_id", "node", "attached", "at"), ["node"], "at").join(about, "node")
+    return named.select("row_id", "group_id", "group_path", "group_depth", "group_split", "group_size", "attached")
+
+
+# groups beside each other
+
+
+def adjacency(neighbours: DataFrame, groups: DataFrame, least: int = 20) -> DataFrame:
+    """(a, b, contacts): unordered pairs of different groups whose rows are neighbours at least ``least`` times. neighbours: (query, target)."""
+    g = groups.select("row_id", "group_id")
+    both = neighbours.join(g.select(F.col("row_id").alias("query"), F.col("group_id").alias("ga")), "query").join(g.select(F.col("row_id").alias("target"), F.col("group_id").alias("gb")), "target")
+    pairs = both.where(F.col("ga") != F.col("gb")).groupBy(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).agg(F.count(F.lit(1)).alias("contacts"))
+    return pairs.where(F.col("contacts") >= least)
 
 
 def colours(edges: list[tuple[int, int, float]], nodes: int, palette: int = 10) -> list[int]:
@@ -304,16 +480,3 @@ def colours(edges: list[tuple[int, int, float]], nodes: int, palette: int = 10)
         cost = [sum(w for x, w in beside[i].items() if out[x] == c) for c in range(palette)]
         out[i] = cost.index(min(cost))
     return out
-
-
-def adjacency(neighbours: DataFrame, groups: DataFrame, least: int = 20) -> DataFrame:
-    """(a, b, contacts): unordered pairs of different groups whose rows are neighbours at least ``least`` times. neighbours: (query, target)."""
-    g = groups.select("row_id", "group_id")
-    both = neighbours.join(g.select(F.col("row_id").alias("query"), F.col("group_id").alias("ga")), "query").join(g.select(F.col("row_id").alias("target"), F.col("group_id").alias("gb")), "target")
-    pairs = both.where(F.col("ga") != F.col("gb")).groupBy(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).agg(F.count(F.lit(1)).alias("contacts"))
-    return pairs.where(F.col("contacts") >= least)
-
-
-def require_limits(limits: Limits) -> None:
-    if limits.n_max < 2 * limits.n_min:
-        raise ContractError("n_max has to be at least twice n_min")

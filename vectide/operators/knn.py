@@ -1,77 +1,164 @@
-"""Nearest neighbours by cosine or Euclidean distance: a stated set of queries against all targets, in blocks.
+"""Rows near other rows, by cosine or distance: queries travel in waves of bounded size, targets stay where they are.
 
-Targets and queries are packed into blocks of bounded size; every pair of blocks is one matrix product in a worker, which keeps
-each query's k best. The blocks of the few queries meet all target blocks; no pair of rows is ever emitted.
+A wave's queries are gathered as one matrix of at most WAVE_BYTES and broadcast; each task streams its targets past them in
+matrix products and keeps each query's best, so what shuffles is k rows for each query and task, and no pair of rows is ever emitted.
+Rows of different parts (``part``) never meet. In the plane, blocks of neighbouring points meet only blocks in reach.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block.
-BLOCK = 4096
+from vectide.sources.scratch import written
 
+#: Bytes of queries in a wave, entries of a score matrix, and rows of a block of the plane.
+WAVE_BYTES, SCORES, BLOCK = 64 << 20, 1 << 22, 1024
+#: Queries that are gathered without being counted first.
+FEW = 10_000
 
-def _blocks(df: DataFrame, key: str, vector: str, name: str, rows: int) -> tuple[DataFrame, int]:
-    count = df.count()
-    many = max(1, -(-count // rows))
-    placed = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(many)))
-    packed = placed.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
-    return packed.select(F.col("b").alias(f"{name}_block"), F.col("rows.id").alias(f"{name}_ids"), F.col("rows.v").alias(f"{name}_vectors")), many
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
-def _nearest(k: int, metric: str, skip_self: bool, id_type: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                q, t = np.array(r["q_vectors"], np.float64), np.array(r["t_vectors"], np.float64)
-                q_ids, t_ids = np.array(r["q_ids"]), np.array(r["t_ids"])
-                if metric == "cosine":
-                    score = (q / np.linalg.norm(q, axis=1)[:, None]) @ (t / np.linalg.norm(t, axis=1)[:, None]).T
-                else:
-                    score = -np.sqrt(((q[:, None, :] - t[None, :, :]) ** 2).sum(2)) if q.shape[1] <= 4 else -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (t**2).sum(1)[None] - 2 * q @ t.T, 0))
-                if skip_self:
-                    score[q_ids[:, None] == t_ids[None, :]] = -np.inf
-                out_q, out_t, out_s = [], [], []
-                for i in range(len(q_ids)):
-                    row = score[i]
-                    if len(row) > k:
-                        keep = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 1e-12)
-                    else:
-                        keep = np.arange(len(row))
-                    keep = keep[np.isfinite(row[keep])]
-                    out_q += [q_ids[i]] * len(keep)
-                    out_t += t_ids[keep].tolist()
-                    out_s += row[keep].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, id_type), pa.array(out_t, id_type), pa.array(out_s, pa.float64())], ["query", "target", "score"])
+def matrix(column: pa.Array) -> np.ndarray:
+    """A list column of equal lengths as rows of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
-    return run
 
+def unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.linalg.norm(rows, axis=1)[:, None]
+
+
+def distance(cosine: np.ndarray) -> np.ndarray:
+    """Euclidean distance of unit vectors."""
+    return np.sqrt(np.maximum(2 - 2 * cosine, 0))
+
+
+def waves(queries: DataFrame, columns: list[Column], width: str, size: int) -> Iterator[pa.Table]:
+    """The queries, by hash of their first column, as tables of about ``size`` bytes of vectors; ``width`` names the vector."""
+    rows = queries.select(*columns)
+    key = rows.columns[0]
+    few = rows.limit(FEW + 1).toArrow()
+    if few.num_rows <= FEW and few.nbytes <= size:  # all of them, and no more than a wave
+        yield few
+        return
+    count, dim = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(width)), F.lit(1))).first()
+    many = max(1, -(-count * dim * 8 // size))
+    for i in range(many):
+        yield (rows if many == 1 else rows.where(F.pmod(F.xxhash64(key), F.lit(many)) == i)).toArrow()
+
+
+def sweep(queries: DataFrame, targets: DataFrame, q_columns: list[Column], worker: Callable, schema: str, size: int) -> DataFrame:
+    """All targets past each wave: worker(broadcast wave) is a function of batches."""
+    parts = [targets.mapInArrow(worker(queries.sparkSession.sparkContext.broadcast(w)), schema) for w in waves(queries, q_columns, "v", size)]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _by_part(parts: np.ndarray) -> dict[int, np.ndarray]:
+    order = np.argsort(parts, kind="stable")
+    names, at = np.unique(parts[order], return_index=True)
+    return dict(zip(names.tolist(), np.split(order, at[1:]), strict=True))
+
+
+class Best:
+    """The k best targets of each query so far, by rounded score, then id."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.q = k, np.zeros(0, np.int64)
+        self.near, self.score, self.ids = np.zeros(0), np.zeros(0), None
+
+    def add(self, q: np.ndarray, near: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        if self.ids is not None:
+            q, near, score, ids = np.concatenate([self.q, q]), np.concatenate([self.near, near]), np.concatenate([self.score, score]), np.concatenate([self.ids, ids])
+        order = np.lexsort((ids, -near, q))
+        q = q[order]
+        first = np.concatenate([[0], np.flatnonzero(q[1:] != q[:-1]) + 1]) if len(q) else np.zeros(0, np.int64)
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        keep = place < self.k
+        order = order[keep]
+        self.q, self.near, self.score, self.ids = q[keep], near[order], score[order], ids[order]
 
-def nearest(queries: DataFrame, targets: DataFrame, k: int, key: str, vector: str = "embedding", metric: str = "cosine", skip_self: bool = False, digits: int = 9, rows: int = BLOCK) -> DataFrame:
+    def floors(self, n: int) -> np.ndarray:
+        """The k-th best of each query, -inf where there are fewer."""
+        out, count = np.full(n, -np.inf), np.bincount(self.q, minlength=n)
+        full = count[self.q] == self.k
+        np.minimum.at(low := np.full(n, np.inf), self.q[full], self.near[full])
+        out[count == self.k] = low[count == self.k]
+        return out
+
+
+def _nearest(k: int, metric: str, skip_self: bool, digits: int, rows: int, kind: pa.DataType):
+    def scores(q: np.ndarray, t: np.ndarray, floor: np.ndarray | None) -> np.ndarray:
+        if metric == "euclid":
+            return -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (t**2).sum(1)[None] - 2 * q @ t.T, 0))
+        cosine = q @ t.T
+        return cosine if metric == "cosine" else -np.maximum(distance(cosine), floor[None, :])
+
+    def worker(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wave = shared.value
+            if not wave.num_rows:
+                return
+            q_ids, q = np.array(wave["id"].to_pylist()), matrix(wave["v"])
+            q = q if metric == "euclid" else unit(q)
+            mine, best = _by_part(wave["part"].to_numpy()), Best(k)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, t_all = np.array(batch.column("id").to_pylist()), matrix(batch.column("v"))
+                t_all = t_all if metric == "euclid" else unit(t_all)
+                floor = batch.column("floor").to_numpy() if metric == "reach" else None
+                for part, where in _by_part(batch.column("part").to_numpy()).items():
+                    if part not in mine:
+                        continue
+                    for b in range(0, len(where), rows):
+                        some = where[b : b + rows]
+                        t, step = t_all[some], max(1, SCORES // len(some))
+                        floors = best.floors(len(q))
+                        for a in range(0, len(mine[part]), step):
+                            at = mine[part][a : a + step]
+                            score = scores(q[at], t, None if floor is None else floor[some])
+                            if skip_self:
+                                score[q_ids[at][:, None] == ids[some][None, :]] = -np.inf
+                            near = np.round(score, digits)
+                            low = floors[at]
+                            if len(some) > k:
+                                low = np.maximum(low, np.partition(near, len(some) - k, axis=1)[:, len(some) - k])
+                            i, j = np.nonzero((near >= low[:, None]) & (near > -np.inf))
+                            best.add(at[i], near[i, j], score[i, j], ids[some[j]])
+            if best.ids is not None and len(best.q):
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[best.q].tolist(), kind), pa.array(best.ids.tolist(), kind), pa.array(best.score), pa.array(best.near)], ["query", "target", "score", "near"])
+
+        return run
+
+    return worker
+
+
+def nearest(queries: DataFrame, targets: DataFrame, k: int, key: str, vector: str = "embedding", metric: str = "cosine", skip_self: bool = False, digits: int = 9, rows: int = 4096, part: str | None = None, floor: str | None = None, wave_bytes: int = WAVE_BYTES) -> DataFrame:
     """(query, target, score, place): the k best targets of each query; place from 1, scores equal to ``digits`` go to the smaller id.
 
-    Score is the cosine, or the negative distance for ``metric="euclid"``.
+    Score is the cosine, the negative distance for ``metric="euclid"``, or for "reach" the negative of the larger of a
+    target's ``floor`` and the distance of unit vectors. The order of a task's rows or their blocks changes no result.
     """
-    q, _ = _blocks(queries, key, vector, "q", rows)
-    t, many = _blocks(targets, key, vector, "t", rows)
     kind = queries.schema[key].dataType.simpleString()
-    # each query block visits the target blocks' tasks
-    units = q.withColumn("t_block", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).join(t.withColumn("t_block", F.col("t_block").cast("int")), "t_block")
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    hits = units.select("q_ids", "q_vectors", "t_ids", "t_vectors").mapInArrow(_nearest(k, metric, skip_self, id_type), f"query {kind}, target {kind}, score double")
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", digits)), "target"))
-    return hits.withColumn("place", place).where(F.col("place") <= k)
+    columns = [F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(part) if part else F.lit(0)).cast("long").alias("part")]
+    side = targets.select(*columns, *([F.col(floor).cast("double").alias("floor")] if floor else []))
+    hits = sweep(queries, side, columns, _nearest(k, metric, skip_self, digits, rows, _ARROW[kind]), f"query {kind}, target {kind}, score double, near double", wave_bytes)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "target"))
+    return hits.withColumn("place", place).where(F.col("place") <= k).drop("near")
 
 
-def best_score(queries: DataFrame, targets: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+def best_score(queries: DataFrame, targets: DataFrame, key: str, vector: str = "embedding", part: str | None = None) -> DataFrame:
     """(query, score): highest cosine among all targets."""
-    return nearest(queries, targets, 1, key, vector).select("query", "score")
+    return nearest(queries, targets, 1, key, vector, part=part).select("query", "score")
 
 
 def coverage(sample: DataFrame, selected: DataFrame, taus: tuple[float, ...], key: str = "window_id", vector: str = "embedding") -> DataFrame:
@@ -88,3 +175,192 @@ def interpolate(rest: DataFrame, fitted: DataFrame, key: str, vector: str, x: st
     weight = F.exp((F.col("score") - F.col("top")) * temperature)
     out = top.withColumn("wt", weight).join(known, "target").groupBy("query").agg((F.sum(F.col("wt") * F.col("tx")) / F.sum("wt")).alias(x), (F.sum(F.col("wt") * F.col("ty")) / F.sum("wt")).alias(y))
     return out.withColumnRenamed("query", key).union(fitted.select(key, F.col(x).cast("double"), F.col(y).cast("double")))
+
+
+# within a distance
+
+
+def _least(eps: float):
+    def worker(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wave = shared.value
+            if not wave.num_rows:
+                return
+            ids, q = wave["id"].to_numpy(), unit(matrix(wave["v"]))
+            best = np.full(len(ids), np.iinfo(np.int64).max)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                t, value = unit(matrix(batch.column("v"))), batch.column("value").to_numpy()
+                step = max(1, SCORES // len(t))
+                for a in range(0, len(q), step):
+                    low = np.where(distance(q[a : a + step] @ t.T) <= eps, value[None, :], np.iinfo(np.int64).max).min(1)
+                    best[a : a + step] = np.minimum(best[a : a + step], low)
+            found = np.flatnonzero(best < np.iinfo(np.int64).max)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(best[found])], ["id", "value"])
+
+        return run
+
+    return worker
+
+
+def least_within(queries: DataFrame, targets: DataFrame, eps: float, key: str, vector: str, value: str) -> DataFrame:
+    """(key, value): the smallest value (long) among targets whose unit vector is within ``eps``; keys are long."""
+    v = F.col(vector).alias("v")
+    found = sweep(queries, targets.select(v, F.col(value).cast("long").alias("value")), [F.col(key).alias("id"), v], _least(eps), "id long, value long", WAVE_BYTES)
+    return found.groupBy(F.col("id").alias(key)).agg(F.min("value").alias(value))
+
+
+def _links(levels: list[float]):
+    """Links that join the same rows as all pairs within each level: every row, or group of rows, to what it is joined to."""
+
+    def worker(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wave = shared.value
+            if not wave.num_rows:
+                return
+            ids, q, floor = wave["id"].to_numpy(), unit(matrix(wave["v"])), wave["floor"].to_numpy()
+            mine = _by_part(wave["part"].to_numpy())
+            # of each level, the group of each query: the smallest query that it is joined to in this task
+            groups = [np.arange(len(q)) for _ in levels]
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                t_all, t_ids, t_floor = unit(matrix(batch.column("v"))), batch.column("id").to_numpy(), batch.column("floor").to_numpy()
+                a_out, b_out, level_out = [], [], []
+                for part, where in _by_part(batch.column("part").to_numpy()).items():
+                    if part not in mine:
+                        continue
+                    at = mine[part]
+                    step = max(1, SCORES // len(at))
+                    for begin in range(0, len(where), step):
+                        some = where[begin : begin + step]
+                        weight = np.maximum(np.maximum(distance(q[at] @ t_all[some].T), floor[at][:, None]), t_floor[some][None, :])
+                        weight[ids[at][:, None] == t_ids[some][None, :]] = np.inf
+                        joined = np.zeros(len(some), bool)
+                        for n, eps in enumerate(levels):
+                            near = weight <= eps
+                            touched = np.flatnonzero(near.any(0))
+                            if not len(touched):
+                                continue
+                            group = groups[n][at]
+                            old = group.copy()
+                            while True:  # a target takes the smallest group near it, and gives it to all groups near it
+                                low = np.where(near[:, touched], group[:, None], len(q)).min(0)
+                                new = np.minimum(group, np.where(near[:, touched], low[None, :], len(q)).min(1))
+                                back = np.arange(len(q) + 1)
+                                np.minimum.at(back, group, new)
+                                new = back[group]
+                                if (new == group).all():
+                                    break
+                                group = new
+                            # targets that this level joins for the first time, and groups that it has brought together
+                            fresh = touched[~joined[touched]]
+                            low = np.where(near[:, fresh], group[:, None], len(q)).min(0) if len(fresh) else np.zeros(0, np.int64)
+                            joined[fresh] = True
+                            a_out.append(t_ids[some[fresh]])
+                            b_out.append(ids[low])
+                            level_out.append(np.full(len(fresh), n, np.int32))
+                            moved = np.flatnonzero(group != old)
+                            pairs = np.unique(np.stack([old[moved], group[moved]], 1), axis=0)
+                            a_out.append(ids[pairs[:, 0]])
+                            b_out.append(ids[pairs[:, 1]])
+                            level_out.append(np.full(len(pairs), n, np.int32))
+                            # what is joined here is joined at all wider levels
+                            for m in range(n, len(levels)):
+                                back = np.arange(len(q))
+                                wide = groups[m][at]
+                                for x, y in pairs.tolist():
+                                    x, y = back[groups[m][x]], back[groups[m][y]]
+                                    if x != y:
+                                        back[back == max(x, y)] = min(x, y)
+                                groups[m][at] = back[wide]
+                if a_out and sum(map(len, a_out)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out)), pa.array(np.concatenate(level_out))], ["a", "b", "level"])
+
+        return run
+
+    return worker
+
+
+def links(rows: DataFrame, levels: list[float], key: str, vector: str, floor: str, part: str | None = None, wave_bytes: int = WAVE_BYTES) -> DataFrame:
+    """(a, b, level): links whose components up to a level are those of all pairs whose distance and floors are within its eps.
+
+    ``levels`` ascend. Each task gives a link for each of its rows at the first level that joins it to a wave, and one for
+    each two groups of the wave's rows that it brings together, not one for each pair.
+    """
+    columns = [F.col(key).alias("id"), F.col(vector).alias("v"), F.col(floor).cast("double").alias("floor"), (F.col(part) if part else F.lit(0)).cast("long").alias("part")]
+    return sweep(rows, rows.select(*columns), columns, _links(levels), "a long, b long, level int", wave_bytes)
+
+
+# the plane
+
+
+def _pack_plane(k: int, rows: int):
+    """Points in curve order -> blocks with their bounds and the distance within which each point has k others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base, made = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                b = batch.slice(at, rows)
+                x, y, many = (b.column(c).to_numpy() for c in ("x", "y", "many"))
+                d = np.hypot(x[:, None] - x[None, :], y[:, None] - y[None, :])
+                order = np.argsort(d, axis=1)
+                enough = np.cumsum(many[order], axis=1) > k
+                far = np.where(enough.any(1), np.take_along_axis(d, order, 1)[np.arange(len(x)), enough.argmax(1)], np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array([base + made]), *[pa.array([float(f(c))]) for c in (x, y) for f in (np.min, np.max)], pa.array([float(far.max())]), pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary()), pa.ListArray.from_arrays([0, len(b)], b.column("ids"))], ["block", "x0", "x1", "y0", "y1", "far", "xs", "ys", "ids"])
+                made += 1
+
+    return run
+
+
+def _meet(k: int, digits: int, kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qx, qy, tx, ty = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64) for c in ("qx", "qy", "xs", "ys"))
+                lists = batch.column("ids")[i].values
+                owner = np.repeat(np.arange(len(tx)), np.diff(lists.offsets.to_numpy()))
+                ids = np.array(lists.flatten().to_pylist())
+                best = Best(k + 1)
+                for a in range(0, len(qx), 256):
+                    d = np.sqrt((qx[a : a + 256, None] - tx[None, :]) ** 2 + (qy[a : a + 256, None] - ty[None, :]) ** 2)[:, owner]
+                    near = np.round(-d, digits)
+                    low = np.partition(near, -k - 1, axis=1)[:, -k - 1] if near.shape[1] > k + 1 else np.full(len(near), -np.inf)
+                    r, c = np.nonzero(near >= low[:, None])
+                    best.add(r + a, near[r, c], -d[r, c], ids[c])
+                yield pa.RecordBatch.from_arrays([pa.array(qx[best.q]), pa.array(qy[best.q]), pa.array(best.ids.tolist(), kind), pa.array(best.score), pa.array(best.near)], ["x", "y", "target", "score", "near"])
+
+    return run
+
+
+def plane_nearest(points: DataFrame, k: int, key: str, x: str, y: str, digits: int = 9, rows: int = BLOCK) -> DataFrame:
+    """(query, target, score, place): each point's k nearest others in the plane; ties go to the smaller id.
+
+    Places that several points share are one place with its k + 1 smallest ids, so no place is met twice. Places are sorted
+    along a space-filling curve into blocks; a block meets the blocks whose bounds are within the distance in which each of its places
+    has k others in its own block.
+    """
+    kind = points.schema[key].dataType.simpleString()
+    p = written(points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "plane")
+    first = p.withColumn("n", F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))).where(F.col("n") <= k + 1)
+    places = first.groupBy("x", "y").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.count(F.lit(1)).alias("many"))
+    low_x, high_x, low_y, high_y, count = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
+    grid = lambda c, low, high: F.floor((F.col(c) - F.lit(low or 0.0)) / F.lit(max((high or 0.0) - (low or 0.0), 1e-300)) * 65535).cast("long")
+    spread = lambda c: reduce(lambda v, s: (v.bitwiseOR(F.shiftleft(v, s[0]))).bitwiseAND(F.lit(s[1])), ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)), c)
+    curve = spread(grid("x", low_x, high_x)).bitwiseOR(F.shiftleft(spread(grid("y", low_y, high_y)), 1))
+    sorted_ = places.withColumn("curve", curve).repartitionByRange(max(1, -(-count // (64 * rows))), "curve", "x", "y").sortWithinPartitions("curve", "x", "y")
+    blocks = written(sorted_.mapInArrow(_pack_plane(k, rows), f"block long, x0 double, x1 double, y0 double, y1 double, far double, xs binary, ys binary, ids array<array<{kind}>>"), "plane-blocks")
+    bounds = [blocks.select(*[F.col(c).alias(f"{s}_{c}") for c in ("block", "x0", "x1", "y0", "y1", "far")]) for s in "qt"]
+    gap = lambda a: F.greatest(F.lit(0.0), F.col(f"t_{a}0") - F.col(f"q_{a}1"), F.col(f"q_{a}0") - F.col(f"t_{a}1"))
+    near = F.sqrt(gap("x") * gap("x") + gap("y") * gap("y")) <= F.col("q_far") * (1 + 1e-9) + 10.0 ** (1 - digits)
+    meet = bounds[0].join(bounds[1], near).select("q_block", "t_block")
+    units = meet.join(blocks.select(F.col("block").alias("q_block"), F.col("xs").alias("qx"), F.col("ys").alias("qy")), "q_block").join(blocks.select(F.col("block").alias("t_block"), "xs", "ys", "ids"), "t_block")
+    hits = units.select("qx", "qy", "xs", "ys", "ids").mapInArrow(_meet(k, digits, _ARROW[kind]), f"x double, y double, target {kind}, score double, near double")
+    lists = hits.withColumn("n", F.row_number().over(Window.partitionBy("x", "y").orderBy(F.desc("near"), "target"))).where(F.col("n") <= k + 1)
+    each = p.join(lists, ["x", "y"]).where(F.col("id") != F.col("target"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("near"), "target"))
+    return each.withColumn("place", place).where(F.col("place") <= k).select(F.col("id").alias("query"), "target", "score", "place")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectide.functions import sampling
-from vectide.operators import cluster, explore, knn, overlay, project, ranking, validate
+from vectide.operators import cluster, explore, knn, overlay, project, validate
 from vectide.plans import artifacts, views
 from vectide.queries.registry import load, query, windows, with_windows
 from vectide.queries.relational import SAMPLE, TAGS
@@ -54,8 +54,7 @@ NEAR2 = f"{PLANE}, k AS (SELECT a.window_id AS query, b.window_id AS target, row
 
 
 def _plane(spark: SparkSession, d: str) -> DataFrame:
-    w = windows(spark, d).select("window_id", F.array(F.col("embedding")[0], F.col("embedding")[1]).alias("xy"))
-    return knn.nearest(w, w, 8, "window_id", "xy", "euclid", skip_self=True)
+    return knn.plane_nearest(windows(spark, d).select("window_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y")), 8, "window_id", "x", "y")
 
 
 @query("j17_plane_neighbours", with_windows(f"WITH {NEAR2} SELECT query, target, CAST(place AS INTEGER) AS place FROM k WHERE place <= 8"))
@@ -92,18 +91,22 @@ def a14(spark: SparkSession, d: str) -> DataFrame:
 PAIRS = f"{UNIT}, e AS (SELECT a.window_id AS i, b.window_id AS j, CASE WHEN a.window_id = b.window_id THEN 0.0::DOUBLE ELSE sqrt(greatest(0.0::DOUBLE, 2 - 2 * list_inner_product(a.u, b.u))) END AS dist FROM u a, u b), o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist) AS r FROM e), cd AS (SELECT i, dist AS core FROM o WHERE r = 5), rd AS (SELECT e.i, min(greatest(cd.core, e.dist)) AS far FROM e JOIN cd ON cd.i = e.j WHERE e.i <> e.j GROUP BY 1), both_ AS (SELECT cd.i AS row_id, core, least(core, far) AS reach FROM cd JOIN rd ON rd.i = cd.i)"
 
 
-def _density(spark: SparkSession, d: str, eps: float) -> DataFrame:
-    return cluster.density(windows(spark, d).select(F.col("window_id").alias("row_id"), "embedding"), eps, 5)
+def _density(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.density(windows(spark, d).select(F.col("window_id").alias("row_id"), "embedding"), 5)
+
+
+def _dbscan(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.dbscan(windows(spark, d).select(F.col("window_id").alias("row_id"), "embedding"), 1.1, 5)
 
 
 @query("g2_reach", with_windows(f"WITH {PAIRS} SELECT row_id, round(core, 6) AS core, round(reach, 6) AS reach FROM both_"))
 def g2(spark: SparkSession, d: str) -> DataFrame:
-    return _density(spark, d, 1.1).select("row_id", F.round("core", 6).alias("core"), F.round("reach", 6).alias("reach"))
+    return _density(spark, d).select("row_id", F.round("core", 6).alias("core"), F.round("reach", 6).alias("reach"))
 
 
 @query("g3_prune_level", with_windows(f"WITH {PAIRS} SELECT eps, round(avg(CASE WHEN reach <= eps THEN 1.0::DOUBLE ELSE 0 END), 6) AS clustered FROM both_, (SELECT unnest([0.9, 1.0, 1.1, 1.2])::DOUBLE AS eps) GROUP BY eps"))
 def g3(spark: SparkSession, d: str) -> DataFrame:
-    r = _density(spark, d, 1.1)
+    r = _density(spark, d)
     levels = r.select("reach", F.explode(F.array(*[F.lit(e) for e in (0.9, 1.0, 1.1, 1.2)])).alias("eps"))
     return levels.groupBy("eps").agg(F.round(F.avg((F.col("reach") <= F.col("eps")).cast("double")), 6).alias("clustered"))
 
@@ -111,7 +114,7 @@ def g3(spark: SparkSession, d: str) -> DataFrame:
 @query("a29_eps_curve", with_windows(f"WITH {PAIRS}, g AS (SELECT i, pow(10.0::DOUBLE, -3 + 3 * i / 399.0::DOUBLE) AS eps FROM range(400) t(i)) SELECT CAST(g.i AS INTEGER) AS at, round(avg(CASE WHEN core <= eps THEN 1.0::DOUBLE ELSE 0 END), 6) AS core_frac, round(avg(CASE WHEN reach <= eps THEN 1.0::DOUBLE ELSE 0 END), 6) AS clustered_frac FROM both_, g GROUP BY 1".replace(" AS at,", ' AS "at",')))
 def a29(spark: SparkSession, d: str) -> DataFrame:
     """Fractions over 400 geometric distances: each row falls into a level once, and levels add up."""
-    r = _density(spark, d, 1.1)
+    r = _density(spark, d)
     grid = spark.range(400).select(F.col("id").cast("int").alias("at"), F.pow(F.lit(10.0), -3 + 3 * F.col("id") / F.lit(399.0)).alias("eps"))
     level = lambda c: F.greatest(F.lit(0), F.ceil((F.log10(F.col(c)) + 3) * 399 / 3 - 1e-9)).cast("int")
     total = F.broadcast(r.agg(F.count(F.lit(1)).alias("n")))
@@ -130,12 +133,12 @@ bord AS (SELECT n.i, min(lab.root) AS root FROM n JOIN lab ON lab.i = n.j WHERE
 
 @query("g1_dbscan", with_windows(f"WITH RECURSIVE {DB} SELECT window_id AS row_id, coalesce(CAST(l AS BIGINT), -1) AS label FROM windows LEFT JOIN (SELECT i, dense_rank() OVER (ORDER BY f) - 1 AS l FROM al JOIN fst USING (root)) ON i = window_id"))
 def g1(spark: SparkSession, d: str) -> DataFrame:
-    return _density(spark, d, 1.1).select("row_id", "label")
+    return _dbscan(spark, d).select("row_id", "label")
 
 
 @query("g5_attach_noise", with_windows(f"WITH RECURSIVE {DB}, named AS (SELECT window_id, u, root FROM u LEFT JOIN al ON al.i = window_id), near AS (SELECT a.window_id AS query, b.root, row_number() OVER (PARTITION BY a.window_id ORDER BY round(list_inner_product(a.u, b.u), 9) DESC, b.window_id) AS p FROM named a, named b WHERE a.root IS NULL AND b.root IS NOT NULL) SELECT query AS row_id, CAST(l AS BIGINT) AS label FROM near JOIN (SELECT root, dense_rank() OVER (ORDER BY f) - 1 AS l FROM fst) USING (root) WHERE p = 1"))
 def g5(spark: SparkSession, d: str) -> DataFrame:
-    labelled = _density(spark, d, 1.1).select(F.col("row_id").alias("window_id"), "label").join(windows(spark, d).select("window_id", "embedding"), "window_id")
+    labelled = _dbscan(spark, d).select(F.col("row_id").alias("window_id"), "label").join(windows(spark, d).select("window_id", "embedding"), "window_id")
     kept = labelled.where("label >= 0")
     near = knn.nearest(labelled.where("label < 0"), kept, 1, "window_id")
     return near.join(kept.select(F.col("window_id").alias("target"), "label"), "target").select(F.col("query").alias("row_id"), "label")
@@ -319,5 +322,3 @@ def q4(spark: SparkSession, d: str) -> DataFrame:
 def q5(spark: SparkSession, d: str) -> DataFrame:
     return rankings(spark, d).where("direction = 'top'").select("w").distinct().orderBy("w")
 
-
-_ = ranking

@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectide.sources.scratch import shared_path
+
+__all__ = ["ORACLES", "QUERIES", "both", "load", "query", "shared_path", "windows", "with_windows"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -71,16 +75,3 @@ def with_windows(sql: str) -> str:
     if s.upper().startswith("WITH"):
         return f"WITH {WINDOWS_SQL}, {s[4:]}"
     return f"WITH {WINDOWS_SQL} {s}"
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster, or a temporary one on a single machine."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        base = f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/vectide/{name}-{uuid.uuid4().hex}"
