@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
 from vectide.errors import ContractError
 from vectide.operators import allocate, cluster, dpp, metrics, ranking
@@ -20,23 +18,38 @@ def dense_greedy(kernel: np.ndarray, k: int) -> list[int]:
     return picked
 
 
+POINTS = [dpp.Point("multiplicative", 4.0), dpp.Point("multiplicative", 0.5), dpp.Point("additive", 1.0), dpp.Point("additive", 30.0), dpp.Point("additive", 0.0)]
+
+
+def whole_kernel(cosines: np.ndarray, utility: np.ndarray, p: dpp.Point) -> np.ndarray:
+    if p.kernel == "multiplicative":
+        q = np.exp(p.w * (utility - utility.max()))
+        return q[:, None] * cosines * q[None, :]
+    return np.diag(utility + 1e-6) + p.w * cosines
+
+
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("point", [dpp.Point("multiplicative", 4.0), dpp.Point("additive", 1.0), dpp.Point("additive", 30.0)])
-def test_lazy_greedy_equals_determinants(seed: int, point: dpp.Point) -> None:
+def test_points_side_by_side_choose_by_determinants(seed: int) -> None:
     r = np.random.default_rng(seed)
     cosines, utility = dpp.gram(r.normal(size=(40, 8))), r.random(40)
-    kernel = dpp.Kernel(cosines, utility, point)
-    picked, gains, log_det = dpp.greedy(kernel, 6, np.arange(40))
-    full = kernel.block(np.arange(40))
-    assert picked.tolist() == dense_greedy(full, 6)
-    assert np.isclose(gains.sum(), np.linalg.slogdet(full[np.ix_(picked, picked)])[1], atol=1e-6)
-    assert np.isfinite(log_det)
-
-
-def test_ties_go_to_the_smallest_order() -> None:
-    cosines = dpp.gram(np.ones((4, 3)))
-    picked, _, _ = dpp.greedy(dpp.Kernel(cosines, np.ones(4), dpp.Point("multiplicative", 0.0)), 1, np.array([3, 1, 0, 2]))
-    assert picked[0] == 2
+    got = dpp.choose(cosines, utility, POINTS, 6)
+    for i, p in enumerate(POINTS):
+        full = whole_kernel(cosines, utility, p)
+        rows = got.rows[i]
+        assert rows.tolist() == dense_greedy(full, 6)
+        block = full[np.ix_(rows, rows)]
+        assert np.isclose(got.gains[i].sum(), np.linalg.slogdet(block)[1], atol=1e-6)
+        assert np.isclose(got.log_det[i], np.linalg.slogdet(block + 1e-6 * np.eye(6))[1], atol=1e-9)
+        assert np.allclose(got.shares[i], np.exp(got.gains[i]) / np.diagonal(full)[rows])
+        alone = dpp.choose(cosines, utility, [p], 6)
+        assert (alone.rows[0] == rows).all() and np.allclose(alone.gains[0], got.gains[i])
+
+
+def test_ties_go_to_the_first_row() -> None:
+    got = dpp.choose(dpp.gram(np.ones((4, 3))), np.ones(4), [dpp.Point("multiplicative", 0.0)], 1)
+    assert got.rows.tolist() == [[0]]
+    with pytest.raises(ContractError):
+        dpp.choose(dpp.gram(np.eye(3)), np.ones(3), POINTS, 4)
 
 
 def test_zero_vectors_are_refused() -> None:
@@ -69,27 +82,6 @@ def test_proportional_allocation(spark) -> None:
     assert [r["k"] for r in allocate.proportional(df, 0.01).orderBy("group_id").collect()] == [4, 17, 130]
 
 
-def test_blobs_become_groups() -> None:
-    r = np.random.default_rng(0)
-    centres = np.linalg.qr(r.normal(size=(64, 64)))[0][:3]
-    rows = np.concatenate([c + r.normal(size=(150, 64)) * 0.02 for c in centres] + [r.normal(size=(4, 64))])
-    unit = rows / np.linalg.norm(rows, axis=1)[:, None]
-    leaves = cluster.group_rows(unit, cluster.Limits(n_max=200, n_min=50, eps0=0.6))
-    assert len(leaves) == 3 and {x["split"] for x in leaves} == {"dbscan"}
-    assert sum(x["attached"].sum() for x in leaves) == 4
-    assert all(len({i // 150 for i in x["rows"] if i < 450}) == 1 for x in leaves)
-
-
-@settings(max_examples=20, deadline=None)
-@given(st.integers(0, 1000), st.integers(20, 60), st.integers(5, 10))
-def test_grouping_keeps_limits(seed: int, n: int, n_min: int) -> None:
-    unit = np.random.default_rng(seed).normal(size=(n, 5))
-    unit /= np.linalg.norm(unit, axis=1)[:, None]
-    leaves = cluster.group_rows(unit, cluster.Limits(n_max=2 * n_min + 3, n_min=n_min, eps0=1.0))
-    assert sorted(i for x in leaves for i in x["rows"].tolist()) == list(range(n))
-    assert all(n_min <= len(x["rows"]) <= 2 * n_min + 3 for x in leaves) or n < n_min
-
-
 def test_vendi_from_matrix_and_from_dual(spark) -> None:
     r = np.random.default_rng(1)
     rows = [(g, r.normal(size=6).tolist()) for g in range(2) for _ in range(3 + 9 * g)]

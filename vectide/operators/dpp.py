@@ -1,12 +1,11 @@
 """Diverse subsets: greedy maximum-determinant selection over sweeps of kernels and weights.
 
-A group's rows go to one task, which normalises its vectors and makes the cosine matrix once for all points of a sweep;
-kernel rows are made when a step needs them. The preflight refuses groups whose workspace exceeds a budget.
+A group's rows go to one task, which makes the cosine matrix once and then steps through all points of a sweep side by side; one
+row for each point holds its metrics and its members. The preflight refuses groups whose workspace exceeds a budget.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -54,71 +53,62 @@ def gram(vectors: np.ndarray, epsilon: float = EPSILON) -> np.ndarray:
     return (s + s.T) / 2 + epsilon * np.eye(len(u))
 
 
-class Kernel:
-    """A kernel over cosines and utilities whose rows are made on demand."""
-
-    def __init__(self, cosines: np.ndarray, utility: np.ndarray, point: Point, epsilon: float = EPSILON) -> None:
-        self.cosines, self.point = cosines, point
-        same = np.diagonal(cosines)
-        if point.kernel == MULTIPLICATIVE:
-            self.quality = np.exp(point.w * (utility - utility.max()))
-            self.diagonal = self.quality * self.quality * same
-        else:
-            self.quality = utility + epsilon
-            self.diagonal = self.quality + point.w * same
-
-    def row(self, i: int) -> np.ndarray:
-        if self.point.kernel == MULTIPLICATIVE:
-            return self.quality[i] * self.cosines[i] * self.quality
-        out = self.point.w * self.cosines[i]
-        out[i] += self.quality[i]
-        return out
-
-    def block(self, picked: np.ndarray) -> np.ndarray:
-        part = self.cosines[np.ix_(picked, picked)]
-        if self.point.kernel == MULTIPLICATIVE:
-            return self.quality[picked][:, None] * part * self.quality[picked][None, :]
-        return np.diag(self.quality[picked]) + self.point.w * part
-
-
-def greedy(kernel: Kernel, k: int, order: np.ndarray, epsilon: float = EPSILON, tie: float = TIE) -> tuple[np.ndarray, np.ndarray, float]:
-    """(positions in order of choice, log gains, log determinant). Candidates within ``tie`` of the best go by ``order``."""
-    n = len(kernel.diagonal)
+def weighted(points: list[Point], utility: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """(a, d) of each point: its kernel is a_i a_j cos_ij, and d_i more on the diagonal."""
+    w = np.array([p.w for p in points])[:, None]
+    multiplicative = np.array([p.kernel == MULTIPLICATIVE for p in points])[:, None]
+    a = np.where(multiplicative, np.exp(np.where(multiplicative, w * (utility - utility.max())[None], 0.0)), np.sqrt(w))
+    return a, np.where(multiplicative, 0.0, utility[None] + epsilon)
+
+
+@dataclass(frozen=True)
+class Chosen:
+    """What each point of a sweep chose: (points, k) arrays, and a number for each point."""
+
+    rows: np.ndarray  #: rows in the order of choice
+    gains: np.ndarray  #: log gains
+    shares: np.ndarray  #: gains as shares of the chosen rows' own diagonals
+    log_det: np.ndarray
+
+
+def choose(cosines: np.ndarray, utility: np.ndarray, points: list[Point], k: int, epsilon: float = EPSILON, tie: float = TIE) -> Chosen:
+    """Greedy choice for all points at once: each step takes every point's largest residual, ties to the earlier row."""
+    n, many = len(cosines), len(points)
     if not 0 < k <= n:
         raise ContractError(f"{k} of {n} rows can't be selected")
-    left = kernel.diagonal.astype(np.float64).copy()
-    free = np.ones(n, bool)
-    basis = np.empty((k, n))
-    picked, gains = np.empty(k, np.int64), np.empty(k)
+    a, d = weighted(points, utility, epsilon)
+    own = a * a * np.diagonal(cosines)[None] + d
+    left, each = own.copy(), np.arange(many)
+    factors = np.zeros((many, k, n))
+    rows, gains = np.empty((many, k), np.int64), np.empty((many, k))
     for step in range(k):
-        best = left[free].max()
-        near = np.flatnonzero(free & (left >= best - abs(best) * tie))
-        i = near[np.argmin(order[near])]
-        pivot = max(left[i], epsilon)
-        direction = (kernel.row(i) - basis[:step].T @ basis[:step, i]) / math.sqrt(pivot)
-        basis[step] = direction
-        left -= direction * direction
-        free[i] = False
-        picked[step], gains[step] = i, math.log(max(pivot, epsilon))
-    block = kernel.block(picked)
-    sign, log_det = np.linalg.slogdet((block + block.T) / 2 + epsilon * np.eye(k))
-    if sign <= 0 or not math.isfinite(log_det):
+        best = left.max(1, keepdims=True)
+        i = np.argmax(left >= best - np.abs(best) * tie, axis=1)
+        pivot = np.maximum(left[each, i], epsilon)
+        row = a[each, i][:, None] * a * cosines[i]
+        row[each, i] += d[each, i]
+        row -= np.matmul(factors[each, :step, i][:, None, :], factors[:, :step])[:, 0]
+        row /= np.sqrt(pivot)[:, None]
+        factors[:, step] = row
+        left -= row * row
+        left[each, i] = -np.inf  # taken
+        rows[:, step], gains[:, step] = i, np.log(pivot)
+    at = each[:, None]
+    part = a[at, rows][:, :, None] * a[at, rows][:, None, :] * cosines[rows[:, :, None], rows[:, None, :]]
+    part[:, np.arange(k), np.arange(k)] += d[at, rows] + epsilon
+    sign, log_det = np.linalg.slogdet(part)
+    if (sign <= 0).any() or not np.isfinite(log_det).all():
         raise ContractError("the determinant of a selection isn't positive")
-    return picked, gains, float(log_det)
-
+    return Chosen(rows, gains, np.exp(gains) / own[at, rows], log_det)
 
-def pivots(kernel: Kernel, picked: np.ndarray, gains: np.ndarray) -> np.ndarray:
-    """Gains as shares of the chosen rows' own diagonals."""
-    return np.exp(gains) / kernel.diagonal[picked]
 
+def operational(shares: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """Of each point: (steps whose share is above OPERATIONAL, steps within DEGENERATE * epsilon)."""
+    return (shares > OPERATIONAL).sum(-1), (shares <= DEGENERATE * epsilon).sum(-1)
 
-def operational(shares: np.ndarray, epsilon: float = EPSILON) -> tuple[int, int]:
-    """(steps before the first whose share is at most OPERATIONAL counted as all above it, steps within DEGENERATE * epsilon)."""
-    return int((shares > OPERATIONAL).sum()), int((shares <= DEGENERATE * epsilon).sum())
 
-
-ROWS = "group_id long, kernel string, w double, row_id string, rank int, gain double, utility double, recon_loss double"
-RUN_COLUMNS = "group_id long, kernel string, w double, candidates long, k long, log_det double, vendi double, mean_cosine double, operational_rank int, n_degenerate int, rank_limited boolean"
+_METRICS = "group_id long, kernel string, w double, candidates long, k long, log_det double, vendi double, mean_cosine double, operational_rank int, n_degenerate int, rank_limited boolean"
+SWEEP = f"{_METRICS}, positions array<int>, row_ids array<string>, gains array<double>, utilities array<double>, losses array<double>"
 
 
 def _utility(loss: np.ndarray, direction: str) -> np.ndarray:
@@ -127,37 +117,37 @@ def _utility(loss: np.ndarray, direction: str) -> np.ndarray:
     return np.ones(len(v)) if low == high else (v - low) / (high - low)
 
 
-def _run(points: list[Point], direction: str, eta: float, epsilon: float, runs: bool):
+def _sweep(points: list[Point], direction: str, epsilon: float, tie: float, batch_bytes: int):
     def run(part: pa.Table) -> pa.Table:
         part = part.sort_by("row_id")
-        group, ids = part["group_id"][0].as_py(), part["row_id"].to_pylist()
-        vectors = np.array(part["embedding"].to_pylist(), np.float64)
-        loss = part["recon_loss"].to_numpy().astype(np.float64)
-        k = int(part["k"][0].as_py())
-        utility, cosines = _utility(loss, direction), gram(vectors, epsilon)
-        order = np.arange(len(ids))
-        cols: list[list] = [[] for _ in range(11 if runs else 8)]
-        for p in points:
-            kernel = Kernel(cosines, utility, p, epsilon)
-            picked, gains, log_det = greedy(kernel, k, order, epsilon)
-            if runs:
-                shares = pivots(kernel, picked, gains)
-                rank, poor = operational(shares, epsilon)
-                block = cosines[np.ix_(picked, picked)]
-                row = (group, p.kernel, p.w, len(ids), k, log_det, vendi(block), mean_offdiagonal(block), rank, poor, k > rank)
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
-            else:
-                for r, (i, g) in enumerate(zip(picked.tolist(), gains.tolist(), strict=True)):
-                    for c, v in zip(cols, (group, p.kernel, p.w, ids[i], r, g, float(utility[i]), float(loss[i])), strict=True):
-                        c.append(v)
-        names = [f.split(" ") for f in (RUN_COLUMNS if runs else ROWS).split(", ")]
-        kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
-        return pa.table({n: pa.array(c, kinds[t]) for (n, t), c in zip(names, cols, strict=True)})
+        ids, loss = part["row_id"].to_pylist(), part["recon_loss"].to_numpy().astype(np.float64)
+        utility, cosines = _utility(loss, direction), gram(np.array(part["embedding"].to_pylist(), np.float64), epsilon)
+        k, n = int(part["k"][0].as_py()), len(ids)
+        out = []
+        step = max(1, batch_bytes // (8 * k * n))  # points whose factors fit
+        for begin in range(0, len(points), step):
+            some = points[begin : begin + step]
+            got = choose(cosines, utility, some, k, epsilon, tie)
+            ranks, poor = operational(got.shares, epsilon)
+            for j, p in enumerate(some):
+                r = got.rows[j]
+                block = cosines[np.ix_(r, r)]
+                out.append({
+                    "group_id": part["group_id"][0].as_py(), "kernel": p.kernel, "w": p.w, "candidates": n, "k": k, "log_det": float(got.log_det[j]), "vendi": vendi(block), "mean_cosine": mean_offdiagonal(block),
+                    "operational_rank": int(ranks[j]), "n_degenerate": int(poor[j]), "rank_limited": bool(k > ranks[j]), "positions": r.tolist(), "row_ids": [ids[i] for i in r.tolist()],
+                    "gains": got.gains[j].tolist(), "utilities": utility[r].tolist(), "losses": loss[r].tolist(),
+                })
+        return pa.Table.from_pylist(out, schema=_SWEEP_ARROW)
 
     return run
 
 
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
+_SWEEP_ARROW = pa.schema([(n, _KINDS[t]) for n, t in (f.split(" ") for f in SWEEP.split(", "))])
+#: Bytes of factors that a task holds at once.
+BATCH_BYTES = 256 << 20
+
+
 def prepare(windows: DataFrame, group: str, eta: float, allocation: DataFrame | None = None, max_workspace_gib: float = 8.0, dim: int = 512) -> DataFrame:
     """group_id, row_id, embedding, recon_loss, k; refuses groups beyond the workspace."""
     from vectide.operators.allocate import proportional
@@ -170,13 +160,31 @@ def prepare(windows: DataFrame, group: str, eta: float, allocation: DataFrame |
     return windows.select(F.col(group).cast("long").alias("group_id"), F.col("window_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("recon_loss").cast("double").alias("recon_loss")).join(given.select("group_id", "k"), "group_id")
 
 
-def select(windows: DataFrame, group: str, points: list[Point], direction: str, eta: float, epsilon: float = EPSILON, allocation: DataFrame | None = None, pool: DataFrame | None = None) -> DataFrame:
-    """Memberships: a row for each point and selected window. ``pool`` (window_id) limits the candidates."""
+def sweep_runs(windows: DataFrame, group: str, points: list[Point], direction: str, eta: float, epsilon: float = EPSILON, allocation: DataFrame | None = None, pool: DataFrame | None = None, tie: float = TIE, max_workspace_gib: float = 8.0) -> DataFrame:
+    """One row for each group and point: metrics, and its members as arrays in the order of choice. One grouped map makes both.
+
+    ``pool`` (window_id) limits the candidates; ``allocation`` (group_id, n, k) says how many rows each group keeps, and which groups take part.
+    """
     if pool is not None:
         windows = windows.join(pool.select("window_id"), "window_id", "left_semi")
-    return prepare(windows, group, eta, allocation).groupBy("group_id").applyInArrow(_run(points, direction, eta, epsilon, False), ROWS)
+    return prepare(windows, group, eta, allocation, max_workspace_gib).groupBy("group_id").applyInArrow(_sweep(points, direction, epsilon, tie, BATCH_BYTES), SWEEP)
+
+
+def members_of(runs: DataFrame) -> DataFrame:
+    """Memberships of such rows: one for each selected window, with its rank from 0."""
+    x = F.posexplode(F.arrays_zip("row_ids", "gains", "utilities", "losses")).alias("rank", "x")
+    return runs.select("group_id", "kernel", "w", x).select("group_id", "kernel", "w", F.col("x.row_ids").alias("row_id"), "rank", F.col("x.gains").alias("gain"), F.col("x.utilities").alias("utility"), F.col("x.losses").alias("recon_loss"))
+
+
+def metrics_of(runs: DataFrame) -> DataFrame:
+    return runs.select(*[f.split(" ")[0] for f in _METRICS.split(", ")])
+
+
+def select(*args, **kwargs) -> DataFrame:
+    """Memberships of a sweep: :func:`sweep_runs`, then :func:`members_of`."""
+    return members_of(sweep_runs(*args, **kwargs))
 
 
-def run_metrics(windows: DataFrame, group: str, points: list[Point], direction: str, eta: float, epsilon: float = EPSILON, allocation: DataFrame | None = None) -> DataFrame:
-    """One row for each point and group."""
-    return prepare(windows, group, eta, allocation).groupBy("group_id").applyInArrow(_run(points, direction, eta, epsilon, True), RUN_COLUMNS)
+def run_metrics(*args, **kwargs) -> DataFrame:
+    """Metrics of a sweep: :func:`sweep_runs`, then :func:`metrics_of`."""
+    return metrics_of(sweep_runs(*args, **kwargs))

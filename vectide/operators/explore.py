@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectide.functions.text import TAG_SEPARATOR, canonical_tags
@@ -38,8 +38,9 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
 def top_categories(df: DataFrame, column: str, most: int = 10, other: str = "(other)") -> DataFrame:
     """(category, count): the ``most`` frequent ones, ties by name, and all the rest."""
     counts = df.groupBy(F.col(column).alias("category")).agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.orderBy(F.desc("n"), "category"))
-    return counts.withColumn("category", F.when(place <= most, F.col("category")).otherwise(other)).groupBy("category").agg(F.sum("n").alias("count"))
+    first = counts.orderBy(F.desc("n"), "category").limit(most).select(F.col("category").alias("__c"), F.lit(True).alias("__first"))
+    named = counts.join(F.broadcast(first), F.col("category").eqNullSafe(F.col("__c")), "left")
+    return named.groupBy(F.when(F.col("__first"), F.col("category")).otherwise(other).alias("category")).agg(F.sum("n").alias("count"))
 
 
 def predicate_counts(df: DataFrame, predicates: dict[str, Column]) -> DataFrame:

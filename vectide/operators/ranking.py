@@ -67,6 +67,12 @@ def _ceil(x: float) -> int:
     return math.ceil(x)
 
 
+def rank_given(df: DataFrame, group: str, direction: str, given: DataFrame, key: str = "window_id") -> DataFrame:
+    """The first ``k`` rows of each group of ``given`` (group, k), with zero-based ``rank``."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order_of(direction, key=key))) - 1
+    return df.join(given.select(group, "k"), group).withColumn("rank", place).where(F.col("rank") < F.col("k")).drop("k")
+
+
 def with_utility(df: DataFrame, group: list[str], direction: str, loss: str = "recon_loss", name: str = "utility") -> DataFrame:
     """Min-max of the oriented loss inside ``group``; 1 where all are equal. After a ranking by the same group it shuffles nothing more."""
     v = oriented(F.col(loss), direction)
@@ -92,10 +98,14 @@ def stratified(df: DataFrame, group: str, eta: float, seed: int, key: str = "win
     return sized.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < quota(F.col("group_rows"), eta)).withColumn("utility", F.lit(1.0))
 
 
-def numpy_stratified(df: DataFrame, group: str, eta: float, seed: int, key: str = "window_id") -> DataFrame:
-    """The baseline as numpy draws it: default_rng(seed + group).choice without replacement over rows in key order; (group, key, rank)."""
+def numpy_stratified(df: DataFrame, group: str, eta: float, seed: int, key: str = "window_id", given: DataFrame | None = None) -> DataFrame:
+    """The baseline as numpy draws it: default_rng(seed + group).choice without replacement over rows in key order; (group, key, rank).
+
+    ``given`` (group, k) says how many rows each group keeps; without it ``eta`` does.
+    """
     import pyarrow as pa
 
+    fixed = given is not None
     group_type, key_type = (df.schema[c].dataType.simpleString() for c in (group, key))
 
     def draw(part: pa.Table) -> pa.Table:
@@ -105,8 +115,9 @@ def numpy_stratified(df: DataFrame, group: str, eta: float, seed: int, key: str
 
         part = part.sort_by(key)
         n, g = part.num_rows, part[group][0].as_py()
-        k = max(1, min(n, math.ceil(eta * n)))
+        k = part["k"][0].as_py() if fixed else max(1, min(n, math.ceil(eta * n)))
         picked = np.random.default_rng(seed + g).choice(n, k, replace=False)
         return pa.table({group: part[group].take(pa.array(picked)), key: part[key].take(pa.array(picked)), "rank": pa.array(np.arange(k), pa.int32())})
 
-    return df.select(group, key).groupBy(group).applyInArrow(draw, f"{group} {group_type}, {key} {key_type}, rank int")
+    rows = df.select(group, key) if given is None else df.select(group, key).join(given.select(group, "k"), group)
+    return rows.groupBy(group).applyInArrow(draw, f"{group} {group_type}, {key} {key_type}, rank int")

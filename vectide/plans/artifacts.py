@@ -6,12 +6,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.errors import ContractError
 from vectide.operators import dpp, knn, metrics, project, validate
+from vectide.sources.scratch import written
 
 #: Quality thresholds of coverage and percents of losses that index metrics report.
 TAUS, PERCENTS = (0.8, 0.9), (5, 25, 50, 75, 95)
@@ -59,8 +59,7 @@ def import_clustered(manifest: DataFrame, atlas_ids: DataFrame, display: DataFra
 
 def index_metrics(windows: DataFrame, members: DataFrame, keys: list[str], sample: DataFrame, published: DataFrame | None = None) -> DataFrame:
     """One row for each union of memberships: diversity, coverage, shares, loss percentiles, represented groups, overlap."""
-    # read by six aggregates; a lost block is made again from its lineage
-    rows = members.select(*keys, "window_id").join(windows, "window_id").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = written(members.select(*keys, "window_id").join(windows, "window_id"), "unions")  # read by six aggregates
     twice = rows.groupBy(*keys, "window_id").count().where("count > 1").limit(1).count()
     if twice:
         raise ContractError("a union lists a row twice")
@@ -89,29 +88,31 @@ def index_metrics(windows: DataFrame, members: DataFrame, keys: list[str], sampl
 
 
 def _union_coverage(rows: DataFrame, keys: list[str], sample: DataFrame) -> DataFrame:
-    """Coverage of each union: the sample's blocks, which are few, visit every union's rows in a task of a block."""
-    packed = sample.agg(F.collect_list("embedding").alias("v")).first()[0] or []  # the sample is bounded by its share
-    q = np.array(packed, np.float64)
-    q = q / np.linalg.norm(q, axis=1)[:, None]
-    shared = rows.sparkSession.sparkContext.broadcast(q)
+    """Coverage of each union: the sample travels in waves of bounded size past every union's rows."""
     names = [f.name for f in rows.select(*keys).schema]
 
-    def best(batches):
-        held: dict[tuple, np.ndarray] = {}
-        for b in batches:
-            v = np.array(b.column("embedding").to_pylist(), np.float64)
-            v /= np.linalg.norm(v, axis=1)[:, None]
-            where: dict[tuple, list[int]] = {}
-            for i, k in enumerate(zip(*[b.column(n).to_pylist() for n in names], strict=True)):
-                where.setdefault(k, []).append(i)
-            for k, some in where.items():
-                top = (shared.value @ v[some].T).max(1)
-                held[k] = np.maximum(held[k], top) if k in held else top
-        for k, top in held.items():
-            yield pa.RecordBatch.from_pydict({**{n: [x] for n, x in zip(names, k, strict=True)}, "best": [top.tolist()]})
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", best array<double>"
-    flat = rows.select(*keys, "embedding").mapInArrow(best, schema).select(*keys, F.posexplode("best").alias("i", "c")).groupBy(*keys, "i").agg(F.max("c").alias("c"))
+    def worker(shared):
+        def run(batches):
+            q = knn.unit(knn.matrix(shared.value["v"]))
+            held: dict[tuple, np.ndarray] = {}
+            for b in batches:
+                v = knn.unit(knn.matrix(b.column("embedding")))
+                where: dict[tuple, list[int]] = {}
+                for i, k in enumerate(zip(*[b.column(n).to_pylist() for n in names], strict=True)):
+                    where.setdefault(k, []).append(i)
+                for k, some in where.items():
+                    top = (q @ v[some].T).max(1)
+                    held[k] = np.maximum(held[k], top) if k in held else top
+            for k, top in held.items():
+                yield pa.RecordBatch.from_pydict({**{n: pa.array([x], t) for n, x, t in zip(names, k, kinds, strict=True)}, "ids": [shared.value["id"].to_pylist()], "best": [top.tolist()]})
+
+        return run
+
+    kinds = [{"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64()}[f.dataType.simpleString()] for f in rows.select(*keys).schema]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", ids array<string>, best array<double>"
+    columns = [F.col("window_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")]
+    best = knn.sweep(sample, rows.select(*keys, F.col("embedding").cast("array<double>").alias("embedding")), columns, worker, schema, knn.WAVE_BYTES)
+    flat = best.select(*keys, F.explode(F.arrays_zip("ids", "best")).alias("x")).groupBy(*keys, F.col("x.ids").alias("i")).agg(F.max("x.best").alias("c"))
     return flat.groupBy(*keys).agg(*[F.avg((F.col("c") >= t).cast("double")).alias(f"coverage_{int(100 * t):03d}") for t in TAUS])
 
 
@@ -126,10 +127,8 @@ def pivot_probe(windows: DataFrame, seeds: int = 64, seed: int = 20260922, sizes
         part = part.sort_by("place")
         v = np.array(part["embedding"].to_pylist(), np.float64)
         g = dpp.gram(v)
-        kernel = dpp.Kernel(g, np.ones(len(g)), dpp.Point(dpp.MULTIPLICATIVE, 0.0))
         k = min(len(g), steps)
-        _, gains, _ = dpp.greedy(kernel, k, np.arange(len(g)), tie=0.0)
-        p = np.exp(gains)
+        p = np.exp(dpp.choose(g, np.ones(len(g)), [dpp.Point(dpp.MULTIPLICATIVE, 0.0)], k, tie=0.0).gains[0])
         below = np.flatnonzero(p <= threshold)
         u = v / np.linalg.norm(v, axis=1)[:, None]
         e = np.clip(np.linalg.eigvalsh(u @ u.T), 0, None)

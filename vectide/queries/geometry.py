@@ -164,6 +164,17 @@ def g12(spark: SparkSession, d: str) -> DataFrame:
     return validate.partition_violations(_grouped(spark, d), 30, 120).drop("groups")
 
 
+@query("g12_broken_partition", with_windows("WITH g AS (SELECT window_id, big_recording_index AS g, count(*) OVER (PARTITION BY big_recording_index) + CASE WHEN vec_id % 90 = 0 THEN 1 ELSE 0 END AS s FROM windows UNION ALL SELECT window_id, 99, 7 FROM windows WHERE vec_id % 50 = 0), p AS (SELECT g, count(*) AS n, min(s) AS a, max(s) AS z FROM g GROUP BY 1) SELECT (SELECT count(*) FROM g) AS rows, (SELECT count(*) - count(DISTINCT window_id) FROM g) AS repeated, count(*) AS groups, count(*) FILTER (n < 45) AS small, count(*) FILTER (n > 55) AS large, count(*) FILTER (n <> a OR n <> z) AS size_differs FROM p"))
+def g12b(spark: SparkSession, d: str) -> DataFrame:
+    """Groups that break every rule."""
+    w = windows(spark, d)
+    sizes = w.groupBy("big_recording_index").agg(F.count(F.lit(1)).alias("n"))
+    size = F.col("n") + F.when(F.col("vec_id") % 90 == 0, 1).otherwise(0)
+    good = w.join(sizes, "big_recording_index").select(F.col("window_id").alias("row_id"), F.col("big_recording_index").alias("group_id"), size.alias("group_size"))
+    twice = w.where("vec_id % 50 = 0").select(F.col("window_id").alias("row_id"), F.lit(99).cast("long").alias("group_id"), F.lit(7).cast("long").alias("group_size"))
+    return validate.partition_violations(good.unionAll(twice), 45, 55)
+
+
 @query("a28_group_sizes", with_windows("WITH s AS (SELECT big_recording_index AS g, count(*) AS n FROM windows GROUP BY 1) SELECT round(min(n), 6) AS p0, round(quantile_cont(n, 0.05), 6) AS p5, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.95), 6) AS p95, round(avg(CASE WHEN n >= 50 THEN 1.0::DOUBLE ELSE 0 END), 6) AS large FROM s".replace("round(min(n), 6)", "CAST(min(n) AS DOUBLE)")))
 def a28(spark: SparkSession, d: str) -> DataFrame:
     s = windows(spark, d).groupBy("big_recording_index").agg(F.count(F.lit(1)).alias("n"))
@@ -218,10 +229,10 @@ def m2(spark: SparkSession, d: str) -> DataFrame:
     return views.stride_sample(windows(spark, d), F.col("recon_loss") > 100, "vec_id", 13).select("window_id")
 
 
-@query("m3_display_vectors", with_windows("SELECT window_id, round(embedding[1], 6) AS first FROM windows WHERE recon_loss > 100"))
+@query("m3_display_vectors", with_windows("SELECT window_id, array_to_string(list_transform(embedding, lambda x: CAST(round(x * 1000) AS BIGINT)), ',') AS vector FROM windows WHERE recon_loss > 100"))
 def m3(spark: SparkSession, d: str) -> DataFrame:
     w = windows(spark, d)
-    return artifacts.display_vectors(w, w.where("recon_loss > 100").select("window_id")).select("window_id", F.round(F.col("embedding")[0], 6).alias("first"))
+    return artifacts.display_vectors(w, w.where("recon_loss > 100").select("window_id")).select("window_id", F.array_join(F.transform("embedding", lambda x: F.round(x * 1000).cast("long").cast("string")), ",").alias("vector"))
 
 
 @query("m4_finalised_set", with_windows("SELECT window_id AS row_id, CAST(dense_rank() OVER (ORDER BY f) - 1 AS INTEGER) AS group_id, CAST(n AS INTEGER) AS group_size FROM (SELECT window_id, min(window_id) OVER (PARTITION BY dataset) AS f, count(*) OVER (PARTITION BY dataset) AS n FROM windows)"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.functions import sampling, text
 from vectide.operators import validate
+from vectide.operators.order import numbered
 from vectide.queries.registry import both, load, query, shared_path, windows, with_windows
 from vectide.schema import SELECTIONS, conform
 from vectide.sources import readers, sinks
@@ -271,7 +272,11 @@ both("a31_counts_by_method", "SELECT count(*) FILTER (WHERE o_orderstatus = 'F')
 
 # windows, sort, sets
 
-both("w7_global_order", "SELECT window_id, CAST(row_number() OVER (ORDER BY window_id) AS INTEGER) AS at FROM «windows»", "windows", "SELECT window_id, CAST(row_number() OVER (ORDER BY window_id) AS INTEGER) AS at FROM {windows}")
+@query("w7_global_order", with_windows("SELECT window_id, CAST(row_number() OVER (ORDER BY window_id) AS INTEGER) AS at FROM windows"))
+def w7(spark: SparkSession, d: str) -> DataFrame:
+    return numbered(windows(spark, d).select("window_id"), "window_id").select("window_id", (F.col("number") + 1).cast("int").alias("at"))
+
+
 both("w8_neighbours", "SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS after FROM «orders»", "orders")
 both("o1_order_nulls_first", "SELECT n_name, s_suppkey FROM «nation» LEFT JOIN (SELECT * FROM «supplier» WHERE s_acctbal > 8000) s ON s_nationkey = n_nationkey ORDER BY s_suppkey NULLS FIRST, n_name", "nation supplier")
 
@@ -341,6 +346,3 @@ def k1(spark: SparkSession, d: str) -> DataFrame:
     s = load(spark, d, "supplier")
     sinks.write_tables({f"{base}-a": s.select("s_suppkey"), f"{base}-b": s.select("s_suppkey", "s_acctbal")})
     return spark.read.parquet(f"{base}-a").join(spark.read.parquet(f"{base}-b"), "s_suppkey")
-
-
-_ = Window

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions.vectors import dot
 from vectide.operators import allocate, dpp, metrics, overlay, ranking, validate
-from vectide.plans import jobs
+from vectide.plans import jobs, selections
 from vectide.queries.registry import load, query, shared_path, windows, with_windows
 from vectide.sources import sinks
 
@@ -111,7 +111,7 @@ def d3b(spark: SparkSession, d: str) -> DataFrame:
 # diverse subsets
 
 
-def greedy_sql(kernel: str, w: float, eta: float = 0.1, direction: str = "top", pool: str = "windows", more: str = "") -> str:
+def greedy_sql(kernel: str, w: float, eta: float = 0.1, direction: str = "top", pool: str = "windows", more: str = "", given: str = "") -> str:
     """Greedy selection as a recursive query over residuals and factors: an independent check."""
     sign = "" if direction == "top" else "-"
     mult = kernel == "multiplicative"
@@ -119,13 +119,13 @@ def greedy_sql(kernel: str, w: float, eta: float = 0.1, direction: str = "top",
     cosine = "(list_inner_product(x, wx) / (nrm * wn) + CASE WHEN id = wid THEN 1e-6::DOUBLE ELSE 0 END)"
     entry = f"wt * wwt * {cosine}" if mult else f"(CASE WHEN id = wid THEN ut + 1e-6::DOUBLE ELSE 0 END + {w}::DOUBLE * {cosine})"
     return f"""WITH RECURSIVE {more} base AS (SELECT window_id AS id, big_recording_index AS g, embedding AS x, {sign}recon_loss AS loss FROM {pool}),
- u AS (SELECT *, CASE WHEN max(loss) OVER p = min(loss) OVER p THEN 1.0::DOUBLE ELSE (loss - min(loss) OVER p) / (max(loss) OVER p - min(loss) OVER p) END AS ut, greatest(1, least(count(*) OVER p, CAST(ceil({eta}::DOUBLE * count(*) OVER p) AS BIGINT))) AS k FROM base WINDOW p AS (PARTITION BY g)),
+ u AS (SELECT *, CASE WHEN max(loss) OVER p = min(loss) OVER p THEN 1.0::DOUBLE ELSE (loss - min(loss) OVER p) / (max(loss) OVER p - min(loss) OVER p) END AS ut, {given or f"greatest(1, least(count(*) OVER p, CAST(ceil({eta}::DOUBLE * count(*) OVER p) AS BIGINT)))"} AS k FROM base WINDOW p AS (PARTITION BY g)),
  q AS (SELECT id, g, k, x, ut, sqrt(list_inner_product(x, x)) AS nrm, exp({w}::DOUBLE * (ut - 1.0)) AS wt FROM u),
  st AS (SELECT g, id, k, x, nrm, wt, ut, {start} AS r, []::DOUBLE[] AS c, false AS sel, 0 AS step, NULL::VARCHAR AS win, NULL::DOUBLE AS gain FROM q
   UNION ALL SELECT g, id, k, x, nrm, wt, ut, r - e * e, list_append(c, e), sel OR id = wid, step + 1, wid, ln(greatest(wr, 1e-6)) FROM (
    SELECT *, ({entry} - CASE WHEN step = 0 THEN 0 ELSE list_inner_product(c, wc) END) / sqrt(greatest(wr, 1e-6)) AS e FROM (
     SELECT *, o.id AS wid, o.r AS wr, o.c AS wc, o.x AS wx, o.wt AS wwt, o.nrm AS wn FROM (
-     SELECT *, first_value({{'id': id, 'r': r, 'c': c, 'x': x, 'wt': wt, 'nrm': nrm}}) OVER (PARTITION BY g ORDER BY sel, round(r, 9) DESC, id) AS o FROM st WHERE step < k)))),
+     SELECT *, first_value({{'id': id, 'r': r, 'c': c, 'x': x, 'wt': wt, 'nrm': nrm}}) OVER (PARTITION BY g ORDER BY sel, round(ln(greatest(r, 1e-300)), 9) DESC, id) AS o FROM st WHERE step < k)))),
  chosen AS (SELECT DISTINCT g AS group_id, CAST(step - 1 AS INTEGER) AS rank, win AS row_id, round(gain, 6) AS gain FROM st WHERE step > 0)"""
 
 
@@ -174,23 +174,92 @@ def d4(spark: SparkSession, d: str) -> DataFrame:
     return u.join(F.broadcast(sums.select("g", F.col("v.s").alias("s"))), "g").select("window_id", F.round(dot(F.col("unit"), F.col("s")) + 1e-6, 5).alias("total"))
 
 
-@query("d12_sweep_memberships")
+SWEEP = {"multiplicative": [0, 4, 64], "additive": [0.1, 1, 30]}
+
+
+def _sweep_sql(columns: str) -> str:
+    """``columns`` of each point's chosen rows, each point by its own recursive query."""
+    return " UNION ALL ".join(f"SELECT '{k}' AS kernel, {w}::DOUBLE AS w, * FROM ({with_windows(greedy_sql(k, float(w)) + columns)})" for k, ws in SWEEP.items() for w in ws)
+
+
+_MEMBERS = " SELECT group_id, rank, row_id, gain, round(ut, 6) AS utility, recon_loss FROM chosen JOIN u ON id = row_id JOIN windows ON window_id = row_id"
+
+
+@query("d12_sweep_memberships", _sweep_sql(_MEMBERS))
 def d12(spark: SparkSession, d: str) -> DataFrame:
-    points = dpp.sweep({"multiplicative": [0, 4, 64], "additive": [0.1, 1, 30]})
-    return dpp.select(windows(spark, d), "big_recording_index", points, "top", 0.1)
+    out = dpp.select(windows(spark, d), "big_recording_index", dpp.sweep(SWEEP), "top", 0.1)
+    return out.select("kernel", "w", "group_id", "rank", "row_id", F.round("gain", 6).alias("gain"), F.round("utility", 6).alias("utility"), "recon_loss")
 
 
-@query("d11_run_metrics")
+_RUNS = """, o AS (SELECT c.group_id, exp(c.gain) / s.r AS share, c.row_id FROM chosen c JOIN st s ON s.id = c.row_id AND s.step = 0),
+ z AS (SELECT a.group_id, avg(list_inner_product(x.x, y.x) / (x.nrm * y.nrm)) AS mean_cosine FROM chosen a JOIN chosen b ON a.group_id = b.group_id AND a.row_id <> b.row_id JOIN q x ON x.id = a.row_id JOIN q y ON y.id = b.row_id GROUP BY 1)
+ SELECT o.group_id, any_value(n.candidates) AS candidates, count(*) AS k, round(coalesce(any_value(z.mean_cosine), 1.0::DOUBLE), 6) AS mean_cosine, CAST(count(*) FILTER (share > 1e-4) AS INTEGER) AS operational_rank,
+ CAST(count(*) FILTER (share <= 1e-5) AS INTEGER) AS n_degenerate, count(*) > count(*) FILTER (share > 1e-4) AS rank_limited
+ FROM o JOIN (SELECT big_recording_index AS g, count(*) AS candidates FROM windows GROUP BY 1) n ON n.g = o.group_id LEFT JOIN z ON z.group_id = o.group_id GROUP BY 1"""
+
+
+@query("d11_run_metrics", _sweep_sql(_RUNS))
 def d11(spark: SparkSession, d: str) -> DataFrame:
-    points = dpp.sweep({"multiplicative": [0, 4, 64], "additive": [0.1, 1, 30]})
-    return dpp.run_metrics(windows(spark, d), "big_recording_index", points, "top", 0.1)
+    out = dpp.run_metrics(windows(spark, d), "big_recording_index", dpp.sweep(SWEEP), "top", 0.1)
+    return out.select("kernel", "w", "group_id", "candidates", "k", F.round("mean_cosine", 6).alias("mean_cosine"), "operational_rank", "n_degenerate", "rank_limited")
+
 
+FLAT = "s AS (SELECT big_recording_index AS g, count(*) AS n FROM windows GROUP BY 1), t AS (SELECT CAST(round_even(0.1::DOUBLE * sum(n), 0) AS BIGINT) AS target FROM s), l AS (SELECT max(v) AS level FROM (SELECT unnest(range(100000)) AS v) WHERE (SELECT sum(least(n, v)) FROM s) <= (SELECT target FROM t)), f AS (SELECT g AS gid, least(n, (SELECT level FROM l)) + CASE WHEN n > (SELECT level FROM l) AND count(*) FILTER (n > (SELECT level FROM l)) OVER (ORDER BY g) <= (SELECT target FROM t) - (SELECT sum(least(n, (SELECT level FROM l))) FROM s) THEN 1 ELSE 0 END AS fk FROM s),"
 
-@query("d14_runs_with_allocation", with_windows("SELECT big_recording_index AS group_id, count(*) AS candidates FROM windows GROUP BY 1"))
+
+@query("d14_runs_with_allocation", with_windows(greedy_sql("additive", 1.0, more=FLAT, given="(SELECT fk FROM f WHERE gid = base.g)") + " SELECT group_id, rank, row_id, round(gain, 6) AS gain, count(*) OVER (PARTITION BY group_id) AS k FROM chosen WHERE group_id <> 1"))
 def d14(spark: SparkSession, d: str) -> DataFrame:
-    sizes = windows(spark, d).groupBy(F.col("big_recording_index").alias("group_id")).agg(F.count(F.lit(1)).alias("n"))
-    given = allocate.flat(sizes, 0.1)
-    return dpp.run_metrics(windows(spark, d), "big_recording_index", [dpp.Point("additive", 1.0)], "top", 0.1, allocation=given).select("group_id", "candidates")
+    """Flat allocation over all groups; a sweep of all groups but one."""
+    w = windows(spark, d)
+    sizes = w.groupBy(F.col("big_recording_index").alias("group_id")).agg(F.count(F.lit(1)).alias("n"))
+    runs = dpp.sweep_runs(w, "big_recording_index", [dpp.Point("additive", 1.0)], "top", 0.1, allocation=allocate.flat(sizes, 0.1).where("group_id <> 1"))
+    return dpp.members_of(runs).join(runs.select("group_id", "k"), "group_id").select("group_id", "rank", "row_id", F.round("gain", 6).alias("gain"), "k")
+
+
+BUILD = {
+    "rankings": [{"id": "top", "direction": "top", "scope": "per_recording", "selection_eta": 0.2}, {"id": "low", "direction": "bottom", "scope": "per_recording", "selection_eta": 0.1}],
+    "dpp": [{"candidates": "top", "selection_eta": 0.1, "kernels": {"multiplicative": {"w_interaction": [4.0]}}}],
+}
+
+
+def _run_id_sql(text: str) -> str:
+    before, after = text.split("-1234567")
+    return f"substr(sha256('{before}' || big_recording_index || '{after}'), 1, 20)"
+
+
+def build_sql() -> str:
+    def ids(configuration: dict) -> str:
+        return _run_id_sql(sinks.canonical_json({"source_fingerprint": "source", "configuration": {**configuration, "recording": -1234567}}))
+
+    ranked = [f"SELECT {ids({'stage': 'ranking', 'definition': r})} AS run_id, '{r['id']}' AS config_id, 'ranking' AS method, NULL::DOUBLE AS w_interaction, big_recording_index, window_id, recon_loss, rank FROM r{i}" for i, r in enumerate(BUILD["rankings"])]
+    s = BUILD["dpp"][0]
+    ctes = ", ".join(ranked_sql(r["direction"], r["selection_eta"], f"r{i}") for i, r in enumerate(BUILD["rankings"]))
+    swept = f"SELECT {ids({'stage': 'dpp', 'definition': s, 'candidates': 'top', 'kernel_method': 'multiplicative', 'w_interaction': 4.0})}, 'top:multiplicative', 'dpp', 4.0::DOUBLE, big_recording_index, window_id, recon_loss, rank FROM chosen JOIN windows ON window_id = row_id"
+    return with_windows(greedy_sql("multiplicative", 4.0, more=ctes + ",") + f""", m AS ({' UNION ALL '.join([*ranked, swept])}),
+ j AS (SELECT x.g, count(*) FILTER (a AND b)::DOUBLE / count(*) AS jaccard FROM (SELECT coalesce(r0.big_recording_index, c.group_id) AS g, r0.window_id IS NOT NULL AS a, c.row_id IS NOT NULL AS b FROM r0 FULL JOIN chosen c ON c.row_id = r0.window_id) x GROUP BY 1)
+ SELECT run_id, config_id, method, w_interaction, big_recording_index, CAST(count(*) AS INTEGER) AS actual_size, round(avg(recon_loss), 6) AS mean_recon_loss, round(quantile_cont(recon_loss, 0.95), 6) AS recon_loss_q95, string_agg(window_id, ',' ORDER BY rank) AS members,
+ round(any_value(CASE WHEN method = 'dpp' THEN jaccard END), 6) AS baseline_jaccard FROM m JOIN j ON j.g = big_recording_index GROUP BY ALL""")
+
+
+@query("d14_selection_build", build_sql())
+def d14b(spark: SparkSession, d: str) -> DataFrame:
+    """Run rows of a whole configuration, with their members."""
+    members, runs = selections.selections(windows(spark, d), BUILD, "source")
+    of = members.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "row_id"))), lambda x: x.row_id), ",").alias("members"))
+    rounded = [F.round(c, 6).alias(c) for c in ("mean_recon_loss", "recon_loss_q95", "baseline_jaccard")]
+    return runs.join(of, "run_id").select("run_id", "config_id", "method", "w_interaction", "big_recording_index", "actual_size", "members", *rounded)
+
+
+@query("d18_sweep_curves", with_windows(f"WITH {ranked_sql('top', 0.2, 'r0')}, {ranked_sql('bottom', 0.1, 'r1')}, m AS (SELECT 'top' AS config_id, 'top' AS direction, 0.2::DOUBLE AS selection_eta, big_recording_index AS g, avg(recon_loss) AS l, count(*) AS c FROM r0 GROUP BY 4 UNION ALL SELECT 'low', 'bottom', 0.1, big_recording_index, avg(recon_loss), count(*) FROM r1 GROUP BY 4), s AS (SELECT config_id, direction, selection_eta, list_sort(list(l)) AS v, count(*) AS n, avg(c) AS size, avg(l) AS mean FROM m GROUP BY 1, 2, 3) SELECT config_id, direction, selection_eta, CAST(n AS INTEGER) AS recording_count, round(mean, 6) AS mean_recon_loss_mean, round((v[1 + (n - 1) // 2] + v[1 + n // 2]) / 2, 6) AS mean_recon_loss_median, round(v[1 + CAST(floor(0.25::DOUBLE * (n - 1)) AS BIGINT)], 6) AS mean_recon_loss_q25, round(v[1 + CAST(floor(0.75::DOUBLE * (n - 1)) AS BIGINT)], 6) AS mean_recon_loss_q75, round(size, 6) AS actual_size_mean FROM s"))
+def d18(spark: SparkSession, d: str) -> DataFrame:
+    """Two tasks built, joined to one result, and its curves."""
+    base = shared_path(spark, "sweep")
+    tasks = {r["id"]: f"{base}/{r['id']}" for r in BUILD["rankings"]}
+    for r in BUILD["rankings"]:
+        selections.build(windows(spark, d), {"rankings": [r]}, "source", tasks[r["id"]])
+    selections.aggregate(spark, tasks, base, BUILD, "source")
+    out = spark.read.parquet(f"{base}/curve_summary.parquet")
+    return out.select("config_id", "direction", "selection_eta", "recording_count", *[F.round(c, 6).alias(c) for c in ("mean_recon_loss_mean", "mean_recon_loss_median", "mean_recon_loss_q25", "mean_recon_loss_q75", "actual_size_mean")])
 
 
 @query("d15_run_ids", "SELECT w, substr(sha256('{\"configuration\":{\"direction\":\"top\",\"eta\":0.1,\"kernel\":\"additive\",\"w\":' || w || '},\"source_fingerprint\":\"abc\"}'), 1, 20) AS run_id FROM (VALUES ('0.5'), ('1.5'), ('30.25')) t(w)")
@@ -324,10 +393,11 @@ def a8(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) if t == "double" and c != "w" else F.col(c) for c, t in out.dtypes])
 
 
-@query("a18_rank_limited", with_windows("SELECT DISTINCT 'additive' AS kernel, 0::BIGINT AS limited FROM windows"))
+@query("a18_rank_limited", " UNION ALL ".join(f"SELECT '{k}' AS kernel, {w}::DOUBLE AS w, count(*) FILTER (limited) AS limited FROM ({with_windows(greedy_sql(k, float(w), 0.3) + ' SELECT c.group_id, count(*) > count(*) FILTER (exp(c.gain) / s.r > 1e-4) AS limited FROM chosen c JOIN st s ON s.id = c.row_id AND s.step = 0 GROUP BY 1')})" for k, w in (("additive", 1.0), ("multiplicative", 0.0))))
 def a18(spark: SparkSession, d: str) -> DataFrame:
-    runs = dpp.run_metrics(windows(spark, d), "big_recording_index", [dpp.Point("additive", 1.0)], "top", 0.1)
-    return runs.groupBy("kernel").agg(F.count_if("rank_limited").alias("limited"))
+    """More rows are asked for than vectors have dimensions, so the multiplicative kernel runs out of directions."""
+    runs = dpp.run_metrics(windows(spark, d), "big_recording_index", [dpp.Point("additive", 1.0), dpp.Point("multiplicative", 0.0)], "top", 0.3)
+    return runs.groupBy("kernel", "w").agg(F.count_if("rank_limited").alias("limited"))
 
 
 # validation
@@ -343,19 +413,24 @@ def c2(spark: SparkSession, d: str) -> DataFrame:
     return validate.artifact_violations(windows(spark, d).drop("embedding"))
 
 
-@query("c3_membership_contract", with_windows("SELECT 0::BIGINT AS outside, 0::BIGINT AS size_differs, 0::BIGINT AS vendi_outside FROM windows LIMIT 1"))
+@query("c3_membership_contract", with_windows(f"WITH {ranked_sql('top', 0.1)}, m AS (SELECT big_recording_index AS g, window_id || CASE WHEN rank = 1 THEN 'x' ELSE '' END AS row_id FROM ranked), r AS (SELECT g, count(*) + CASE WHEN g % 2 = 0 THEN 1 ELSE 0 END AS size, CASE WHEN g % 3 = 0 THEN 0.5::DOUBLE WHEN g % 3 = 1 THEN 1.0 ELSE 1e6 END AS vendi, count(*) AS members FROM m GROUP BY 1) SELECT (SELECT count(*) FROM m WHERE row_id NOT IN (SELECT window_id FROM windows)) AS outside, count(*) FILTER (size <> members) AS size_differs, count(*) FILTER (vendi < 1 OR vendi > size) AS vendi_outside FROM r"))
 def c3(spark: SparkSession, d: str) -> DataFrame:
-    point = [dpp.Point("additive", 1.0)]
+    """Members outside the atlas, sizes and scores that are wrong on purpose."""
     w = windows(spark, d)
-    members = dpp.select(w, "big_recording_index", point, "top", 0.1).select(F.col("group_id").cast("string").alias("run_id"), "row_id")
-    runs = dpp.run_metrics(w, "big_recording_index", point, "top", 0.1).select(F.col("group_id").cast("string").alias("run_id"), F.col("k").alias("actual_size"), F.col("vendi").alias("vendi_score"))
+    g = F.col("big_recording_index")
+    members = ranking.rank(w, "big_recording_index", "top", eta=0.1).select(g.cast("string").alias("run_id"), F.concat("window_id", F.when(F.col("rank") == 1, "x").otherwise("")).alias("row_id"), g)
+    runs = members.groupBy("run_id", "big_recording_index").agg(F.count(F.lit(1)).alias("n")).select("run_id", (F.col("n") + F.when(g % 2 == 0, 1).otherwise(0)).alias("actual_size"), F.when(g % 3 == 0, 0.5).when(g % 3 == 1, 1.0).otherwise(1e6).alias("vendi_score"))
     return validate.run_violations(members, runs, w.select(F.col("window_id").alias("row_id")))
 
 
-@query("c7_population", with_windows("SELECT count(*) AS total, count(DISTINCT window_id) AS unique_ids, 0::BIGINT AS null_ids, 0::BIGINT AS missing, (SELECT count(*) FROM windows) AS atlas_rows FROM windows WHERE recon_loss > 50"))
+@query("c7_population", with_windows("WITH o AS (SELECT CASE WHEN vec_id % 7 = 0 THEN NULL WHEN vec_id % 5 = 0 THEN window_id || 'x' WHEN vec_id % 3 = 0 THEN (SELECT min(window_id) FROM windows) ELSE window_id END AS id FROM windows WHERE recon_loss > 50) SELECT count(*) AS total, count(DISTINCT id) AS unique_ids, count(*) FILTER (id IS NULL) AS null_ids, count(*) FILTER (id IS NULL OR id NOT IN (SELECT window_id FROM windows)) AS missing, (SELECT count(*) FROM windows) AS atlas_rows FROM o"))
 def c7(spark: SparkSession, d: str) -> DataFrame:
-    a = windows(spark, d).select(F.col("window_id").alias("row_id"), "recon_loss")
-    return validate.population_check(a.where("recon_loss > 50").select("row_id"), a)
+    """An overlay with null, unknown and repeated ids."""
+    w = windows(spark, d)
+    first = F.broadcast(w.agg(F.min("window_id").alias("first")))
+    v = F.col("vec_id")
+    ids = w.where("recon_loss > 50").join(first).select(F.when(v % 7 == 0, None).when(v % 5 == 0, F.concat("window_id", F.lit("x"))).when(v % 3 == 0, F.col("first")).otherwise(F.col("window_id")).alias("row_id"))
+    return validate.population_check(ids, w.select(F.col("window_id").alias("row_id")))
 
 
 @query("k6_manifest_merge", "SELECT 'a' AS key, '1' AS value UNION ALL SELECT 'b', '3' UNION ALL SELECT 'c', '4'")

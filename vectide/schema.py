@@ -17,10 +17,11 @@ SOURCE = _struct(("window_id", _S), ("big_recording_index", _L), ("session_index
 METADATA = _struct(("big_recording_index", _L), ("dataset", _S), ("modality", _S), ("sampling_rate", _D), ("n_channels", _L))
 SELECTIONS = _struct(("run_id", _S), ("row_id", _S), ("rank", _I), ("marginal_logdet_gain", _D), ("utility", _D), ("recon_loss", _F))
 RUNS = _struct(
-    ("run_id", _S), ("config_id", _S), ("method", _S), ("direction", _S), ("scope", _S), ("grouping", _S), ("group_id", _L), ("big_recording_index", _L), ("candidate_k", _L), ("selection_eta", _D),
-    ("actual_size", _I), ("kernel_method", _S), ("w_interaction", _D), ("epsilon", _D), ("log_det", _D), ("vendi_score", _D), ("vendi_score_normalized", _D), ("mean_pairwise_cosine", _D), ("mean_recon_loss", _D),
-    ("median_recon_loss", _D), ("min_recon_loss", _D), ("max_recon_loss", _D), ("mean_utility", _D), *((f"recon_loss_q{q}", _D) for q in (1, 5, 25, 50, 75, 95, 99)), ("baseline_jaccard", _D),
-    ("adjacent_jaccard", _D), ("operational_rank", _I), ("n_degenerate", _I), ("rank_limited", _B), ("greedy_order", T.ArrayType(_I)), ("marginal_logdet_gains", T.ArrayType(_D)),
+    ("run_id", _S), ("config_id", _S), ("method", _S), ("direction", _S), ("scope", _S), ("candidate_run_id", _S), ("big_recording_index", _L), ("grouping", _S), ("group_id", _L), ("allocation", _S), ("candidate_k", _I),
+    ("selection_eta", _D), ("actual_size", _I), ("operational_rank", _I), ("n_degenerate_steps", _I), ("rank_limited", _B), ("kernel_method", _S), ("w_interaction", _D), ("vendi_score", _D), ("vendi_score_normalized", _D),
+    ("mean_pairwise_cosine", _D), ("log_det", _D), ("mean_recon_loss", _D), ("median_recon_loss", _D), ("min_recon_loss", _D), ("max_recon_loss", _D), ("mean_utility", _D),
+    *((f"recon_loss_q{q}", _D) for q in (1, 5, 25, 50, 75, 95, 99)), ("baseline_jaccard", _D), ("adjacent_jaccard", _D), ("seed", _L), ("epsilon", _D), ("solver_backend", _S), ("device", _S), ("source_fingerprint", _S),
+    ("configuration_fingerprint", _S), ("greedy_order", T.ArrayType(_I)), ("marginal_logdet_gains", T.ArrayType(_D)),
 )
 CURVES = _struct(
     ("config_id", _S), ("method", _S), ("direction", _S), ("scope", _S), ("selection_eta", _D), ("kernel_method", _S), ("w_interaction", _D), ("recording_count", _I),
