@@ -44,79 +44,90 @@ def mean_cosine(df: DataFrame, group: list[str], vector: str = "embedding") -> D
     return sums.groupBy(*group).agg(F.max("n").alias("n"), F.when(F.max("n") == 1, 1.0).otherwise((F.sum(F.col("s") * F.col("s")) - n) / (n * (n - 1))).alias("mean_cosine"))
 
 
+#: Bytes of matrices that a task holds before it sends them.
+GRAM_BYTES = 64 << 20
+
+
 def _partial_gram(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
+
+        def sent() -> pa.RecordBatch:
+            keys = list(zip(*held, strict=True)) if groups else []
+            counts, grams = zip(*held.values(), strict=True)
+            return pa.RecordBatch.from_arrays([*[pa.array(k, t) for k, t in zip(keys, kinds, strict=True)], pa.array(counts, pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())], [*[f"k{i}" for i in range(groups)], "n", "g"])
+
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = [batch.column(i).type for i in range(groups)]
             keys = list(zip(*[batch.column(i).to_pylist() for i in range(groups)], strict=True)) if groups else [()] * batch.num_rows
-            x = np.array(batch.column(groups).to_pylist(), np.float64)
+            x = batch.column(groups).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             where: dict[tuple, list[int]] = {}
             for i, k in enumerate(keys):
                 where.setdefault(k, []).append(i)
             for k, rows in where.items():
-                part = x[rows]
-                n, g = held.setdefault(k, [0, np.zeros((x.shape[1], x.shape[1]))])
-                held[k] = [n + len(rows), g + part.T @ part]
-        for k, (n, g) in held.items():
-            yield pa.RecordBatch.from_pydict({**{f"k{i}": [v] for i, v in enumerate(k)}, "n": pa.array([n], pa.int64()), "g": [g.ravel().tolist()]})
+                n, g = held.get(k, (0, 0.0))
+                held[k] = [n + len(rows), g + x[rows].T @ x[rows]]
+                if len(held) * x.shape[1] ** 2 * 8 > GRAM_BYTES:
+                    yield sent()
+                    held.clear()
+        if held:
+            yield sent()
+
+    return run
+
+
+def _scored(score, names: list[str]):
+    """Adds up a group's matrices as they come, one held at a time, and gives what ``score`` makes of the sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, keys = 0, 0.0, None
+        for batch in batches:
+            for many, raw in zip(batch.column("n").to_pylist(), batch.column("g"), strict=True):
+                n, total = n + many, total + np.frombuffer(raw.as_buffer(), np.float64)
+            keys = keys or [(name, batch.column(i).slice(0, 1)) for i, name in enumerate(batch.schema.names) if name not in ("n", "g")]
+        d = int(round(len(total) ** 0.5))
+        made = score(total.reshape(d, d), n)
+        yield pa.RecordBatch.from_arrays([*[v for _, v in keys], pa.array([n], pa.int64()), *[pa.array([x], pa.float64()) for x in made]], [*[k for k, _ in keys], "n", *names])
 
     return run
 
 
-def dual_gram(df: DataFrame, group: list[str], vector: str = "embedding") -> DataFrame:
-    """Sum of u u^T of each group, d x d, as rows (group, i, x, n): partial sums in tasks, then an aggregate."""
+def _of_dual(df: DataFrame, group: list[str], vector: str, score, names: list[str]) -> DataFrame:
+    """(group, n, numbers that ``score`` makes of each group's sum of u u^T, d x d, and size): partial sums in tasks, sent as bytes."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([f"k{i} {kinds[g]}" for i, g in enumerate(group)] + ["n long", "g array<double>"])
-    parts = unit_rows(df, vector).select(*group, "unit").mapInArrow(_partial_gram(len(group)), schema)
-    keys = [F.col(f"k{i}").alias(g) for i, g in enumerate(group)]
-    return parts.select(*keys, "n", F.posexplode("g").alias("i", "x")).groupBy(*group, "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    keys = ", ".join(f"k{i} {kinds[g]}" for i, g in enumerate(group))
+    parts = unit_rows(df, vector).select(*group, "unit").mapInArrow(_partial_gram(len(group)), f"{keys}, n long, g binary")
+    names_of = {f"k{i}": g for i, g in enumerate(group)}
+    return parts.groupBy(*names_of).applyInArrow(_scored(score, names), f"{keys}, n long, " + ", ".join(f"{x} double" for x in names)).withColumnsRenamed(names_of)
 
 
 def union_vendi(df: DataFrame, group: list[str], vector: str = "embedding") -> DataFrame:
     """Vendi score of sets of any size by the d x d dual; no jitter, no clamp."""
-    names = {f.name: f.dataType.simpleString() for f in df.schema}
-    entries = dual_gram(df, group, vector)
-
-    def score(key: tuple, part: pa.Table) -> pa.Table:
-        part = part.sort_by("i")
-        x, n = part["x"].to_numpy(), part["n"][0].as_py()
-        d = int(round(len(x) ** 0.5))
-        values = np.clip(np.linalg.eigvalsh(x.reshape(d, d) / n), 0, None)
-        return pa.table({**{g: pa.array([k.as_py()]) for g, k in zip(group, key, strict=True)}, "n": pa.array([n], pa.int64()), "vendi": pa.array([entropy_rank(values)])})
-
-    return entries.groupBy(*group).applyInArrow(score, ", ".join([f"{g} {names[g]}" for g in group] + ["n long", "vendi double"]))
+    return _of_dual(df, group, vector, lambda g, n: (entropy_rank(np.clip(np.linalg.eigvalsh(g / n), 0, None)),), ["vendi"])
 
 
 def group_vendi(df: DataFrame, group: str, vector: str = "embedding", epsilon: float = 1e-6) -> DataFrame:
-    """(group, n, vendi, vendi_normalized) of whole groups, from the cosine matrix or, where that is larger than the dual, its dual.
+    """(group, n, vendi, vendi_normalized) of whole groups by their duals.
 
     The n cosine eigenvalues are the dual's and n - d zeros, each with epsilon added, so a group of any size needs d x d numbers.
     """
-    kind = df.schema[group].dataType.simpleString()
-    entries = dual_gram(df, [group], vector)
-
-    def score(key: tuple, part: pa.Table) -> pa.Table:
-        part = part.sort_by("i")
-        x, n = part["x"].to_numpy(), part["n"][0].as_py()
-        d = int(round(len(x) ** 0.5))
-        values = np.clip(np.linalg.eigvalsh(x.reshape(d, d)), 0, None)
-        values = np.sort(values)[::-1][: min(n, d)] + epsilon
+
+    def score(g: np.ndarray, n: int) -> tuple[float, float]:
+        values = np.sort(np.clip(np.linalg.eigvalsh(g), 0, None))[::-1][: min(n, len(g))] + epsilon
         rest = max(0, n - len(values))
         total = values.sum() + rest * epsilon
         h = -(values / total * np.log(values / total)).sum() - rest * (epsilon / total * np.log(epsilon / total))
         v = min(float(n), max(1.0, float(np.exp(h))))
-        return pa.table({group: pa.array([key[0].as_py()]), "n": pa.array([n], pa.int64()), "vendi": pa.array([v]), "vendi_normalized": pa.array([v / n])})
+        return v, v / n
 
-    return entries.groupBy(group).applyInArrow(score, f"{group} {kind}, n long, vendi double, vendi_normalized double")
+    return _of_dual(df, [group], vector, score, ["vendi", "vendi_normalized"])
 
 
 def participation(df: DataFrame, group: list[str], vector: str = "embedding") -> DataFrame:
-    """(sum of eigenvalues)^2 / sum of their squares, from the trace and the entries of the dual."""
-    e = dual_gram(df, group, vector)
-    d = F.sqrt(F.count(F.lit(1)).cast("double")).cast("int")
-    sizes = e.groupBy(*group).agg(d.alias("d"), F.max("n").alias("n"), F.sum(F.col("x") * F.col("x")).alias("square"))
-    # unit rows: the trace is the number of rows
-    return sizes.select(*group, "n", (F.col("n").cast("double") * F.col("n").cast("double") / F.col("square")).alias("participation"))
+    """(sum of eigenvalues)^2 / sum of their squares, from the trace and the entries of the dual. Unit rows: the trace is their number."""
+    return _of_dual(df, group, vector, lambda g, n: (n * n / float((g * g).sum()),), ["participation"])
 
 
 def jaccard_counts(left: Column, right: Column, both: Column) -> Column:

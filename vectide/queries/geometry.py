@@ -194,7 +194,7 @@ def w10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x1_projection")
 def x1(spark: SparkSession, d: str) -> DataFrame:
-    return project.project(windows(spark, d), sample=300)
+    return project.project(windows(spark, d))
 
 
 @query("x5_realigned", with_windows("SELECT window_id, round(embedding[1], 6) AS projection_x, round(embedding[2], 6) AS projection_y, dataset FROM windows"))
@@ -207,12 +207,16 @@ def x5(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d17_pivot_probe")
 def d17(spark: SparkSession, d: str) -> DataFrame:
-    return artifacts.pivot_probe(windows(spark, d), seeds=8, sizes=(16, 32))
+    return artifacts.pivot_probe(windows(spark, d))
 
 
-@query("a25_probe_summary")
+@query("a25_probe_summary", with_windows("WITH p AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 16 ELSE 32 END AS size, vec_id % 17 AS r, abs(embedding[1]) AS part, embedding[2] AS kth FROM windows) SELECT CAST(size AS INTEGER) AS size, round(quantile_cont(r, 0.05), 6) AS r_op_p5, round(quantile_cont(r, 0.5), 6) AS r_op_median, CAST(min(r) AS INTEGER) AS r_op_min, CAST(max(r) AS INTEGER) AS r_op_max, round(quantile_cont(part, 0.5), 6) AS participation_median, round(quantile_cont(part, 0.05), 6) AS participation_p5, round(quantile_cont(kth, 0.5), 6) AS kth_cosine_median, CAST(ceil(0.1::DOUBLE * size) AS BIGINT) AS request_k, ceil(0.1::DOUBLE * size) <= 0.9 * quantile_cont(r, 0.05) AS passes_rule FROM p GROUP BY size"))
 def a25(spark: SparkSession, d: str) -> DataFrame:
-    return artifacts.probe_summary(artifacts.pivot_probe(windows(spark, d), seeds=8, sizes=(16, 32)), 0.1)
+    """The summary of a probe that the tables give."""
+    v = F.col("vec_id")
+    probe = windows(spark, d).select(F.col("window_id").alias("seed_row"), F.when(v % 2 == 0, 16).otherwise(32).alias("size"), (v % 17).cast("int").alias("r_op"), F.abs(F.col("embedding")[0]).alias("participation_ratio"), F.col("embedding")[1].alias("kth_cosine"))
+    out = artifacts.probe_summary(probe, 0.1)
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 # composites
@@ -220,7 +224,7 @@ def a25(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m1_atlas", with_windows('SELECT window_id AS row_id, window_id, CAST(recon_loss AS FLOAT) AS recon_loss, big_recording_index, session_index, "offset", dataset, modality, n_channels, count(*) OVER () AS rows FROM windows'))
 def m1(spark: SparkSession, d: str) -> DataFrame:
-    out = artifacts.atlas(windows(spark, d), sample=300)
+    out = artifacts.atlas(windows(spark, d))
     return out.where(F.col("projection_x").isNotNull()).join(F.broadcast(out.agg(F.count(F.lit(1)).alias("rows")))).drop("projection_x", "projection_y")
 
 
