@@ -189,11 +189,19 @@ def brute_top_k(rows: list, k: int) -> dict:
     return out
 
 
+def test_top_k_beyond_64_bits_is_refused(spark) -> None:
+    q = topk.quantise(spark.createDataFrame([(20, [1e9, 1e9]), (1, [1e9, 1e9]), (2, [2e9, 1e9])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="64 bits"):
+        topk.exact_top_k(q, q.where(F.col("vec_id") % 20 == 0), 1).collect()
+
+
+@pytest.mark.parametrize("wave", [1 << 25, 500])
 @pytest.mark.parametrize("spread", [0.0, 0.2, 1.0, 3.0])
-def test_top_k_prunes_without_loss(spark, spread: float) -> None:
+def test_top_k_prunes_without_loss(spark, monkeypatch, spread: float, wave: int) -> None:
     """Long and short vectors, many equal ones, several buckets and blocks."""
     import numpy as np
 
+    monkeypatch.setattr(topk, "WAVE_BYTES", wave)
     r = np.random.default_rng(5)
     size = np.exp(spread * r.normal(size=400))
     v = r.normal(size=(400, 6)) * size[:, None]

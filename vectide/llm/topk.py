@@ -1,13 +1,13 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Vectors are quantised to integers, sorted by length and cut into buckets of bounded size. Queries travel in
-blocks. The longest bucket first gives every query a threshold: its k-th score so far. For any other bucket the
+blocks, in waves of bounded size, past buckets that stay. The longest bucket first gives every query a threshold: its k-th score so far. For any other bucket the
 threshold becomes a local cosine threshold, theta / (|q| * longest length in the bucket). Above 1, the bucket
 is skipped; if it is high, intervals of the query's largest coordinates select candidates from sorted lists; if
 it is low, only lengths prune. What is left is verified by exact integer products, so no result is lost.
 
 Defined results: a vector that is null, or holds a null or a non-finite component, takes no part, nor does a null
-vec_id; of rows that repeat a vec_id the smallest quantised vector counts; shorter vectors are padded with zeros;
+vec_id; an inner product beyond 64 bits stops the query with OverflowError, as it would be ranked wrongly; of rows that repeat a vec_id the smallest quantised vector counts; shorter vectors are padded with zeros;
 equal scores go to the smaller vec_id; an empty table gives no rows; other columns are ignored.
 """
 
@@ -20,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import bounded_batches, discard, save, table
+from vectide.llm.common import bounded_batches, discard, save, table, trimmed
 
 #: Vectors in a bucket and queries in a block: what a task holds of either.
 BUCKET_ROWS, QUERY_ROWS = 4096, 512
+#: Bytes of query blocks that are gathered and broadcast at once.
+WAVE_BYTES = 32 << 20
 #: Coordinates looked at, and the share of length candidates below which coordinate pruning is chosen.
 FOCUS, COORDINATE_SHARE = 3, 0.25
 
-PACK = "block long, ids binary, flat binary, dim int, longest double"
+PACK = "block long, ids binary, flat binary, kind string, dim int, longest double"
 HITS = "query_id long, vec_id long, score long"
 
 
@@ -71,7 +73,7 @@ def _packer(rows: int):
                 m = _matrix(part["v"].combine_chunks())
                 yield pa.RecordBatch.from_pydict({
                     "block": pa.array([base + made], pa.int64()), "ids": [part["vec_id"].to_numpy().astype("<i8").tobytes()],
-                    "flat": [m.astype("<i8").tobytes()], "dim": pa.array([m.shape[1]], pa.int32()), "longest": [float(part["norm"].to_numpy().max())],
+                    "flat": [m.astype(kind := _narrow(m)).tobytes()], "kind": [kind], "dim": pa.array([m.shape[1]], pa.int32()), "longest": [float(part["norm"].to_numpy().max())],
                 })
                 made += 1
                 held, count = rest.to_batches(), rest.num_rows
@@ -81,9 +83,15 @@ def _packer(rows: int):
     return pack
 
 
-def _unpack(ids: bytes, flat: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def _narrow(m: np.ndarray) -> str:
+    """The smallest of three integer types that holds all components."""
+    low, high = int(m.min(initial=0)), int(m.max(initial=0))
+    return next(t for t in ("<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+
+
+def _unpack(ids: bytes, flat: bytes, kind: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, "<i8")
-    return i, np.frombuffer(flat, "<i8").reshape(len(i), dim)
+    return i, np.frombuffer(flat, kind).reshape(len(i), dim).astype(np.int64)
 
 
 def _products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -92,7 +100,10 @@ def _products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     q, p = q[:, :d], p[:, :d]
     if float(np.abs(q).max(initial=0)) * float(np.abs(p).max(initial=0)) * max(d, 1) < 2.0**53:
         return (q.astype(np.float64) @ p.astype(np.float64).T).astype(np.int64)
-    return np.clip(q.astype(object) @ p.astype(object).T, -(2**63), 2**63 - 1).astype(np.int64)
+    wide = q.astype(object) @ p.astype(object).T
+    if any(not -(2**63) <= x < 2**63 for x in wide.ravel().tolist()):
+        raise OverflowError("an inner product does not fit 64 bits: use a smaller scale")
+    return wide.astype(np.int64)
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -159,38 +170,68 @@ def search_bucket(qi: np.ndarray, qm: np.ndarray, theta: np.ndarray, pi: np.ndar
     return out
 
 
-def _searcher(k: int):
+class _Held:
+    """A block of queries with its best hits so far and the threshold that they give each query."""
+
+    def __init__(self, row, k: int) -> None:
+        self.ids, self.matrix = _unpack(row["q_ids"], row["q_flat"], row["q_kind"], row["q_dim"])
+        self.theta = np.frombuffer(row["theta"], "<f8").copy() if row["theta"] else np.full(len(self.ids), -np.inf)
+        self.length, self.k = np.sqrt((self.matrix.astype(float) ** 2).sum(1)), k
+        self.order = np.argsort(self.ids)
+        self.hits = [np.zeros(0, np.int64)] * 3
+
+    def least(self) -> float:
+        """The length that a vector needs for some query."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            need = np.where(self.theta > 0, self.theta / (self.length * (1 + 1e-9)) - 1e-6, 0.0)
+        return float(need.min(initial=np.inf))
+
+    def search(self, pi: np.ndarray, pm: np.ndarray) -> None:
+        found = search_bucket(self.ids, self.matrix, self.theta, pi, pm, self.k)
+        if not found[0]:
+            return
+        query, ids, score = (np.concatenate([old, *new]) for old, new in zip(self.hits, found, strict=True))
+        order = np.lexsort((ids, -score, query))
+        query = query[order]
+        first = np.concatenate([[0], np.flatnonzero(query[1:] != query[:-1]) + 1]) if len(query) else np.zeros(0, np.int64)
+        place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        keep = place < self.k
+        self.hits = [query[keep], ids[order][keep], score[order][keep]]
+        last = place == self.k - 1
+        at = self.order[np.searchsorted(self.ids[self.order], query[last])]
+        self.theta[at] = np.maximum(self.theta[at], score[order][last])
+
+
+def _searcher(wave, k: int):
+    """All buckets of a task past a wave of query blocks; hits of one bucket tighten the thresholds for the next."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [_Held(row, k) for row in wave.value]
         for batch in batches:
             for r in batch.to_pylist():
-                qi, qm = _unpack(r["q_ids"], r["q_flat"], r["q_dim"])
-                pi, pm = _unpack(r["ids"], r["flat"], r["dim"])
-                theta = np.frombuffer(r["theta"], "<f8") if r["theta"] else np.full(len(qi), -np.inf)
-                a, b, c = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in search_bucket(qi, qm, theta, pi, pm, k))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, c)], ["query_id", "vec_id", "score"])
+                pi, pm = _unpack(r["ids"], r["flat"], r["kind"], r["dim"])
+                for block in blocks:
+                    if r["longest"] >= block.least():
+                        block.search(pi, pm)
+        for block in blocks:
+            if len(block.hits[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in block.hits], ["query_id", "vec_id", "score"])
 
-    return run
+    return trimmed(run)
 
 
-def _thresholds(k: int):
-    """Query blocks with the hits of the first bucket -> the same blocks with a threshold for each query."""
+def _thresholds(bucket, k: int):
+    """Query blocks -> the same blocks with each query's threshold from one bucket, and the length that it asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pi, pm = _unpack(*bucket.value) if bucket.value else (np.zeros(0, np.int64), np.zeros((0, 0), np.int64))
         for batch in batches:
             for r in batch.to_pylist():
-                qi, qm = _unpack(r["q_ids"], r["q_flat"], r["q_dim"])
-                pi, pm = _unpack(r["ids"], r["flat"], r["dim"])
-                theta = np.full(len(qi), -np.inf)
-                got = search_bucket(qi, qm, theta, pi, pm, k)
-                for ids, score in zip(got[0], got[2], strict=True):
-                    if len(score) == k:
-                        theta[np.flatnonzero(qi == ids[0])] = score[-1]
-                qn = np.sqrt((qm.astype(float) ** 2).sum(1))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    least = np.where(theta > 0, theta / (qn * (1 + 1e-9)) - 1e-6, 0.0)
-                yield pa.RecordBatch.from_pydict({"q_block": pa.array([r["q_block"]], pa.int64()), "q_ids": [r["q_ids"]], "q_flat": [r["q_flat"]], "q_dim": pa.array([r["q_dim"]], pa.int32()), "theta": [theta.astype("<f8").tobytes()], "least": [float(least.min(initial=np.inf))]})
+                block = _Held(r | {"theta": None}, k)
+                block.search(pi, pm)
+                yield pa.RecordBatch.from_pydict({"q_block": pa.array([r["q_block"]], pa.int64()), "q_ids": [r["q_ids"]], "q_flat": [r["q_flat"]], "q_kind": [r["q_kind"]], "q_dim": pa.array([r["q_dim"]], pa.int32()), "theta": [block.theta.astype("<f8").tobytes()], "least": [block.least()]})
 
-    return run
+    return trimmed(run)
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, bucket_rows: int = BUCKET_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -200,26 +241,35 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, bucket_rows
     """
     spark = vectors.sparkSession
     bounded_batches(spark, rows=1024, size=8 << 20)
-    held = save(vectors, "topk-vectors")
-    total = held.count()
+    stored = save(vectors, "topk-vectors")
+    total = stored.count()
     width = max(1, -(-total // bucket_rows))
     by_norm = (F.col("norm").desc(), F.col("vec_id"))
-    buckets = save(held.repartitionByRange(width, *by_norm).sortWithinPartitions(*by_norm).mapInArrow(_packer(bucket_rows), PACK), "topk-buckets")
+    buckets = save(stored.repartitionByRange(width, *by_norm).sortWithinPartitions(*by_norm).mapInArrow(_packer(bucket_rows), PACK), "topk-buckets")
     blocks = queries.repartitionByRange(max(1, -(-total // (20 * query_rows))), *by_norm).sortWithinPartitions(*by_norm).mapInArrow(_packer(query_rows), PACK)
-    blocks = blocks.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.col("dim").alias("q_dim"))
+    blocks = blocks.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.col("kind").alias("q_kind"), F.col("dim").alias("q_dim"))
     # the longest bucket is one row of at most bucket_rows vectors: its size is bounded, so it is broadcast
-    first = buckets.orderBy(F.desc("longest"), "block").limit(1)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    one = F.broadcast(first.select("ids", "flat", "dim").withColumn("one", F.lit(1)))
-    known = save(blocks.withColumn("one", F.lit(1)).join(one, "one").mapInArrow(_thresholds(k), "q_block long, q_ids binary, q_flat binary, q_dim int, theta binary, least double"), "topk-queries")
-    numbered = buckets.select("block", "longest")
-    # block-level length pruning: a block meets a bucket only if some query's threshold is in reach. The list of buckets has
-    # 16 bytes for 4096 vectors: 4 MB for a thousand million of them
-    meet = known.select("q_block", "least").join(F.broadcast(numbered), F.col("longest") >= F.col("least")).select("q_block", "block")
-    units = meet.join(known.select("q_block", "q_ids", "q_flat", "q_dim", "theta"), "q_block").join(buckets.select("block", "ids", "flat", "dim"), "block")
-    hits = units.mapInArrow(_searcher(k), HITS)
+    first = buckets.orderBy(F.desc("longest"), "block").select("ids", "flat", "kind", "dim").first()
+    one = spark.sparkContext.broadcast(None if first is None else (bytes(first["ids"]), bytes(first["flat"]), first["kind"], first["dim"]))
+    known = save(blocks.mapInArrow(_thresholds(one, k), "q_block long, q_ids binary, q_flat binary, q_kind string, q_dim int, theta binary, least double"), "topk-queries")
+    # blocks travel in waves of bounded bytes; buckets stay where they are, and those too short for a whole wave are not read. The
+    # list of blocks has 24 bytes for query_rows queries
+    waves: list[list] = []
+    held = WAVE_BYTES
+    for r in known.select("q_block", "least", (F.length("q_flat") + F.length("q_ids") + F.length("theta")).alias("size")).orderBy("least", "q_block").collect():
+        if held + r["size"] > WAVE_BYTES:
+            waves.append([])
+            held = 0
+        waves[-1].append(r)
+        held += r["size"]
+    hits = spark.createDataFrame([], HITS)
+    for wave in waves:
+        rows = [r.asDict() for r in known.where(F.col("q_block").isin([r["q_block"] for r in wave])).collect()]
+        near = buckets.where(F.col("longest") >= min(r["least"] for r in wave))
+        hits = hits.unionAll(near.mapInArrow(_searcher(spark.sparkContext.broadcast(rows), k), HITS))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    discard(held)
+    discard(stored)
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
