@@ -22,6 +22,8 @@ _LIBC = ctypes.CDLL(None)
 BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 #: A table is broadcast only if it has been counted and has at most so many rows.
 BROADCAST_ROWS = 200_000
+#: Tables of a few numbers a row are written by one task for so many shuffle partitions, twice the cores or so many tasks at least.
+NARROW, NARROW_LEAST = 8, 12
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,6 +76,16 @@ def save(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return out
 
 
+def save_narrow(df: DataFrame, name: str) -> DataFrame:
+    """:func:`save` for rows of a few numbers: fewer and larger files than the plan has partitions, without a shuffle.
+
+    For plans whose last stage reads narrow rows too: with fewer tasks, each reads more.
+    """
+    spark = df.sparkSession
+    most = max(NARROW_LEAST, 2 * spark.sparkContext.defaultParallelism, partitions(spark) // NARROW)
+    return save(df.coalesce(most), name)
+
+
 def discard(*saved: DataFrame) -> None:
     """Delete tables made by :func:`save`; nothing lazy may still read them."""
     for df in saved:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm.common import BROADCAST_ROWS, as_row, bounded_batches, file_row, save, table, trimmed
+from vectide.llm.common import BROADCAST_ROWS, as_row, bounded_batches, file_row, save, save_narrow, table, trimmed
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BITS_PER_KEY, PROBES = 16, 4
@@ -183,7 +183,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     exact = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("last")).where(F.col("docs") >= min_docs).select(F.col("key").alias("k"), "last")
     # written first: each side of the join then has a plain shuffle of its own, which AQE splits where one line is hot;
     # a table of counted size is broadcast instead
-    exact = save(exact, "line-repeats")
+    exact = save_narrow(exact, "line-repeats")
     size = exact.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("k")), F.lit(0))).first()
     exact = F.broadcast(exact) if size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_BYTES else exact
     lost = suspects.join(exact, F.col("key") == F.col("k")).where(~F.col("doc_id").eqNullSafe(F.col("last")))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import as_row, discard, save, small, table
+from vectide.llm.common import as_row, discard, save, save_narrow, small, table
 
 #: Domain of a source by the number at its end, modulo four; "other" without a number.
 DOMAINS = ("web", "books", "forums", "reference")
@@ -84,7 +84,7 @@ def quotas(leaves: DataFrame, budget_share: float, max_epochs: int, domain_weigh
     langs = water_fill(langs.join(domains, "domain"), ["domain"], "lang").select("domain", "lang", F.col("granted").alias("budget"))
     out = water_fill(cap.withColumn("weight", F.lit(source_weight).cast("long")).join(langs, ["domain", "lang"]), ["domain", "lang"], "source")
     # whole tokens: floors, then one token each by largest remainder until the granted sum is used
-    out = save(out.withColumns({"whole": F.floor(F.col("granted") + 1e-6).cast("long"), "part": F.round(F.col("granted") - F.floor(F.col("granted") + 1e-6), 6)}), "mix-granted")
+    out = save_narrow(out.withColumns({"whole": F.floor(F.col("granted") + 1e-6).cast("long"), "part": F.round(F.col("granted") - F.floor(F.col("granted") + 1e-6), 6)}), "mix-granted")
     left = out.agg(F.coalesce((F.round(F.sum("granted"), 3) + 1e-6).cast("long") - F.sum("whole"), F.lit(0))).first()[0]
     one_more = out.where(F.col("whole") < F.col("capacity")).orderBy(F.desc("part"), *LEAF).limit(max(0, left)).select(*LEAF, F.lit(1).alias("more"))
     out = out.join(one_more, LEAF, "left").withColumn("quota", F.col("whole") + F.coalesce(F.col("more"), F.lit(0)))
@@ -108,18 +108,18 @@ def plan(counts: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int
 
     Of epoch number full_epochs, documents before (cut_key, cut_id) are taken, and cut_tokens of that document.
     """
-    leaves = save(counts.groupBy(*LEAF).agg(F.sum("n").alias("supply")), "mix-leaves")
-    given = save(quotas(leaves, budget_share, max_epochs, DOMAIN_WEIGHTS if domain_weights is None else domain_weights, LANG_WEIGHTS if lang_weights is None else lang_weights), "mix-quotas")
+    leaves = save_narrow(counts.groupBy(*LEAF).agg(F.sum("n").alias("supply")), "mix-leaves")
+    given = save_narrow(quotas(leaves, budget_share, max_epochs, DOMAIN_WEIGHTS if domain_weights is None else domain_weights, LANG_WEIGHTS if lang_weights is None else lang_weights), "mix-quotas")
     n_leaves = given.count()
     open_ = small(given.where(F.col("rest") > 0).select(*LEAF, "full_epochs", "rest"), n_leaves)
     keyed = counts.join(open_, LEAF).withColumn("key", order_key(seed, F.col("full_epochs"), F.col("doc_id"))).withColumns({"b1": F.substring("key", 1, 2), "b2": F.substring("key", 3, 2)})
-    one = save(_end_of_prefix(keyed.groupBy(*LEAF, "rest", "b1").agg(F.sum("n").alias("s")), ["b1"], "s").select(*LEAF, "b1", F.col("before").alias("before1")), "mix-first")
+    one = save_narrow(_end_of_prefix(keyed.groupBy(*LEAF, "rest", "b1").agg(F.sum("n").alias("s")), ["b1"], "s").select(*LEAF, "b1", F.col("before").alias("before1")), "mix-first")
     inside = keyed.join(small(one, n_leaves), [*LEAF, "b1"]).withColumn("rest", F.col("rest") - F.col("before1")).drop("before1")
-    two = save(_end_of_prefix(inside.groupBy(*LEAF, "rest", "b1", "b2").agg(F.sum("n").alias("s")), ["b2"], "s").select(*LEAF, "b1", "b2", F.col("before").alias("before2")), "mix-second")
+    two = save_narrow(_end_of_prefix(inside.groupBy(*LEAF, "rest", "b1", "b2").agg(F.sum("n").alias("s")), ["b2"], "s").select(*LEAF, "b1", "b2", F.col("before").alias("before2")), "mix-second")
     last = inside.join(small(two, n_leaves), [*LEAF, "b1", "b2"]).withColumn("rest", F.col("rest") - F.col("before2"))
     cut = _end_of_prefix(last.groupBy(*LEAF, "rest", "key", "doc_id").agg(F.sum("n").alias("s")), ["key", "doc_id"], "s")
     cut = cut.select(*LEAF, F.col("key").alias("cut_key"), F.col("doc_id").alias("cut_id"), (F.col("rest") - F.col("before")).alias("cut_tokens"))
-    out = save(given.join(cut, LEAF, "left"), "mix-plan")
+    out = save_narrow(given.join(cut, LEAF, "left"), "mix-plan")
     discard(leaves, given, one, two)
     return out
 

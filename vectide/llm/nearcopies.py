@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectide.llm import bytewords
-from vectide.llm.common import bounded_batches, discard, save, small, table, trimmed, unused
+from vectide.llm.common import bounded_batches, discard, save, save_narrow, small, table, trimmed, unused
 from vectide.llm.tokenids import joined_rows, split_rows
 
 K, SIMILAR = 5, 80
@@ -172,13 +172,13 @@ def _confirm(percent: int):
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable, by minimum labels and pointer jumping; lineage is cut each round."""
-    both = save(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "near-edges")
-    labels = save(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"), "near-labels")
+    both = save_narrow(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "near-edges")
+    labels = save_narrow(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"), "near-labels")
     while True:
         seen = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("near")).withColumnRenamed("u", "node")
         better = labels.join(seen, "node").select("node", "label", F.least("label", "near").alias("next"))
         far = labels.select(F.col("node").alias("next"), F.col("label").alias("jump"))
-        moved = save(better.join(far, "next").select("node", F.col("label").alias("old"), F.least("next", "jump").alias("label")), "near-labels")
+        moved = save_narrow(better.join(far, "next").select("node", F.col("label").alias("old"), F.least("next", "jump").alias("label")), "near-labels")
         discard(labels)
         labels = moved
         if moved.where(F.col("old") != F.col("label")).isEmpty():
@@ -263,8 +263,8 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILAR) -> Data
     rename = lambda x: about.select(*[F.col(c).alias(f"{x}{c}") for c in about.columns])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = save(pairs.select("a", "b").distinct(), "near-pairs")
-        nodes = save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "near-nodes")
+        pairs = save_narrow(pairs.select("a", "b").distinct(), "near-pairs")
+        nodes = save_narrow(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "near-nodes")
         sets = save(texts.join(small(nodes, limit=ID_ROWS), "doc_id").select("doc_id", "text").mapInArrow(_sets(k), "node long, set binary"), "near-sets")
         with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         out = save(with_a.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"), "near-links")
@@ -273,21 +273,21 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILAR) -> Data
 
     # rows that share a doc_id are one document: the classes of its sets are linked
     several = signed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("f0", "f1")).alias("low"), F.max(F.struct("f0", "f1")).alias("high")).where(F.col("low") != F.col("high")).select("doc_id")
-    several = save(several, "near-several")
+    several = save_narrow(several, "near-several")
     repeats = not several.isEmpty()
     same = None
     if repeats:
         of_doc = usable.select("doc_id", "f0", "f1").join(small(several, limit=ID_ROWS), "doc_id").distinct().join(classes.select("f0", "f1", "node"), ["f0", "f1"])
         first_of = of_doc.groupBy("doc_id").agg(F.min("node").alias("a"))
-        same = save(of_doc.join(first_of, "doc_id").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct(), "near-same")
+        same = save_narrow(of_doc.join(first_of, "doc_id").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct(), "near-same")
     stars = live.where(F.col("node") != F.col("least")).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(rename("a"), F.col("a") == F.col("anode")).join(rename("b"), F.col("b") == F.col("bnode")).where(_sizes_fit(F.col("an"), F.col("bn"), percent) & _near("a", "b"))
     links, tried = confirmed(stars)
-    links = links if same is None else save(links.union(same), "near-links")
+    links = links if same is None else save_narrow(links.union(same), "near-links")
     first = components(links)
     told = save(live.join(first, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("comp")), "near-told")
     mixed = told.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where(F.col("low") < F.col("high")).select("bucket")
-    open_ = save(told.join(small(save(mixed, "near-mixed")), "bucket").select("node").distinct(), "near-open")
+    open_ = save_narrow(told.join(small(save_narrow(mixed, "near-mixed")), "bucket").select("node").distinct(), "near-open")
     prefixes = _prefixes(texts, open_, k, percent)
     labels = first
     for _ in range(ROUNDS):  # stars around central documents leave few documents apart
@@ -296,10 +296,10 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILAR) -> Data
         if pairs.isEmpty():
             break
         more, new = confirmed(pairs)
-        tried = save(tried.union(new), "near-tried")
+        tried = save_narrow(tried.union(new), "near-tried")
         if more.isEmpty():
             break
-        links = save(links.union(more), "near-links")
+        links = save_narrow(links.union(more), "near-links")
         labels = components(links)
     comps = open_.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("comp"))
     rest = save(_rare_pairs(_shared(prefixes, comps), percent).join(tried, ["a", "b"], "left_anti"), "near-rest")
@@ -307,7 +307,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILAR) -> Data
         more, _ = confirmed(rest)
         labels = components(links.union(more)) if not more.isEmpty() else labels
     of_class = classes.select("f0", "f1", "node").join(labels, "node", "left").select("f0", "f1", F.coalesce("label", "node").alias("component"))
-    known = save(of_class, "near-components")
+    known = save_narrow(of_class, "near-components")
     out = signed.select("doc_id", "n", "f0", "f1").join(known, ["f0", "f1"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
@@ -321,7 +321,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILAR) -> Data
 def drop_near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILAR) -> DataFrame:
     """The rows of ``docs`` whose document is kept: of each group of near copies, the smallest doc_id. All rows of a kept doc_id stay."""
     (name,) = unused(docs.columns, "gone")
-    gone = save(near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct(), "near-gone")
+    gone = save_narrow(near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct(), "near-gone")
     return docs.join(small(gone, limit=ID_ROWS), F.col("doc_id") == F.col(name), "left_anti")
 
 
