@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectide.llm import licenses, linededup, lm, mixing, nearcopies, packing, telephony, tokenids, topk, toxicity
+from vectide.llm import bitsliced, bpe, licenses, linededup, lm, mixing, nearcopies, packing, telephony, tokenids, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": mixing.op1_mix,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": telephony.op8_media,
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_lm": lm.op10_lm,
+    "op11_lexical_search": bitsliced.op11_lexical_search,
+    "op12_byte_bpe": bpe.op12_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op4_line_dedup": linededup.OP4_SQL,
     "op5_license_scan": licenses.op5_sql(),
     "op9_exact_topk": topk.OP9_SQL,
+    "op11_lexical_search": bitsliced.OP11_SQL,
 }
