@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectide.errors import ContractError
-from vectide.operators import cluster, graph, knn
+from vectide.operators import cells, cluster, graph, knn
 from vectide.operators.order import numbered
 
 
@@ -33,10 +33,17 @@ def test_numbers_follow_the_order(spark) -> None:
     assert numbered(df.limit(0), "k").count() == 0
 
 
+def take(monkeypatch, way: str, few: int = 10_000) -> None:
+    """The way that two sides take to each other: "targets" or "queries" are sent to all tasks, or "tiles"."""
+    monkeypatch.setattr(knn, "FEW", {"targets": 10_000, "queries": few, "tiles": 0}[way])
+    if way == "tiles":
+        monkeypatch.setattr(cells, "TILE_ROWS", 16)
+
+
 @pytest.mark.parametrize("kind", ["string", "long"])
-@pytest.mark.parametrize("rows,wave", [(4096, 1 << 26), (1, 1 << 26), (7, 2000)])
-def test_nearest_does_not_depend_on_blocks(spark, monkeypatch, kind: str, rows: int, wave: int) -> None:
-    monkeypatch.setattr(knn, "FEW", 10_000 if wave > 2000 else 0)
+@pytest.mark.parametrize("rows,way", [(4096, "targets"), (1, "targets"), (4096, "queries"), (7, "tiles"), (4096, "tiles")])
+def test_nearest_does_not_depend_on_blocks(spark, monkeypatch, kind: str, rows: int, way: str) -> None:
+    take(monkeypatch, way, few=60)
     v = vectors(90)
     # scores that differ by less than the digits are ties
     v = np.concatenate([v, np.array([[1, 0, 0, 0, 0], [1, 2e-5, 0, 0, 0], [1, 1e-6, 0, 0, 0]])])
@@ -44,7 +51,7 @@ def test_nearest_does_not_depend_on_blocks(spark, monkeypatch, kind: str, rows:
     u = v / np.linalg.norm(v, axis=1)[:, None]
     score = np.round(u @ u.T, 9)
     got: dict = {}
-    for r in knn.nearest(df.where(F.pmod(F.xxhash64("id"), F.lit(2)) == 0), df, 6, "id", skip_self=True, rows=rows, wave_bytes=wave).orderBy("query", "place").collect():
+    for r in knn.nearest(df.where(F.pmod(F.xxhash64("id"), F.lit(2)) == 0), df, 6, "id", skip_self=True, rows=rows).orderBy("query", "place").collect():
         got.setdefault(r["query"], []).append(r["target"])
     name = (lambda i: f"r{i:04d}") if kind == "string" else int
     for q, targets in got.items():
@@ -53,7 +60,78 @@ def test_nearest_does_not_depend_on_blocks(spark, monkeypatch, kind: str, rows:
     assert len(got) > 20
 
 
-def test_parts_do_not_meet(spark) -> None:
+def test_cells_far_apart_do_not_meet(spark, monkeypatch) -> None:
+    """Far fewer products than all pairs on separated clouds, and the same neighbours; on one cloud nothing is lost either."""
+    v = clouds([150, 90, 120, 140, 100])
+    df = table(spark, v, "long")
+    mine = knn._side_of(df, "id", "embedding", None)
+    tiled, pivots, known = cells.index(mine, tile_rows=32)
+    for k, eps in ((6, 0.0), (None, 0.2)):
+        routed = cells.routes(mine, pivots, known, k, eps)
+        assert cells.products(routed, tiled) < 0.35 * len(v) ** 2
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    near = np.round(u @ u.T, 9)
+    take(monkeypatch, "tiles")
+    got: dict[int, list[int]] = {}
+    for r in knn.nearest(df, df, 6, "id").orderBy("query", "place").collect():
+        got.setdefault(r["query"], []).append(r["target"])
+    assert got == {i: sorted(range(len(v)), key=lambda j: (-near[i, j], j))[:6] for i in range(len(v))}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclid", "reach"])
+def test_metrics_and_hot_copies(spark, monkeypatch, metric: str) -> None:
+    """A third of all rows are one vector, with ties, in tiles and past few targets."""
+    r = np.random.default_rng(8)
+    v = np.round(r.normal(size=(180, 4)), 2)
+    v[::3] = v[0]
+    floor = np.round(r.random(180), 1)
+    floor[::3] = floor[0]
+    df = spark.createDataFrame([(i, x, f) for i, (x, f) in enumerate(zip(v.tolist(), floor.tolist(), strict=True))], "id long, embedding array<double>, floor double").repartition(3)
+    u = v if metric == "euclid" else v / np.linalg.norm(v, axis=1)[:, None]
+    d = np.sqrt(np.maximum((u**2).sum(1)[:, None] + (u**2).sum(1)[None] - 2 * u @ u.T, 0))
+    score = np.round({"cosine": u @ u.T, "euclid": -d, "reach": -np.maximum(d, floor[None])}[metric], 5)
+    want = {i: sorted((j for j in range(180) if j != i), key=lambda j: (-score[i, j], j))[:5] for i in range(180)}
+    for way in ("targets", "tiles"):
+        take(monkeypatch, way)
+        got: dict[int, list[int]] = {}
+        for x in knn.nearest(df, df, 5, "id", metric=metric, skip_self=True, digits=5, floor="floor" if metric == "reach" else None).orderBy("query", "place").collect():
+            got.setdefault(x["query"], []).append(x["target"])
+        assert got == want
+
+
+def test_the_driver_takes_no_rows_of_large_sides(spark, monkeypatch) -> None:
+    df = table(spark, vectors(400), "long")
+    taken: list[int] = []
+    collect = type(df).collect
+
+    def counted(self):
+        found = collect(self)
+        taken.append(sum("v" in r.__fields__ or "embedding" in r.__fields__ for r in found))
+        return found
+
+    def none(self):
+        raise AssertionError("rows went to the driver")
+
+    take(monkeypatch, "tiles")
+    monkeypatch.setattr(type(df), "toArrow", none)
+    monkeypatch.setattr(type(df), "collect", counted)
+    out = knn.nearest(df, df, 3, "id", skip_self=True)
+    assert sum(taken) <= 50  # pivots
+    monkeypatch.setattr(type(df), "collect", collect)
+    assert out.count() == 1200
+
+
+def test_nothing_to_meet(spark, monkeypatch) -> None:
+    df = table(spark, vectors(9), "long")
+    for way in ("targets", "queries", "tiles"):
+        take(monkeypatch, way)
+        assert knn.nearest(df.limit(0), df, 2, "id").count() == knn.nearest(df, df.limit(0), 2, "id").count() == 0
+        assert knn.nearest(df.limit(2), df, 99, "id").count() == 18
+
+
+@pytest.mark.parametrize("way", ["targets", "queries", "tiles"])
+def test_parts_do_not_meet(spark, monkeypatch, way: str) -> None:
+    take(monkeypatch, way, few=100)
     v = vectors(60)
     df = table(spark, v, "long").withColumn("p", F.col("id") % 4)
     for r in knn.nearest(df, df, 3, "id", skip_self=True, part="p").collect():
@@ -97,12 +175,11 @@ def brute_labels(v: np.ndarray, eps: float, m: int) -> tuple[list[int], np.ndarr
     return [names.setdefault(x, len(names)) if x >= 0 else -1 for x in out], core_d, far
 
 
-@pytest.mark.parametrize("wave", [1 << 26, 1500])
+@pytest.mark.parametrize("way", ["targets", "tiles"])
 @pytest.mark.parametrize("eps", [0.35, 0.7])
-def test_density(spark, monkeypatch, eps: float, wave: int) -> None:
-    monkeypatch.setattr(knn, "WAVE_BYTES", wave)
-    monkeypatch.setattr(knn, "FEW", 10_000 if wave > 2000 else 0)
-    monkeypatch.setattr(graph, "TASK_LINKS", 1_000_000 if wave > 2000 else 0)
+def test_density(spark, monkeypatch, eps: float, way: str) -> None:
+    take(monkeypatch, way)
+    monkeypatch.setattr(graph, "TASK_LINKS", 1_000_000 if way == "targets" else 0)
     v = vectors(120, 4, 5)
     df = table(spark, v).withColumnRenamed("id", "row_id")
     want, core, far = brute_labels(v, eps, 4)
@@ -111,9 +188,9 @@ def test_density(spark, monkeypatch, eps: float, wave: int) -> None:
     assert np.allclose([r["core"] for r in got], core, atol=1e-7) and np.allclose([r["reach"] for r in got], far, atol=1e-7)
 
 
-def test_links_keep_the_components_of_every_level(spark, monkeypatch) -> None:
-    monkeypatch.setattr(knn, "WAVE_BYTES", 1200)
-    monkeypatch.setattr(knn, "FEW", 0)
+@pytest.mark.parametrize("way", ["targets", "tiles"])
+def test_links_keep_the_components_of_every_level(spark, monkeypatch, way: str) -> None:
+    take(monkeypatch, way)
     v = vectors(80, 3, 9)
     levels = [0.1, 0.25, 0.5]
     rows = table(spark, v, "long").withColumn("floor", F.when(F.col("id") % 9 == 0, 0.3).otherwise(0.0))

@@ -1,8 +1,10 @@
-"""Rows near other rows, by cosine or distance: queries travel in waves of bounded size, targets stay where they are.
+"""Rows near other rows, by cosine or distance.
 
-A wave's queries are gathered as one matrix of at most WAVE_BYTES and broadcast; each task streams its targets past them in
-matrix products and keeps each query's best, so what shuffles is k rows for each query and task, and no pair of rows is ever emitted.
-Rows of different parts (``part``) never meet. In the plane, blocks of neighbouring points meet only blocks in reach.
+A side of at most FEW rows and FEW_BYTES is sent to all tasks, and the other one streams past it: with few targets every query has its
+result at once and nothing shuffles; with few queries each task keeps its best and a grouped reduction merges them. Two
+large sides meet through the index of :mod:`vectide.operators.cells`, chunk by tile, without a vector on the driver but its
+pivots. The way taken changes no result. Rows of different parts (``part``) never meet. In the plane, blocks of
+neighbouring points meet only blocks in reach.
 """
 
 from __future__ import annotations
@@ -15,57 +17,84 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vectide.operators import cells
+from vectide.operators.cells import Side, apart, distance, matrix, side, unit
 from vectide.sources.scratch import written
 
-#: Bytes of queries in a wave, entries of a score matrix, and rows of a block of the plane.
-WAVE_BYTES, SCORES, BLOCK = 64 << 20, 1 << 22, 1024
-#: Queries that are gathered without being counted first.
-FEW = 10_000
+__all__ = ["Best", "best_score", "coverage", "interpolate", "least_within", "links", "matrix", "nearest", "plane_nearest", "unit"]
+
+#: Rows and bytes of a side that goes to all tasks, entries of a score matrix, rows of targets at once, and rows of a block of the plane.
+FEW, FEW_BYTES, SCORES, ROWS, BLOCK = 8192, 64 << 20, 1 << 22, 4096, 1024
+#: Rows of targets that a task gathers for one pass of few queries.
+GATHERED = 1 << 16
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """A list column of equal lengths as rows of doubles."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+def _side_of(df: DataFrame, key: str, vector: str, part: str | None, floor: str | None = None, value: str | None = None) -> DataFrame:
+    """id, v, part, floor, value: what either side of a join is made of."""
+    return df.select(
+        F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(part) if part else F.lit(0)).cast("long").alias("part"),
+        (F.col(floor) if floor else F.lit(0.0)).cast("double").alias("floor"), (F.col(value) if value else F.lit(0)).cast("long").alias("value"),
+    )
+
 
+def _few(rows: DataFrame) -> pa.Table | None:
+    """All rows, if they are few."""
+    if FEW <= 0:
+        return None
+    found = rows.limit(FEW + 1).toArrow()
+    return found if found.num_rows <= FEW and found.nbytes <= FEW_BYTES else None
 
-def unit(rows: np.ndarray) -> np.ndarray:
-    return rows / np.linalg.norm(rows, axis=1)[:, None]
 
+def _past_targets(sent, kernel, plain: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = side(sent.value, plain)
+        for batch in batches:
+            if batch.num_rows and len(t):
+                yield from kernel(side(batch, plain), t).to_batches()
 
-def distance(cosine: np.ndarray) -> np.ndarray:
-    """Euclidean distance of unit vectors."""
-    return np.sqrt(np.maximum(2 - 2 * cosine, 0))
+    return run
 
 
-def waves(queries: DataFrame, columns: list[Column], width: str, size: int) -> Iterator[pa.Table]:
-    """The queries, by hash of their first column, as tables of about ``size`` bytes of vectors; ``width`` names the vector."""
-    rows = queries.select(*columns)
-    key = rows.columns[0]
-    few = rows.limit(FEW + 1).toArrow()
-    if few.num_rows <= FEW and few.nbytes <= size:  # all of them, and no more than a wave
-        yield few
-        return
-    count, dim = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(width)), F.lit(1))).first()
-    many = max(1, -(-count * dim * 8 // size))
-    for i in range(many):
-        yield (rows if many == 1 else rows.where(F.pmod(F.xxhash64(key), F.lit(many)) == i)).toArrow()
+def _past_queries(sent, kernel, plain: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, held = side(sent.value, plain), []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= GATHERED:
+                if len(q):
+                    yield from kernel(q, side(pa.Table.from_batches(held), plain)).to_batches()
+                held = []
+        if len(q) and sum(b.num_rows for b in held):
+            yield from kernel(q, side(pa.Table.from_batches(held), plain)).to_batches()
 
+    return run
 
-def sweep(queries: DataFrame, targets: DataFrame, q_columns: list[Column], worker: Callable, schema: str, size: int) -> DataFrame:
-    """All targets past each wave: worker(broadcast wave) is a function of batches."""
-    parts = [targets.mapInArrow(worker(queries.sparkSession.sparkContext.broadcast(w)), schema) for w in waves(queries, q_columns, "v", size)]
-    return reduce(DataFrame.unionAll, parts)
+
+def _met(queries: DataFrame, targets: DataFrame, kernel: Callable[[Side, Side], pa.Table], schema: str, k: int | None = None, eps: float = 0.0, floors: bool = False, plain: bool = False, digits: int = 9, thin: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, bool]:
+    """(what ``kernel`` makes of queries and targets that meet, whether each query met all its targets at once).
+
+    ``k`` or ``eps``: as far as a query looks. ``thin``: leaves out targets that can't matter, before two large sides meet.
+    """
+    context = queries.sparkSession.sparkContext
+    few = _few(targets)
+    if few is not None:
+        return queries.mapInArrow(_past_targets(context.broadcast(few), kernel, plain), schema), True
+    few = _few(queries)
+    if few is not None:
+        return targets.mapInArrow(_past_queries(context.broadcast(few), kernel, plain), schema), False
+    made = cells.index(thin(targets) if thin else targets, plain)
+    if made is None:
+        return queries.sparkSession.createDataFrame([], schema), False
+    tiled, pivots, known = made
+    return cells.meet(cells.routes(queries, pivots, known, k, eps, floors, plain, digits), tiled, kernel, schema), False
 
 
 def _by_part(parts: np.ndarray) -> dict[int, np.ndarray]:
     order = np.argsort(parts, kind="stable")
     names, at = np.unique(parts[order], return_index=True)
-    return dict(zip(names.tolist(), np.split(order, at[1:]), strict=True))
+    return dict(zip(names.tolist(), np.split(order, at[1:]), strict=True)) if len(parts) else {}
 
 
 class Best:
@@ -96,64 +125,57 @@ class Best:
 
 
 def _nearest(k: int, metric: str, skip_self: bool, digits: int, rows: int, kind: pa.DataType):
-    def scores(q: np.ndarray, t: np.ndarray, floor: np.ndarray | None) -> np.ndarray:
-        if metric == "euclid":
-            return -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (t**2).sum(1)[None] - 2 * q @ t.T, 0))
-        cosine = q @ t.T
-        return cosine if metric == "cosine" else -np.maximum(distance(cosine), floor[None, :])
-
-    def worker(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            wave = shared.value
-            if not wave.num_rows:
-                return
-            q_ids, q = np.array(wave["id"].to_pylist()), matrix(wave["v"])
-            q = q if metric == "euclid" else unit(q)
-            mine, best = _by_part(wave["part"].to_numpy()), Best(k)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids, t_all = np.array(batch.column("id").to_pylist()), matrix(batch.column("v"))
-                t_all = t_all if metric == "euclid" else unit(t_all)
-                floor = batch.column("floor").to_numpy() if metric == "reach" else None
-                for part, where in _by_part(batch.column("part").to_numpy()).items():
-                    if part not in mine:
-                        continue
-                    for b in range(0, len(where), rows):
-                        some = where[b : b + rows]
-                        t, step = t_all[some], max(1, SCORES // len(some))
-                        floors = best.floors(len(q))
-                        for a in range(0, len(mine[part]), step):
-                            at = mine[part][a : a + step]
-                            score = scores(q[at], t, None if floor is None else floor[some])
-                            if skip_self:
-                                score[q_ids[at][:, None] == ids[some][None, :]] = -np.inf
-                            near = np.round(score, digits)
-                            low = floors[at]
-                            if len(some) > k:
-                                low = np.maximum(low, np.partition(near, len(some) - k, axis=1)[:, len(some) - k])
-                            i, j = np.nonzero((near >= low[:, None]) & (near > -np.inf))
-                            best.add(at[i], near[i, j], score[i, j], ids[some[j]])
-            if best.ids is not None and len(best.q):
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[best.q].tolist(), kind), pa.array(best.ids.tolist(), kind), pa.array(best.score), pa.array(best.near)], ["query", "target", "score", "near"])
-
-        return run
-
-    return worker
-
-
-def nearest(queries: DataFrame, targets: DataFrame, k: int, key: str, vector: str = "embedding", metric: str = "cosine", skip_self: bool = False, digits: int = 9, rows: int = 4096, part: str | None = None, floor: str | None = None, wave_bytes: int = WAVE_BYTES) -> DataFrame:
+    def kernel(q: Side, t: Side) -> pa.Table:
+        mine, best = _by_part(q.part), Best(k)
+        for part, where in _by_part(t.part).items():
+            if part not in mine:
+                continue
+            for b in range(0, len(where), rows):
+                some = where[b : b + rows]
+                v, step = t.v[some], max(1, SCORES // len(some))
+                floors = best.floors(len(q))
+                for a in range(0, len(mine[part]), step):
+                    at = mine[part][a : a + step]
+                    score = q.v[at] @ v.T if metric == "cosine" else -apart(q.v[at], v, metric == "euclid")
+                    if metric == "reach":
+                        score = np.minimum(score, -t.floor[some][None, :])
+                    if skip_self:
+                        score[q.id[at][:, None] == t.id[some][None, :]] = -np.inf
+                    near = np.round(score, digits)
+                    low = floors[at]
+                    if len(some) > k:
+                        low = np.maximum(low, np.partition(near, len(some) - k, axis=1)[:, len(some) - k])
+                    i, j = np.nonzero((near >= low[:, None]) & (near > -np.inf))
+                    best.add(at[i], near[i, j], score[i, j], t.id[some[j]])
+        if best.ids is None:
+            return pa.table({"query": pa.array([], kind), "target": pa.array([], kind), "score": pa.array([], pa.float64()), "near": pa.array([], pa.float64()), "place": pa.array([], pa.int32())})
+        first = np.flatnonzero(np.concatenate([[True], best.q[1:] != best.q[:-1]])) if len(best.q) else np.zeros(0, np.int64)
+        place = 1 + np.arange(len(best.q)) - np.repeat(first, np.diff(np.append(first, len(best.q))))
+        return pa.table({"query": pa.array(q.id[best.q].tolist(), kind), "target": pa.array(best.ids.tolist(), kind), "score": best.score, "near": best.near, "place": pa.array(place, pa.int32())})
+
+    return kernel
+
+
+def nearest(queries: DataFrame, targets: DataFrame, k: int, key: str, vector: str = "embedding", metric: str = "cosine", skip_self: bool = False, digits: int = 9, rows: int = ROWS, part: str | None = None, floor: str | None = None) -> DataFrame:
     """(query, target, score, place): the k best targets of each query; place from 1, scores equal to ``digits`` go to the smaller id.
 
     Score is the cosine, the negative distance for ``metric="euclid"``, or for "reach" the negative of the larger of a
-    target's ``floor`` and the distance of unit vectors. The order of a task's rows or their blocks changes no result.
+    target's ``floor`` and the distance of unit vectors. Keys of queries are unique. The order of a task's rows or their blocks changes
+    no result.
     """
     kind = queries.schema[key].dataType.simpleString()
-    columns = [F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col(part) if part else F.lit(0)).cast("long").alias("part")]
-    side = targets.select(*columns, *([F.col(floor).cast("double").alias("floor")] if floor else []))
-    hits = sweep(queries, side, columns, _nearest(k, metric, skip_self, digits, rows, _ARROW[kind]), f"query {kind}, target {kind}, score double, near double", wave_bytes)
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "target"))
-    return hits.withColumn("place", place).where(F.col("place") <= k).drop("near")
+    kernel, schema = _nearest(k, metric, skip_self, digits, rows, _ARROW[kind]), f"query {kind}, target {kind}, score double, near double, place int"
+
+    def thin(side_: DataFrame) -> DataFrame:
+        """Of equal vectors only the k + 1 of smallest floor and id can be among the k best: copies don't meet one another."""
+        w = Window.partitionBy("part", "v").orderBy(F.round("floor", digits), "id")
+        return side_.withColumn("__copy", F.row_number().over(w)).where(F.col("__copy") <= k + 1).drop("__copy")
+
+    hits, whole = _met(_side_of(queries, key, vector, part), _side_of(targets, key, vector, part, floor), kernel, schema, k + int(skip_self), 0.0, metric == "reach", metric == "euclid", digits, thin)
+    if not whole:
+        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "target"))
+        hits = hits.withColumn("place", place).where(F.col("place") <= k)
+    return hits.select("query", "target", "score", "place")
 
 
 def best_score(queries: DataFrame, targets: DataFrame, key: str, vector: str = "embedding", part: str | None = None) -> DataFrame:
@@ -181,116 +203,96 @@ def interpolate(rest: DataFrame, fitted: DataFrame, key: str, vector: str, x: st
 
 
 def _least(eps: float):
-    def worker(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            wave = shared.value
-            if not wave.num_rows:
-                return
-            ids, q = wave["id"].to_numpy(), unit(matrix(wave["v"]))
-            best = np.full(len(ids), np.iinfo(np.int64).max)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                t, value = unit(matrix(batch.column("v"))), batch.column("value").to_numpy()
-                step = max(1, SCORES // len(t))
-                for a in range(0, len(q), step):
-                    low = np.where(distance(q[a : a + step] @ t.T) <= eps, value[None, :], np.iinfo(np.int64).max).min(1)
-                    best[a : a + step] = np.minimum(best[a : a + step], low)
-            found = np.flatnonzero(best < np.iinfo(np.int64).max)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(best[found])], ["id", "value"])
-
-        return run
-
-    return worker
+    def kernel(q: Side, t: Side) -> pa.Table:
+        best, mine = np.full(len(q), np.iinfo(np.int64).max), _by_part(q.part)
+        for part, where in _by_part(t.part).items():
+            at, step = mine.get(part, np.zeros(0, np.int64)), max(1, SCORES // len(where))
+            for a in range(0, len(at), step):
+                some = at[a : a + step]
+                best[some] = np.minimum(best[some], np.where(distance(q.v[some] @ t.v[where].T) <= eps, t.value[where][None, :], np.iinfo(np.int64).max).min(1))
+        found = np.flatnonzero(best < np.iinfo(np.int64).max)
+        return pa.table({"id": pa.array(q.id[found].tolist(), pa.int64()), "value": best[found]})
+
+    return kernel
 
 
 def least_within(queries: DataFrame, targets: DataFrame, eps: float, key: str, vector: str, value: str) -> DataFrame:
     """(key, value): the smallest value (long) among targets whose unit vector is within ``eps``; keys are long."""
-    v = F.col(vector).alias("v")
-    found = sweep(queries, targets.select(v, F.col(value).cast("long").alias("value")), [F.col(key).alias("id"), v], _least(eps), "id long, value long", WAVE_BYTES)
-    return found.groupBy(F.col("id").alias(key)).agg(F.min("value").alias(value))
+    found, whole = _met(_side_of(queries, key, vector, None), _side_of(targets, key, vector, None, None, value), _least(eps), "id long, value long", None, eps)
+    found = found.withColumnsRenamed({"id": key, "value": value})
+    return found if whole else found.groupBy(key).agg(F.min(value).alias(value))
 
 
 def _links(levels: list[float]):
     """Links that join the same rows as all pairs within each level: every row, or group of rows, to what it is joined to."""
 
-    def worker(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            wave = shared.value
-            if not wave.num_rows:
-                return
-            ids, q, floor = wave["id"].to_numpy(), unit(matrix(wave["v"])), wave["floor"].to_numpy()
-            mine = _by_part(wave["part"].to_numpy())
-            # of each level, the group of each query: the smallest query that it is joined to in this task
-            groups = [np.arange(len(q)) for _ in levels]
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                t_all, t_ids, t_floor = unit(matrix(batch.column("v"))), batch.column("id").to_numpy(), batch.column("floor").to_numpy()
-                a_out, b_out, level_out = [], [], []
-                for part, where in _by_part(batch.column("part").to_numpy()).items():
-                    if part not in mine:
+    def kernel(q: Side, t: Side) -> pa.Table:
+        mine = _by_part(q.part)
+        # of each level, the group of each query: the smallest query that it is joined to here
+        groups = [np.arange(len(q)) for _ in levels]
+        a_out, b_out, level_out = [], [], []
+        for part, where in _by_part(t.part).items():
+            if part not in mine:
+                continue
+            at = mine[part]
+            step = max(1, SCORES // len(at))
+            for begin in range(0, len(where), step):
+                some = where[begin : begin + step]
+                weight = np.maximum(np.maximum(distance(q.v[at] @ t.v[some].T), q.floor[at][:, None]), t.floor[some][None, :])
+                weight[q.id[at][:, None] == t.id[some][None, :]] = np.inf
+                joined = np.zeros(len(some), bool)
+                for n, eps in enumerate(levels):
+                    near = weight <= eps
+                    touched = np.flatnonzero(near.any(0))
+                    if not len(touched):
                         continue
-                    at = mine[part]
-                    step = max(1, SCORES // len(at))
-                    for begin in range(0, len(where), step):
-                        some = where[begin : begin + step]
-                        weight = np.maximum(np.maximum(distance(q[at] @ t_all[some].T), floor[at][:, None]), t_floor[some][None, :])
-                        weight[ids[at][:, None] == t_ids[some][None, :]] = np.inf
-                        joined = np.zeros(len(some), bool)
-                        for n, eps in enumerate(levels):
-                            near = weight <= eps
-                            touched = np.flatnonzero(near.any(0))
-                            if not len(touched):
-                                continue
-                            group = groups[n][at]
-                            old = group.copy()
-                            while True:  # a target takes the smallest group near it, and gives it to all groups near it
-                                low = np.where(near[:, touched], group[:, None], len(q)).min(0)
-                                new = np.minimum(group, np.where(near[:, touched], low[None, :], len(q)).min(1))
-                                back = np.arange(len(q) + 1)
-                                np.minimum.at(back, group, new)
-                                new = back[group]
-                                if (new == group).all():
-                                    break
-                                group = new
-                            # targets that this level joins for the first time, and groups that it has brought together
-                            fresh = touched[~joined[touched]]
-                            low = np.where(near[:, fresh], group[:, None], len(q)).min(0) if len(fresh) else np.zeros(0, np.int64)
-                            joined[fresh] = True
-                            a_out.append(t_ids[some[fresh]])
-                            b_out.append(ids[low])
-                            level_out.append(np.full(len(fresh), n, np.int32))
-                            moved = np.flatnonzero(group != old)
-                            pairs = np.unique(np.stack([old[moved], group[moved]], 1), axis=0)
-                            a_out.append(ids[pairs[:, 0]])
-                            b_out.append(ids[pairs[:, 1]])
-                            level_out.append(np.full(len(pairs), n, np.int32))
-                            # what is joined here is joined at all wider levels
-                            for m in range(n, len(levels)):
-                                back = np.arange(len(q))
-                                wide = groups[m][at]
-                                for x, y in pairs.tolist():
-                                    x, y = back[groups[m][x]], back[groups[m][y]]
-                                    if x != y:
-                                        back[back == max(x, y)] = min(x, y)
-                                groups[m][at] = back[wide]
-                if a_out and sum(map(len, a_out)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out)), pa.array(np.concatenate(level_out))], ["a", "b", "level"])
-
-        return run
-
-    return worker
-
-
-def links(rows: DataFrame, levels: list[float], key: str, vector: str, floor: str, part: str | None = None, wave_bytes: int = WAVE_BYTES) -> DataFrame:
+                    group = groups[n][at]
+                    old = group.copy()
+                    while True:  # a target takes the smallest group near it, and gives it to all groups near it
+                        low = np.where(near[:, touched], group[:, None], len(q)).min(0)
+                        new = np.minimum(group, np.where(near[:, touched], low[None, :], len(q)).min(1))
+                        back = np.arange(len(q) + 1)
+                        np.minimum.at(back, group, new)
+                        new = back[group]
+                        if (new == group).all():
+                            break
+                        group = new
+                    # targets that this level joins for the first time, and groups that it has brought together
+                    fresh = touched[~joined[touched]]
+                    low = np.where(near[:, fresh], group[:, None], len(q)).min(0) if len(fresh) else np.zeros(0, np.int64)
+                    joined[fresh] = True
+                    a_out.append(t.id[some[fresh]])
+                    b_out.append(q.id[low])
+                    level_out.append(np.full(len(fresh), n, np.int32))
+                    moved = np.flatnonzero(group != old)
+                    pairs = np.unique(np.stack([old[moved], group[moved]], 1), axis=0)
+                    a_out.append(q.id[pairs[:, 0]])
+                    b_out.append(q.id[pairs[:, 1]])
+                    level_out.append(np.full(len(pairs), n, np.int32))
+                    # what is joined here is joined at all wider levels
+                    for m in range(n, len(levels)):
+                        back = np.arange(len(q))
+                        wide = groups[m][at]
+                        for x, y in pairs.tolist():
+                            x, y = back[groups[m][x]], back[groups[m][y]]
+                            if x != y:
+                                back[back == max(x, y)] = min(x, y)
+                        groups[m][at] = back[wide]
+        flat = lambda x, kind: pa.array(np.concatenate(x).tolist() if x else [], kind)
+        return pa.table({"a": flat(a_out, pa.int64()), "b": flat(b_out, pa.int64()), "level": flat(level_out, pa.int32())})
+
+    return kernel
+
+
+def links(rows: DataFrame, levels: list[float], key: str, vector: str, floor: str, part: str | None = None) -> DataFrame:
     """(a, b, level): links whose components up to a level are those of all pairs whose distance and floors are within its eps.
 
-    ``levels`` ascend. Each task gives a link for each of its rows at the first level that joins it to a wave, and one for
-    each two groups of the wave's rows that it brings together, not one for each pair.
+    ``levels`` ascend. Where a chunk of rows meets others, each of these gets a link at the first level that joins it to the chunk, and
+    each two groups of the chunk that it brings together get one: not one for each pair.
     """
-    columns = [F.col(key).alias("id"), F.col(vector).alias("v"), F.col(floor).cast("double").alias("floor"), (F.col(part) if part else F.lit(0)).cast("long").alias("part")]
-    return sweep(rows, rows.select(*columns), columns, _links(levels), "a long, b long, level int", wave_bytes)
+    mine = _side_of(rows, key, vector, part, floor)
+    out, whole = _met(mine, mine, _links(levels), "a long, b long, level int", None, levels[-1])
+    return out
 
 
 # the plane

@@ -88,32 +88,16 @@ def index_metrics(windows: DataFrame, members: DataFrame, keys: list[str], sampl
 
 
 def _union_coverage(rows: DataFrame, keys: list[str], sample: DataFrame) -> DataFrame:
-    """Coverage of each union: the sample travels in waves of bounded size past every union's rows."""
-    names = [f.name for f in rows.select(*keys).schema]
-
-    def worker(shared):
-        def run(batches):
-            q = knn.unit(knn.matrix(shared.value["v"]))
-            held: dict[tuple, np.ndarray] = {}
-            for b in batches:
-                v = knn.unit(knn.matrix(b.column("embedding")))
-                where: dict[tuple, list[int]] = {}
-                for i, k in enumerate(zip(*[b.column(n).to_pylist() for n in names], strict=True)):
-                    where.setdefault(k, []).append(i)
-                for k, some in where.items():
-                    top = (q @ v[some].T).max(1)
-                    held[k] = np.maximum(held[k], top) if k in held else top
-            for k, top in held.items():
-                yield pa.RecordBatch.from_pydict({**{n: pa.array([x], t) for n, x, t in zip(names, k, kinds, strict=True)}, "ids": [shared.value["id"].to_pylist()], "best": [top.tolist()]})
-
-        return run
-
-    kinds = [{"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64()}[f.dataType.simpleString()] for f in rows.select(*keys).schema]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", ids array<string>, best array<double>"
-    columns = [F.col("window_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")]
-    best = knn.sweep(sample, rows.select(*keys, F.col("embedding").cast("array<double>").alias("embedding")), columns, worker, schema, knn.WAVE_BYTES)
-    flat = best.select(*keys, F.explode(F.arrays_zip("ids", "best")).alias("x")).groupBy(*keys, F.col("x.ids").alias("i")).agg(F.max("x.best").alias("c"))
-    return flat.groupBy(*keys).agg(*[F.avg((F.col("c") >= t).cast("double")).alias(f"coverage_{int(100 * t):03d}") for t in TAUS])
+    """Coverage of each union: every union is a part, and the sample is a query of each."""
+    spark = rows.sparkSession
+    unions = rows.select(*keys).distinct().collect()  # a row for each union
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    numbered_ = F.broadcast(spark.createDataFrame([(*u, i) for i, u in enumerate(unions)], f"{kinds}, __union long"))
+    targets = metrics.null_safe_join(rows.select(*keys, "window_id", "embedding"), numbered_, keys).withColumn("__id", F.concat_ws(":", "__union", "window_id"))
+    queries = sample.select("window_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(unions) - 1).cast("long"))).alias("__union")).withColumn("__id", F.concat_ws(":", "__union", "window_id"))
+    best = knn.nearest(queries if unions else queries.limit(0), targets, 1, "__id", part="__union").select(F.split("query", ":", 2)[0].cast("long").alias("__union"), "score")
+    shares = best.groupBy("__union").agg(*[F.avg((F.col("score") >= t).cast("double")).alias(f"coverage_{int(100 * t):03d}") for t in TAUS])
+    return shares.join(numbered_, "__union").drop("__union")
 
 
 def pivot_probe(windows: DataFrame, seeds: int = 64, seed: int = 20260922, sizes: tuple[int, ...] = (256, 512, 1024), steps: int = 600, threshold: float = 1e-4) -> DataFrame:
