@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectide.errors import ContractError
-from vectide.operators import cells, cluster, graph, knn
+from vectide.operators import cells, cluster, graph, knn, order
 from vectide.operators.order import numbered
 
 
@@ -23,7 +23,9 @@ def table(spark, v: np.ndarray, kind: str = "string"):
     return spark.createDataFrame([(name(i), x) for i, x in enumerate(v.tolist())], f"id {kind}, embedding array<double>").repartition(3)
 
 
-def test_numbers_follow_the_order(spark) -> None:
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_numbers_follow_the_order(spark, monkeypatch, few: int) -> None:
+    monkeypatch.setattr(order, "TASK_ROWS", few)
     df = spark.createDataFrame([(f"k{(37 * i) % 101:03d}", i % 3) for i in range(101)], "k string, g int")
     assert [r["number"] for r in numbered(df, "k").orderBy("k").collect()] == list(range(101))
     seen: dict[int, list] = {}
@@ -237,6 +239,55 @@ def test_clouds_are_density_groups(spark) -> None:
     assert not any(r["attached"] for r in rows[: at[3]]) and {r["group_depth"] for r in rows} == {1}
 
 
+def leaf_plan(leaves: list[tuple[float, int]], limits: cluster.Limits) -> tuple[dict, set]:
+    """Merges of leaves at angles, with sizes."""
+    sums = {str(i): n * np.array([np.cos(a), np.sin(a)]) for i, (a, n) in enumerate(leaves)}
+    return cluster._merge_plan({str(i): cluster._Node(n, 1) for i, (_, n) in enumerate(leaves)}, sums, {str(i): i for i in range(len(leaves))}, limits)
+
+
+def test_a_leaf_that_takes_another_moves_its_centre() -> None:
+    limits = cluster.Limits(n_max=100, n_min=20)
+    # leaf 1 lies nearer to leaf 3; once leaf 0 has gone to leaf 2, that is the nearer one
+    assert leaf_plan([(1.0, 18), (1.0, 19), (0.4, 20), (1.5, 60)], limits) == ({"0": "1"}, set())
+    assert leaf_plan([(0.8, 10), (1.0, 19), (0.5, 22), (1.45, 60)], limits)[0] == {"0": "1"}
+    far = [(0.9, 15), (1.1, 19), (0.6, 40), (1.58, 60)]
+    assert leaf_plan(far[1:], limits)[0] == {"0": "2"}  # without leaf 0
+    plan = leaf_plan([(0.95, 18), (1.1, 19), (0.94, 25), (1.235, 60)], limits)[0]
+    assert plan == {"0": "2", "1": "3"}
+    moved = leaf_plan([(1.25, 18), (1.1, 19), (0.94, 20), (1.62, 60)], limits)[0]
+    assert moved["0"] == "1"
+
+
+def test_merging_stops_at_the_limits() -> None:
+    limits = cluster.Limits(n_max=40, n_min=20)
+    goes, large = leaf_plan([(0.0, 5), (0.01, 38), (2.0, 30)], limits)
+    assert goes == {"0": "2"} and not large  # the nearest has no room
+    goes, large = leaf_plan([(0.0, 5), (0.01, 38), (2.0, 39)], limits)
+    assert goes == {"0": "1"} and large == {"1"}  # none has room
+    assert leaf_plan([(0.0, 5)], limits) == ({}, set())
+    goes, large = leaf_plan([(0.0, 3), (0.1, 4), (0.2, 5)], limits)
+    assert len(set(goes)) == 2 and not large  # small ones together
+
+
+def test_starts_find_planted_clouds(spark) -> None:
+    sizes = [300, 20, 150, 40, 90, 10, 60, 200]
+    v = clouds(sizes, 4)
+    rows = table(spark, v, "long").withColumn("node", F.when(F.col("id") < 490, "left").otherwise("right")).withColumnRenamed("id", "row_id")
+    rows = cluster.unit_rows(rows)
+    many = {"left": 3, "right": 5}
+    got = cluster.starts(rows, many, 7)
+    assert all(np.array_equal(got[n], x) for n, x in cluster.starts(rows.repartition(7), many, 7).items())  # whatever the partitions are
+    centre = np.cumsum([0, *sizes])
+    of = lambda c: int(np.searchsorted(centre, np.argmax(v / np.linalg.norm(v, axis=1)[:, None] @ c), side="right")) - 1
+    for node, clouds_ in (("left", [0, 1, 2, 3]), ("right", [3, 4, 5, 6, 7])):
+        assert len(got[node]) == many[node] and len({of(c) for c in got[node]}) == many[node] and {of(c) for c in got[node]} <= set(clouds_)
+    centres = cluster.kmeans(rows, many, 7, 20)
+    assert {of(c) for c in centres["right"]} == {3, 4, 5, 6, 7}
+    # more centres than different rows
+    same = rows.limit(0).unionAll(spark.createDataFrame([(i, [1.0, 0.0], [1.0, 0.0], "one") for i in range(30)], "row_id long, embedding array<double>, unit array<double>, node string").select(rows.columns))
+    assert cluster.kmeans(same, {"one": 4}, 7, 5)["one"].shape[1] == 2
+
+
 @pytest.mark.parametrize("control", [False, True])
 def test_groups_keep_their_limits(spark, control: bool) -> None:
     v = np.concatenate([vectors(150, 6, 1), clouds([9, 200])[:, :6]])

@@ -1,12 +1,13 @@
 """Density groups and bounded groups of vectors, as passes over a distributed table.
 
 Distances are Euclidean between unit vectors. A table of nodes (paths) is refined breadth-first: all open nodes share each pass, rows
-carry their node, and the driver keeps one row for each node or group, never one for a table row. Neighbours come from
+carry their node, and the driver keeps one row for each node or group, and the centres of k-means. Neighbours come from
 :mod:`vectide.operators.knn`, components from links of spanning size. The same steps are taken at any size.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,8 +24,10 @@ from vectide.operators.metrics import unit_rows
 from vectide.operators.order import numbered
 from vectide.sources.scratch import written
 
-#: Bytes of centres that the driver holds and broadcasts at once, and rows of a node, for each centre, that starts are drawn from.
-CENTRE_BYTES, START_ROWS = 256 << 20, 32
+#: Bytes of centres and their candidates that the driver holds and broadcasts at once, and centres whose sums travel as one row.
+CENTRE_BYTES, CENTRE_ROWS = 256 << 20, 1024
+#: Rounds in which candidates for starts are drawn, about as many a round as there are centres, LEAST_DRAWN at least.
+ROUNDS, LEAST_DRAWN = 4, 16
 
 
 @dataclass(frozen=True)
@@ -120,25 +123,83 @@ def _normal(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-12)[:, None]
 
 
-def _starts(many, seed: int):
-    """Rows drawn one after another with a chance in proportion to 1 - cosine to those drawn before (a race of exponentials)."""
+def _gaps(centres):
+    """Of each task and node, the sum of 1 - cosine to the nearest centre."""
 
-    def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by("draw")
-        node, rows = part["node"][0].as_py(), knn.matrix(part["unit"])
-        race = np.random.default_rng([seed, len(rows), *node.encode()[-8:]])
-        taken, gap = [0], 1 - rows @ rows[0]
-        for _ in range(min(many.value[node], len(rows)) - 1):
-            gap[taken] = -1
-            time = race.exponential(size=len(rows)) / np.maximum(gap, 1e-12)
-            time[taken] = np.inf
-            taken.append(int(np.argmin(time)))
-            gap = np.minimum(gap, 1 - rows @ rows[taken[-1]])
-        return pa.table({"node": [node], "centres": pa.array([rows[taken].tobytes()], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, float] = {}
+        for batch in batches:
+            for node, _, rows in _by_node(batch):
+                held[node] = held.get(node, 0.0) + float(np.maximum(1 - (rows @ centres.value[node].T).max(1), 0).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.float64())], ["node", "gap"])
+
+    return run
+
+
+def _drawn(sent):
+    """Rows whose draw is below their gap's share of the node's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, share = sent.value
+        for batch in batches:
+            draw, keep = batch.column("draw").to_numpy(), np.zeros(batch.num_rows, bool)
+            for node, where, rows in _by_node(batch):
+                keep[where] = draw[where] < share[node] * np.maximum(1 - (rows @ centres[node].T).max(1), 0)
+            yield batch.filter(pa.array(keep))
 
     return run
 
 
+def _shares(centres):
+    """Of each task and node, the number of rows nearest to each centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for node, _, rows in _by_node(batch):
+                c = centres.value[node]
+                held[node] = held.get(node, 0) + np.bincount((rows @ c.T).argmax(1), minlength=len(c)).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["node", "total"])
+
+    return run
+
+
+def _reclustered(rows: np.ndarray, weight: np.ndarray, k: int, race: np.random.Generator) -> np.ndarray:
+    """``k`` of weighted rows, one after another with a chance in proportion to weight times the gap to those before (a race of exponentials)."""
+    taken = [int(np.argmax(weight))]
+    gap = 1 - rows @ rows[taken[0]]
+    while len(taken) < min(k, len(rows)):
+        time = race.exponential(size=len(rows)) / np.maximum(gap * weight, 1e-12)
+        time[taken] = np.inf
+        taken.append(int(np.argmin(time)))
+        gap = np.minimum(gap, 1 - rows @ rows[taken[-1]])
+    return rows[taken]
+
+
+def starts(rows: DataFrame, many: dict[str, int], seed: int) -> dict[str, np.ndarray]:
+    """First centres of each node's k-means, by rounds of oversampling: k-means||.
+
+    A node begins with the row of smallest draw. Each round measures the gap of all rows to the candidates so far and takes every row
+    with a chance in proportion to its gap, about as many as there are centres, in two passes over all nodes together. The candidates,
+    weighted by the rows nearest to them, are then thinned to the centres. No task holds more than its batch and the candidates,
+    and what comes to the driver is these, ROUNDS for each centre.
+    """
+    spark = rows.sparkSession
+    draw = lambda i: ((F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(i), "row_id"), 11) + 0.5) * F.lit(2.0**-53)).alias("draw")
+    first = rows.select("node", "unit", "row_id", draw(0)).groupBy("node").agg(F.min_by("unit", F.struct("draw", "row_id")).alias("unit")).collect()
+    found = {r["node"]: np.array([r["unit"]], np.float64) for r in first}
+    for i in range(1, ROUNDS + 1):
+        gaps = rows.select("node", "unit").mapInArrow(_gaps(spark.sparkContext.broadcast(found)), "node string, gap double").groupBy("node").agg(F.sum("gap").alias("gap")).collect()
+        share = {r["node"]: max(LEAST_DRAWN, many[r["node"]]) / max(r["gap"], 1e-300) for r in gaps}
+        sent = spark.sparkContext.broadcast((found, share))
+        new = rows.select("node", "unit", draw(i), "row_id").mapInArrow(_drawn(sent), f"node string, unit array<double>, draw double, row_id {rows.schema['row_id'].dataType.simpleString()}").collect()
+        for r in sorted(new, key=lambda r: (r["draw"], r["row_id"])):
+            found[r["node"]] = np.concatenate([found[r["node"]], [r["unit"]]])
+    weights = rows.select("node", "unit").mapInArrow(_shares(spark.sparkContext.broadcast(found)), "node string, total binary").groupBy("node").applyInArrow(_total, "node string, total binary").collect()
+    held = {r["node"]: np.frombuffer(r["total"], np.float64) for r in weights}
+    return {node: _reclustered(c, held[node], many[node], np.random.default_rng([seed, len(c), *node.encode()[-8:]])) for node, c in found.items()}
+
+
 def _assign(centres):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +213,7 @@ def _assign(centres):
 
 
 def _sums(centres):
-    """Of each task, the sum and number of rows nearest to each centre, and the row that fits its own least."""
+    """Of each task, the sum and number of rows nearest to each centre, a row for CENTRE_ROWS centres, and the row that fits its own least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -169,15 +230,22 @@ def _sums(centres):
                 if node not in worst or best[i] < worst[node][0]:
                     worst[node] = (float(best[i]), rows[i])
         for node, held in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([held.tobytes()], pa.binary()), pa.array([worst[node][0]]), pa.array([worst[node][1].tobytes()], pa.binary())], ["node", "sums", "fit", "row"])
+            for i in range(0, len(held), CENTRE_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([i], pa.int64()), pa.array([held[i : i + CENTRE_ROWS].tobytes()], pa.binary()), pa.array([worst[node][0]]), pa.array([worst[node][1].tobytes()], pa.binary())], ["node", "first", "sums", "fit", "row"])
 
     return run
 
 
-def _added(group: pa.Table) -> pa.Table:
-    group = group.sort_by([("fit", "ascending"), ("row", "ascending")])
-    total = sum(np.frombuffer(x, np.float64) for x in group["sums"].to_pylist())
-    return pa.table({"node": group["node"][:1], "sums": pa.array([total.tobytes()], pa.binary()), "rows": pa.array([b"".join(group["row"].to_pylist())], pa.binary())})
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the sums of some centres as they come, one held at a time; and the rows that fit least, as many as there are centres."""
+    node, first, total, worst = None, None, 0.0, []
+    for batch in batches:
+        node, first = batch.column("node").slice(0, 1), batch.column("first").slice(0, 1)
+        for raw, fit, row in zip(batch.column("sums"), batch.column("fit").to_pylist(), batch.column("row").to_pylist(), strict=True):
+            total = total + np.frombuffer(raw.as_buffer(), np.float64)
+            worst.append((fit, row))
+        worst = sorted(worst)[:CENTRE_ROWS]
+    yield pa.RecordBatch.from_arrays([node, first, pa.array([total.tobytes()], pa.binary()), pa.array([b"".join(r for _, r in worst)], pa.binary())], ["node", "first", "sums", "rows"])
 
 
 def kmeans(rows: DataFrame, many: dict[str, int], seed: int, iterations: int) -> dict[str, np.ndarray]:
@@ -186,24 +254,24 @@ def kmeans(rows: DataFrame, many: dict[str, int], seed: int, iterations: int) ->
         return {}
     spark = rows.sparkSession
     dim = rows.agg(F.max(F.size("unit"))).first()[0] or 1
-    if sum(many.values()) * dim * 8 > CENTRE_BYTES:
-        raise ContractError(f"{sum(many.values())} centres of {dim} numbers exceed {CENTRE_BYTES} bytes")
-    of = F.create_map(*[x for node, k in many.items() for x in (F.lit(node), F.lit(START_ROWS * k))])[F.col("node")]
-    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("row_id").cast("string")).cast("binary"))
-    some = rows.select("node", "unit", "row_id").withColumn("draw", draw).withColumn("p", F.row_number().over(Window.partitionBy("node").orderBy("draw", "row_id"))).where(F.col("p") <= of)
-    found = some.select("node", "unit", "draw").groupBy("node").applyInArrow(_starts(spark.sparkContext.broadcast(many), seed), "node string, centres binary").collect()
-    centres = {r["node"]: np.frombuffer(r["centres"], np.float64).reshape(-1, dim) for r in found}
+    if ROUNDS * sum(max(LEAST_DRAWN, k) for k in many.values()) * dim * 8 > CENTRE_BYTES:
+        raise ContractError(f"candidates of {sum(many.values())} centres of {dim} numbers exceed {CENTRE_BYTES} bytes")
+    centres = starts(rows, many, seed)
     for _ in range(iterations):
-        sums = rows.select("node", "unit").mapInArrow(_sums(spark.sparkContext.broadcast(centres)), "node string, sums binary, fit double, row binary")
+        sums = rows.select("node", "unit").mapInArrow(_sums(spark.sparkContext.broadcast(centres)), "node string, first long, sums binary, fit double, row binary")
+        parts: dict[str, list] = {}
+        for r in sums.groupBy("node", "first").applyInArrow(_added, "node string, first long, sums binary, rows binary").collect():
+            parts.setdefault(r["node"], []).append(r)
         moved = 0.0
-        for r in sums.groupBy("node").applyInArrow(_added, "node string, sums binary, rows binary").collect():
-            held = np.frombuffer(r["sums"], np.float64).reshape(-1, dim + 1).copy()
+        for node, found in parts.items():
+            found.sort(key=lambda r: r["first"])
+            held = np.concatenate([np.frombuffer(r["sums"], np.float64) for r in found]).reshape(-1, dim + 1).copy()
             empty = np.flatnonzero(held[:, -1] == 0)
-            loose = np.frombuffer(r["rows"], np.float64).reshape(-1, dim)[: len(empty)]
+            loose = np.frombuffer(found[0]["rows"], np.float64).reshape(-1, dim)[: len(empty)]
             held[empty[: len(loose)], :-1] = loose  # an empty part starts again at a row that fits badly
             new = _normal(held[:, :-1])
-            moved = max(moved, float(np.abs(new - centres[r["node"]]).max()))
-            centres[r["node"]] = new
+            moved = max(moved, float(np.abs(new - centres[node]).max()))
+            centres[node] = new
         if moved < 1e-9:
             break
     return centres
@@ -330,28 +398,41 @@ def _split_by_density(rows: DataFrame, open_: dict[str, _Node], limits: Limits)
 
 
 def _merge_plan(leaves: dict[str, _Node], sums: dict[str, np.ndarray], firsts: dict[str, int], limits: Limits) -> tuple[dict[str, str], set[str]]:
-    """(leaf -> leaf that takes it, leaves that are then too large): small leaves, smallest first, go to the most similar one with room."""
+    """(leaf -> leaf that takes it, leaves that are then too large): the smallest leaf goes to the most similar one with room, again and again.
+
+    Small leaves wait in a queue by size, then first row. A leaf that takes another moves its centre and, while it is small, waits again
+    with its new size. Where none has room, the most similar leaf becomes too large and takes no more; if all are, these take the rest.
+    """
     names = sorted(leaves, key=lambda n: firsts[n])
-    centre = _normal(np.stack([sums[n] for n in names]))
-    size = np.array([leaves[n].size for n in names])
-    host = np.arange(len(names))
+    total = np.stack([sums[n] for n in names]).astype(np.float64)
+    centre, size = _normal(total), [leaves[n].size for n in names]
+    host, open_ = np.arange(len(names)), np.ones(len(names), bool)
     large: set[int] = set()
-    for i in sorted(np.flatnonzero(size < limits.n_min).tolist(), key=lambda i: (size[i], i)):
-        if size[i] >= limits.n_min or host[i] != i:
-            continue  # others have come to it, or it has gone
-        like = centre @ centre[i]
-        like[(host != np.arange(len(names))) | (np.arange(len(names)) == i)] = -np.inf
-        like[list(large)] = -np.inf
-        if not np.isfinite(like).any():
-            if not large:
-                break
-            like[list(large)] = (centre @ centre[i])[list(large)]
-        room = np.where(size + size[i] <= limits.n_max, like, -np.inf)
-        j = int(room.argmax()) if np.isfinite(room).any() else int(like.argmax())
+    queue = [(size[i], i) for i in range(len(names)) if size[i] < limits.n_min]
+    heapq.heapify(queue)
+    while queue:
+        n, i = heapq.heappop(queue)
+        if host[i] != i or size[i] != n:
+            continue  # it has gone, or waits with another size
+        others = open_.copy()
+        others[i] = False
+        if not others.any():
+            others[list(large)] = True
+        if not others.any():
+            break
+        like = np.where(others, centre @ centre[i], -np.inf)
+        room = np.where(np.array(size) + n <= limits.n_max, like, -np.inf)
+        j = int((room if np.isfinite(room).any() else like).argmax())
         host[host == i] = j
-        size[j] += size[i]
+        open_[i] = False
+        total[j] += total[i]
+        centre[j] = _normal(total[j : j + 1])[0]
+        size[j] += n
         if size[j] > limits.n_max:
             large.add(j)
+            open_[j] = False
+        elif size[j] < limits.n_min:
+            heapq.heappush(queue, (size[j], j))
     return {names[i]: names[j] for i, j in enumerate(host.tolist()) if i != j}, {names[j] for j in large}
 
 

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.sources.scratch import written
 
+#: Counted rows up to which one task numbers them.
+TASK_ROWS = 20_000
+
 
 def numbered(df: DataFrame, *by: str, within: str | None = None, name: str = "number") -> DataFrame:
     """``df`` with its rows' numbers from 0 in the order of the columns ``by``, of the whole table or of each value of ``within``.
 
-    Rows are sorted by ranges and written with their place in the range; what stands before a range is a sum over one row for
-    each range (and value).
+    Rows are written, so that ranges are drawn from what is there; few ones are numbered by a window. More are sorted by ranges and
+    written with their place in the range; what stands before a range is a sum over one row for each range (and value).
     """
     keys = [*([within] if within else []), *by]
+    df = written(df, "unnumbered")
+    if df.count() <= TASK_ROWS:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*([within] if within else [])).orderBy(*by)) - 1).cast("long"))
     placed = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("__at", 33)
     # the first place of a value in its range; ranges are as many as shuffle partitions, and a value lies in neighbouring ones

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions import sampling
 from vectide.operators import cluster, explore, knn, overlay, project, validate
+from vectide.operators.metrics import unit_rows
 from vectide.plans import artifacts, views
 from vectide.queries.registry import load, query, windows, with_windows
 from vectide.queries.relational import SAMPLE, TAGS
@@ -154,6 +155,28 @@ def g4(spark: SparkSession, d: str) -> DataFrame:
     return _grouped(spark, d)
 
 
+#: What a window is in the planted table, from its recording and its number: a cloud, a part of a dense one, or a row by itself beside a cloud.
+PLANTED = "CASE WHEN big_recording_index IN (5, 6, 7) THEN CASE WHEN vec_id % 20 < 10 THEN 'a' WHEN vec_id % 20 < 17 THEN 'b' ELSE 'c' END WHEN big_recording_index = 8 THEN CAST(vec_id % 5 AS STRING) ELSE CAST(big_recording_index AS STRING) END"
+
+
+def _planted(spark: SparkSession, d: str) -> DataFrame:
+    """Six clouds, rows by themselves nearest to the first five, and a cloud of three parts that are too close for a distance to tell apart."""
+    place, alone = F.expr(PLANTED), F.col("big_recording_index") == 8
+    near = {"a": (0.0, 0.0), "b": (0.04, 0.0), "c": (0.012, 0.032)}
+    base = [F.when(place == str(i), 1.0).otherwise(F.when(place.isin("a", "b", "c"), 1.0 if i == 5 else 0.0).otherwise(0.0)) for i in range(10)]
+    inside = [F.when(place == "b", near["b"][i]).when(place == "c", near["c"][i]).otherwise(0.0) for i in range(2)]
+    spread = F.when(alone, 0.9).when(place.isin("a", "b", "c"), 0.001).otherwise(0.02)
+    return unit_rows(windows(spark, d)).select(F.col("window_id").alias("row_id"), F.concat(F.array(*base, *inside), F.transform("unit", lambda x: x * spread)).alias("embedding"))
+
+
+@query("g10_density_groups", with_windows(f"WITH p AS (SELECT window_id, big_recording_index = 8 AS attached, CASE {PLANTED.replace('STRING', 'VARCHAR').replace(chr(39) + 'c' + chr(39), chr(39) + 'b' + chr(39))} WHEN 'a' THEN 'a' WHEN 'b' THEN 'b' ELSE 'cloud ' || {PLANTED.replace('STRING', 'VARCHAR')} END AS g FROM windows), f AS (SELECT g, min(window_id) AS f, CAST(count(*) AS INTEGER) AS group_size FROM p GROUP BY 1), n AS (SELECT *, CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS group_id FROM f) SELECT window_id AS row_id, group_id, CAST(CASE WHEN g IN ('a', 'b') THEN 2 ELSE 1 END AS INTEGER) AS group_depth, CASE g WHEN 'a' THEN 'kmeans' WHEN 'b' THEN 'kmeans+merged' ELSE 'dbscan' END AS group_split, group_size, attached FROM p JOIN n USING (g)"))
+def g10(spark: SparkSession, d: str) -> DataFrame:
+    """Density tells clouds apart, rows by themselves are attached, k-means cuts the dense cloud, and its small part joins the one with room, not the nearest."""
+    rows = _planted(spark, d)
+    n = rows.count()
+    return cluster.grouped(rows, cluster.Limits(n_max=int(0.16 * n), n_min=int(0.06 * n), eps0=0.4)).drop("group_path")
+
+
 @query("g11_kmeans_control")
 def g11(spark: SparkSession, d: str) -> DataFrame:
     return _grouped(spark, d, control=True)
