@@ -1,7 +1,7 @@
 """Diverse subsets: greedy maximum-determinant selection over sweeps of kernels and weights.
 
 A group's rows go to one task, which makes the cosine matrix once and then steps through all points of a sweep side by side; one
-row for each point holds its metrics and its members. The preflight refuses groups whose workspace exceeds a budget.
+row for each point holds its metrics and its members. Groups whose workspace exceeds a budget are left partitioned.
 """
 
 from __future__ import annotations
@@ -148,26 +148,43 @@ _SWEEP_ARROW = pa.schema([(n, _KINDS[t]) for n, t in (f.split(" ") for f in SWEE
 BATCH_BYTES = 256 << 20
 
 
-def prepare(windows: DataFrame, group: str, eta: float, allocation: DataFrame | None = None, max_workspace_gib: float = 8.0, dim: int = 512) -> DataFrame:
-    """group_id, row_id, embedding, recon_loss, k; refuses groups beyond the workspace."""
+def split(windows: DataFrame, group: str, eta: float, allocation: DataFrame | None = None, max_workspace_gib: float = 8.0, dim: int = 512) -> tuple[DataFrame, list]:
+    """(group_id, row_id, embedding, recon_loss, k; the groups beyond the workspace of a task, as rows of group_id and k)."""
     from vectide.operators.allocate import proportional
 
     sizes = windows.groupBy(F.col(group).cast("long").alias("group_id")).agg(F.count(F.lit(1)).alias("n"))
     given = (proportional(sizes, eta) if allocation is None else allocation).select("group_id", "n", "k")
-    large = given.where(workspace_bytes(F.col("n"), F.col("k"), dim) > F.lit(max_workspace_gib * 2**30)).limit(3).collect()
+    large = given.where(workspace_bytes(F.col("n"), F.col("k"), dim) > F.lit(max_workspace_gib * 2**30)).select("group_id", "k").orderBy("group_id").collect()  # by default, groups of 19,000 rows or more
+    rows = windows.select(F.col(group).cast("long").alias("group_id"), F.col("window_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("recon_loss").cast("double").alias("recon_loss"))
+    return rows.join(given.select("group_id", "k"), "group_id"), large
+
+
+def prepare(windows: DataFrame, group: str, eta: float, allocation: DataFrame | None = None, max_workspace_gib: float = 8.0, dim: int = 512) -> DataFrame:
+    """group_id, row_id, embedding, recon_loss, k; refuses groups beyond the workspace."""
+    rows, large = split(windows, group, eta, allocation, max_workspace_gib, dim)
     if large:
         raise ContractError(f"workspace of group {large[0]['group_id']} exceeds {max_workspace_gib} GiB")
-    return windows.select(F.col(group).cast("long").alias("group_id"), F.col("window_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("recon_loss").cast("double").alias("recon_loss")).join(given.select("group_id", "k"), "group_id")
+    return rows
 
 
-def sweep_runs(windows: DataFrame, group: str, points: list[Point], direction: str, eta: float, epsilon: float = EPSILON, allocation: DataFrame | None = None, pool: DataFrame | None = None, tie: float = TIE, max_workspace_gib: float = 8.0) -> DataFrame:
+def sweep_runs(windows: DataFrame, group: str, points: list[Point], direction: str, eta: float, epsilon: float = EPSILON, allocation: DataFrame | None = None, pool: DataFrame | None = None, tie: float = TIE, max_workspace_gib: float = 8.0, refuse: bool = False) -> DataFrame:
     """One row for each group and point: metrics, and its members as arrays in the order of choice. One grouped map makes both.
 
+    Groups beyond the workspace of a task stay partitioned and are chosen from by :mod:`vectide.operators.greedy`, one after another;
+    with ``refuse`` they end the run instead.
     ``pool`` (window_id) limits the candidates; ``allocation`` (group_id, n, k) says how many rows each group keeps, and which groups take part.
     """
     if pool is not None:
         windows = windows.join(pool.select("window_id"), "window_id", "left_semi")
-    return prepare(windows, group, eta, allocation, max_workspace_gib).groupBy("group_id").applyInArrow(_sweep(points, direction, epsilon, tie, BATCH_BYTES), SWEEP)
+    rows, large = (prepare(windows, group, eta, allocation, max_workspace_gib), []) if refuse else split(windows, group, eta, allocation, max_workspace_gib)
+    if not large:
+        return rows.groupBy("group_id").applyInArrow(_sweep(points, direction, epsilon, tie, BATCH_BYTES), SWEEP)
+    from vectide.operators import greedy
+
+    out = rows.where(~F.col("group_id").isin([r["group_id"] for r in large])).groupBy("group_id").applyInArrow(_sweep(points, direction, epsilon, tie, BATCH_BYTES), SWEEP)
+    for r in large:
+        out = out.unionAll(greedy.sweep_group(rows.where(F.col("group_id") == r["group_id"]).drop("k", "group_id"), r["group_id"], points, direction, r["k"], epsilon, tie))
+    return out
 
 
 def members_of(runs: DataFrame) -> DataFrame:

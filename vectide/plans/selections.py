@@ -38,6 +38,7 @@ class Settings:
     epsilon: float
     tie: float
     max_workspace_gib: float
+    refuse: bool
     seed: int
 
     @staticmethod
@@ -46,9 +47,17 @@ class Settings:
         tie = numbers.get("tie_tolerance", dpp.TIE)
         return Settings(
             source, fingerprint(config), str(config.get("grouping", {}).get("name", RECORDINGS)), float(numbers.get("epsilon", dpp.EPSILON)), 0.0 if tie is None else float(tie),
-            float(numbers.get("max_workspace_gib", 8.0)), int(config.get("projection", {}).get("seed", 0)),
+            float(numbers.get("max_workspace_gib", 8.0)), Settings.refuses(numbers), int(config.get("projection", {}).get("seed", 0)),
         )
 
+    @staticmethod
+    def refuses(numbers: dict) -> bool:
+        """Whether groups beyond the workspace end the build; with "beyond_workspace": "partition" they stay partitioned."""
+        how = numbers.get("beyond_workspace", "refuse")
+        if how not in ("refuse", "partition"):
+            raise ContractError(f"beyond_workspace {how}")
+        return how == "refuse"
+
     def run_id(self, group: Column | None, **configuration: object) -> Column:
         """The run id of each row's group (None: of the whole table), as :func:`vectide.plans.jobs.run_id` makes it."""
         number = None if group is None else ANY_GROUP
@@ -147,7 +156,7 @@ def _sweep(rows: DataFrame, sizes: DataFrame, definition: dict, rankings: dict[s
     if not definition.get("full_population", True):
         pool = members.select(F.col("row_id").alias("window_id"))
         given = allocate.proportional(rows.join(pool, "window_id", "left_semi").groupBy("group_id").agg(F.count(F.lit(1)).alias("n")), eta)
-    swept = dpp.sweep_runs(only(rows), "group_id", points, str(ranked["direction"]), eta, s.epsilon, only(given), pool, s.tie, s.max_workspace_gib)
+    swept = dpp.sweep_runs(only(rows), "group_id", points, str(ranked["direction"]), eta, s.epsilon, only(given), pool, s.tie, s.max_workspace_gib, s.refuse)
     run = reduce(lambda c, p: F.when((F.col("kernel") == p.kernel) & (F.col("w") == p.w), s.run_id(F.col("group_id"), stage="dpp", definition=definition, candidates=name, kernel_method=p.kernel, w_interaction=p.w)).otherwise(c), points, F.lit(None).cast("string"))
     swept = written(swept.withColumn("run_id", run), "sweep")
     candidate = heads.select(F.col("group_id").alias("__g"), F.col("run_id").alias("candidate_run_id"))
