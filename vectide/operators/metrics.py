@@ -36,12 +36,21 @@ def unit_rows(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.withColumn("unit", unit(F.col(vector).cast("array<double>")))
 
 
+def unit_sums(df: DataFrame, group: list[str], vector: str = "embedding") -> DataFrame:
+    """(group, n, s): number and sum of the unit vectors of each group, added up in tasks before the shuffle: one array a task and group."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    total = Summarizer.sum(array_to_vector(F.col("unit"))).alias("s")
+    sums = unit_rows(df, vector).groupBy(*group).agg(total, F.count(F.lit(1)).alias("n"))
+    return sums.withColumn("s", vector_to_array("s"))
+
+
 def mean_cosine(df: DataFrame, group: list[str], vector: str = "embedding") -> DataFrame:
     """Mean cosine over all pairs of each group, from its sum vector: (|sum u|^2 - n) / (n (n - 1)); 1 for one row. No pair is made."""
-    flat = unit_rows(df, vector).select(*group, F.posexplode("unit").alias("i", "x"))
-    sums = flat.groupBy(*group, "i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    n = F.max("n").cast("double")
-    return sums.groupBy(*group).agg(F.max("n").alias("n"), F.when(F.max("n") == 1, 1.0).otherwise((F.sum(F.col("s") * F.col("s")) - n) / (n * (n - 1))).alias("mean_cosine"))
+    n = F.col("n").cast("double")
+    square = F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x)
+    return unit_sums(df, group, vector).select(*group, "n", F.when(F.col("n") == 1, 1.0).otherwise((square - n) / (n * (n - 1))).alias("mean_cosine"))
 
 
 #: Bytes of matrices that a task holds before it sends them.

@@ -11,7 +11,7 @@ from vectide.operators.metrics import unit_rows
 from vectide.plans import artifacts, views
 from vectide.queries.registry import load, query, windows, with_windows
 from vectide.queries.relational import SAMPLE, TAGS
-from vectide.queries.selection import ETAS, GRID, MASKS, mask_cte, ranked_sql, rankings
+from vectide.queries.selection import ETAS, GRID, MASKS, mask_cte, ranked_sql, rankings, rankings_sql
 
 UNIT = "u AS (SELECT *, list_transform(embedding, lambda x: x / sqrt(list_inner_product(embedding, embedding))) AS u FROM windows)"
 FIT = SAMPLE.format("window_id").replace("< 8", "< 20")
@@ -280,6 +280,30 @@ def m7(spark: SparkSession, d: str) -> DataFrame:
     return artifacts.index_metrics(w, rankings(spark, d).withColumnRenamed("row_id", "window_id"), ["direction", "eta", "kernel", "w"], w.where(sampling.hash_sample(F.col("window_id"))))
 
 
+_SHARED = "list_transform(embedding, lambda x: x / sqrt(list_inner_product(embedding, embedding))) AS u"
+
+
+@query("a22_published_unions", with_windows(f"""WITH {rankings_sql()}, m AS (SELECT direction, w, n.*, {_SHARED} FROM members JOIN windows n ON window_id = row_id), s AS (SELECT window_id, {_SHARED} FROM windows WHERE {SAMPLE.format('window_id')}),
+ cos AS (SELECT a.direction, a.w, avg(list_inner_product(a.u, b.u)) AS c FROM m a JOIN m b ON a.direction = b.direction AND a.w = b.w AND a.window_id <> b.window_id GROUP BY 1, 2),
+ best AS (SELECT direction, w, s.window_id, max(list_inner_product(m.u, s.u)) AS c FROM m, s GROUP BY 1, 2, 3),
+ cov AS (SELECT direction, w, {', '.join(f"round(avg(CASE WHEN c >= {t} THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage_{int(100 * t):03d}" for t in artifacts.TAUS)} FROM best GROUP BY 1, 2),
+ size AS (SELECT big_recording_index, count(*) AS n FROM windows GROUP BY 1), large AS (SELECT big_recording_index FROM size WHERE n >= (SELECT quantile_cont(n, 0.9) FROM size)),
+ plain AS (SELECT direction, w, count(*) AS k, round(avg(CASE WHEN big_recording_index IN (SELECT big_recording_index FROM large) THEN 1.0::DOUBLE ELSE 0 END), 6) AS top_decile_group_share, round(avg(recon_loss), 6) AS recon_loss_mean, {', '.join(f"round(quantile_cont(recon_loss, {q / 100}), 6) AS recon_loss_q{q}" for q in artifacts.PERCENTS)}, count(DISTINCT big_recording_index) AS recordings_represented FROM m GROUP BY 1, 2),
+ t AS (SELECT direction, w, dataset, round(count(*) / sum(count(*)) OVER (PARTITION BY direction, w), 4) AS share, row_number() OVER (PARTITION BY direction, w ORDER BY count(*) DESC, dataset) AS p FROM m GROUP BY 1, 2, 3),
+ top AS (SELECT direction, w, chr(123) || string_agg('"' || dataset || '":' || share, ',' ORDER BY p) || chr(125) AS top5_datasets FROM t WHERE p <= 5 GROUP BY 1, 2),
+ pub AS (SELECT direction, w, window_id FROM m WHERE recon_loss > 40 OR vec_id % 3 = 0 UNION SELECT direction, w, window_id FROM windows, (SELECT DISTINCT direction, w FROM m) WHERE vec_id % 11 = 0),
+ j AS (SELECT coalesce(m.direction, pub.direction) AS direction, coalesce(m.w, pub.w) AS w, round(count(*) FILTER (m.window_id IS NOT NULL AND pub.window_id IS NOT NULL)::DOUBLE / count(*), 6) AS jaccard_vs_published FROM m FULL JOIN pub ON m.direction = pub.direction AND m.w = pub.w AND m.window_id = pub.window_id GROUP BY 1, 2)
+ SELECT plain.*, round(c, 6) AS mean_pairwise_cosine_union, cov.* EXCLUDE (direction, w), top5_datasets, jaccard_vs_published FROM plain JOIN cos USING (direction, w) JOIN cov USING (direction, w) JOIN top USING (direction, w) JOIN j USING (direction, w)"""))
+def a22(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of unions beside published ones: all but the Vendi scores."""
+    w, keys = windows(spark, d), ["direction", "eta", "kernel", "w"]
+    members = rankings(spark, d).withColumnRenamed("row_id", "window_id").join(w.select("window_id", "vec_id"), "window_id")
+    more = w.where("vec_id % 11 = 0").select("window_id").join(F.broadcast(members.select(*keys).distinct()))
+    published = members.where("recon_loss > 40 OR vec_id % 3 = 0").select(*keys, "window_id").unionByName(more).distinct()
+    out = artifacts.index_metrics(w, members.select(*keys, "window_id"), keys, w.where(sampling.hash_sample(F.col("window_id"))), published).drop("eta", "kernel", "vendi_union", "vendi_union_normalized")
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" and c != "w" else F.col(c) for c, t in out.dtypes])
+
+
 def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     m = rankings(spark, d).withColumn("run_id", F.concat_ws(":", "direction", "w", "big_recording_index"))
     runs = m.select("run_id", F.lit("dpp").alias("method"), "direction", F.col("eta").alias("selection_eta"), F.col("kernel").alias("kernel_method"), F.col("w").alias("w_interaction")).distinct()

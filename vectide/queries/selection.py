@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions.vectors import dot
 from vectide.operators import allocate, dpp, metrics, overlay, ranking, validate
-from vectide.plans import jobs, selections
+from vectide.plans import compare, jobs, selections
 from vectide.queries.registry import load, query, shared_path, windows, with_windows
 from vectide.sources import sinks
 
@@ -150,6 +150,17 @@ def d6(spark: SparkSession, d: str) -> DataFrame:
     return _digest(_selected(spark, d, "additive", 1.0))
 
 
+ONE_GROUP = "(SELECT * REPLACE (CAST(7 AS BIGINT) AS big_recording_index) FROM windows)"
+
+
+@query("d8_greedy_partitioned", with_windows(greedy_sql("multiplicative", 4.0, pool=ONE_GROUP, given="12") + PICK))
+def d8p(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table as one group that is too large for a task: rows stay partitioned."""
+    w = windows(spark, d).withColumn("big_recording_index", F.lit(7).cast("long"))
+    given = w.groupBy(F.col("big_recording_index").alias("group_id")).agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(12))
+    return _digest(dpp.select(w, "big_recording_index", [dpp.Point("multiplicative", 4.0)], "top", 0.1, allocation=given, max_workspace_gib=0.0))
+
+
 @query("d7_greedy_bottom", with_windows(greedy_sql("additive", 30.0, 0.1, "bottom") + PICK))
 def d7(spark: SparkSession, d: str) -> DataFrame:
     return _digest(_selected(spark, d, "additive", 30.0, "bottom"))
@@ -170,8 +181,7 @@ def d13(spark: SparkSession, d: str) -> DataFrame:
 def d4(spark: SparkSession, d: str) -> DataFrame:
     """Row sums of each group's cosine matrix, from its sum vector: no pairs."""
     u = metrics.unit_rows(windows(spark, d)).select("window_id", F.col("big_recording_index").alias("g"), "unit")
-    sums = u.select("g", F.posexplode("unit").alias("i", "x")).groupBy("g", "i").agg(F.sum("x").alias("s")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("v"))
-    return u.join(F.broadcast(sums.select("g", F.col("v.s").alias("s"))), "g").select("window_id", F.round(dot(F.col("unit"), F.col("s")) + 1e-6, 5).alias("total"))
+    return u.join(metrics.unit_sums(u, ["g"], "unit"), "g").select("window_id", F.round(dot(F.col("unit"), F.col("s")) + 1e-6, 5).alias("total"))
 
 
 SWEEP = {"multiplicative": [0, 4, 64], "additive": [0.1, 1, 30]}
@@ -386,6 +396,28 @@ def a27(spark: SparkSession, d: str) -> DataFrame:
     return metrics.null_safe_join(*sets, ["big_recording_index"]).agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("a") == F.col("b")).alias("identical"), F.bool_and(F.col("a") == F.col("b")).alias("all_identical"))
 
 
+def _published(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Members and runs of rankings, and of the same rankings over whole losses, of which one group's highest are not published."""
+    out = []
+    for w, source in ((windows(spark, d), "a"), (windows(spark, d).withColumn("recon_loss", F.floor("recon_loss").cast("double")), "b")):
+        m = ranking.rank_sweep(w.select("window_id", "big_recording_index", "recon_loss"), "big_recording_index", ("top", "bottom"), ETAS)
+        about = {"config_id": F.col("direction"), "group_id": F.col("big_recording_index"), "w_interaction": F.when(F.col("eta") != 0.2, F.col("eta")), "kernel_method": F.when(F.col("direction") == "top", "additive"), "method": F.when(F.col("direction") == "top", "dpp").otherwise("ranking")}
+        m = m.withColumns(about).withColumn("run_id", F.concat_ws(":", F.lit(source), "config_id", "group_id", F.coalesce(F.col("w_interaction").cast("string"), F.lit("none"))))
+        m = m if source == "a" else m.where(~((F.col("direction") == "top") & (F.col("group_id") == 3)))
+        out += [m.select("run_id", F.col("window_id").alias("row_id")), m.select("run_id", "method", *compare.RUN_KEY).distinct()]
+    return tuple(out)
+
+
+@query("a27_mismatches", with_windows(f"""WITH {rankings_sql()}, {rankings_sql().replace('r_', 's_').replace('FROM windows', 'FROM (SELECT * REPLACE (floor(recon_loss) AS recon_loss) FROM windows)').replace('members AS', 'theirs AS')},
+ m AS (SELECT coalesce(a.direction, b.direction) AS config_id, coalesce(a.big_recording_index, b.big_recording_index) AS group_id, coalesce(a.w, b.w) AS w, count(*) FILTER (b.row_id IS NULL) AS only_here, count(*) FILTER (a.row_id IS NULL) AS only_published, count(*) AS n FROM members a FULL JOIN theirs b ON a.direction = b.direction AND a.w = b.w AND a.row_id = b.row_id GROUP BY 1, 2, 3),
+ p AS (SELECT *, NOT (config_id = 'top' AND group_id = 3) AS is_published FROM m)
+ SELECT config_id, group_id, CASE WHEN w <> 0.2 THEN w END AS w_interaction, CASE config_id WHEN 'top' THEN 'dpp:additive:w>0' ELSE 'ranking' END AS label, is_published, CASE WHEN is_published THEN only_here = 0 AND only_published = 0 END AS identical, CASE WHEN is_published THEN only_here END AS only_here, CASE WHEN is_published THEN only_published END AS only_published, CASE WHEN is_published THEN round((n - only_here - only_published) / n, 6) END AS jaccard FROM p"""))
+def a27m(spark: SparkSession, d: str) -> DataFrame:
+    """Every run beside its published one, with what they differ in."""
+    out = compare.compare_runs(*_published(spark, d))
+    return out.select("config_id", "group_id", "w_interaction", "label", "is_published", "identical", "only_here", "only_published", F.round("jaccard", 6).alias("jaccard"))
+
+
 @query("a8_curve_summary", with_windows(f"WITH {rankings_sql()}, runs AS (SELECT direction, w, big_recording_index, avg(recon_loss) AS m, count(*) AS actual_size, list_sort(list(recon_loss)) AS l FROM members GROUP BY ALL), s AS (SELECT direction, CASE WHEN direction = 'top' THEN NULL ELSE w END AS w, list_sort(list(m)) AS v, count(*) AS n, avg(actual_size) AS size, avg(m) AS mean FROM runs GROUP BY ALL) SELECT direction, w, CAST(n AS INTEGER) AS recording_count, round(mean, 6) AS loss_mean, round((v[1 + (n - 1) // 2] + v[1 + n // 2]) / 2, 6) AS loss_median, round(v[1 + CAST(floor(0.25::DOUBLE * (n - 1)) AS BIGINT)], 6) AS loss_q25, round(v[1 + CAST(floor(0.75::DOUBLE * (n - 1)) AS BIGINT)], 6) AS loss_q75, round(size, 6) AS actual_size_mean FROM s".replace("GROUP BY ALL), s AS", "GROUP BY direction, w, big_recording_index), s AS").replace("FROM runs GROUP BY ALL", "FROM runs GROUP BY 1, 2")))
 def a8(spark: SparkSession, d: str) -> DataFrame:
     runs = rankings(spark, d).groupBy("direction", "w", "big_recording_index").agg(F.avg("recon_loss").alias("loss"), F.count(F.lit(1)).alias("actual_size"))
