@@ -1,33 +1,86 @@
-"""Two-dimensional projections: a fit on a seeded sample, and its extension to all rows."""
+"""Two-dimensional projections: a fit on a seeded sample of bounded size, and its extension to all rows by their nearest fitted rows.
+
+A fit takes (at, unit) of the sample and a seed, and gives (at, x, y). ``pca`` needs sums over the rows, d x d numbers, and no row leaves
+its task. ``umap`` moves points from there along the sample's fuzzy neighbour graph, ``tsne`` until neighbour chances match.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.errors import ContractError
+from vectide.operators import layout
+from vectide.operators.cells import matrix
 from vectide.operators.knn import interpolate
 from vectide.operators.metrics import unit_rows
+from vectide.operators.order import numbered
+from vectide.sources.scratch import written
+
+Fit = Callable[[DataFrame, int], DataFrame]
+
+
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task: number, sum and sum of outer products of its rows."""
+    n, total, square = 0, 0.0, 0.0
+    for batch in batches:
+        if batch.num_rows:
+            x = matrix(batch.column("unit"))
+            n, total, square = n + len(x), total + x.sum(0), square + x.T @ x
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([square.tobytes()], pa.binary())], ["n", "total", "square"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, total, square = 0, 0.0, 0.0
+    for batch in batches:
+        for m, t, s in zip(batch.column("n").to_pylist(), batch.column("total"), batch.column("square"), strict=True):
+            n, total, square = n + m, total + np.frombuffer(t.as_buffer(), np.float64), square + np.frombuffer(s.as_buffer(), np.float64)
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([square.tobytes()], pa.binary())], ["n", "total", "square"])
+
+
+def principal_axes(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, first two principal axes, signs fixed by the largest loading) from sums of tasks."""
+    kinds = "n long, total binary, square binary"
+    found = rows.select("unit").mapInArrow(_moments, kinds).groupBy().applyInArrow(_summed, kinds).first()
+    mean = np.frombuffer(found["total"], np.float64) / found["n"]
+    spread = np.frombuffer(found["square"], np.float64).reshape(len(mean), -1) / found["n"] - np.outer(mean, mean)
+    axes = np.linalg.eigh(spread)[1][:, ::-1][:, :2].T
+    axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
+    return mean, axes
+
+
+def pca(rows: DataFrame, seed: int) -> DataFrame:
+    """The first two principal components, scaled to 10."""
+    mean, axes = principal_axes(rows)
+    sent = rows.sparkSession.sparkContext.broadcast((mean, axes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, axes = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                at = (matrix(batch.column("unit")) - mean) @ axes.T
+                at = np.pad(at, ((0, 0), (0, 2 - at.shape[1])))
+                yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(at[:, 0]), pa.array(at[:, 1])], ["at", "x", "y"])
+
+    flat = written(rows.select("at", "unit").mapInArrow(run, "at long, x double, y double"), "components")
+    most = flat.agg(F.greatest(F.max(F.abs("x")), F.max(F.abs("y")))).first()[0] or 0.0
+    return flat.select("at", *[(F.col(c) / F.lit(max(most, 1e-12)) * 10).alias(c) for c in ("x", "y")])
+
 
-Fit = Callable[[np.ndarray, int], np.ndarray]
+def umap(rows: DataFrame, seed: int) -> DataFrame:
+    return layout.placed(pca(rows, seed), layout.fuzzy_graph(rows), "umap", seed)
 
 
-def pca(unit: np.ndarray, seed: int) -> np.ndarray:
-    """The first two principal components, scaled to 10, signs fixed by the largest loading."""
-    x = unit - unit.mean(0)
-    _, _, v = np.linalg.svd(x, full_matrices=False)
-    v = v[:2] * np.sign(v[:2][np.arange(min(2, len(v))), np.abs(v[:2]).argmax(1)])[:, None]
-    out = x @ v.T
-    if out.shape[1] < 2:
-        out = np.pad(out, ((0, 0), (0, 2 - out.shape[1])))
-    return out / max(np.abs(out).max(), 1e-12) * 10
+def tsne(rows: DataFrame, seed: int) -> DataFrame:
+    return layout.placed(pca(rows, seed), layout.chance_graph(rows), "tsne", seed)
 
 
-#: Fits by name; umap and tsne are taken up if their packages are there.
-FITS: dict[str, Fit] = {"pca": pca}
+FITS: dict[str, Fit] = {"pca": pca, "umap": umap, "tsne": tsne}
 #: Fits that know no rows outside their sample.
 NEEDS_ALL = {"tsne"}
 
@@ -47,10 +100,8 @@ def project(df: DataFrame, method: str = "pca", sample: int = 20_000, seed: int
         raise ContractError(f"no fit named {method}")
     if method in NEEDS_ALL and df.count() > sample:
         raise ContractError(f"{method} needs all rows in its fit")
-    spark = df.sparkSession
-    rows = unit_rows(fit_sample(df, sample, seed, key)).select(key, "unit").orderBy(key).collect()  # bounded by ``sample``
-    at = FITS[method](np.array([r["unit"] for r in rows]), seed)
-    kind = df.schema[key].dataType.simpleString()
-    fitted = spark.createDataFrame([(r[key], float(x), float(y)) for r, (x, y) in zip(rows, at.tolist(), strict=True)], f"{key} {kind}, projection_x double, projection_y double")
-    vectors = df.select(key, "embedding")
-    return interpolate(vectors.join(fitted, key, "left_anti"), fitted.join(vectors, key), key, "embedding", "projection_x", "projection_y", k, temperature)
+    drawn = written(numbered(unit_rows(fit_sample(df, sample, seed, key)).select(key, "unit"), key, name="at"), "fit")
+    at = FITS[method](drawn.select("at", "unit"), seed)
+    fitted = written(drawn.join(at, "at").select(key, F.col("unit").alias("embedding"), F.col("x").alias("projection_x"), F.col("y").alias("projection_y")), "fitted")
+    rest = df.select(key, "embedding").join(fitted.select(key), key, "left_anti")
+    return interpolate(rest, fitted, key, "embedding", "projection_x", "projection_y", k, temperature)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectide.functions import sampling
-from vectide.operators import cluster, explore, knn, overlay, project, validate
+from vectide.operators import cluster, explore, knn, layout, overlay, project, validate
 from vectide.operators.metrics import unit_rows
+from vectide.operators.order import numbered
 from vectide.plans import artifacts, views
 from vectide.queries.registry import load, query, windows, with_windows
 from vectide.queries.relational import SAMPLE, TAGS
@@ -220,6 +221,29 @@ def x1(spark: SparkSession, d: str) -> DataFrame:
     return project.project(windows(spark, d))
 
 
+@query("x1_fuzzy_graph", with_windows(f"""WITH RECURSIVE {UNIT}, n AS (SELECT a.window_id AS q, b.window_id AS t, greatest(0.0::DOUBLE, 1 - list_inner_product(a.u, b.u)) AS far, row_number() OVER (PARTITION BY a.window_id ORDER BY round(list_inner_product(a.u, b.u), 9) DESC, b.window_id) AS p FROM u a JOIN u b ON a.window_id <> b.window_id),
+ r AS (SELECT *, greatest(0.0::DOUBLE, far - coalesce(min(far) FILTER (far > 0) OVER (PARTITION BY q), 0)) AS beyond FROM n WHERE p <= 14), l AS (SELECT q, list(beyond) AS d, avg(far) AS m FROM r GROUP BY 1),
+ b AS (SELECT q, d, 0.0::DOUBLE AS lo, 1e300::DOUBLE AS hi, 1.0::DOUBLE AS w, 0 AS step FROM l UNION ALL SELECT q, d, nlo, nhi, CASE WHEN nhi = 1e300 THEN w * 2 ELSE (nlo + nhi) / 2 END, step + 1 FROM (SELECT *, CASE WHEN small THEN w ELSE lo END AS nlo, CASE WHEN small THEN hi ELSE w END AS nhi FROM (SELECT *, list_sum(list_transform(d, lambda x: exp(-x / w))) < log2(14) AS small FROM b WHERE step < 64))),
+ s AS (SELECT r.q, r.t, CASE WHEN beyond > 0 THEN exp(-beyond / greatest(w, 1e-3 * m)) ELSE 1.0::DOUBLE END AS p FROM r JOIN b ON b.q = r.q AND b.step = 64 JOIN l ON l.q = r.q),
+ e AS (SELECT least(q, t) AS a, greatest(q, t) AS b, coalesce(max(p) FILTER (q < t), 0) AS p, coalesce(max(p) FILTER (q > t), 0) AS o FROM s GROUP BY 1, 2) SELECT a, b, round(p + o - p * o, 6) AS weight FROM e"""))
+def x1g(spark: SparkSession, d: str) -> DataFrame:
+    rows = numbered(unit_rows(windows(spark, d)).select("window_id", "unit"), "window_id", name="at")
+    graph = layout.fuzzy_graph(rows.select("at", "unit"))
+    for c in "ab":
+        graph = graph.join(rows.select(F.col("at").alias(c), F.col("window_id").alias(f"id_{c}")), c).drop(c).withColumnRenamed(f"id_{c}", c)
+    return graph.select("a", "b", F.round("weight", 6).alias("weight"))
+
+
+@query("x1_umap")
+def x1u(spark: SparkSession, d: str) -> DataFrame:
+    return project.project(windows(spark, d), "umap")
+
+
+@query("x2_tsne")
+def x2(spark: SparkSession, d: str) -> DataFrame:
+    return project.project(windows(spark, d), "tsne")
+
+
 @query("x5_realigned", with_windows("SELECT window_id, round(embedding[1], 6) AS projection_x, round(embedding[2], 6) AS projection_y, dataset FROM windows"))
 def x5(spark: SparkSession, d: str) -> DataFrame:
     w = windows(spark, d)
