@@ -28,6 +28,49 @@ class CrossFilter:
         return self.df.where(self.predicate(but))
 
 
+class Cube:
+    """Charts that filter one another, answered from counts: the table is read once, and brushes only read the counts.
+
+    ``bins`` names the bin of each chart's dimension. Counts of all combinations that occur are a table of at most as many rows as there
+    are combinations, whatever the table has; ``where`` is a folder for it.
+    """
+
+    def __init__(self, df: DataFrame, bins: dict[str, Column], where: str) -> None:
+        counts = df.select(*[b.alias(n) for n, b in bins.items()]).groupBy(*bins).agg(F.count(F.lit(1)).alias("count"))
+        counts.write.mode("error").parquet(where)
+        self.counts, self.names, self.brushes = df.sparkSession.read.schema(counts.schema).parquet(where), list(bins), {}
+
+    def brush(self, name: str, low: object = None, high: object = None, values: list | None = None) -> Cube:
+        """Keep bins from ``low`` to ``high``, or the listed ones (null may be one); without any of them the chart's brush is lifted."""
+        if name not in self.names:
+            raise KeyError(name)
+        c, parts = F.col(name), []
+        if low is not None:
+            parts.append(c >= F.lit(low))
+        if high is not None:
+            parts.append(c <= F.lit(high))
+        if values is not None:
+            parts.append(reduce(lambda a, b: a | b, [c.eqNullSafe(F.lit(v)) for v in values], F.lit(False)))
+        self.brushes[name] = reduce(lambda a, b: a & b, parts) if parts else None
+        return self
+
+    def chart(self, name: str) -> DataFrame:
+        """(bin, count) of a chart under the brushes of all others."""
+        kept = reduce(lambda a, b: a & b, [p for n, p in self.brushes.items() if p is not None and n != name], F.lit(True))
+        return self.counts.where(kept).groupBy(F.col(name).alias("bin")).agg(F.sum("count").alias("count"))
+
+    def total(self) -> DataFrame:
+        """(count): rows under all brushes."""
+        kept = reduce(lambda a, b: a & b, [p for p in self.brushes.values() if p is not None], F.lit(True))
+        return self.counts.where(kept).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"))
+
+
+def bin_of(column: str, low: float, high: float, bins: int) -> Column:
+    """The number of an equal bin over [low, high], the last one closed; null outside."""
+    v = F.col(column).cast("double")
+    return F.when((v >= low) & (v <= high), F.least(F.floor((v - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int"))
+
+
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
     """(bin, count): equal bins over [low, high), the last one closed."""
     v = F.col(column).cast("double")

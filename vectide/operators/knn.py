@@ -339,6 +339,28 @@ def _meet(k: int, digits: int, kind: pa.DataType):
     return run
 
 
+def _in_reach(blocks: DataFrame, low: tuple[float, float], span: float, digits: int) -> DataFrame:
+    """(q_block, t_block) of blocks whose bounds are within the query block's reach.
+
+    Blocks are dealt to the cells of a grid, about as many as there are blocks, that their bounds (targets) or their reach (queries)
+    cover, and meet by cell. A pair that shares several cells is kept in the first of them.
+    """
+    side_ = max(1, int(blocks.count() ** 0.5))
+    cell = lambda c, i: F.least(F.greatest(F.floor((c - F.lit(low[i])) / F.lit(span / side_)), F.lit(0)), F.lit(side_ - 1)).cast("long")
+    reach = F.col("far") * (1 + 1e-9) + 10.0 ** (1 - digits)
+
+    def dealt(name: str, more) -> DataFrame:
+        ends = {f"{name}_{c}{e}": cell(F.col(f"{c}{e}") + (more if e else -more), i) for i, c in enumerate("xy") for e in (0, 1)}
+        out = blocks.select(*[F.col(c).alias(f"{name}_{c}") for c in ("block", "far")], *[F.col(c).alias(f"{name}_at_{c}") for c in ("x0", "x1", "y0", "y1")], *[e.alias(n) for n, e in ends.items()])
+        return out.withColumn("gx", F.explode(F.sequence(f"{name}_x0", f"{name}_x1"))).withColumn("gy", F.explode(F.sequence(f"{name}_y0", f"{name}_y1")))
+
+    both = dealt("q", reach).join(dealt("t", F.lit(0.0)), ["gx", "gy"])
+    first = (F.col("gx") == F.greatest("q_x0", "t_x0")) & (F.col("gy") == F.greatest("q_y0", "t_y0"))
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"t_at_{c}0") - F.col(f"q_at_{c}1"), F.col(f"q_at_{c}0") - F.col(f"t_at_{c}1"))
+    near = F.sqrt(gap("x") * gap("x") + gap("y") * gap("y")) <= F.col("q_far") * (1 + 1e-9) + 10.0 ** (1 - digits)
+    return both.where(first & near).select("q_block", "t_block")
+
+
 def plane_nearest(points: DataFrame, k: int, key: str, x: str, y: str, digits: int = 9, rows: int = BLOCK) -> DataFrame:
     """(query, target, score, place): each point's k nearest others in the plane; ties go to the smaller id.
 
@@ -356,10 +378,7 @@ def plane_nearest(points: DataFrame, k: int, key: str, x: str, y: str, digits: i
     curve = spread(grid("x", low_x, high_x)).bitwiseOR(F.shiftleft(spread(grid("y", low_y, high_y)), 1))
     sorted_ = places.withColumn("curve", curve).repartitionByRange(max(1, -(-count // (64 * rows))), "curve", "x", "y").sortWithinPartitions("curve", "x", "y")
     blocks = written(sorted_.mapInArrow(_pack_plane(k, rows), f"block long, x0 double, x1 double, y0 double, y1 double, far double, xs binary, ys binary, ids array<array<{kind}>>"), "plane-blocks")
-    bounds = [blocks.select(*[F.col(c).alias(f"{s}_{c}") for c in ("block", "x0", "x1", "y0", "y1", "far")]) for s in "qt"]
-    gap = lambda a: F.greatest(F.lit(0.0), F.col(f"t_{a}0") - F.col(f"q_{a}1"), F.col(f"q_{a}0") - F.col(f"t_{a}1"))
-    near = F.sqrt(gap("x") * gap("x") + gap("y") * gap("y")) <= F.col("q_far") * (1 + 1e-9) + 10.0 ** (1 - digits)
-    meet = bounds[0].join(bounds[1], near).select("q_block", "t_block")
+    meet = _in_reach(blocks, (low_x or 0.0, low_y or 0.0), max((high_x or 0.0) - (low_x or 0.0), (high_y or 0.0) - (low_y or 0.0), 1e-300), digits)
     units = meet.join(blocks.select(F.col("block").alias("q_block"), F.col("xs").alias("qx"), F.col("ys").alias("qy")), "q_block").join(blocks.select(F.col("block").alias("t_block"), "xs", "ys", "ids"), "t_block")
     hits = units.select("qx", "qy", "xs", "ys", "ids").mapInArrow(_meet(k, digits, _ARROW[kind]), f"x double, y double, target {kind}, score double, near double")
     lists = hits.withColumn("n", F.row_number().over(Window.partitionBy("x", "y").orderBy(F.desc("near"), "target"))).where(F.col("n") <= k + 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from vectide.operators import cluster, explore, knn, layout, overlay, project, v
 from vectide.operators.metrics import unit_rows
 from vectide.operators.order import numbered
 from vectide.plans import artifacts, views
-from vectide.queries.registry import load, query, windows, with_windows
+from vectide.queries.registry import load, query, shared_path, windows, with_windows
 from vectide.queries.relational import SAMPLE, TAGS
 from vectide.queries.selection import ETAS, GRID, MASKS, mask_cte, ranked_sql, rankings, rankings_sql
 
@@ -322,7 +324,8 @@ def a22(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of unions beside published ones: all but the Vendi scores."""
     w, keys = windows(spark, d), ["direction", "eta", "kernel", "w"]
     members = rankings(spark, d).withColumnRenamed("row_id", "window_id").join(w.select("window_id", "vec_id"), "window_id")
-    more = w.where("vec_id % 11 = 0").select("window_id").join(F.broadcast(members.select(*keys).distinct()))
+    every = F.array(*[F.struct(F.lit(x).alias("direction"), F.lit(0.1).alias("eta"), F.lit("ranking").alias("kernel"), F.lit(e).alias("w")) for x in ("top", "bottom") for e in ETAS])
+    more = w.where("vec_id % 11 = 0").select("window_id", F.explode(every).alias("x")).select("window_id", "x.*")
     published = members.where("recon_loss > 40 OR vec_id % 3 = 0").select(*keys, "window_id").unionByName(more).distinct()
     out = artifacts.index_metrics(w, members.select(*keys, "window_id"), keys, w.where(sampling.hash_sample(F.col("window_id"))), published).drop("eta", "kernel", "vendi_union", "vendi_union_normalized")
     return out.select(*[F.round(c, 6).alias(c) if t == "double" and c != "w" else F.col(c) for c, t in out.dtypes])
@@ -358,9 +361,12 @@ def m9(spark: SparkSession, d: str) -> DataFrame:
     return views.set_view(a, masked, MASKS, a.where("recon_loss > 150").select("row_id")).select("row_id", "point_label", MASKS[0], "clustered_selected")
 
 
-@query("m9_synthetic_runs", "SELECT dir AS direction, e::DOUBLE AS selection_eta, w::DOUBLE AS w_interaction, 'per_group' AS scope FROM (SELECT unnest(['top', 'bottom']) AS dir), (SELECT unnest([0.01, 0.1]) AS e), (SELECT unnest([0.05, 0.1, 0.2]) AS w)")
+@query("m9_synthetic_runs", with_windows(f"WITH {rankings_sql()}, p AS (SELECT dir AS direction, e::DOUBLE AS selection_eta, w::DOUBLE AS w_interaction, 'per_group' AS scope FROM (SELECT unnest(['top', 'bottom']) AS dir), (SELECT unnest([0.01, 0.1]) AS e), (SELECT unnest([0.05, 0.1, 0.2]) AS w)) SELECT p.*, CASE WHEN selection_eta = 0.1 THEN (SELECT count(*) FROM members m WHERE m.direction = p.direction AND m.w = p.w_interaction) ELSE 0 END AS memberships FROM p"))
 def m9b(spark: SparkSession, d: str) -> DataFrame:
-    return views.synthetic_runs(spark, "set", ["top", "bottom"], [0.01, 0.1], {"ranking": list(ETAS)}).select("direction", "selection_eta", "w_interaction", "scope")
+    """The runs that a grid implies, with the memberships that the table has of each."""
+    runs = views.synthetic_runs(spark, "set", ["top", "bottom"], [0.01, 0.1], {"ranking": list(ETAS)}).select("direction", "selection_eta", "w_interaction", "scope")
+    of = rankings(spark, d).groupBy("direction", F.col("eta").alias("selection_eta"), F.col("w").alias("w_interaction")).agg(F.count(F.lit(1)).alias("memberships"))
+    return runs.join(of, ["direction", "selection_eta", "w_interaction"], "left").fillna(0, ["memberships"])
 
 
 @query("m10_demo_view", with_windows(f"WITH {ATLAS} SELECT row_id, {LABEL} AS point_label FROM atlas WHERE {SAMPLE.format('row_id')}"))
@@ -377,6 +383,14 @@ def q1(spark: SparkSession, d: str) -> DataFrame:
     return f.rows(but="flag").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("q1_cube", "WITH b AS (SELECT CASE WHEN l_quantity BETWEEN 0 AND 50 THEN CAST(least(floor(l_quantity / 5), 9) AS INTEGER) END AS quantity, CAST(round(l_discount * 100) AS INTEGER) AS discount, l_returnflag AS flag FROM lineitem) SELECT 'quantity' AS chart, CAST(quantity AS VARCHAR) AS bin, count(*) AS count FROM b WHERE discount >= 3 AND flag IN ('A', 'R') GROUP BY quantity UNION ALL SELECT 'discount', CAST(discount AS VARCHAR), count(*) FROM b WHERE quantity BETWEEN 2 AND 6 AND flag IN ('A', 'R') GROUP BY discount UNION ALL SELECT 'flag', flag, count(*) FROM b WHERE quantity BETWEEN 2 AND 6 AND discount >= 3 GROUP BY flag")
+def q1c(spark: SparkSession, d: str) -> DataFrame:
+    """Three charts under each other's brushes, from counts that one pass over the table made."""
+    bins = {"quantity": explore.bin_of("l_quantity", 0, 50, 10), "discount": F.round(F.col("l_discount") * 100).cast("int"), "flag": F.col("l_returnflag")}
+    cube = explore.Cube(load(spark, d, "lineitem"), bins, shared_path(spark, "cube")).brush("quantity", 2, 6).brush("discount", 3).brush("flag", values=["A", "R"])
+    return reduce(DataFrame.unionAll, [cube.chart(n).select(F.lit(n).alias("chart"), F.col("bin").cast("string").alias("bin"), "count") for n in bins])
+
+
 @query("q2_histogram", "SELECT CAST(least(floor((l_extendedprice - 1000) / ((100000.0::DOUBLE - 1000) / 24)), 23) AS INTEGER) AS bin, count(*) AS count FROM lineitem WHERE l_extendedprice BETWEEN 1000 AND 100000 GROUP BY 1")
 def q2(spark: SparkSession, d: str) -> DataFrame:
     return explore.histogram(load(spark, d, "lineitem"), "l_extendedprice", 1000.0, 100000.0, 24)

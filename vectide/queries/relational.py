@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectide.errors import ContractError
 from vectide.functions import sampling, text
 from vectide.operators import validate
 from vectide.operators.order import numbered
 from vectide.queries.registry import both, load, query, shared_path, windows, with_windows
 from vectide.schema import SELECTIONS, conform
-from vectide.sources import readers, sinks
+from vectide.sources import publish, readers, sinks
 
 # sources
 
@@ -63,12 +64,25 @@ both("s7_json", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
 
 @query("s9_manifest", with_windows("SELECT count(*) AS total, 0::BIGINT AS empty, 0::BIGINT AS spaced, 0::BIGINT AS unsorted FROM windows"))
 def s9(spark: SparkSession, d: str) -> DataFrame:
-    ids = windows(spark, d).select("window_id")
+    return _manifest(spark, windows(spark, d).select("window_id", F.col("window_id").alias("value")))
+
+
+DIRTY = "CASE WHEN vec_id % 50 = 7 THEN '' WHEN vec_id % 50 = 9 THEN window_id || ' ' WHEN vec_id % 50 = 11 THEN 'a' || window_id ELSE window_id END"
+
+
+@query("s9_dirty_manifest", with_windows(f"WITH l AS (SELECT window_id, {DIRTY} AS v FROM windows), n AS (SELECT v, lag(v) OVER (ORDER BY window_id) AS before FROM l) SELECT count(*) AS total, count(*) FILTER (v = '') AS empty, count(*) FILTER (contains(v, ' ')) AS spaced, count(*) FILTER (v <= before) AS unsorted FROM n"))
+def s9d(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that are empty, hold white space, or are out of order."""
+    return _manifest(spark, windows(spark, d).select("window_id", F.expr(DIRTY).alias("value")))
+
+
+def _manifest(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """Problems of a written manifest of ``value`` in the order of window_id."""
     path = shared_path(spark, "manifest")
-    ids.orderBy("window_id").select(F.col("window_id").alias("value")).write.text(path)
+    lines.orderBy("window_id").select("value").write.text(path)
     # order of lines is that of files and of places in them
-    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_name"), F.monotonically_increasing_id()).alias("at"))
-    return readers.manifest_problems(lines, "value", "at")
+    written_ = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_name"), F.monotonically_increasing_id()).alias("at"))
+    return readers.manifest_problems(written_, "value", "at")
 
 
 @query("s12_describe", "SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS ordinal, column_name FROM (DESCRIBE lineitem)")
@@ -79,9 +93,10 @@ def s12(spark: SparkSession, d: str) -> DataFrame:
 both("s13_row_count", "SELECT count(*) AS n FROM «orders»", "orders")
 
 
-@query("s14_synthetic", "SELECT i AS row_id, concat_ws('_-_', CAST(i // 120 AS VARCHAR), CAST((i // 40) % 3 AS VARCHAR), CAST((i % 40) * 2000 AS VARCHAR)) AS window_id, i // 120 AS big_recording_index, (i // 40) % 3 AS session_index, (i % 40) * 2000 AS \"offset\", 'dataset_' || substr('abcde', CAST((i // 120) % 5 AS INTEGER) + 1, 1) AS dataset FROM range(2000) t(i)")
+@query("s14_synthetic", "SELECT i AS row_id, concat_ws('_-_', CAST(i // 120 AS VARCHAR), CAST((i // 40) % 3 AS VARCHAR), CAST((i % 40) * 2000 AS VARCHAR)) AS window_id, i // 120 AS big_recording_index, (i // 40) % 3 AS session_index, (i % 40) * 2000 AS \"offset\", 'dataset_' || substr('abcde', CAST((i // 120) % 5 AS INTEGER) + 1, 1) AS dataset FROM range((SELECT count(*) FROM orders)) t(i)")
 def s14(spark: SparkSession, d: str) -> DataFrame:
-    return readers.synthetic_windows(spark, 2000).select("row_id", "window_id", "big_recording_index", "session_index", "offset", "dataset")
+    """As many windows as there are orders."""
+    return readers.synthetic_windows(spark, load(spark, d, "orders").count()).select("row_id", "window_id", "big_recording_index", "session_index", "offset", "dataset")
 
 
 # projections and predicates
@@ -319,6 +334,22 @@ both("f_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEG
 both("f_null", "SELECT c_custkey, coalesce(s_name, 'none') AS s, s_name IS NULL AS absent FROM «customer» LEFT JOIN «supplier» ON s_suppkey = c_custkey", "customer supplier")
 
 
+@query("k2_publication", "SELECT s_suppkey AS k, 'supplier' AS side, s_acctbal AS balance FROM supplier UNION ALL SELECT c_custkey, 'customer', c_acctbal FROM customer WHERE c_nationkey < 12")
+def k2(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables of one version: a publication from another version's tables is refused, and a reader of the version before keeps it."""
+    base = shared_path(spark, "published")
+    s, c = load(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("balance")), load(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"), "c_nationkey")
+    publish.publish({"supplier": s, "customer": c.where("c_nationkey < 12")}, base)
+    found = publish.read(spark, base, "supplier", "customer")
+    try:
+        publish.publish({"supplier": s.limit(0), "customer": c.limit(0)}, base, expected="another")
+    except ContractError:
+        pass
+    publish.publish({"supplier": s.where("k < 0")}, base, expected=publish.version(spark, base))
+    publish.clean(spark, base)
+    return found[0].select("k", F.lit("supplier").alias("side"), "balance").unionAll(found[1].select("k", F.lit("customer").alias("side"), "balance"))
+
+
 @query("k10_views", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
 def k10(spark: SparkSession, d: str) -> DataFrame:
     """CREATE OR REPLACE and DROP of views around a query."""

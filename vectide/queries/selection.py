@@ -272,10 +272,13 @@ def d18(spark: SparkSession, d: str) -> DataFrame:
     return out.select("config_id", "direction", "selection_eta", "recording_count", *[F.round(c, 6).alias(c) for c in ("mean_recon_loss_mean", "mean_recon_loss_median", "mean_recon_loss_q25", "mean_recon_loss_q75", "actual_size_mean")])
 
 
-@query("d15_run_ids", "SELECT w, substr(sha256('{\"configuration\":{\"direction\":\"top\",\"eta\":0.1,\"kernel\":\"additive\",\"w\":' || w || '},\"source_fingerprint\":\"abc\"}'), 1, 20) AS run_id FROM (VALUES ('0.5'), ('1.5'), ('30.25')) t(w)")
+@query("d15_run_ids", with_windows("SELECT g AS group_id, w, substr(sha256('{\"configuration\":{\"definition\":{\"direction\":\"top\",\"eta\":0.1},\"recording\":' || g || ',\"stage\":\"dpp\",\"w\":' || w || '},\"source_fingerprint\":\"abc\"}'), 1, 20) AS run_id FROM (SELECT DISTINCT big_recording_index AS g FROM windows), (VALUES ('0.5'), ('1.5'), ('30.25')) t(w)"))
 def d15(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(str(w), jobs.run_id("abc", {"direction": "top", "eta": 0.1, "kernel": "additive", "w": w})) for w in (0.5, 1.5, 30.25)]
-    return spark.createDataFrame(rows, "w string, run_id string")
+    """Run ids of all groups at three weights, made in the plan."""
+    s = selections.Settings.of({}, "abc")
+    groups = windows(spark, d).select(F.col("big_recording_index").alias("group_id")).distinct()
+    ids = [F.struct(F.lit(str(w)).alias("w"), s.run_id(F.col("group_id"), stage="dpp", definition={"direction": "top", "eta": 0.1}, w=w).alias("run_id")) for w in (0.5, 1.5, 30.25)]
+    return groups.select("group_id", F.explode(F.array(*ids)).alias("x")).select("group_id", "x.*")
 
 
 @query("d16_workspace", with_windows("SELECT big_recording_index AS group_id, count(*) * 512 * 8 + 24 * count(*) * count(*) + 16 * CAST(ceil(0.1::DOUBLE * count(*)) AS BIGINT) * CAST(ceil(0.1::DOUBLE * count(*)) AS BIGINT) AS bytes FROM windows GROUP BY 1"))
@@ -284,10 +287,14 @@ def d16(spark: SparkSession, d: str) -> DataFrame:
     return sizes.select("group_id", dpp.workspace_bytes(F.col("n"), F.col("k")).alias("bytes"))
 
 
-@query("d19_sweep_grid", "SELECT id, direction, eta, kernel, CAST(count(*) AS BIGINT) AS points FROM (SELECT 'top' AS direction UNION ALL SELECT 'bottom') a, (SELECT unnest([0.01, 0.03, 0.1])::DOUBLE AS eta) b, (SELECT 'multiplicative' AS kernel, unnest(range(20)) AS i UNION ALL SELECT 'additive', unnest(range(17))) c, LATERAL (SELECT direction || '_eta_' || lpad(CAST(CAST(round(eta * 100) AS INTEGER) AS VARCHAR), 3, '0') AS id) GROUP BY ALL")
+@query("d19_sweep_grid", with_windows("WITH s AS (SELECT count(*) AS n FROM windows GROUP BY big_recording_index), t AS (SELECT eta, count(*) AS runs, CAST(sum(greatest(1, least(n, CAST(ceil(eta * n) AS BIGINT)))) AS BIGINT) AS kept FROM s, (SELECT unnest([0.01, 0.03, 0.1])::DOUBLE AS eta) GROUP BY 1) SELECT direction || '_eta_' || lpad(CAST(CAST(round(eta * 100) AS INTEGER) AS VARCHAR), 3, '0') AS id, direction, eta, kernel, CAST(count(*) AS BIGINT) AS points, CAST(any_value(runs) * count(*) AS BIGINT) AS runs, CAST(any_value(kept) * count(*) AS BIGINT) AS memberships FROM (SELECT unnest(['top', 'bottom']) AS direction) a, t, (SELECT 'multiplicative' AS kernel, unnest(range(20)) AS i UNION ALL SELECT 'additive', unnest(range(17))) c GROUP BY 1, 2, 3, 4"))
 def d19(spark: SparkSession, d: str) -> DataFrame:
+    """The published grid over the table's groups: points, runs and memberships of each task and kernel."""
     rows = [(t["id"], t["direction"], t["eta"], k, len(ws)) for t in jobs.sweep_config()["tasks"] for k, ws in t["kernels"].items()]
-    return spark.createDataFrame(rows, "id string, direction string, eta double, kernel string, points long")
+    grid = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("id", "direction", "eta", "kernel", "points"), r, strict=True)]) for r in rows])
+    sizes = windows(spark, d).groupBy("big_recording_index").agg(F.count(F.lit(1)).alias("n"))
+    each = sizes.withColumn("x", F.explode(grid)).select("n", "x.*").withColumn("points", F.col("points").cast("long")).groupBy("id", "direction", "eta", "kernel", "points").agg(F.count(F.lit(1)).alias("groups"), F.sum(F.greatest(F.lit(1), F.least("n", F.ceil(F.col("eta") * F.col("n").cast("double")))).cast("long")).alias("kept"))
+    return each.select("id", "direction", "eta", "kernel", "points", (F.col("groups") * F.col("points")).alias("runs"), (F.col("kept") * F.col("points")).alias("memberships"))
 
 
 # metrics
@@ -465,9 +472,10 @@ def c7(spark: SparkSession, d: str) -> DataFrame:
     return validate.population_check(ids, w.select(F.col("window_id").alias("row_id")))
 
 
-@query("k6_manifest_merge", "SELECT 'a' AS key, '1' AS value UNION ALL SELECT 'b', '3' UNION ALL SELECT 'c', '4'")
+@query("k6_manifest_merge", with_windows("SELECT 'rows' AS key, CAST(count(*) AS VARCHAR) AS value FROM windows UNION ALL SELECT 'recordings', CAST(count(DISTINCT big_recording_index) AS VARCHAR) FROM windows UNION ALL SELECT 'stage', 'two'"))
 def k6(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{shared_path(spark, 'manifest')}.json"
-    sinks.merge_manifest(spark, path, {"a": 1, "b": 2})
-    merged = sinks.merge_manifest(spark, path, {"b": 3, "c": 4})
+    """Two stages add what they know of the table; the later one's value stays."""
+    w, path = windows(spark, d), f"{shared_path(spark, 'manifest')}.json"
+    sinks.merge_manifest(spark, path, {"rows": w.count(), "stage": "one"})
+    merged = sinks.merge_manifest(spark, path, {"recordings": w.select("big_recording_index").distinct().count(), "stage": "two"})
     return spark.createDataFrame([(k, str(v)) for k, v in sorted(merged.items())], "key string, value string")

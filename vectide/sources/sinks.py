@@ -13,14 +13,16 @@ from vectide.sources.readers import _status
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, overwrite: bool = True) -> str:
-    """zstd Parquet; readers see all of it or nothing. ``overwrite=False`` refuses an existing path."""
+    """zstd Parquet. A new table is there whole or not at all; overwriting one deletes it first, so tables that are being read go through
+    :mod:`vectide.sources.publish`. ``overwrite=False`` refuses an existing path."""
     w = df.write.option("compression", "zstd").mode("overwrite" if overwrite else "error")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return path
 
 
 def write_tables(tables: dict[str, DataFrame]) -> None:
-    """All tables beside their places first, then all renames."""
+    """All tables beside their places first, then all renames: nothing is replaced while a table can still fail to be written. For readers
+    that must never see two versions, see :mod:`vectide.sources.publish`."""
     drafts = {path: f"{path}.draft-{uuid.uuid4().hex}" for path in tables}
     for path, df in tables.items():
         write_table(df, drafts[path], overwrite=False)
