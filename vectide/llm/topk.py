@@ -267,9 +267,12 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, bucket_rows
     for wave in waves:
         rows = [r.asDict() for r in known.where(F.col("q_block").isin([r["q_block"] for r in wave])).collect()]
         near = buckets.where(F.col("longest") >= min(r["least"] for r in wave))
-        hits = hits.unionAll(near.mapInArrow(_searcher(spark.sparkContext.broadcast(rows), k), HITS))
+        sent = spark.sparkContext.broadcast(rows)
+        del rows
+        hits = hits.unionAll(save(near.mapInArrow(_searcher(sent, k), HITS), "topk-hits"))
+        sent.destroy()  # one wave at a time is held, on the driver and by workers
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    discard(stored)
+    discard(stored, buckets, known)
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
