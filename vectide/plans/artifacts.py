@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vectide.errors import ContractError
 from vectide.operators import dpp, knn, metrics, project, validate
-from vectide.sources.scratch import written
+from vectide.sources.scratch import small, written
 
 #: Quality thresholds of coverage and percents of losses that index metrics report.
 TAUS, PERCENTS = (0.8, 0.9), (5, 25, 50, 75, 95)
@@ -68,7 +68,7 @@ def index_metrics(windows: DataFrame, members: DataFrame, keys: list[str], sampl
     sizes = windows.groupBy("big_recording_index").agg(F.count(F.lit(1)).alias("size"))
     cut = sizes.agg(F.percentile("size", F.lit(0.9)).alias("cut"))
     large = sizes.join(F.broadcast(cut)).where(F.col("size") >= F.col("cut")).select("big_recording_index", F.lit(1.0).alias("large"))
-    flagged = rows.join(F.broadcast(large), "big_recording_index", "left")
+    flagged = rows.join(small(large), "big_recording_index", "left")
     loss = F.col("recon_loss").cast("double")
     plain = flagged.groupBy(*keys).agg(
         F.avg(F.coalesce("large", F.lit(0.0))).alias("top_decile_group_share"), F.avg(loss).alias("recon_loss_mean"), *[F.percentile(loss, F.lit(q / 100)).alias(f"recon_loss_q{q}") for q in PERCENTS],

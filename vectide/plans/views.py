@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectide.functions import sampling, text
+from vectide.sources.scratch import small
 
 #: Most points of a display, and of its sample.
 POINT_CAP, SAMPLE_CAP = 2_000_000, 1_760_000
@@ -48,7 +49,7 @@ def stride_sample(df: DataFrame, required: Column, order: str, stride: int, cap:
 
 def labelled(df: DataFrame, lookup: DataFrame | None = None, group: bool = False) -> DataFrame:
     """Adds a lookup's columns, point_label and channel_group."""
-    out = df if lookup is None else df.join(F.broadcast(lookup), "dataset", "left")
+    out = df if lookup is None else df.join(small(lookup), "dataset", "left")
     cols = [F.col(c) for c in ("dataset", "modality", "n_channels", "big_recording_index")]
     return out.withColumn("point_label", text.point_label(*cols, F.col("group_id") if group else None)).withColumn("channel_group", text.channel_bucket(F.col("n_channels")))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vectide.errors import ContractError
 from vectide.schema import METADATA, SOURCE
+from vectide.sources.scratch import small
 
 
 def _status(spark: SparkSession, path: str):
@@ -107,7 +108,7 @@ def read_report(text: str, manifest: bytes, source_rows: int | None = None) -> d
 
 def read_shards(spark: SparkSession, path: str, key: str, keys: DataFrame) -> DataFrame:
     """Rows of a table partitioned by ``key`` for the listed keys: a join whose side prunes partitions at run time."""
-    return spark.read.parquet(path).join(F.broadcast(keys.select(key).distinct()), key, "left_semi")
+    return spark.read.parquet(path).join(small(keys.select(key).distinct()), key, "left_semi")
 
 
 def synthetic_windows(spark: SparkSession, rows: int, seed: int = 7) -> DataFrame:

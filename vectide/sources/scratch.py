@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a table may be sent to all tasks.
+BROADCAST_ROWS = 200_000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -23,3 +27,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a table for broadcasting if it is counted to have at most ``limit`` rows; else leave its join to a shuffle."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
