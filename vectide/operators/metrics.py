@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vectide.errors import ContractError
 from vectide.functions.vectors import unit
+from vectide.operators import quantiles
 
 
 def entropy_rank(values: np.ndarray) -> float:
@@ -184,11 +185,7 @@ def adjacent_jaccard(members: DataFrame, sets: list[str], w: str = "w", member:
 
 def curve_summary(runs: DataFrame, keys: list[str], metrics: list[str], size: str = "actual_size") -> DataFrame:
     """Mean, median (mid average) and order-statistic quartiles (at floor(q (n - 1))) of metrics over the groups of each point; null keys are keys."""
-    aggs: list[Column] = []
-    for m in metrics:
-        v = F.sort_array(F.collect_list(F.col(m).cast("double")))
-        n = F.size(v)
-        at = lambda q, v=v, n=n: F.element_at(v, (F.floor(F.lit(q) * (n - 1)) + 1).cast("int"))
-        middle = (F.element_at(v, F.floor((n - 1) / 2).cast("int") + 1) + F.element_at(v, F.floor(n / 2).cast("int") + 1)) / 2
-        aggs += [F.avg(F.col(m).cast("double")).alias(f"{m}_mean"), middle.alias(f"{m}_median"), at(0.25).alias(f"{m}_q25"), at(0.75).alias(f"{m}_q75")]
-    return runs.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("recording_count"), *aggs, F.avg(size).alias("actual_size_mean"))
+    wanted = {f"{m}_{name}": (m, q, how) for m in metrics for name, q, how in (("median", 0.5, "linear"), ("q25", 0.25, "lower"), ("q75", 0.75, "lower"))}
+    aggs = [F.count(F.lit(1)).cast("int").alias("recording_count"), *[F.avg(F.col(m).cast("double")).alias(f"{m}_mean") for m in metrics], F.avg(size).alias("actual_size_mean")]
+    out = quantiles.summarise(runs.select(*dict.fromkeys([*keys, *metrics, size])), keys, aggs, wanted)
+    return out.select(*keys, "recording_count", *[f"{m}_{x}" for m in metrics for x in ("mean", "median", "q25", "q75")], "actual_size_mean")

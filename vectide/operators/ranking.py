@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.errors import ContractError
+from vectide.operators import quantiles
 
 PERCENTS = (1, 5, 25, 50, 75, 95, 99)
 
@@ -84,10 +85,12 @@ def with_utility(df: DataFrame, group: list[str], direction: str, loss: str = "r
 def loss_summary(df: DataFrame, group: list[str], loss: str = "recon_loss", utility: str | None = "utility") -> DataFrame:
     """Mean, median, bounds, mean utility and interpolated percentiles of each group."""
     v = F.col(loss).cast("double")
-    aggs = [F.avg(v).alias("mean_recon_loss"), F.percentile(v, F.lit(0.5)).alias("median_recon_loss"), F.min(v).alias("min_recon_loss"), F.max(v).alias("max_recon_loss")]
+    aggs = [F.avg(v).alias("mean_recon_loss"), F.min(v).alias("min_recon_loss"), F.max(v).alias("max_recon_loss")]
     if utility:
         aggs.append(F.avg(utility).alias("mean_utility"))
-    return df.groupBy(*group).agg(*aggs, *[F.percentile(v, F.lit(q / 100)).alias(f"recon_loss_q{q}") for q in PERCENTS])
+    at = {"median_recon_loss": 0.5, **{f"recon_loss_q{q}": q / 100 for q in PERCENTS}}
+    out = quantiles.summarise(df.select(*group, loss, *([utility] if utility else [])), group, aggs, {name: (loss, q, "linear") for name, q in at.items()})
+    return out.select(*group, "mean_recon_loss", "median_recon_loss", "min_recon_loss", "max_recon_loss", *(["mean_utility"] if utility else []), *[f"recon_loss_q{q}" for q in PERCENTS])
 
 
 def stratified(df: DataFrame, group: str, eta: float, seed: int, key: str = "window_id") -> DataFrame:

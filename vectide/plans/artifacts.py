@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.errors import ContractError
-from vectide.operators import dpp, knn, metrics, project, validate
+from vectide.operators import dpp, knn, metrics, project, quantiles, validate
 from vectide.sources.scratch import small, written
 
 #: Quality thresholds of coverage and percents of losses that index metrics report.
@@ -69,10 +69,10 @@ def index_metrics(windows: DataFrame, members: DataFrame, keys: list[str], sampl
     cut = sizes.agg(F.percentile("size", F.lit(0.9)).alias("cut"))
     large = sizes.join(F.broadcast(cut)).where(F.col("size") >= F.col("cut")).select("big_recording_index", F.lit(1.0).alias("large"))
     flagged = rows.join(small(large), "big_recording_index", "left")
-    loss = F.col("recon_loss").cast("double")
-    plain = flagged.groupBy(*keys).agg(
-        F.avg(F.coalesce("large", F.lit(0.0))).alias("top_decile_group_share"), F.avg(loss).alias("recon_loss_mean"), *[F.percentile(loss, F.lit(q / 100)).alias(f"recon_loss_q{q}") for q in PERCENTS],
-        F.countDistinct("big_recording_index").alias("recordings_represented"))
+    means = [F.avg(F.coalesce("large", F.lit(0.0))).alias("top_decile_group_share"), F.avg(F.col("recon_loss").cast("double")).alias("recon_loss_mean"), F.countDistinct("big_recording_index").alias("recordings_represented")]
+    at = {f"recon_loss_q{q}": ("recon_loss", q / 100, "linear") for q in PERCENTS}
+    plain = quantiles.summarise(flagged.select(*keys, "large", "recon_loss", "big_recording_index"), keys, means, at)
+    plain = plain.select(*keys, "top_decile_group_share", "recon_loss_mean", *at, "recordings_represented")
     counts = rows.groupBy(*keys, "dataset").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*keys)
     top = counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(w), 4)).withColumn("p", F.row_number().over(w.orderBy(F.desc("n"), "dataset"))).where("p <= 5")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.functions.vectors import dot
-from vectide.operators import allocate, dpp, metrics, overlay, ranking, validate
+from vectide.operators import allocate, dpp, metrics, overlay, quantiles, ranking, validate
 from vectide.plans import compare, jobs, selections
 from vectide.queries.registry import load, query, shared_path, windows, with_windows
 from vectide.sources import sinks
@@ -68,6 +68,22 @@ def a7(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) if t == "double" and not c.startswith(("min_", "max_")) else F.col(c) for c, t in out.dtypes])
 
 
+@query(
+    "a7_any_size",
+    "WITH l AS (SELECT CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END AS flag, l_linenumber AS line, l_extendedprice AS price, CASE WHEN l_linenumber < 7 THEN l_quantity END AS quantity FROM lineitem), "
+    "g AS (SELECT flag, line, count(*) AS n, round(quantile_cont(price, 0.01), 6) AS price_q1, round(median(price), 6) AS price_q50, round(quantile_cont(price, 0.99), 6) AS price_q99, list_sort(list(price)) AS p, list_sort(list(quantity) FILTER (WHERE quantity IS NOT NULL)) AS q FROM l GROUP BY 1, 2) "
+    "SELECT flag, line, n, price_q1, price_q50, price_q99, p[1 + CAST(floor(0.25::DOUBLE * (len(p) - 1)) AS BIGINT)] AS price_low25, CASE WHEN len(q) > 0 THEN q[1 + CAST(floor(0.75::DOUBLE * (len(q) - 1)) AS BIGINT)] END AS quantity_low75 FROM g",
+)
+def a7_any_size(spark: SparkSession, d: str) -> DataFrame:
+    """Order statistics by digits: no task may sort more than 500 rows of a group. Null keys are keys, a group without values has null."""
+    flag = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))
+    rows = load(spark, d, "lineitem").select(flag.alias("flag"), F.col("l_linenumber").alias("line"), F.col("l_extendedprice").alias("price"), F.when(F.col("l_linenumber") < 7, F.col("l_quantity")).alias("quantity"))
+    at = {"price_q1": 0.01, "price_q50": 0.5, "price_q99": 0.99}
+    wanted = {name: ("price", q, "linear") for name, q in at.items()} | {"price_low25": ("price", 0.25, "lower"), "quantity_low75": ("quantity", 0.75, "lower")}
+    out = quantiles.summarise(rows, ["flag", "line"], [F.count(F.lit(1)).alias("n")], wanted, held=500)
+    return out.select("flag", "line", "n", *[F.round(c, 6).alias(c) for c in at], "price_low25", "quantity_low75")
+
+
 # allocation and baselines
 
 
