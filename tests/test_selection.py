@@ -107,6 +107,42 @@ def test_colours_differ_between_neighbours() -> None:
     assert len(set(cluster.colours(edges, 6, palette=3))) == 3
 
 
+def slow_colours(edges, nodes, palette):
+    """The rule as it is told: always the group with most colours beside it, then of most neighbours, then of the smallest number."""
+    weight = {}
+    for a, b, w in edges:
+        weight[a, b] = weight.get((a, b), 0) + w
+        weight[b, a] = weight.get((b, a), 0) + w
+    out = {}
+    while len(out) < nodes:
+        near = {i: [x for y, x in weight if y == i] for i in range(nodes) if i not in out}
+        i = min(near, key=lambda j: (-len({out[x] for x in near[j] if x in out}), -len(near[j]), j))
+        cost = [sum(weight[i, x] for x in near[i] if out.get(x) == c) for c in range(palette)]
+        out[i] = cost.index(min(cost))
+    return [out[i] for i in range(nodes)]
+
+
+def test_colours_of_parts_equal_the_rule_over_all_groups(spark) -> None:
+    rng = np.random.default_rng(11)
+    for palette in (3, 10):
+        # three islands of 12, 9 and 7 groups, two groups on their own, links that repeat
+        links = [(base + int(a), base + int(b), float(rng.integers(20, 90))) for base, n, m in ((0, 12, 40), (12, 9, 20), (21, 7, 9)) for a, b in rng.integers(0, n, (m, 2)) if a != b]
+        links += links[:5]
+        want = slow_colours(links, 30, palette)
+        assert cluster.colours(links, 30, palette) == want
+        contacts = spark.createDataFrame(links + [(4, 4, 50.0)], "a long, b long, contacts double")
+        groups = spark.createDataFrame([(i,) for i in range(30)] + [(3,), (None,)], "group_id long")
+        got = {r["group_id"]: r["group_colour"] for r in cluster.coloured(contacts, groups, palette).collect()}
+        assert [got[i] for i in range(30)] == want and len(got) == 30
+
+
+def test_colours_without_contacts(spark) -> None:
+    contacts = spark.createDataFrame([], "a long, b long, contacts double")
+    groups = spark.createDataFrame([(5,), (8,)], "group_id long")
+    assert sorted(map(tuple, cluster.coloured(contacts, groups).collect())) == [(5, 0), (8, 0)]
+    assert cluster.coloured(contacts, groups.limit(0)).count() == 0
+
+
 def test_preflight_refuses_large_groups(spark) -> None:
     df = spark.createDataFrame([("a", 0, 1.0, [1.0])], "window_id string, g long, recon_loss double, embedding array<double>")
     with pytest.raises(ContractError):

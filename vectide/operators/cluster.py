@@ -549,15 +549,51 @@ def adjacency(neighbours: DataFrame, groups: DataFrame, least: int = 20) -> Data
 
 
 def colours(edges: list[tuple[int, int, float]], nodes: int, palette: int = 10) -> list[int]:
-    """A colour for each group: most constrained group first; where all colours are taken, the one of least contact."""
+    """A colour for each group: most constrained group first; where all colours are taken, the one of least contact.
+
+    A heap holds an entry for each change of a group's constraint and older entries are skipped, so time grows with the links.
+    """
     beside: list[dict[int, float]] = [{} for _ in range(nodes)]
     for a, b, w in edges:
         beside[a][b] = beside[a].get(b, 0) + w
         beside[b][a] = beside[b].get(a, 0) + w
     out = [-1] * nodes
-    for _ in range(nodes):
-        free = [i for i in range(nodes) if out[i] < 0]
-        i = max(free, key=lambda j: (len({out[x] for x in beside[j] if out[x] >= 0}), len(beside[j]), -j))
-        cost = [sum(w for x, w in beside[i].items() if out[x] == c) for c in range(palette)]
+    seen: list[set[int]] = [set() for _ in range(nodes)]
+    waiting = [(0, -len(beside[i]), i) for i in range(nodes)]
+    heapq.heapify(waiting)
+    while waiting:
+        constrained, _, i = heapq.heappop(waiting)
+        if out[i] >= 0 or -constrained != len(seen[i]):
+            continue
+        cost = [0.0] * palette
+        for x, w in beside[i].items():
+            if out[x] >= 0:
+                cost[out[x]] += w
         out[i] = cost.index(min(cost))
+        for x in beside[i]:
+            if out[x] < 0 and out[i] not in seen[x]:
+                seen[x].add(out[i])
+                heapq.heappush(waiting, (-len(seen[x]), -len(beside[x]), x))
     return out
+
+
+def coloured(contacts: DataFrame, groups: DataFrame, palette: int = 10) -> DataFrame:
+    """(group_id, group_colour) of all ``groups`` (group_id) by contacts (a, b, contacts): each connected part of the map in a task of its own.
+
+    A colour depends on groups that can be reached alone, so parts are independent and the result is that of one pass over all groups. A task
+    holds the links of one part: links of groups, of which each has many rows. Groups without contacts have colour 0. Null ids have no colour.
+    """
+    links = contacts.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("contacts").cast("double").alias("contacts")).where("a <> b AND contacts IS NOT NULL")
+    links = written(links, "contacts")
+    parts = components(links.select("a", "b"))
+
+    def paint(part: pa.Table) -> pa.Table:
+        a, b = part["a"].to_numpy(), part["b"].to_numpy()
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        # links in order, so that sums of contacts don't depend on how rows came
+        edges = sorted(zip(at[: len(a)].tolist(), at[len(a) :].tolist(), part["contacts"].to_pylist(), strict=True))
+        return pa.table({"group_id": pa.array(ids, pa.int64()), "group_colour": pa.array(colours(edges, len(ids), palette), pa.int32())})
+
+    painted = links.join(parts, F.col("a") == F.col("node")).select("label", "a", "b", "contacts").groupBy("label").applyInArrow(paint, "group_id long, group_colour int")
+    every = groups.select(F.col("group_id").cast("long").alias("group_id")).where("group_id IS NOT NULL").distinct()
+    return every.join(painted, "group_id", "left").select("group_id", F.coalesce("group_colour", F.lit(0)).alias("group_colour"))

@@ -15,6 +15,8 @@ from vectide.plans import artifacts, views
 from vectide.queries.registry import load, query, shared_path, windows, with_windows
 from vectide.queries.relational import SAMPLE, TAGS
 from vectide.queries.selection import ETAS, GRID, MASKS, mask_cte, ranked_sql, rankings, rankings_sql
+from vectide.sources.scratch import written
+
 
 UNIT = "u AS (SELECT *, list_transform(embedding, lambda x: x / sqrt(list_inner_product(embedding, embedding))) AS u FROM windows)"
 FIT = SAMPLE.format("window_id").replace("< 8", "< 20")
@@ -74,9 +76,17 @@ def a30(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g13_colours")
 def g13(spark: SparkSession, d: str) -> DataFrame:
-    edges = a30(spark, d).orderBy("a", "b").collect()  # a row for each pair of touching groups
-    n = windows(spark, d).agg(F.max("big_recording_index") + 1).first()[0]
-    return spark.createDataFrame(list(enumerate(cluster.colours([tuple(e) for e in edges], n))), "group_id int, group_colour int")
+    return cluster.coloured(a30(spark, d), windows(spark, d).select(F.col("big_recording_index").alias("group_id")))
+
+
+@query("g13_colour_conflicts", with_windows(f"WITH {NEAR2} SELECT least(a.g, b.g) AS a, greatest(a.g, b.g) AS b, count(*) AS contacts, false AS same FROM k JOIN p a ON a.window_id = query JOIN p b ON b.window_id = target WHERE place <= 8 AND a.g <> b.g GROUP BY 1, 2 HAVING count(*) >= 20"))
+def g13_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of touching groups and whether they share a colour: a palette as large as the number of groups leaves no conflict."""
+    contacts = written(a30(spark, d), "touching")
+    groups = windows(spark, d).select(F.col("big_recording_index").alias("group_id")).distinct()
+    c = written(cluster.coloured(contacts, groups, palette=max(10, groups.count())), "colours")
+    side = lambda x: c.select(F.col("group_id").alias(x), F.col("group_colour").alias(f"colour_{x}"))
+    return contacts.join(side("a"), "a").join(side("b"), "b").select("a", "b", "contacts", (F.col("colour_a") == F.col("colour_b")).alias("same"))
 
 
 @query("j18_best_similarity", with_windows(f"WITH {UNIT}, s AS (SELECT * FROM u WHERE {SAMPLE.format('window_id')}) SELECT s.window_id AS query, round(max(list_inner_product(s.u, t.u)), 6) AS score FROM s, (SELECT * FROM u WHERE recon_loss > 60) t GROUP BY 1"))
