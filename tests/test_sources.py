@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectide.errors import ContractError
+from vectide.functions import text
 from vectide.operators import explore, overlay, validate
 from vectide.plans import artifacts, jobs, views
 from vectide.schema import RUNS, SELECTIONS, conform
@@ -164,3 +165,30 @@ def test_streams(spark, tmp_path) -> None:
     batches.append_batches(batches.stream_table(spark, str(tmp_path / "in"), files=1), str(tmp_path / "out"), str(tmp_path / "cp"))
     batches.append_batches(batches.stream_table(spark, str(tmp_path / "in"), files=1), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 30
+
+
+def test_names_and_literals_survive_any_text(spark) -> None:
+    for value in ("plain", "", "it's", "a\\", "\\'", "line\nend\ttab", "`; DROP TABLE x; --", "%_\\%", "é 漢 \U0001f600", "${spark}", "{x}"):
+        assert spark.sql(f"SELECT {text.literal(value)} AS v").first()["v"] == value
+        if value and "${" not in value:
+            out = spark.range(1).withColumnRenamed("id", value)
+            assert out.selectExpr(text.quoted(value)).columns == [value]
+    for value in (0, -1, 2**63 - 1, -(2**63), 0.1, -0.0, 1e308, 5e-324, float("inf"), True, False, None):
+        got = spark.sql(f"SELECT {text.literal(value)} AS v").first()["v"]
+        assert got == value and isinstance(got, type(value))
+    assert spark.sql(f"SELECT {text.literal(float('nan'))} AS v").first()["v"] != 0
+    with pytest.raises(ValueError):
+        text.literal(2**63)
+    for name in ("", "${spark}"):
+        with pytest.raises(ValueError):
+            text.quoted(name)
+
+
+def test_view_names_differ_where_names_do(spark) -> None:
+    names = ["My Table", "my table", "my-table", "1", "", "é", "x" * 300, "x" * 301]
+    made = [text.view_name(n) for n in names]
+    assert len(set(made)) == len(names)
+    for view in made:
+        spark.range(1).createOrReplaceTempView(view)
+        assert spark.sql(f"SELECT * FROM {view}").count() == 1
+        spark.catalog.dropTempView(view)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,3 +63,31 @@ def mask_column(direction: Column | str, eta: Column, kernel: Column) -> Column:
 
 def mask_name(direction: str, eta: float, kernel: str) -> str:
     return f"dpp_{direction}_eta_{round(100 * eta):03d}_{kernel}"
+
+
+def quoted(name: str) -> str:
+    """A column's or a view's name as an identifier of Spark SQL. Refused: no text, and ``${``, which Spark takes for a variable."""
+    if not name or "${" in name:
+        raise ValueError(f"{name!r} can't be an identifier of a SQL text")
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(value: str | int | float | bool | None) -> str:
+    """A value as a literal of Spark SQL. Texts keep quotes, backslashes, line ends and ``${``; floats are exact doubles."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).upper()
+    if isinstance(value, int):
+        if not -(2**63) <= value < 2**63:
+            raise ValueError(f"{value} is no 64-bit integer")
+        return f"{value}L" if value > -(2**63) else f"(-{2**63 - 1}L - 1L)"
+    if isinstance(value, float):
+        return f"CAST('{value!r}' AS DOUBLE)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
+
+
+def view_name(name: str, scope: str = "vectide") -> str:
+    """A name for a view made of any text: its letters and digits, then a checksum that tells apart names which look alike."""
+    plain = re.sub(r"[^0-9a-z]+", "_", name.lower()).strip("_")[:40]
+    return f"{scope}_{plain}_{hashlib.md5(name.encode()).hexdigest()[:12]}"

@@ -350,6 +350,19 @@ def k2(spark: SparkSession, d: str) -> DataFrame:
     return found[0].select("k", F.lit("supplier").alias("side"), "balance").unionAll(found[1].select("k", F.lit("customer").alias("side"), "balance"))
 
 
+@query("p18_names", "SELECT c_custkey AS k, c_mktsegment || '''s `own`' AS v FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_nationkey <> 7 AND c_acctbal > 0.1::DOUBLE")
+def p18(spark: SparkSession, d: str) -> DataFrame:
+    """SQL text from names and values that hold quotes, dots, blanks and backslashes."""
+    column, key = "it's `the` segment; --", "key.of customer"
+    c = load(spark, d, "customer").select(F.col("c_custkey").alias(key), F.concat("c_mktsegment", F.lit("'s `own`")).alias(column), F.concat(F.lit("a\\b\n'"), F.col("c_nationkey").cast("string")).alias("path"), "c_acctbal")
+    view = text.view_name(f"customers of '{shared_path(spark, 'x')}'")
+    c.createOrReplaceTempView(view)
+    try:
+        return spark.sql(f"SELECT {text.quoted(key)} AS k, {text.quoted(column)} AS v FROM {text.quoted(view)} WHERE {text.quoted(column)} <> {text.literal("BUILDING's `own`")} AND path <> {text.literal("a\\b\n'7")} AND c_acctbal > {text.literal(0.1)} AND {text.quoted(key)} > {text.literal(-(2**63))}")
+    finally:
+        spark.catalog.dropTempView(view)
+
+
 @query("k10_views", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
 def k10(spark: SparkSession, d: str) -> DataFrame:
     """CREATE OR REPLACE and DROP of views around a query."""
