@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -281,6 +282,73 @@ def test_gradients() -> None:
         assert np.isclose(g[k].reshape(-1)[j], (high - low) / 2e-3, rtol=1e-2, atol=1e-6), k
 
 
+def plain_word_vector(p: dict, word: bytes) -> list[float]:
+    """Word vector, mean of its trigrams' vectors, half the sum of its beginnings' vectors; byte by byte."""
+    grams = []
+    for i, b in enumerate(word):
+        left, right = (1 if i == 0 else word[i - 1]), (2 if i == len(word) - 1 else word[i + 1])
+        grams.append(p["grams"][(((left << 16) | (b << 8) | right) * 2654435761 >> 7) % toxicity.TRIGRAMS])
+    starts = [p["starts"][(bytewords.hash_bytes(word[:n]) + n) % 2**64 % toxicity.STARTS] for n in toxicity.BEGINNINGS]
+    columns = range(toxicity.WIDE)
+    first = p["words"][bytewords.hash_bytes(word) % toxicity.WORDS]
+    return [float(first[k]) for k in columns] + [sum(float(g[k]) for g in grams) / len(grams) for k in columns] + [sum(float(g[k]) for g in starts) / 2 for k in columns]
+
+
+def plain_window(p: dict, words: list[bytes]) -> float:
+    """The logit of one window, by loops over words, states and gates."""
+    n, sig = toxicity.STATE, lambda v: 1 / (1 + math.exp(-v))
+    inputs = [plain_word_vector(p, w) for w in words]
+    both: list[list[list[float]]] = []
+    for i in (0, 1):
+        u, nb, states, h = p[f"h{i}"].tolist(), p[f"nb{i}"].tolist(), [], [0.0] * n
+        x, xb = p["x"][:, 3 * n * i : 3 * n * (i + 1)].tolist(), p["xb"][3 * n * i : 3 * n * (i + 1)].tolist()
+        for e in reversed(inputs) if i else inputs:
+            g = [xb[k] + sum(a * x[j][k] for j, a in enumerate(e)) for k in range(3 * n)]
+            hu = [sum(h[j] * u[j][k] for j in range(n)) for k in range(3 * n)]
+            z, r = [sig(g[k] + hu[k]) for k in range(n)], [sig(g[n + k] + hu[n + k]) for k in range(n)]
+            new = [math.tanh(g[2 * n + k] + r[k] * (hu[2 * n + k] + nb[k])) for k in range(n)]
+            h = [(1 - z[k]) * new[k] + z[k] * h[k] for k in range(n)]
+            states.append(h)
+        both.append(states[::-1] if i else states)
+    joined = [a + b for a, b in zip(*both, strict=True)]
+    look = [sum(float(p["av"][k]) * math.tanh(float(p["ab"][k]) + sum(s[j] * float(p["a"][j, k]) for j in range(2 * n))) for k in range(n)) for s in joined]
+    weight = [math.exp(v - max(look)) for v in look]
+    pooled = [sum(w * s[k] for w, s in zip(weight, joined, strict=True)) / sum(weight) if joined else 0.0 for k in range(2 * n)]
+    return float(p["ob"][0]) + sum(pooled[k] * float(p["o"][k]) for k in range(2 * n))
+
+
+def plain_score(p: dict, text: str | None) -> float:
+    raw = bytearray(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+    for i in range(1, len(raw)):
+        if raw[i - 1] == 0xC3 and 0x80 <= raw[i] <= 0x9E and raw[i] != 0x97:
+            raw[i] += 32
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", bytes(raw))
+    logits, begin = [], 0
+    while True:
+        logits.append(plain_window(p, words[begin : begin + toxicity.WINDOW]))
+        if begin + toxicity.WINDOW >= len(words):
+            break
+        begin += toxicity.STRIDE
+    top = sorted(logits, reverse=True)[:3]
+    v = sum(float(a) * b for a, b in zip(p["scale"], (top[0], sum(top) / len(top), sum(logits) / len(logits)), strict=True)) + float(p["shift"])
+    return 1 / (1 + math.exp(-v))
+
+
+def test_scores_equal_a_plain_loop_over_each_text(spark) -> None:
+    rng = np.random.default_rng(21)
+    bag = ["vile", "kind", "Été", "ÀÉ×", "don't", "x", "日本語", "a1-b2", "WORD", "loooooooooong" * 4, "mean", "soft"]
+    texts = [None, "", " .,;", "one", "É", *[" ".join(rng.choice(bag, n)) for n in (2, 31, 32, 33, 48, 49, 65, 130)]]
+    train = [" ".join(rng.choice(bag[1:], 12)) + (" vile" if i % 3 == 0 else "") for i in range(90)]
+    fitted = toxicity.fit(train, np.array([i % 3 == 0 for i in range(90)]), 0.2, epochs=2)
+    started = toxicity.initial(5) | {"scale": np.array([0.5, 0.3, 0.7]), "shift": np.float64(-0.4)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for p in (started, fitted):
+        got = {r["doc_id"]: r["__score"] for r in toxicity.score_toxicity(docs, p).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == pytest.approx(plain_score(p, t), abs=2e-4), (i, t)
+        assert len({round(v, 6) for v in got.values()}) > 5
+
+
 def test_windows_cover_whole_texts() -> None:
     for n in (0, 1, 31, 32, 33, 48, 49, 500):
         x = toxicity.Inputs(pa.array([" ".join(f"w{i}" for i in range(n)), "other words"]))

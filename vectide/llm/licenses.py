@@ -139,6 +139,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of phrases, and labels by phrases and by spans of templates, for each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     keyed = _keyed(docs, F.col("doc_id"), F.col("text"))
     n_words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))

@@ -9,8 +9,8 @@ A filter has BITS_PER_KEY bits for each key up to ``max_filter_bits``. Beyond th
 each shard has a pass of its own with a filter of bounded size, so broadcast stays bounded at any input size.
 
 Defined results: a null or empty text is one empty line; each row is a document, also if its doc_id repeats or is
-null (null ids count as smaller than any other); rows that share the largest doc_id of a line all keep it; an empty
-table gives no rows; other columns are kept, those named like a result are replaced.
+null (null ids count as smaller than any other); rows that share the largest doc_id of a line all keep it; lines and texts
+of any length are read whole; an empty table gives no rows; other columns are kept, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -224,6 +224,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of lines, before and dropped, and a digest of what is left of each document."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"))
 

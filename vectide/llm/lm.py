@@ -17,7 +17,7 @@ elsewhere a worker reads them into memory.
 
 Defined results: a null or empty text is its end alone; a null doc_id counts as the text "null" when documents are
 held out; rows that share a doc_id count each; without training texts every probability is that of an unknown word; an
-empty table gives no rows; other columns are not read.
+empty table gives no rows; texts of any length are read whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -449,6 +449,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base score and score of each document under a model of those that are not held out."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
     model = train(docs.where(~F.col("held_out")), new_path(spark, "lm-model"))
     return score_documents(docs, model).withColumn("train_tokens", F.lit(model.vocabulary.tokens).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

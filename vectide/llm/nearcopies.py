@@ -15,7 +15,7 @@ evaluations give a signature of the same length, unbiased and of lower variance.
    A pair of similarity 0.8 shares no band with probability 5e-7. The sketch only chooses which stars to confirm first.
 
 Defined results: null and empty texts have no shingles and link with nothing; fewer words than ``k`` give one shingle, the whole
-sequence; rows that share a doc_id are one document; a null doc_id links with nothing, its component is null and
+sequence; texts of any length are read whole; rows that share a doc_id are one document; a null doc_id links with nothing, its component is null and
 it is kept; an empty table gives no rows; other columns are not read (near_duplicates) or kept (drop_near_duplicates).
 """
 
@@ -326,4 +326,5 @@ def drop_near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILAR) ->
 
 
 def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of each document's set of four-word shingles and the smallest doc_id that its links reach."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)

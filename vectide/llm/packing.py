@@ -534,4 +534,5 @@ def digest(pieces: DataFrame) -> DataFrame:
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document: its place in a sequence and a checksum of its ids."""
     return digest(pack_documents(table(spark, sf_dir, "documents")))

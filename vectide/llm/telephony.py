@@ -6,7 +6,8 @@ for each sample place, over all blocks at once. PCM is resampled by a polyphase
 
 Defined results: a null or empty text is stored as 64 zero bytes; a null medium decodes to null; bytes that are no such file raise
 ValueError (parse_wav), and in a table decode to nulls, so one of them does not end the job; blocks end where the data ends; an empty table
-gives no rows; equal payloads give equal media and features; other columns are kept, those named like a result are replaced.
+gives no rows; equal payloads give equal media and features, and rows that repeat stay rows;
+texts of any length are stored whole; other columns are kept, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -234,6 +235,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as telephony audio, stored, read back, decoded; digests and a feature."""
     decoded = decode_media(texts_as_media(table(spark, sf_dir, "documents")))
     found = decoded.mapInArrow(_features, "doc_id long, n_bytes long, media binary, payload binary, feature string")
     return found.select(

@@ -6,7 +6,7 @@ are a Parquet table of containers, (part, start) ascending with doc_id: Spark's
 executors, and any store that Spark reads will do.
 
 Defined results: a null or empty text has the end id only; null doc_ids come first; rows that share a doc_id keep
-their own ids, ordered by their text's hash; an empty table gives no containers; other columns are not read.
+their own ids, ordered by their text's hash; texts of any length are encoded whole; an empty table gives no containers; other columns are not read.
 """
 
 from __future__ import annotations
@@ -143,6 +143,7 @@ def crc_of(ids: Column | str) -> Column:
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written to containers in order of doc_id and read back; a digest of each document."""
     from vectide.llm.common import new_path
 
     path = write_ids(table(spark, sf_dir, "documents"), new_path(spark, "token-files"))
