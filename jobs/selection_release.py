@@ -29,6 +29,7 @@ from vectide.functions.text import channel_bucket, point_label
 from vectide.operators import metrics, overlay, ranking, validate
 from vectide.plans.jobs import fingerprint
 from vectide.queries.registry import windows
+from vectide.sources.scratch import scope
 
 DEFAULTS = {"group": "big_recording_index", "directions": ["top", "bottom"], "shares": [0.01, 0.03, 0.1], "baseline_seed": 29, "vector_width": 64, "sample_percent": 8}
 RANDOM = "random"
@@ -91,7 +92,8 @@ def release(spark: SparkSession, tables: str, out: str, config: dict | None = No
     overwrite(members_of(rows, directions, shares, int(c["baseline_seed"])), f"{out}/members", ["direction", "share"])
     mine = reduce(lambda a, b: a | b, [(F.col("direction") == d) & F.col("share").isin(shares) for d in (*directions, RANDOM)])
     members = spark.read.schema(MEMBERS).parquet(f"{out}/members").where(mine)
-    overwrite(runs_of(members, directions), f"{out}/runs", ["direction", "share"])
+    with scope(spark):
+        overwrite(runs_of(members, directions), f"{out}/runs", ["direction", "share"])
     view = view_of(rows, members, directions, shares, int(c["sample_percent"]))
     overwrite(view, f"{out}/view", ["dataset"])
     stored = spark.read.schema(view.schema).parquet(f"{out}/view")

@@ -13,7 +13,7 @@ from vectide.functions import text
 from vectide.operators import explore, overlay, validate
 from vectide.plans import artifacts, jobs, views
 from vectide.schema import RUNS, SELECTIONS, conform
-from vectide.sources import readers, sinks
+from vectide.sources import readers, scratch, sinks
 from vectide.streaming import batches
 
 
@@ -192,3 +192,26 @@ def test_view_names_differ_where_names_do(spark) -> None:
         spark.range(1).createOrReplaceTempView(view)
         assert spark.sql(f"SELECT * FROM {view}").count() == 1
         spark.catalog.dropTempView(view)
+
+
+def test_scratch_tables_go_with_their_scope(spark) -> None:
+    import threading
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    there = lambda df: Path(urlparse(df.inputFiles()[0]).path).parent.is_dir()
+    kept = scratch.written(spark.range(3), "kept")
+    beside: list = []
+    with scratch.scope(spark) as outer:
+        first = scratch.written(spark.range(4), "first")
+        with pytest.raises(RuntimeError), scratch.scope(spark):
+            second = scratch.written(spark.range(5), "second")
+            folder = Path(urlparse(second.inputFiles()[0]).path).parent
+            raise RuntimeError
+        assert not folder.exists() and there(first) and len(outer) == 1
+        other = threading.Thread(target=lambda: beside.append(scratch.written(spark.range(6), "beside")))
+        other.start()
+        other.join()
+        files = Path(urlparse(first.inputFiles()[0]).path).parent
+    assert not files.exists() and there(kept) and there(beside[0])
+    assert kept.count() == 3 and beside[0].count() == 6

@@ -18,7 +18,7 @@ from vectide.operators import allocate, dpp, metrics, ranking, validate
 from vectide.plans.jobs import fingerprint
 from vectide.schema import CURVES, RUNS, SELECTIONS, conform
 from vectide.sources import sinks
-from vectide.sources.scratch import written
+from vectide.sources.scratch import scope, written
 
 #: Name of the grouping by recordings, and a group's number that stands for all of them in a text.
 RECORDINGS, ANY_GROUP = "recording", -987654321
@@ -219,7 +219,8 @@ def build(windows: DataFrame, config: dict, source: str, directory: str, groups:
     """Write memberships and runs of a configuration to ``directory``, all or nothing, and its part of the manifest."""
     spark, directory = windows.sparkSession, directory.rstrip("/")
     places = {n: f"{directory}/{n}.parquet" for n in ("selections", "selection_runs")}
-    sinks.write_tables(dict(zip(places.values(), selections(windows, config, source, groups), strict=True)))
+    with scope(spark):
+        sinks.write_tables(dict(zip(places.values(), selections(windows, config, source, groups), strict=True)))
     members, runs = (spark.read.parquet(p) for p in places.values())
     about = _counts(members, runs) | {
         "artifacts": {"memberships": "selections.parquet", "runs": "selection_runs.parquet"}, "configuration_fingerprint": fingerprint(config), "source_fingerprint": source, "population": str(config.get("input", {}).get("population", "source")),
@@ -248,7 +249,8 @@ def aggregate(spark: SparkSession, tasks: dict[str, str], directory: str, config
     directory = directory.rstrip("/")
     read = lambda n: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.parquet(f"{p}/{n}.parquet") for p in tasks.values()])
     members, runs = read("selections"), read("selection_runs")
-    sinks.write_tables({f"{directory}/selections.parquet": members, f"{directory}/selection_runs.parquet": runs, f"{directory}/curve_summary.parquet": curves(runs)})
+    with scope(spark):
+        sinks.write_tables({f"{directory}/selections.parquet": members, f"{directory}/selection_runs.parquet": runs, f"{directory}/curve_summary.parquet": curves(runs)})
     about = _counts(members, runs) | {"population": str(config.get("input", {}).get("population", "display")), "source_fingerprint": source, "configuration_fingerprint": fingerprint(config)}
     names = {"memberships": "selections.parquet", "runs": "selection_runs.parquet", "curves": "curve_summary.parquet"}
     return sinks.merge_manifest(spark, f"{directory}/manifest.json", {"schema_version": 1, "artifacts": names, "selection": about, "selection_sweep_tasks": list(tasks)})
