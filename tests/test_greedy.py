@@ -79,3 +79,37 @@ def test_more_choices_than_dimensions(spark) -> None:
     rows, gains, _ = greedy.choose(df, points, 15)
     assert rows[0].tolist() == want.rows[0].tolist() and np.allclose(gains[0], want.gains[0], atol=1e-8)
     assert rows[1][:6].tolist() == want.rows[1][:6].tolist() and (gains[1][6:] < -13).all() and (want.gains[1][6:] < -13).all()
+
+
+def test_a_task_makes_no_matrix_of_pairs() -> None:
+    """A group of 3,000 rows is chosen from in less memory than its cosines take, with the same result."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    v, loss = problem(3000, 16, 3)
+    points, k = dpp.sweep({"additive": [0.5], "multiplicative": [2.0]}), 300
+    part = pa.table({"group_id": pa.array([5] * 3000), "row_id": [f"w{i:05d}" for i in range(3000)], "embedding": pa.array(v.tolist()), "recon_loss": loss, "k": pa.array([k] * 3000)})
+    tracemalloc.start()
+    got = dpp._sweep(points, "top", dpp.EPSILON, dpp.TIE, dpp.BATCH_BYTES)(part).to_pylist()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3000 * 3000 * 8 / 4
+    cosines, utility = dpp.gram(v), (loss - loss.min()) / (loss.max() - loss.min())
+    want = dpp.choose(cosines, utility, points, k)
+    assert got[0]["positions"] == want.rows[0].tolist() and np.allclose(got[0]["gains"], want.gains[0], atol=1e-7)
+    for j, r in enumerate(got):
+        block = cosines[np.ix_(r["positions"], r["positions"])]
+        assert np.isclose(r["vendi"], dpp.vendi(block), atol=1e-6) and np.isclose(r["mean_cosine"], dpp.mean_offdiagonal(block), atol=1e-9)
+        a, d = dpp.weighted(points[j : j + 1], utility)
+        mine, own = a[0, r["positions"]], np.broadcast_to(d, a.shape)[0, r["positions"]]
+        assert np.isclose(r["log_det"], np.linalg.slogdet(mine[:, None] * mine * block + np.diag(own + dpp.EPSILON))[1], atol=1e-4)
+
+
+def test_without_a_stated_limit_what_a_task_holds_counts(spark) -> None:
+    """The estimate of three square matrices is for configurations that state a limit; a build without one refuses no group."""
+    assert dpp.workspace_bytes(61_500, 6150) > 8 << 30 and dpp.held_bytes(61_500, 6150, 64, 6) < dpp.TASK_BYTES
+    assert selections.Settings.of({}, "s").max_workspace_gib is None and selections.Settings.of({"numerics": {"max_workspace_gib": 8}}, "s").max_workspace_gib == 8.0
+    w, points = windows(spark), [dpp.Point("additive", 1.0)]
+    want = sorted((r["group_id"], tuple(r["row_ids"])) for r in dpp.sweep_runs(w, "g", points, "top", 0.2).collect())
+    assert want == sorted((r["group_id"], tuple(r["row_ids"])) for r in dpp.sweep_runs(w, "g", points, "top", 0.2, refuse=True).collect())

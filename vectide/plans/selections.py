@@ -37,22 +37,22 @@ class Settings:
     grouping: str
     epsilon: float
     tie: float
-    max_workspace_gib: float
+    max_workspace_gib: float | None
     refuse: bool
     seed: int
 
     @staticmethod
     def of(config: dict, source: str) -> Settings:
         numbers = config.get("numerics", {})
-        tie = numbers.get("tie_tolerance", dpp.TIE)
+        tie, limit = numbers.get("tie_tolerance", dpp.TIE), numbers.get("max_workspace_gib")
         return Settings(
             source, fingerprint(config), str(config.get("grouping", {}).get("name", RECORDINGS)), float(numbers.get("epsilon", dpp.EPSILON)), 0.0 if tie is None else float(tie),
-            float(numbers.get("max_workspace_gib", 8.0)), Settings.refuses(numbers), int(config.get("projection", {}).get("seed", 0)),
+            None if limit is None else float(limit), Settings.refuses(numbers), int(config.get("projection", {}).get("seed", 0)),
         )
 
     @staticmethod
     def refuses(numbers: dict) -> bool:
-        """Whether groups beyond the workspace end the build; with "beyond_workspace": "partition" they stay partitioned."""
+        """Whether groups beyond the stated workspace end the build; with "beyond_workspace": "partition" they stay partitioned."""
         how = numbers.get("beyond_workspace", "refuse")
         if how not in ("refuse", "partition"):
             raise ContractError(f"beyond_workspace {how}")
