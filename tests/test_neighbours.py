@@ -298,3 +298,28 @@ def test_groups_keep_their_limits(spark, control: bool) -> None:
     assert {(r["group_id"], r["group_split"], r["group_size"]) for r in few} == {(0, "root", 5)}
     with pytest.raises(ContractError):
         cluster.grouped(table(spark, v).withColumnRenamed("id", "row_id"), cluster.Limits(n_max=50, n_min=30))
+
+
+def test_kmeans_holds_few_products_at_once() -> None:
+    """A batch beside many centres is measured in pieces, with the results of all at once."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from vectide.operators import cluster
+
+    r = np.random.default_rng(2)
+    rows, centres = (x / np.linalg.norm(x, axis=1)[:, None] for x in (r.normal(size=(10_000, 8)), r.normal(size=(4000, 8))))
+    batch = pa.RecordBatch.from_arrays([pa.array(["0"] * len(rows)), pa.FixedSizeListArray.from_arrays(rows.ravel(), 8).cast(pa.list_(pa.float64()))], ["node", "unit"])
+    sent = SimpleNamespace(value={"0": centres})
+    for made in (cluster._gaps, cluster._shares, cluster._sums, cluster._assign):
+        tracemalloc.start()
+        out = list(made(sent)(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 10_000 * 4000 * 8 / 3
+        if made is cluster._assign:
+            assert out[0]["part"].to_pylist() == (rows @ centres.T).argmax(1).tolist()
+        if made is cluster._gaps:
+            assert np.isclose(out[0]["gap"][0].as_py(), (1 - (rows @ centres.T).max(1)).sum())

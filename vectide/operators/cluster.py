@@ -123,6 +123,17 @@ def _normal(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-12)[:, None]
 
 
+def _nearest_centre(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centre, cosine to it) of each row; at most knn.SCORES products are held at once, however many centres there are."""
+    part, best = np.empty(len(rows), np.int64), np.empty(len(rows))
+    step = max(1, knn.SCORES // max(1, len(centres)))
+    for i in range(0, len(rows), step):
+        fit = rows[i : i + step] @ centres.T
+        part[i : i + step] = fit.argmax(1)
+        best[i : i + step] = fit[np.arange(len(fit)), part[i : i + step]]
+    return part, best
+
+
 def _gaps(centres):
     """Of each task and node, the sum of 1 - cosine to the nearest centre."""
 
@@ -130,7 +141,7 @@ def _gaps(centres):
         held: dict[str, float] = {}
         for batch in batches:
             for node, _, rows in _by_node(batch):
-                held[node] = held.get(node, 0.0) + float(np.maximum(1 - (rows @ centres.value[node].T).max(1), 0).sum())
+                held[node] = held.get(node, 0.0) + float(np.maximum(1 - _nearest_centre(rows, centres.value[node])[1], 0).sum())
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.float64())], ["node", "gap"])
 
     return run
@@ -144,7 +155,7 @@ def _drawn(sent):
         for batch in batches:
             draw, keep = batch.column("draw").to_numpy(), np.zeros(batch.num_rows, bool)
             for node, where, rows in _by_node(batch):
-                keep[where] = draw[where] < share[node] * np.maximum(1 - (rows @ centres[node].T).max(1), 0)
+                keep[where] = draw[where] < share[node] * np.maximum(1 - _nearest_centre(rows, centres[node])[1], 0)
             yield batch.filter(pa.array(keep))
 
     return run
@@ -158,7 +169,7 @@ def _shares(centres):
         for batch in batches:
             for node, _, rows in _by_node(batch):
                 c = centres.value[node]
-                held[node] = held.get(node, 0) + np.bincount((rows @ c.T).argmax(1), minlength=len(c)).astype(np.float64)
+                held[node] = held.get(node, 0) + np.bincount(_nearest_centre(rows, c)[0], minlength=len(c)).astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["node", "total"])
 
     return run
@@ -193,8 +204,10 @@ def starts(rows: DataFrame, many: dict[str, int], seed: int) -> dict[str, np.nda
         share = {r["node"]: max(LEAST_DRAWN, many[r["node"]]) / max(r["gap"], 1e-300) for r in gaps}
         sent = spark.sparkContext.broadcast((found, share))
         new = rows.select("node", "unit", draw(i), "row_id").mapInArrow(_drawn(sent), f"node string, unit array<double>, draw double, row_id {rows.schema['row_id'].dataType.simpleString()}").collect()
+        more: dict[str, list] = {}
         for r in sorted(new, key=lambda r: (r["draw"], r["row_id"])):
-            found[r["node"]] = np.concatenate([found[r["node"]], [r["unit"]]])
+            more.setdefault(r["node"], []).append(r["unit"])
+        found |= {node: np.concatenate([found[node], units]) for node, units in more.items()}
     weights = rows.select("node", "unit").mapInArrow(_shares(spark.sparkContext.broadcast(found)), "node string, total binary").groupBy("node").applyInArrow(_total, "node string, total binary").collect()
     held = {r["node"]: np.frombuffer(r["total"], np.float64) for r in weights}
     return {node: _reclustered(c, held[node], many[node], np.random.default_rng([seed, len(c), *node.encode()[-8:]])) for node, c in found.items()}
@@ -206,7 +219,7 @@ def _assign(centres):
             part = np.full(batch.num_rows, -1, np.int64)
             for node, where, rows in _by_node(batch):
                 if node in centres.value:
-                    part[where] = (rows @ centres.value[node].T).argmax(1)
+                    part[where] = _nearest_centre(rows, centres.value[node])[0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], [*batch.schema.names, "part"])
 
     return run
@@ -221,11 +234,9 @@ def _sums(centres):
         for batch in batches:
             for node, _, rows in _by_node(batch):
                 c = centres.value[node]
-                fit = rows @ c.T
-                part = fit.argmax(1)
+                part, best = _nearest_centre(rows, c)
                 held = total.setdefault(node, np.zeros((len(c), rows.shape[1] + 1)))
                 np.add.at(held, part, np.concatenate([rows, np.ones((len(rows), 1))], 1))
-                best = fit[np.arange(len(rows)), part]
                 i = int(best.argmin())
                 if node not in worst or best[i] < worst[node][0]:
                     worst[node] = (float(best[i]), rows[i])
