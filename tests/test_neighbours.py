@@ -323,3 +323,47 @@ def test_kmeans_holds_few_products_at_once() -> None:
             assert out[0]["part"].to_pylist() == (rows @ centres.T).argmax(1).tolist()
         if made is cluster._gaps:
             assert np.isclose(out[0]["gap"][0].as_py(), (1 - (rows @ centres.T).max(1)).sum())
+
+
+def test_crowded_sides_meet_without_a_shuffle_by_tile(spark, monkeypatch) -> None:
+    """Where no tile can be left out, blocks pass one another as written: what is shuffled doesn't grow with the number of tiles."""
+    v = np.random.default_rng(8).normal(size=(300, 12))
+    v[250:] = v[:50]  # copies
+    df = spark.createDataFrame([(i, x, i % 2, float(i % 5) / 10) for i, x in enumerate(v.tolist())], "at long, embedding array<double>, part long, core double").repartition(3).cache()
+
+    def results() -> list:
+        near = sorted(map(tuple, knn.nearest(df, df, 6, "at", skip_self=True).select("query", "target", "place").collect()))
+        parts = sorted(map(tuple, knn.nearest(df, df, 4, "at", metric="reach", skip_self=True, part="part", floor="core").select("query", "target", "place").collect()))
+        least = sorted(map(tuple, knn.least_within(df, df.withColumn("value", F.col("at") + 7), 0.6, "at", "embedding", "value").collect()))
+        links = knn.links(df, [0.5, 0.8], "at", "embedding", "core", "part").cache()
+        joined = [sorted(map(tuple, graph.components(links.where(F.col("level") <= n)).collect())) for n in (0, 1)]
+        return [near, parts, least, joined]
+
+    want = results()
+
+    def never(*args, **kwargs):
+        raise AssertionError("a shuffle by tile")
+
+    take(monkeypatch, "tiles")
+    monkeypatch.setattr(cells, "meet", never)
+    monkeypatch.setattr(cells, "QUERY_ROWS", 70)
+    monkeypatch.setattr(cells, "TARGET_ROWS", 40)
+    monkeypatch.setattr(cells, "TARGET_BYTES", 150 * 12 * 8)  # two parts of the targets
+    assert results() == want
+
+
+def test_a_forest_joins_what_all_links_join(monkeypatch) -> None:
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    links = np.stack([r.integers(0, 60, 500), r.integers(0, 60, 500), r.integers(0, 2, 500)]).astype(np.int64)
+    links[:2, links[2] == 0] //= 8
+    batches = [pa.RecordBatch.from_arrays([pa.array(links[0, i : i + 50]), pa.array(links[1, i : i + 50]), pa.array(links[2, i : i + 50].astype(np.int32))], ["a", "b", "level"]) for i in range(0, 500, 50)]
+    for most in (4_000_000, 120, 20):
+        monkeypatch.setattr(graph, "HELD_LINKS", most)
+        out = np.concatenate([np.stack([c.to_numpy().astype(np.int64) for c in b.columns]) for b in graph.forest(iter(batches))], axis=1)
+        for n in (0, 1):
+            want, got = (dict(zip(*map(np.ndarray.tolist, graph._labels(x[:2, x[2] <= n].T)), strict=True)) for x in (links, out))
+            assert {k: x for k, x in want.items() if k != x} == {k: x for k, x in got.items() if k != x}
+        if most > 500:
+            assert out.shape[1] < 120

@@ -8,6 +8,10 @@ than a query looks is not met. For the k nearest, a query looks as far as the ce
 Cells are cut into tiles and the queries of a tile into chunks, both of bounded size; a chunk and its tile meet in one task, as a
 cogrouped pair. So no vector passes the driver but the pivots, no group grows with the table or with a hot cell, and a lost executor
 costs the pairs it had. What the driver holds beside the pivots is a row of numbers for each cell, of at most CELLS cells.
+
+Where queries can leave out few tiles, a shuffle by tile would carry every query once for each tile. A drawn sample of the queries tells; such
+sides are packed into blocks and written, and meet as a cartesian product of the two tables, whose tasks read them and shuffle nothing
+(:func:`past`). A task has all blocks of a part of the targets, of bounded size, for each of its blocks of queries.
 """
 
 from __future__ import annotations
@@ -24,6 +28,10 @@ from vectide.sources.scratch import written
 
 #: Rows of a tile and of a chunk of queries, bytes of pivots, and cells of all parts together.
 TILE_ROWS, PIVOT_BYTES, CELLS = 4096, 16 << 20, 100_000
+#: Queries that are drawn to tell how many tiles one meets, and tiles a query up to which sides meet by a shuffle.
+DRAWN, MET = 2048, 8
+#: Rows and bytes of a block of queries and of targets, and bytes of targets that a task has at once.
+QUERY_ROWS, TARGET_ROWS, BLOCK_BYTES, TARGET_BYTES = 8192, 4096, 8 << 20, 128 << 20
 #: Added to what a query looks for, beside the rounding of scores: distances of equal unit vectors are up to 1e-7.
 SLACK = 1e-6
 
@@ -202,6 +210,89 @@ def meet(routed: DataFrame, tiled: DataFrame, kernel: Callable[[Side, Side], pa.
     return left.groupBy("tile", "chunk").cogroup(right.groupBy("tile", "chunk")).applyInArrow(run, schema)
 
 
+def crowded(queries: DataFrame, pivots: np.ndarray, cells: Cells, k: int | None, eps: float = 0.0, floors: bool = False, plain: bool = False, digits: int = 9) -> bool:
+    """Whether a query meets more than MET tiles, and the mean of a sample says so. No result depends on it."""
+    if cells.tiles.sum() <= MET:
+        return False
+    drawn = queries.orderBy(F.xxhash64("id"), "id").limit(DRAWN)
+    kind = queries.schema["id"].dataType.simpleString()
+    sent = queries.sparkSession.sparkContext.broadcast((pivots, cells))
+    met = drawn.mapInArrow(_routed(sent, k, eps, floors, plain, digits), f"id {kind}, {COLUMNS}, tiles array<long>").agg(F.avg(F.size("tiles"))).first()[0]
+    return (met or 0.0) > MET
+
+
+def _blocks(rows: int, plain: bool):
+    """Rows -> blocks: a row each, with its vectors as bytes and its least and largest part."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        s = side(t, plain)
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(x) if isinstance(x, np.ndarray) else x.combine_chunks()) for x in (t["id"], s.part, s.floor, s.value)]
+        return pa.RecordBatch.from_arrays([lists[0], pa.array([s.v.tobytes()], pa.binary()), *lists[1:], pa.array([int(s.part.min())]), pa.array([int(s.part.max())])], ["ids", "v", "parts", "floors", "values", "low", "high"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                some = batch.slice(at, rows - many)
+                held.append(some)
+                at, many = at + some.num_rows, many + some.num_rows
+                if many == rows:
+                    yield packed(held)
+                    held, many = [], 0
+        if held:
+            yield packed(held)
+
+    return run
+
+
+def _side_at(batch: pa.RecordBatch, i: int, name: str) -> Side:
+    ids, parts, floors, values = (batch.column(f"{name}_{c}")[i].values for c in ("ids", "parts", "floors", "values"))
+    v = np.frombuffer(batch.column(f"{name}_v")[i].as_buffer(), np.float64).reshape(len(ids), -1)
+    return Side(np.array(ids.to_pylist()), v, *(x.to_numpy() for x in (parts, floors, values)))
+
+
+def past(queries: DataFrame, targets: DataFrame, kernel: Callable, schema: str, plain: bool = False) -> DataFrame:
+    """What ``kernel`` makes of each block of queries and the blocks of targets that pass it, one after another.
+
+    ``kernel``: begin(queries) gives what is known of them, add(queries, known, targets) adds to it, done(queries, known) gives rows. Rows of
+    both sides: id, v (list), part, floor, value. Blocks without a part in common don't meet.
+    """
+    kind = queries.schema["id"].dataType.simpleString()
+    block = f"ids array<{kind}>, v binary, parts array<long>, floors array<double>, values array<long>, low long, high long"
+
+    def packed(rows: DataFrame, most: int, name: str) -> tuple[DataFrame, int]:
+        raw = F.octet_length("v") / 8 if dict(rows.dtypes)["v"] == "binary" else F.size("v")
+        dim, many = rows.agg(F.max(raw), F.countDistinct("part")).first()
+        tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+        # rows of a part in few blocks
+        rows = rows.repartitionByRange(tasks, "part", F.xxhash64("id")).sortWithinPartitions("part") if many > 1 else rows.repartition(tasks, "id")
+        made = written(rows.mapInArrow(_blocks(max(1, min(most, int(BLOCK_BYTES // (8 * (dim or 1))))), plain), block), name)
+        return made, made.agg(F.coalesce(F.sum(F.octet_length("v")), F.lit(0))).first()[0]
+
+    q, _ = packed(queries, QUERY_ROWS, "query-blocks")
+    t, size = packed(targets, TARGET_ROWS, "target-blocks")
+    q, t = (x.select(*[F.col(c).alias(f"{n}_{c}") for c in x.columns]) for n, x in (("q", q), ("t", t)))
+    pairs = q.join(t.coalesce(max(1, -(-size // TARGET_BYTES))).hint("shuffle_replicate_nl"), (F.col("q_low") <= F.col("t_high")) & (F.col("t_low") <= F.col("q_high")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name = batch.column("q_ids")[i].values
+                if last is None or not name.equals(last):
+                    if state is not None:
+                        yield from kernel.done(*state).to_batches()
+                    last, q = name, _side_at(batch, i, "q")
+                    state = (q, kernel.begin(q))
+                kernel.add(*state, _side_at(batch, i, "t"))
+        if state is not None:
+            yield from kernel.done(*state).to_batches()
+
+    return pairs.drop("q_low", "q_high", "t_low", "t_high").mapInArrow(run, schema)
+
+
 def products(routed: DataFrame, tiled: DataFrame) -> int:
     """Pairs of a query and a target that :func:`meet` compares."""
     size = tiled.groupBy("tile").agg(F.count(F.lit(1)).alias("n"))

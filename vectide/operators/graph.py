@@ -13,11 +13,18 @@ from vectide.sources.scratch import written
 
 #: Counted links up to which one task finds the components: 16 bytes each.
 TASK_LINKS = 1_000_000
+#: Links that a task holds while it thins them: 24 bytes each.
+HELD_LINKS = 4_000_000
 
 
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1) for b in batches]
-    links = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+    nodes, label = _labels(np.concatenate(parts) if parts else np.zeros((0, 2), np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(label, pa.int64())], ["node", "label"])
+
+
+def _labels(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node that each one reaches)."""
     nodes, at = np.unique(links, return_inverse=True)
     at = at.reshape(-1, 2)
     label = np.arange(len(nodes))
@@ -32,7 +39,37 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (new == label).all():
             break
         label = new
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[label] if len(nodes) else nodes, pa.int64())], ["node", "label"])
+    return nodes, nodes[label] if len(nodes) else nodes
+
+
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b, level) of a task that join the same nodes at each level as all of its links, one for each node and level: sent where they stay many."""
+    held, many = [], 0
+
+    def thinned() -> list[np.ndarray]:
+        a, b, level = np.concatenate(held, axis=1)
+        out = []
+        for n in np.unique(level).tolist():
+            nodes, label = _labels(np.stack([a[level == n], b[level == n]], 1))
+            some = nodes != label
+            out.append(np.stack([nodes[some], label[some], np.full(int(some.sum()), n)]))
+        return out
+
+    def sent(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for a, b, level in parts:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(level.astype(np.int32))], ["a", "b", "level"])
+
+    for batch in batches:
+        held.append(np.stack([c.to_numpy().astype(np.int64) for c in batch.columns]))
+        many += batch.num_rows
+        if many > HELD_LINKS:
+            held = thinned()
+            many = sum(x.shape[1] for x in held)
+            if many > HELD_LINKS // 2:
+                yield from sent(held)
+                held, many = [], 0
+    if held:
+        yield from sent(thinned())
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 A side of at most FEW rows and FEW_BYTES is sent to all tasks, and the other one streams past it: with few targets every query has its
 result at once and nothing shuffles; with few queries each task keeps its best and a grouped reduction merges them. Two
 large sides meet through the index of :mod:`vectide.operators.cells`, chunk by tile, without a vector on the driver but its
-pivots. The way taken changes no result. Rows of different parts (``part``) never meet. In the plane, blocks of
+pivots; where they can leave out few tiles, blocks of both are read side by side without a shuffle. The way taken changes no result. Rows of different parts (``part``) never meet. In the plane, blocks of
 neighbouring points meet only blocks in reach.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from vectide.operators import cells
 from vectide.operators.cells import Side, apart, distance, matrix, side, unit
+from vectide.operators.graph import forest
 from vectide.sources.scratch import written
 
 __all__ = ["Best", "best_score", "coverage", "interpolate", "least_within", "links", "matrix", "nearest", "plane_nearest", "unit"]
@@ -88,9 +89,29 @@ def _met(queries: DataFrame, targets: DataFrame, kernel: Callable[[Side, Side],
     if made is None:
         return queries.sparkSession.createDataFrame([], schema), False
     tiled, pivots, known = made
+    if cells.crowded(queries, pivots, known, k, eps, floors, plain, digits):
+        return cells.past(queries, tiled.drop("tile"), kernel, schema, plain), False
     return cells.meet(cells.routes(queries, pivots, known, k, eps, floors, plain, digits), tiled, kernel, schema), False
 
 
+class Kernel:
+    """What is made of a side of queries and the sides of targets that it meets, one or one after another."""
+
+    def __call__(self, q: Side, t: Side) -> pa.Table:
+        known = self.begin(q)
+        self.add(q, known, t)
+        return self.done(q, known)
+
+    def begin(self, q: Side):
+        raise NotImplementedError
+
+    def add(self, q: Side, known, t: Side) -> None:
+        raise NotImplementedError
+
+    def done(self, q: Side, known) -> pa.Table:
+        raise NotImplementedError
+
+
 def _by_part(parts: np.ndarray) -> dict[int, np.ndarray]:
     order = np.argsort(parts, kind="stable")
     names, at = np.unique(parts[order], return_index=True)
@@ -124,9 +145,15 @@ class Best:
         return out
 
 
-def _nearest(k: int, metric: str, skip_self: bool, digits: int, rows: int, kind: pa.DataType):
-    def kernel(q: Side, t: Side) -> pa.Table:
-        mine, best = _by_part(q.part), Best(k)
+class _Nearest(Kernel):
+    def __init__(self, k: int, metric: str, skip_self: bool, digits: int, rows: int, kind: pa.DataType) -> None:
+        self.k, self.metric, self.skip_self, self.digits, self.rows, self.kind = k, metric, skip_self, digits, rows, kind
+
+    def begin(self, q: Side) -> Best:
+        return Best(self.k)
+
+    def add(self, q: Side, best: Best, t: Side) -> None:
+        k, metric, rows, mine = self.k, self.metric, self.rows, _by_part(q.part)
         for part, where in _by_part(t.part).items():
             if part not in mine:
                 continue
@@ -139,22 +166,23 @@ def _nearest(k: int, metric: str, skip_self: bool, digits: int, rows: int, kind:
                     score = q.v[at] @ v.T if metric == "cosine" else -apart(q.v[at], v, metric == "euclid")
                     if metric == "reach":
                         score = np.minimum(score, -t.floor[some][None, :])
-                    if skip_self:
+                    if self.skip_self:
                         score[q.id[at][:, None] == t.id[some][None, :]] = -np.inf
-                    near = np.round(score, digits)
+                    near = np.round(score, self.digits)
                     low = floors[at]
                     if len(some) > k:
                         low = np.maximum(low, np.partition(near, len(some) - k, axis=1)[:, len(some) - k])
                     i, j = np.nonzero((near >= low[:, None]) & (near > -np.inf))
                     best.add(at[i], near[i, j], score[i, j], t.id[some[j]])
+
+    def done(self, q: Side, best: Best) -> pa.Table:
+        kind = self.kind
         if best.ids is None:
             return pa.table({"query": pa.array([], kind), "target": pa.array([], kind), "score": pa.array([], pa.float64()), "near": pa.array([], pa.float64()), "place": pa.array([], pa.int32())})
         first = np.flatnonzero(np.concatenate([[True], best.q[1:] != best.q[:-1]])) if len(best.q) else np.zeros(0, np.int64)
         place = 1 + np.arange(len(best.q)) - np.repeat(first, np.diff(np.append(first, len(best.q))))
         return pa.table({"query": pa.array(q.id[best.q].tolist(), kind), "target": pa.array(best.ids.tolist(), kind), "score": best.score, "near": best.near, "place": pa.array(place, pa.int32())})
 
-    return kernel
-
 
 def nearest(queries: DataFrame, targets: DataFrame, k: int, key: str, vector: str = "embedding", metric: str = "cosine", skip_self: bool = False, digits: int = 9, rows: int = ROWS, part: str | None = None, floor: str | None = None) -> DataFrame:
     """(query, target, score, place): the k best targets of each query; place from 1, scores equal to ``digits`` go to the smaller id.
@@ -164,7 +192,7 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, key: str, vector: st
     no result.
     """
     kind = queries.schema[key].dataType.simpleString()
-    kernel, schema = _nearest(k, metric, skip_self, digits, rows, _ARROW[kind]), f"query {kind}, target {kind}, score double, near double, place int"
+    kernel, schema = _Nearest(k, metric, skip_self, digits, rows, _ARROW[kind]), f"query {kind}, target {kind}, score double, near double, place int"
 
     def thin(side_: DataFrame) -> DataFrame:
         """Of equal vectors only the k + 1 of smallest floor and id can be among the k best: copies don't meet one another."""
@@ -202,35 +230,45 @@ def interpolate(rest: DataFrame, fitted: DataFrame, key: str, vector: str, x: st
 # within a distance
 
 
-def _least(eps: float):
-    def kernel(q: Side, t: Side) -> pa.Table:
-        best, mine = np.full(len(q), np.iinfo(np.int64).max), _by_part(q.part)
+class _Least(Kernel):
+    def __init__(self, eps: float) -> None:
+        self.eps = eps
+
+    def begin(self, q: Side) -> np.ndarray:
+        return np.full(len(q), np.iinfo(np.int64).max)
+
+    def add(self, q: Side, best: np.ndarray, t: Side) -> None:
+        mine = _by_part(q.part)
         for part, where in _by_part(t.part).items():
             at, step = mine.get(part, np.zeros(0, np.int64)), max(1, SCORES // len(where))
             for a in range(0, len(at), step):
                 some = at[a : a + step]
-                best[some] = np.minimum(best[some], np.where(distance(q.v[some] @ t.v[where].T) <= eps, t.value[where][None, :], np.iinfo(np.int64).max).min(1))
+                best[some] = np.minimum(best[some], np.where(distance(q.v[some] @ t.v[where].T) <= self.eps, t.value[where][None, :], np.iinfo(np.int64).max).min(1))
+
+    def done(self, q: Side, best: np.ndarray) -> pa.Table:
         found = np.flatnonzero(best < np.iinfo(np.int64).max)
         return pa.table({"id": pa.array(q.id[found].tolist(), pa.int64()), "value": best[found]})
 
-    return kernel
-
 
 def least_within(queries: DataFrame, targets: DataFrame, eps: float, key: str, vector: str, value: str) -> DataFrame:
     """(key, value): the smallest value (long) among targets whose unit vector is within ``eps``; keys are long."""
-    found, whole = _met(_side_of(queries, key, vector, None), _side_of(targets, key, vector, None, None, value), _least(eps), "id long, value long", None, eps)
+    found, whole = _met(_side_of(queries, key, vector, None), _side_of(targets, key, vector, None, None, value), _Least(eps), "id long, value long", None, eps)
     found = found.withColumnsRenamed({"id": key, "value": value})
     return found if whole else found.groupBy(key).agg(F.min(value).alias(value))
 
 
-def _links(levels: list[float]):
+class _Links(Kernel):
     """Links that join the same rows as all pairs within each level: every row, or group of rows, to what it is joined to."""
 
-    def kernel(q: Side, t: Side) -> pa.Table:
-        mine = _by_part(q.part)
+    def __init__(self, levels: list[float]) -> None:
+        self.levels = levels
+
+    def begin(self, q: Side) -> tuple[list, list, list, list]:
         # of each level, the group of each query: the smallest query that it is joined to here
-        groups = [np.arange(len(q)) for _ in levels]
-        a_out, b_out, level_out = [], [], []
+        return [np.arange(len(q)) for _ in self.levels], [], [], []
+
+    def add(self, q: Side, known: tuple[list, list, list, list], t: Side) -> None:
+        mine, (groups, a_out, b_out, level_out) = _by_part(q.part), known
         for part, where in _by_part(t.part).items():
             if part not in mine:
                 continue
@@ -241,7 +279,7 @@ def _links(levels: list[float]):
                 weight = np.maximum(np.maximum(distance(q.v[at] @ t.v[some].T), q.floor[at][:, None]), t.floor[some][None, :])
                 weight[q.id[at][:, None] == t.id[some][None, :]] = np.inf
                 joined = np.zeros(len(some), bool)
-                for n, eps in enumerate(levels):
+                for n, eps in enumerate(self.levels):
                     near = weight <= eps
                     touched = np.flatnonzero(near.any(0))
                     if not len(touched):
@@ -270,7 +308,7 @@ def _links(levels: list[float]):
                     b_out.append(q.id[pairs[:, 1]])
                     level_out.append(np.full(len(pairs), n, np.int32))
                     # what is joined here is joined at all wider levels
-                    for m in range(n, len(levels)):
+                    for m in range(n, len(self.levels)):
                         back = np.arange(len(q))
                         wide = groups[m][at]
                         for x, y in pairs.tolist():
@@ -278,21 +316,22 @@ def _links(levels: list[float]):
                             if x != y:
                                 back[back == max(x, y)] = min(x, y)
                         groups[m][at] = back[wide]
-        flat = lambda x, kind: pa.array(np.concatenate(x).tolist() if x else [], kind)
-        return pa.table({"a": flat(a_out, pa.int64()), "b": flat(b_out, pa.int64()), "level": flat(level_out, pa.int32())})
 
-    return kernel
+    def done(self, q: Side, known: tuple[list, list, list, list]) -> pa.Table:
+        _, a_out, b_out, level_out = known
+        flat = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
+        return pa.table({"a": flat(a_out, pa.int64()), "b": flat(b_out, pa.int64()), "level": flat(level_out, pa.int32())})
 
 
 def links(rows: DataFrame, levels: list[float], key: str, vector: str, floor: str, part: str | None = None) -> DataFrame:
     """(a, b, level): links whose components up to a level are those of all pairs whose distance and floors are within its eps.
 
     ``levels`` ascend. Where a chunk of rows meets others, each of these gets a link at the first level that joins it to the chunk, and
-    each two groups of the chunk that it brings together get one: not one for each pair.
+    each two groups of the chunk that it brings together get one: not one for each pair. A task sends a forest of its links.
     """
     mine = _side_of(rows, key, vector, part, floor)
-    out, whole = _met(mine, mine, _links(levels), "a long, b long, level int", None, levels[-1])
-    return out
+    out, _ = _met(mine, mine, _Links(levels), "a long, b long, level int", None, levels[-1])
+    return out.mapInArrow(forest, out.schema)
 
 
 # the plane
