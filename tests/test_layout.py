@@ -101,6 +101,29 @@ def test_curve_follows_its_goal() -> None:
     assert np.abs(1 / (1 + a * d ** (2 * b)) - np.where(d < 0.1, 1, np.exp(-(d - 0.1)))).max() < 0.08 and 1 < a < 2 and 0.7 < b < 1.1
 
 
+def test_partitioned_descent_is_that_of_one_task(spark) -> None:
+    rows = unit_rows(table(spark, clouds(6, 30))).select("at", "unit")
+    graph = layout.chance_graph(rows, 10.0)
+    start = project.pca(rows, 3).orderBy("at").toPandas()
+    y = np.round(start[["x", "y"]].to_numpy(), 9) + np.concatenate([np.random.default_rng([3, b]).normal(scale=1e-4, size=(min(50, 180 - 50 * b), 2)) for b in range(4)])
+    e = graph.orderBy("a", "b").toPandas()
+    want = layout.match(y, e["a"].to_numpy(), e["b"].to_numpy(), e["weight"].to_numpy(), steps=12, early=6)
+    found = layout.matched(project.pca(rows, 3), graph, 3, steps=12, early=6, rows=50).orderBy("at").toPandas()
+    got = found[["x", "y"]].to_numpy()
+    assert found["at"].tolist() == list(range(180)) and np.ptp(want) > 1e-3
+    assert np.abs(got - want).max() < 1e-3 * np.ptp(want)
+
+
+def test_tsne_of_more_rows_than_a_task_takes(spark, monkeypatch) -> None:
+    """No sample stated: all rows are fitted, whatever their number."""
+    monkeypatch.setattr(project, "SAMPLE", 60)
+    monkeypatch.setattr(layout, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(layout.matched, "__defaults__", (4, 2, 12.0, None))
+    monkeypatch.setattr(layout, "placed", None)
+    y = places(project.project(table(spark, clouds(5, 24)), "tsne"))
+    assert y.shape == (120, 2) and np.isfinite(y).all() and len(np.unique(y, axis=0)) == 120 and np.abs(y.mean(0)).max() < 1e-9
+
+
 def test_few_rows(spark) -> None:
     for n in (1, 2, 3):
         for method in ("pca", "umap", "tsne"):

@@ -3,6 +3,10 @@
 The graph is made by DataFrame passes: neighbours by :mod:`vectide.operators.knn`, each row's bandwidth by bisection in Arrow batches,
 both directions of an edge put together in one shuffle. The layout itself moves all points of the sample in one task: points and
 edges of a sample, whose size the caller bounds, are what that task holds.
+
+Matching of neighbour chances takes tables of any size (:func:`matched`): edges are written once in blocks of rows, and each step moves the
+rows of all blocks side by side. A task holds the edges of a block and the places of all rows, 16 bytes each, that it reads from
+the table of the step before; what passes the driver is a grid of at most 256 x 256 sums.
 """
 
 from __future__ import annotations
@@ -11,15 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vectide.operators import knn
+from vectide.sources.scratch import dropped, handed, scope, written
 
 #: Steps of a bisection for a bandwidth, and the least bandwidth as a share of a row's mean distance.
 BISECTIONS, LEAST_SHARE = 64, 1e-3
 #: Largest move of a point by one edge.
 CLIP = 4.0
+#: Rows of a block of a partitioned layout, its edges that are looked at at once, tasks that add up a grid, and the unit of a point's shares in it.
+BLOCK_ROWS, EDGES, GRIDS, SHARES = 1 << 14, 1 << 20, 64, 1 << 24
 
 
 def _neighbours(rows: DataFrame, k: int) -> DataFrame:
@@ -145,26 +152,52 @@ def spread_out(start: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarr
     return y
 
 
-def repulsion(y: np.ndarray, cell: float = 0.3, most: int = 256) -> tuple[np.ndarray, float]:
-    """(sum over others of (y_i - y_j) / (1 + d^2)^2, sum over all pairs of 1 / (1 + d^2)), from a grid: points are spread to its nodes,
-    sums over nodes are convolutions, and points take them from the nodes around them."""
-    low, span = y.min(0), max(float(np.ptp(y, axis=0).max()), 1e-9)
+def _grid(low: np.ndarray, span: float, cell: float = 0.3, most: int = 256) -> tuple[np.ndarray, float, int]:
+    """(lowest corner, width of a cell, nodes of a side) of the grid over a layout."""
+    span = max(span, 1e-9)
     m = int(min(most, max(32, 2 ** np.ceil(np.log2(span / cell + 2)))))
-    h = span / (m - 2)
+    return low, span / (m - 2), m
+
+
+def _corners(y: np.ndarray, low: np.ndarray, h: float, m: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The four nodes around each point, and the point's shares in them."""
     place = (y - low) / h
     at = np.minimum(place.astype(np.int64), m - 2)
     f = place - at
     nodes = [(at[:, 0] + dx) * m + at[:, 1] + dy for dx in (0, 1) for dy in (0, 1)]
     shares = [(f[:, 0] if dx else 1 - f[:, 0]) * (f[:, 1] if dy else 1 - f[:, 1]) for dx in (0, 1) for dy in (0, 1)]
-    charge = sum(np.bincount(n, s, m * m) for n, s in zip(nodes, shares, strict=True)).reshape(m, m)
+    return nodes, shares
+
+
+def _itself(shares: list[np.ndarray], h: float) -> np.ndarray:
+    """What a point adds to itself through the nodes around it."""
+    return sum(shares[i] * shares[j] / (1 + h * h * ((i // 2 != j // 2) + (i % 2 != j % 2))) for i in range(4) for j in range(4))
+
+
+def _convolved(charge: np.ndarray, h: float) -> list[np.ndarray]:
+    """At each node the sums over all others of 1 / (1 + d^2), and of both parts of a push, times their charge."""
+    m = len(charge)
     step = np.concatenate([np.arange(m), np.arange(-m, 0)]) * h
     near = 1 / (1 + step[:, None] ** 2 + step[None, :] ** 2)
     spectrum = np.fft.rfft2(charge, (2 * m, 2 * m))
-    sums = [np.fft.irfft2(spectrum * np.fft.rfft2(kernel), (2 * m, 2 * m))[:m, :m].ravel() for kernel in (near, step[:, None] * near**2, step[None, :] * near**2)]
+    return [np.fft.irfft2(spectrum * np.fft.rfft2(kernel), (2 * m, 2 * m))[:m, :m].ravel() for kernel in (near, step[:, None] * near**2, step[None, :] * near**2)]
+
+
+def repulsion(y: np.ndarray, cell: float = 0.3, most: int = 256) -> tuple[np.ndarray, float]:
+    """(sum over others of (y_i - y_j) / (1 + d^2)^2, sum over all pairs of 1 / (1 + d^2)), from a grid: points are spread to its nodes,
+    sums over nodes are convolutions, and points take them from the nodes around them."""
+    low, h, m = _grid(y.min(0), float(np.ptp(y, axis=0).max()), cell, most)
+    nodes, shares = _corners(y, low, h, m)
+    sums = _convolved(sum(np.bincount(n, s, m * m) for n, s in zip(nodes, shares, strict=True)).reshape(m, m), h)
     back = [sum(s[n] * w for n, w in zip(nodes, shares, strict=True)) for s in sums]
-    # what a point adds to itself through the nodes around it is taken off
-    own = sum(shares[i] * shares[j] / (1 + h * h * ((i // 2 != j // 2) + (i % 2 != j % 2))) for i in range(4) for j in range(4))
-    return np.stack(back[1:], 1), float((back[0] - own).sum())
+    return np.stack(back[1:], 1), float((back[0] - _itself(shares, h)).sum())
+
+
+def _stepped(y: np.ndarray, speed: np.ndarray, gains: np.ndarray, slope: np.ndarray, rate: float, early: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, speeds, gains) after a step down the slope."""
+    gains = np.maximum(np.where(slope * speed < 0, gains + 0.2, gains * 0.8), 0.01)
+    speed = (0.5 if early else 0.8) * speed - rate * gains * slope
+    return y + speed, speed, gains
 
 
 def match(start: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, steps: int = 750, early: int = 250, exaggeration: float = 12.0) -> np.ndarray:
@@ -178,9 +211,7 @@ def match(start: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, s
         pull = ((exaggeration if e < early else 1.0) * p / (1 + (d**2).sum(1)))[:, None] * d
         push, total = repulsion(y)
         slope = 4 * (_add_up(a, pull, n) - _add_up(b, pull, n) - push / max(total, 1e-12))
-        gains = np.maximum(np.where(slope * speed < 0, gains + 0.2, gains * 0.8), 0.01)
-        speed = (0.5 if e < early else 0.8) * speed - rate * gains * slope
-        y = y + speed
+        y, speed, gains = _stepped(y, speed, gains, slope, rate, e < early)
         y -= y.mean(0)
     return y
 
@@ -200,3 +231,152 @@ def placed(start: DataFrame, graph: DataFrame, kind: str, seed: int, epochs: int
         return pa.table({"at": at, "x": y[:, 0], "y": y[:, 1]})
 
     return points.groupBy("one").cogroup(edges.groupBy("one")).applyInArrow(run, "at long, x double, y double")
+
+
+# layouts of tables of any size
+
+
+_STATE = "block long, y binary, speed binary, gains binary, x0 double, x1 double, y0 double, y1 double"
+
+
+def _state(block: int, y: np.ndarray, speed: np.ndarray, gains: np.ndarray) -> list[pa.Array]:
+    ends = [pa.array([float(f(y[:, i]))]) for i in range(2) for f in (np.min, np.max)]
+    return [pa.array([block], pa.int64()), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (y, speed, gains)], *ends]
+
+
+_STATE_NAMES = [c.split()[0] for c in _STATE.split(", ")]
+
+
+def _doubles(raw: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(raw.as_buffer(), np.float64).reshape(-1, 2)
+
+
+def _edge_block(group: pa.Table) -> pa.Table:
+    """Edges of a block's rows, by row -> one row: how many each row has, their other ends and weights."""
+    group = group.sort_by([("a", "ascending"), ("b", "ascending")])
+    a = group["a"].to_numpy()
+    counts = np.bincount(a - a[0])
+    raw = [counts.astype(np.int32), group["b"].to_numpy().astype(np.int32), group["weight"].to_numpy()]
+    return pa.table({"block": group["block"][:1], **{n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("counts", "ids", "weights"), raw, strict=True)}})
+
+
+def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the blocks' weights."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([float(np.frombuffer(raw.as_buffer(), np.float64).sum()) for raw in batch.column("weights")])], ["weight"])
+
+
+def _started(scale: float, seed: int):
+    def run(group: pa.Table) -> pa.Table:
+        group, block = group.sort_by("at"), group["block"][0].as_py()
+        y = np.stack([group["x"].to_numpy(), group["y"].to_numpy()], 1)
+        y = (y + np.random.default_rng([seed, block]).normal(scale=1e-4, size=y.shape)) * scale
+        return pa.Table.from_arrays(_state(block, y, np.zeros_like(y), np.ones_like(y)), _STATE_NAMES)
+
+    return run
+
+
+def _charged(low: np.ndarray, h: float, m: int):
+    """Of a task: its points' shares in the nodes of the grid, and what the points add to themselves, as whole numbers: no sum depends on an order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        charge, own = np.zeros(m * m, np.int64), 0
+        for batch in batches:
+            for raw in batch.column("y"):
+                nodes, shares = _corners(_doubles(raw), low, h, m)
+                for n, s in zip(nodes, shares, strict=True):
+                    charge += np.bincount(n, np.round(s * SHARES), m * m).astype(np.int64)
+                own += int(np.round(_itself(shares, h) * SHARES).astype(np.int64).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([charge.tobytes()], pa.binary()), pa.array([own], pa.int64())], ["charge", "own"])
+
+    return run
+
+
+def _moved(sent, rate: float, exaggeration: float, early: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, h, m, sums, total, weights = sent.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = batch.column("block")[i].as_py()
+                every = batch.column("places")[i].values
+                y = np.concatenate([_doubles(raw) for raw in every])
+                first = sum(len(raw.as_buffer()) // 16 for raw in every.slice(0, block))
+                speed, gains = (_doubles(batch.column(c)[i]) for c in ("speed", "gains"))
+                mine = y[first : first + len(speed)]
+                counts, ids, weight = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (("counts", np.int32), ("ids", np.int32), ("weights", np.float64)))
+                end, pull = np.cumsum(counts, dtype=np.int64), np.zeros_like(mine)
+                a = 0
+                while a < len(mine):  # some rows at a time
+                    begin = int(end[a - 1]) if a else 0
+                    b = max(a + 1, int(np.searchsorted(end, begin + EDGES, "right")))
+                    of = np.repeat(np.arange(a, b), counts[a:b])
+                    d = mine[of] - y[ids[begin : end[b - 1]]]
+                    d *= (weight[begin : end[b - 1]] / (1 + (d**2).sum(1)))[:, None]
+                    pull[a:b] = _add_up(of - a, d, b - a)
+                    a = b
+                nodes, shares = _corners(mine, low, h, m)
+                push = np.stack([sum(s[n] * w for n, w in zip(nodes, shares, strict=True)) for s in sums], 1)
+                slope = 4 * (exaggeration / weights * pull - push / max(total, 1e-12))
+                yield pa.RecordBatch.from_arrays(_state(block, *_stepped(mine, speed, gains, slope, rate, early)), _STATE_NAMES)
+
+    return run
+
+
+def _opened(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block, raw in zip(batch.column("block").to_pylist(), batch.column("y"), strict=True):
+            y = _doubles(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(block * rows + np.arange(len(y))), pa.array(y[:, 0]), pa.array(y[:, 1])], ["at", "x", "y"])
+
+
+def matched(start: DataFrame, graph: DataFrame, seed: int, steps: int = 750, early: int = 250, exaggeration: float = 12.0, rows: int | None = None) -> DataFrame:
+    """(at, x, y): the descent of :func:`match` over partitioned rows and edges. ``start``: at from 0 without gaps, x, y.
+
+    A step is two jobs. One spreads all points to the nodes of a grid, whose sums the driver convolves; the other one moves each block of rows
+    by its edges and the grid, and writes where they are. Blocks meet the places of all rows as a cartesian product with one row, so these are
+    read by the tasks and pass neither the driver nor a shuffle. Blocks are of fixed size and the grid is added up in whole numbers:
+    no step depends on the tasks that make it. The table of a step is deleted after the next one.
+    """
+    spark, rows = start.sparkSession, rows or BLOCK_ROWS
+    points = written(start.select("at", F.round("x", 9).alias("x"), F.round("y", 9).alias("y")), "layout-start")
+    n, mean, square = points.agg(F.count(F.lit(1)), F.avg(F.col("x") + F.col("y")) / 2, F.avg(F.col("x") * F.col("x") + F.col("y") * F.col("y")) / 2).first()
+    if not n:
+        return points
+    scale = 1e-4 / max(round(max(square - mean * mean, 0.0) ** 0.5, 9), 1e-12)
+    of = lambda c: F.floor(F.col(c) / rows).cast("long").alias("block")
+    # every row once more with itself, at no weight, so that none is without an edge
+    ways = graph.select("a", "b", "weight").unionAll(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).unionAll(points.select(F.col("at").alias("a"), F.col("at").alias("b"), F.lit(0.0)))
+    blocks = -(-n // rows)
+    edges = ways.select(of("a"), "a", "b", "weight").repartitionByRange(blocks, "block")
+    edges = written(edges.groupBy("block").applyInArrow(_edge_block, "block long, counts binary, ids binary, weights binary"), "layout-edges")
+    weights = max(sum(r[0] for r in edges.select("block", "weights").mapInArrow(_weighed, "weight double").sort("weight").collect()), 1e-300)
+    rate = max(n / exaggeration / 4, 50.0)
+    with scope(spark) as made:
+
+        def kept(df: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, float, int]]:
+            """The state of a step, written, and the grid over it."""
+            seen = Observation()
+            out = written(df.observe(seen, *[f(c).alias(c) for c, f in (("x0", F.min), ("x1", F.max), ("y0", F.min), ("y1", F.max))]), "layout")
+            for path in made[:-1]:
+                dropped(spark, path)
+            del made[:-1]
+            x0, x1, y0, y1 = (seen.get[c] for c in ("x0", "x1", "y0", "y1"))
+            return out, _grid(np.array([x0, y0]), max(x1 - x0, y1 - y0))
+
+        state, grid = kept(points.select(of("at"), "at", "x", "y").groupBy("block").applyInArrow(_started(scale, seed), _STATE))
+        for e in range(steps):
+            parts = state.select("y").coalesce(GRIDS).mapInArrow(_charged(*grid), "charge binary, own long").collect()
+            charge = sum(np.frombuffer(p["charge"], np.int64) for p in parts) / SHARES
+            sums = _convolved(charge.reshape(grid[2], grid[2]), grid[1])
+            total = float(charge @ sums[0]) - sum(p["own"] for p in parts) / SHARES
+            sent = spark.sparkContext.broadcast((*grid, sums[1:], total, weights))
+            whole = state.select("block", "y", "speed", "gains").coalesce(1).agg(F.sort_array(F.collect_list(F.struct("block", "y", "speed", "gains"))).alias("all"))
+            own = F.element_at("all", F.col("block").cast("int") + 1)
+            met = edges.join(whole.hint("shuffle_replicate_nl")).select("block", "counts", "ids", "weights", F.col("all.y").alias("places"), own["speed"].alias("speed"), own["gains"].alias("gains"))
+            state, grid = kept(met.mapInArrow(_moved(sent, rate, exaggeration if e < early else 1.0, e < early), _STATE))
+            sent.unpersist()
+        last = made.pop()
+    handed(last)
+    out = state.select("block", "y").mapInArrow(lambda batches: _opened(batches, rows), "at long, x double, y double")
+    middle = out.agg(F.avg("x"), F.avg("y")).first()
+    return out.select("at", *[(F.col(c) - F.lit(v)).alias(c) for c, v in zip(("x", "y"), middle, strict=True)])

@@ -77,11 +77,15 @@ def umap(rows: DataFrame, seed: int) -> DataFrame:
 
 
 def tsne(rows: DataFrame, seed: int) -> DataFrame:
-    return layout.placed(pca(rows, seed), layout.chance_graph(rows), "tsne", seed)
+    """In one task up to SAMPLE rows, else in steps over all blocks of rows."""
+    start, graph = pca(rows, seed), layout.chance_graph(rows)
+    return layout.placed(start, graph, "tsne", seed) if rows.count() <= SAMPLE else layout.matched(start, graph, seed)
 
 
+#: Rows of a sample where none is stated, and of a layout in one task.
+SAMPLE = 20_000
 FITS: dict[str, Fit] = {"pca": pca, "umap": umap, "tsne": tsne}
-#: Fits that know no rows outside their sample.
+#: Fits that know no rows outside their sample: where none is stated, it is the table.
 NEEDS_ALL = {"tsne"}
 
 
@@ -94,13 +98,17 @@ def fit_sample(df: DataFrame, sample: int, seed: int, key: str = "window_id") ->
     return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key)).cast("binary")), key).limit(sample)
 
 
-def project(df: DataFrame, method: str = "pca", sample: int = 20_000, seed: int = 7, key: str = "window_id", k: int = 8, temperature: float = 12.0) -> DataFrame:
-    """(key, projection_x, projection_y) of all rows: the fit's own coordinates for its sample, neighbours' for the rest."""
+def project(df: DataFrame, method: str = "pca", sample: int | None = None, seed: int = 7, key: str = "window_id", k: int = 8, temperature: float = 12.0) -> DataFrame:
+    """(key, projection_x, projection_y) of all rows: the fit's own coordinates for its sample, neighbours' for the rest.
+
+    ``sample``: SAMPLE rows if none are stated, all rows for a fit that needs them.
+    """
     if method not in FITS:
         raise ContractError(f"no fit named {method}")
-    if method in NEEDS_ALL and df.count() > sample:
+    if method in NEEDS_ALL and sample is not None and df.count() > sample:
         raise ContractError(f"{method} needs all rows in its fit")
-    drawn = written(numbered(unit_rows(fit_sample(df, sample, seed, key)).select(key, "unit"), key, name="at"), "fit")
+    chosen = df if method in NEEDS_ALL else fit_sample(df, SAMPLE if sample is None else sample, seed, key)
+    drawn = written(numbered(unit_rows(chosen).select(key, "unit"), key, name="at"), "fit")
     at = FITS[method](drawn.select("at", "unit"), seed)
     fitted = written(drawn.join(at, "at").select(key, F.col("unit").alias("embedding"), F.col("x").alias("projection_x"), F.col("y").alias("projection_y")), "fitted")
     rest = df.select(key, "embedding").join(fitted.select(key), key, "left_anti")

@@ -50,8 +50,19 @@ def scope(spark: SparkSession) -> Iterator[list[str]]:
     finally:
         _OPEN.paths = outer
         for path in mine:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            dropped(spark, path)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes what :func:`written` made at ``path``."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def handed(path: str) -> None:
+    """A table that a scope doesn't delete at its end is left to the scope around it, if there is one."""
+    if getattr(_OPEN, "paths", None) is not None:
+        _OPEN.paths.append(path)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
