@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +162,24 @@ def test_toxicity(spark, docs) -> None:
     assert all(0 <= r["__score"] <= 1 for r in out)
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch) -> None:
+    rows = [(i, f"you {'idiot' if i % 3 == 0 else 'friend'} number {i} came home again" if i % 11 else None) for i in range(80)]
+    taught = [(i, t or "", int(i % 3 == 0)) for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2 and i != 1]
+    share = (sum(y for *_, y in taught) + 1) / (len(taught) + 3)  # the long text counts as a label, but teaches nothing
+    wanted = toxicity.fit([t for _, t, _ in taught], np.array([y for *_, y in taught]), share)
+    docs = spark.createDataFrame([(i, "friend " * 30_000 if i == 1 else t) for i, t in rows] + [rows[7]], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+
+    def refused(*_):
+        raise AssertionError("the driver takes texts apart")
+
+    monkeypatch.setattr(toxicity.Inputs, "__init__", refused)
+    got = toxicity.train(docs, labels)
+    assert got.keys() == wanted.keys() and all(np.allclose(got[k], wanted[k], atol=1e-2) for k in wanted)
+    nothing = toxicity.train(docs, labels.where("doc_id < 0"))
+    assert not nothing["scale"].any() and nothing["shift"] == 0
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages(spark, docs, tmp_path_factory, name: str, stage) -> None:
     folder = tmp_path_factory.mktemp("tables")

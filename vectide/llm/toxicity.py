@@ -18,6 +18,7 @@ an empty table gives no rows; other columns are kept.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.llm import bytewords
-from vectide.llm.common import bounded_batches, release, table, trimmed, unused
+from vectide.llm.common import bounded_batches, table, trimmed, unused
 
-#: The sample of the fit: at most so many labelled documents of classes 0 and 1, none of more bytes (the driver holds them).
+#: The sample of the fit: at most so many labelled documents of classes 0 and 1, none of more bytes (one task holds them).
 SAMPLE, SAMPLE_BYTES = (3000, 1500), 200_000
 WINDOW, STRIDE = 32, 16
 #: Hashed words, trigrams and beginnings, width of each vector, width of a direction's state.
@@ -333,23 +334,38 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % 4 == 2
 
 
+def _fitted(share: float, seed: int):
+    """The parameters of a fit on all rows of a task, as the bytes of one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("label", "ascending")])
+        out = io.BytesIO()
+        np.savez(out, **fit([t or "" for t in rows["text"].to_pylist()], rows["label"].to_numpy(), share, seed))
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["parameters"])
+
+    return trimmed(run)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, seed: int = SEED) -> dict[str, np.ndarray]:
-    """Fit on at most ``sample`` documents of the two classes that are not held out."""
+    """Fit on at most ``sample`` documents of the two classes that are not held out, in one task: only parameters come to the driver."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     order = [F.md5(F.concat(F.lit(f"{seed}|"), F.col("doc_id").cast("string")).cast("binary")), F.col("doc_id")]
-    rows = []
-    for label in (0, 1):  # at most ``sample`` ids: the bound of what is broadcast
-        ids = known.where(F.col("toxic") == label).orderBy(*order).limit(sample[label]).select(F.col("doc_id").alias("__id"))
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
-        # rows that repeat a doc_id do not add to the bound
-        rows += [(r[0], r[1] or "", label) for r in found.groupBy("doc_id").agg(F.min("text").alias("text")).collect()]
-    rows.sort(key=lambda r: (r[0], r[2]))
-    out = fit([r[1] for r in rows], np.array([r[2] for r in rows]), share, seed)
-    del rows
-    release()
-    return out
+    # at most ``sample`` ids: the bound of what is broadcast
+    clean, toxic = (known.where(F.col("toxic") == label).orderBy(*order).limit(sample[label]).select(F.col("doc_id").alias("__id"), F.col("toxic").alias("label")) for label in (0, 1))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(clean.unionAll(toxic)), F.col("doc_id") == F.col("__id")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    # rows that repeat a doc_id do not add to the bound
+    rows = found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    bounded_batches(docs.sparkSession)
+    made = rows.coalesce(1).mapInArrow(_fitted(share, seed), "parameters binary").first()
+    if made is None:  # no labelled documents
+        return fit([], np.zeros(0), share, seed)
+    with np.load(io.BytesIO(made[0])) as saved:
+        return {k: saved[k][()] for k in saved.files}
 
 
 def _score(shared, name: str):
