@@ -367,3 +367,34 @@ def test_a_forest_joins_what_all_links_join(monkeypatch) -> None:
             assert {k: x for k, x in want.items() if k != x} == {k: x for k, x in got.items() if k != x}
         if most > 500:
             assert out.shape[1] < 120
+
+
+def test_links_do_not_grow_with_the_tasks(spark, monkeypatch) -> None:
+    """Each task of crowded sides sends a forest over all rows; put together they are one link for each row and level, not one for each task."""
+    v = np.random.default_rng(3).normal(size=(400, 12))
+    df = spark.createDataFrame([(i, x, 0.0) for i, x in enumerate(v.tolist())], "at long, embedding array<double>, core double").repartition(3).cache()
+    take(monkeypatch, "tiles")
+    monkeypatch.setattr(cells, "QUERY_ROWS", 40)
+    monkeypatch.setattr(cells, "TARGET_ROWS", 40)
+    monkeypatch.setattr(cells, "TARGET_BYTES", 100 * 12 * 8)
+    links = knn.links(df, [1.1], "at", "embedding", "core")
+    assert links.count() <= 2 * len(v)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    near, label = np.sqrt(np.maximum(2 - 2 * u @ u.T, 0)) <= 1.1, np.arange(len(v))
+    for _ in range(len(v)):
+        label = np.minimum(label, np.where(near, label[None], len(v)).min(1))
+    got = {r["node"]: r["label"] for r in graph.components(links.select("a", "b")).collect()}
+    assert [got.get(i, i) for i in range(len(v))] == label.tolist()
+
+
+def test_products_of_32_bits_lose_no_pair() -> None:
+    """Pairs at the bound itself are found, scaled components or copies, and few or many pairs are scored alike."""
+    r = np.random.default_rng(5)
+    for dim in (1, 3, 64, 500):
+        a, b = (cells.unit(r.normal(size=(n, dim)) * 10.0 ** r.integers(-3, 4, dim)) for n in (70, 90))
+        b[:20] = a[:20]
+        full = a @ b.T
+        for least in (np.sort(full, axis=1)[:, -5], np.full(70, 1.0 - 1e-12)):
+            i, j = knn.close(a, b, least)
+            assert set(zip(*map(np.ndarray.tolist, np.nonzero(full >= least[:, None])), strict=True)) <= set(zip(i.tolist(), j.tolist(), strict=True))
+            assert np.allclose(knn.cosines(a, b, i, j), full[i, j], atol=1e-14)

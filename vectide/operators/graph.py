@@ -15,6 +15,8 @@ from vectide.sources.scratch import written
 TASK_LINKS = 1_000_000
 #: Links that a task holds while it thins them: 24 bytes each.
 HELD_LINKS = 4_000_000
+#: Tasks whose forests one task puts together.
+MERGED = 8
 
 
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,6 +74,22 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from sent(thinned())
 
 
+def thinned(links: DataFrame) -> DataFrame:
+    """Links (a, b, level) that join the same nodes at each level, written: forests of MERGED tasks are put together until few are left, or they stay as many.
+
+    Each task sends a forest over the nodes that it has met, so links would else grow with the tasks times the nodes.
+    """
+    made = written(links.mapInArrow(forest, links.schema), "forests")
+    many = made.count()
+    while many and (parts := made.rdd.getNumPartitions()) > 1:
+        fewer = written(made.coalesce(-(-parts // MERGED)).mapInArrow(forest, links.schema), "forests")
+        left = fewer.count()
+        made, stays, many = fewer, 2 * left > many, left
+        if stays:
+            break
+    return made
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of all nodes of links (a, b): the smallest node that each one reaches."""
     links = written(links.where(F.col("a") != F.col("b")).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "links")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vectide.operators import cells
 from vectide.operators.cells import Side, apart, distance, matrix, side, unit
-from vectide.operators.graph import forest
+from vectide.operators.graph import thinned
 from vectide.sources.scratch import written
 
 __all__ = ["Best", "best_score", "coverage", "interpolate", "least_within", "links", "matrix", "nearest", "plane_nearest", "unit"]
@@ -28,6 +28,8 @@ __all__ = ["Best", "best_score", "coverage", "interpolate", "least_within", "lin
 FEW, FEW_BYTES, SCORES, ROWS, BLOCK = 8192, 64 << 20, 1 << 22, 4096, 1024
 #: Rows of targets that a task gathers for one pass of few queries.
 GATHERED = 1 << 16
+#: Pairs whose cosines are made one by one at once, and found pairs that wait for a place among the best.
+PAIRS, WAITING = 1 << 15, 1 << 20
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
@@ -145,6 +147,32 @@ class Best:
         return out
 
 
+def cosine_at(far: np.ndarray) -> np.ndarray:
+    """The cosine of unit vectors that are ``far`` apart."""
+    return 1 - np.maximum(far, 0) ** 2 / 2
+
+
+def close(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of ``a`` and ``b`` (unit vectors) that contain all whose cosine is at least ``least`` of the row of ``a``.
+
+    Products are made in 32 bits, and the bound is lowered by more than these can lose: a sum of n products of unit vectors is off by
+    n + 2 roundings at most.
+    """
+    slack = (a.shape[1] + 16) * float(np.finfo(np.float32).eps)
+    met = a.astype(np.float32) @ b.astype(np.float32).T >= (least - slack).astype(np.float32)[:, None]
+    return np.divmod(np.flatnonzero(met), len(b))
+
+
+def cosines(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of rows i of ``a`` and j of ``b``: few pairs one by one, many by the product of all."""
+    if len(i) * 8 > len(a) * len(b):
+        return (a @ b.T)[i, j]
+    out = np.empty(len(i))
+    for s in range(0, len(i), PAIRS):
+        out[s : s + PAIRS] = np.einsum("ij,ij->i", a[i[s : s + PAIRS]], b[j[s : s + PAIRS]])
+    return out
+
+
 class _Nearest(Kernel):
     def __init__(self, k: int, metric: str, skip_self: bool, digits: int, rows: int, kind: pa.DataType) -> None:
         self.k, self.metric, self.skip_self, self.digits, self.rows, self.kind = k, metric, skip_self, digits, rows, kind
@@ -160,20 +188,39 @@ class _Nearest(Kernel):
             for b in range(0, len(where), rows):
                 some = where[b : b + rows]
                 v, step = t.v[some], max(1, SCORES // len(some))
-                floors = best.floors(len(q))
+                floors, found, waiting = best.floors(len(q)), [], 0
                 for a in range(0, len(mine[part]), step):
                     at = mine[part][a : a + step]
-                    score = q.v[at] @ v.T if metric == "cosine" else -apart(q.v[at], v, metric == "euclid")
-                    if metric == "reach":
-                        score = np.minimum(score, -t.floor[some][None, :])
-                    if self.skip_self:
-                        score[q.id[at][:, None] == t.id[some][None, :]] = -np.inf
-                    near = np.round(score, self.digits)
                     low = floors[at]
-                    if len(some) > k:
-                        low = np.maximum(low, np.partition(near, len(some) - k, axis=1)[:, len(some) - k])
-                    i, j = np.nonzero((near >= low[:, None]) & (near > -np.inf))
-                    best.add(at[i], near[i, j], score[i, j], t.id[some[j]])
+                    if metric != "euclid" and (low > -np.inf).all():
+                        # only what may pass the k-th best so far is scored in full
+                        i, j = close(q.v[at], v, low - 10.0**-self.digits if metric == "cosine" else cosine_at(10.0**-self.digits - low))
+                        score = cosines(q.v[at], v, i, j)
+                        if metric == "reach":
+                            score = np.minimum(-distance(score), -t.floor[some][j])
+                        near = np.round(score, self.digits)
+                        keep = near >= low[i]
+                        if self.skip_self:
+                            keep &= q.id[at][i] != t.id[some][j]
+                        i, j, near, score = i[keep], j[keep], near[keep], score[keep]
+                    else:
+                        score = q.v[at] @ v.T if metric == "cosine" else -apart(q.v[at], v, metric == "euclid")
+                        if metric == "reach":
+                            score = np.minimum(score, -t.floor[some][None, :])
+                        if self.skip_self:
+                            score[q.id[at][:, None] == t.id[some][None, :]] = -np.inf
+                        near = np.round(score, self.digits)
+                        if len(some) > k:
+                            low = np.maximum(low, np.partition(near, len(some) - k, axis=1)[:, len(some) - k])
+                        i, j = np.nonzero((near >= low[:, None]) & (near > -np.inf))
+                        near, score = near[i, j], score[i, j]
+                    found.append((at[i], near, score, t.id[some[j]]))
+                    waiting += len(i)
+                    if waiting > WAITING:
+                        best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                        found, waiting = [], 0
+                if waiting:
+                    best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
     def done(self, q: Side, best: Best) -> pa.Table:
         kind = self.kind
@@ -243,7 +290,9 @@ class _Least(Kernel):
             at, step = mine.get(part, np.zeros(0, np.int64)), max(1, SCORES // len(where))
             for a in range(0, len(at), step):
                 some = at[a : a + step]
-                best[some] = np.minimum(best[some], np.where(distance(q.v[some] @ t.v[where].T) <= self.eps, t.value[where][None, :], np.iinfo(np.int64).max).min(1))
+                i, j = close(q.v[some], t.v[where], np.full(len(some), cosine_at(self.eps)))
+                near = distance(cosines(q.v[some], t.v[where], i, j)) <= self.eps
+                np.minimum.at(best, some[i[near]], t.value[where[j[near]]])
 
     def done(self, q: Side, best: np.ndarray) -> pa.Table:
         found = np.flatnonzero(best < np.iinfo(np.int64).max)
@@ -276,19 +325,23 @@ class _Links(Kernel):
             step = max(1, SCORES // len(at))
             for begin in range(0, len(where), step):
                 some = where[begin : begin + step]
-                weight = np.maximum(np.maximum(distance(q.v[at] @ t.v[some].T), q.floor[at][:, None]), t.floor[some][None, :])
-                weight[q.id[at][:, None] == t.id[some][None, :]] = np.inf
+                i, j = close(q.v[at], t.v[some], np.full(len(at), cosine_at(self.levels[-1])))
+                weight = np.maximum(np.maximum(distance(cosines(q.v[at], t.v[some], i, j)), q.floor[at][i]), t.floor[some][j])
+                weight[q.id[at][i] == t.id[some][j]] = np.inf
                 joined = np.zeros(len(some), bool)
                 for n, eps in enumerate(self.levels):
                     near = weight <= eps
-                    touched = np.flatnonzero(near.any(0))
-                    if not len(touched):
+                    if not near.any():
                         continue
+                    x, y = i[near], j[near]
+                    touched = np.unique(y)
                     group = groups[n][at]
                     old = group.copy()
                     while True:  # a target takes the smallest group near it, and gives it to all groups near it
-                        low = np.where(near[:, touched], group[:, None], len(q)).min(0)
-                        new = np.minimum(group, np.where(near[:, touched], low[None, :], len(q)).min(1))
+                        low = np.full(len(some), len(q))
+                        np.minimum.at(low, y, group[x])
+                        new = group.copy()
+                        np.minimum.at(new, x, low[y])
                         back = np.arange(len(q) + 1)
                         np.minimum.at(back, group, new)
                         new = back[group]
@@ -297,7 +350,7 @@ class _Links(Kernel):
                         group = new
                     # targets that this level joins for the first time, and groups that it has brought together
                     fresh = touched[~joined[touched]]
-                    low = np.where(near[:, fresh], group[:, None], len(q)).min(0) if len(fresh) else np.zeros(0, np.int64)
+                    low = low[fresh]
                     joined[fresh] = True
                     a_out.append(t.id[some[fresh]])
                     b_out.append(q.id[low])
@@ -311,10 +364,10 @@ class _Links(Kernel):
                     for m in range(n, len(self.levels)):
                         back = np.arange(len(q))
                         wide = groups[m][at]
-                        for x, y in pairs.tolist():
-                            x, y = back[groups[m][x]], back[groups[m][y]]
-                            if x != y:
-                                back[back == max(x, y)] = min(x, y)
+                        for c, d in pairs.tolist():
+                            c, d = back[groups[m][c]], back[groups[m][d]]
+                            if c != d:
+                                back[back == max(c, d)] = min(c, d)
                         groups[m][at] = back[wide]
 
     def done(self, q: Side, known: tuple[list, list, list, list]) -> pa.Table:
@@ -327,11 +380,12 @@ def links(rows: DataFrame, levels: list[float], key: str, vector: str, floor: st
     """(a, b, level): links whose components up to a level are those of all pairs whose distance and floors are within its eps.
 
     ``levels`` ascend. Where a chunk of rows meets others, each of these gets a link at the first level that joins it to the chunk, and
-    each two groups of the chunk that it brings together get one: not one for each pair. A task sends a forest of its links.
+    each two groups of the chunk that it brings together get one: not one for each pair. A task sends a forest of its links, and forests are put together
+    before they go on.
     """
     mine = _side_of(rows, key, vector, part, floor)
     out, _ = _met(mine, mine, _Links(levels), "a long, b long, level int", None, levels[-1])
-    return out.mapInArrow(forest, out.schema)
+    return thinned(out)
 
 
 # the plane
