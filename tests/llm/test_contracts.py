@@ -8,13 +8,14 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vectide.llm import linededup, mixing, nearcopies, telephony, toxicity
+from vectide.llm import linededup, mixing, nearcopies, packing, telephony, toxicity
 from vectide.llm.queries import QUERIES
 
 BAD = ["grumbling", "grumbles", "grumbled", "grumbler"]
@@ -271,3 +272,12 @@ def test_pipeline_runs_its_stages(spark, folder) -> None:
     rows = lambda df: sorted(map(tuple, df.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()))
     want, got = rows(docs), rows(corpus_pipeline.run(spark, folder))
     assert got == want and len({r[0] for r in got}) > 1
+
+
+def test_the_pipeline_packs_among_all_documents(spark, folder, library_ids, monkeypatch) -> None:
+    """The pieces are those of one index of the whole corpus, however small its shards are."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    packed = lambda: sorted(map(tuple, corpus_pipeline.pack(spark, docs, folder).collect()))
+    one = packed()
+    monkeypatch.setattr(packing, "pack_documents", partial(packing.pack_documents, shard_tokens=2000))
+    assert sum(map(len, library_ids.values())) > 10 * 2000 and packed() == one
