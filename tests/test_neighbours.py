@@ -398,3 +398,49 @@ def test_products_of_32_bits_lose_no_pair() -> None:
             i, j = knn.close(a, b, least)
             assert set(zip(*map(np.ndarray.tolist, np.nonzero(full >= least[:, None])), strict=True)) <= set(zip(i.tolist(), j.tolist(), strict=True))
             assert np.allclose(knn.cosines(a, b, i, j), full[i, j], atol=1e-14)
+
+
+def test_dense_clouds_are_linked_by_few_pairs(monkeypatch) -> None:
+    """What one near pair tells is not asked of all pairs: blocks of several clouds, some rows of which take part at wider levels only."""
+    r = np.random.default_rng(4)
+    centre = cells.unit(r.normal(size=(3, 16)))
+    centre = np.concatenate([centre, cells.unit(centre[:1] + 0.05 * r.normal(size=(1, 16)))])
+    of = r.integers(0, 4, 1200)
+    v = cells.unit(centre[of] + 0.004 * r.normal(size=(1200, 16)))
+    levels = [0.06, 0.12, 0.4]
+    floor = np.where(np.arange(1200) % 11 == 0, 0.1, 0.02)
+    side = lambda at: cells.Side(at, v[at], np.zeros(len(at), np.int64), floor[at], np.zeros(len(at), np.int64))
+    looked, close, kernel = [], knn.close, knn._Links(levels)
+    monkeypatch.setattr(knn, "close", lambda a, b, least: looked.append(len(a) * len(b)) or close(a, b, least))
+    found = [x for q in (np.arange(600), np.arange(600, 1200)) for x in [side(q)]]
+    links = []
+    for q in found:
+        known = kernel.begin(q)
+        for t in found:
+            kernel.add(q, known, t)
+        links.append(kernel.done(q, known))
+    a, b, level = (np.concatenate([t[c].to_numpy() for t in links]) for c in ("a", "b", "level"))
+    d = np.maximum(np.maximum(np.sqrt(np.maximum(2 - 2 * v @ v.T, 0)), floor[:, None]), floor[None])
+    for n, eps in enumerate(levels):
+        want, got = np.arange(1200), np.arange(1200)
+        for _ in range(20):
+            want = np.minimum(want, np.where(d <= eps, want[None], 1200).min(1))
+        nodes, label = graph._labels(np.stack([a, b], 1)[level <= n])
+        got[nodes] = label
+        assert (got == want).all()
+    assert sum(looked) < 0.2 * 1200**2
+
+
+@pytest.mark.parametrize("way", ["targets", "tiles"])
+def test_levels_tell_rows_apart_as_exact_distances_do(spark, monkeypatch, way: str) -> None:
+    take(monkeypatch, way)
+    u, (low, high), m = cells.unit(np.random.default_rng(6).normal(size=(160, 3))), (0.3, 0.7), 4
+    rows = spark.createDataFrame([(i, x, i % 2) for i, x in enumerate(u.tolist())], "at long, unit array<double>, part long").cache()
+    exact = cluster.reach(cluster.core_distances(rows, m, "at", part="part").cache(), "at", part="part").orderBy("at").collect()
+    got = cluster._told_apart(rows, m, low, high).orderBy("at").collect()
+    assert len(got) == len(exact) and any(r["core"] > low >= r["reach"] for r in exact)
+    for a, b in zip(got, exact, strict=True):
+        for e in (low, 0.4, high):
+            assert ((a["core"] <= e), (a["reach"] <= e)) == ((b["core"] <= e), (b["reach"] <= e))
+        if b["core"] > low and b["reach"] <= high:
+            assert a["via"] == b["via"] or b["reach"] == b["core"]

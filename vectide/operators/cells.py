@@ -32,6 +32,8 @@ TILE_ROWS, PIVOT_BYTES, CELLS = 4096, 16 << 20, 100_000
 DRAWN, MET = 2048, 8
 #: Rows and bytes of a block of queries and of targets, and bytes of targets that a task has at once.
 QUERY_ROWS, TARGET_ROWS, BLOCK_BYTES, TARGET_BYTES = 8192, 4096, 8 << 20, 128 << 20
+#: Pivots that are put in an order, and least rows of a block of queries.
+CHAINED, LEAST_ROWS = 20_000, 1024
 #: Added to what a query looks for, beside the rounding of scores: distances of equal unit vectors are up to 1e-7.
 SLACK = 1e-6
 
@@ -72,6 +74,40 @@ def apart(a: np.ndarray, b: np.ndarray, plain: bool) -> np.ndarray:
     return np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0)) if plain else distance(a @ b.T)
 
 
+def _gaps(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors to a point."""
+    return np.sqrt(np.maximum(1 + point @ point - 2 * (rows @ point), 0))
+
+
+def reachable(q: np.ndarray, t: np.ndarray, far: np.ndarray, digits: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of both sides (unit vectors) may be within ``far`` of one of the other: by the distance to the ball around the other side."""
+    if not len(q) or not len(t) or np.isinf(far).any():
+        return np.ones(len(q), bool), np.ones(len(t), bool)
+    far = wider(far, digits)
+    centre = t.mean(0)
+    some = _gaps(q, centre) - _gaps(t, centre).max() <= far
+    if not some.any():
+        return some, np.zeros(len(t), bool)
+    centre = q[some].mean(0)
+    return some, _gaps(t, centre) - _gaps(q[some], centre).max() <= far[some].max()
+
+
+def wider(far: np.ndarray, digits: int) -> np.ndarray:
+    """A distance within which are all rows whose rounded score is that of a row within ``far``."""
+    return np.sqrt(far**2 + 4.0 * 10.0**-digits) + 2 * 10.0**-digits + SLACK
+
+
+def chain(points: np.ndarray) -> np.ndarray:
+    """An order in which each point is followed by the nearest one that is left."""
+    left, at = np.arange(len(points)), 0
+    rows, out = points.astype(np.float32), []
+    while len(left):
+        out.append(int(left[at]))
+        here, left, rows = rows[at], np.delete(left, at), np.delete(rows, at, 0)
+        at = int(((rows - here) ** 2).sum(1).argmin()) if len(left) else 0
+    return np.array(out, np.int64)
+
+
 def side(batch: pa.RecordBatch | pa.Table, plain: bool = False) -> Side:
     """A batch of the columns id, v, part, floor and value. Vectors come as lists, or as bytes of doubles that are ready."""
     column = batch.column("v")
@@ -124,7 +160,7 @@ def _placed(pivots, plain: bool):
 
 
 def looks(d: np.ndarray, own: np.ndarray, cells: Cells, some: np.ndarray, k: int | None, eps: float, floors: bool, digits: int) -> np.ndarray:
-    """Which of ``some`` cells each query meets. ``d``: distances to their pivots; ``own``: to the nearest pivot of all."""
+    """Which of ``some`` cells each query meets. ``d``: distances to their pivots; ``own``: to the nearest pivot of all; ``eps``: no query looks further, if it is not 0."""
     if k is None:
         limit = np.full(len(d), eps)
     else:
@@ -135,7 +171,9 @@ def looks(d: np.ndarray, own: np.ndarray, cells: Cells, some: np.ndarray, k: int
         held = np.cumsum(cells.rows[some][order], axis=1)
         enough = held >= k
         limit = np.where(enough.any(1), np.take_along_axis(far, order, 1)[np.arange(len(d)), enough.argmax(1)], np.inf)
-    limit = (np.sqrt(limit**2 + 4.0 * 10.0**-digits) + 2 * 10.0**-digits + SLACK)[:, None]
+    if k is not None and eps:
+        limit = np.minimum(limit, eps)
+    limit = wider(limit, digits)[:, None]
     out = (d - cells.high[some] <= limit) & (cells.low[some] - d <= limit) & (d - own[:, None] <= 2 * limit)
     return out & (cells.least[some] <= limit) if floors else out
 
@@ -178,6 +216,8 @@ def index(targets: DataFrame, plain: bool = False, tile_rows: int | None = None)
     drawn = targets.orderBy(F.xxhash64("id"), "id").limit(many).select("v").collect()
     pivots = np.array([r["v"] for r in drawn], np.float64)
     pivots = pivots if plain else unit(pivots)
+    # cells, and so tiles, that are numbered one after another lie beside each other
+    pivots = pivots[chain(pivots)] if len(pivots) <= CHAINED else pivots
     placed = written(targets.mapInArrow(_placed(spark.sparkContext.broadcast(pivots), plain), f"id {kind}, {COLUMNS}, pivot long, gap double"), "cells")
     about = placed.groupBy("part", "pivot").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high"), F.min("floor").alias("least"), F.max("floor").alias("most"))
     found = sorted(tuple(r) for r in about.collect())  # a row for each cell, at most CELLS
@@ -253,26 +293,39 @@ def _side_at(batch: pa.RecordBatch, i: int, name: str) -> Side:
     return Side(np.array(ids.to_pylist()), v, *(x.to_numpy() for x in (parts, floors, values)))
 
 
-def past(queries: DataFrame, targets: DataFrame, kernel: Callable, schema: str, plain: bool = False) -> DataFrame:
+def past(queries: DataFrame, targets: DataFrame, kernel: Callable, schema: str, plain: bool = False, pivots: np.ndarray | None = None) -> DataFrame:
     """What ``kernel`` makes of each block of queries and the blocks of targets that pass it, one after another.
 
+    With the ``pivots`` of targets (with their tile), rows of both sides that lie together come in the same blocks, so that a kernel can pass over
+    blocks that are out of its reach; blocks of queries are dealt to the tasks, as such blocks are not alike in what they cost.
+
     ``kernel``: begin(queries) gives what is known of them, add(queries, known, targets) adds to it, done(queries, known) gives rows. Rows of
     both sides: id, v (list), part, floor, value. Blocks without a part in common don't meet.
     """
     kind = queries.schema["id"].dataType.simpleString()
     block = f"ids array<{kind}>, v binary, parts array<long>, floors array<double>, values array<long>, low long, high long"
 
-    def packed(rows: DataFrame, most: int, name: str) -> tuple[DataFrame, int]:
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+
+    def packed(rows: DataFrame, most: int, name: str, order: str | None, dealt: bool = False) -> tuple[DataFrame, int]:
         raw = F.octet_length("v") / 8 if dict(rows.dtypes)["v"] == "binary" else F.size("v")
-        dim, many = rows.agg(F.max(raw), F.countDistinct("part")).first()
-        tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
-        # rows of a part in few blocks
-        rows = rows.repartitionByRange(tasks, "part", F.xxhash64("id")).sortWithinPartitions("part") if many > 1 else rows.repartition(tasks, "id")
-        made = written(rows.mapInArrow(_blocks(max(1, min(most, int(BLOCK_BYTES // (8 * (dim or 1))))), plain), block), name)
+        n, dim, many = rows.agg(F.count(F.lit(1)), F.max(raw), F.countDistinct("part")).first()
+        tasks = 2 * cores
+        if dealt:  # several blocks for each core, as far as they are not small
+            most = min(most, max(LEAST_ROWS, -(-n // (4 * cores))))
+        if order:
+            rows = rows.repartitionByRange(tasks, "part", order, F.xxhash64("id")).sortWithinPartitions("part", order)
+        else:  # rows of a part in few blocks
+            rows = rows.repartitionByRange(tasks, "part", F.xxhash64("id")).sortWithinPartitions("part") if many > 1 else rows.repartition(tasks, "id")
+        made = rows.select("id", "v", "part", "floor", "value").mapInArrow(_blocks(max(1, min(most, int(BLOCK_BYTES // (8 * (dim or 1))))), plain), block)
+        made = written(made.repartition(4 * cores) if dealt else made, name)
         return made, made.agg(F.coalesce(F.sum(F.octet_length("v")), F.lit(0))).first()[0]
 
-    q, _ = packed(queries, QUERY_ROWS, "query-blocks")
-    t, size = packed(targets, TARGET_ROWS, "target-blocks")
+    if pivots is not None:
+        sent = queries.sparkSession.sparkContext.broadcast(pivots)
+        queries = written(queries.mapInArrow(_placed(sent, plain), f"id {kind}, {COLUMNS}, pivot long, gap double"), "query-cells")
+    q, _ = packed(queries, QUERY_ROWS, "query-blocks", None if pivots is None else "pivot", pivots is not None)
+    t, size = packed(targets, TARGET_ROWS, "target-blocks", None if pivots is None else "tile")
     q, t = (x.select(*[F.col(c).alias(f"{n}_{c}") for c in x.columns]) for n, x in (("q", q), ("t", t)))
     pairs = q.join(t.coalesce(max(1, -(-size // TARGET_BYTES))).hint("shuffle_replicate_nl"), (F.col("q_low") <= F.col("t_high")) & (F.col("t_low") <= F.col("q_high")))
 

@@ -62,11 +62,14 @@ def require_limits(limits: Limits) -> None:
 # density
 
 
-def core_distances(rows: DataFrame, m: int, key: str, vector: str = "unit", part: str | None = None) -> DataFrame:
-    """``rows`` with ``core``: the distance to the m-th row of the part, itself counted; infinite where there are fewer."""
-    far = knn.nearest(rows, rows, max(1, m - 1), key, vector, skip_self=True, part=part).where(F.col("place") == m - 1)
-    far = far.select(F.col("query").alias(key), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))).alias("core"))
-    none = F.lit(0.0 if m <= 1 else float("inf"))
+def core_distances(rows: DataFrame, m: int, key: str, vector: str = "unit", part: str | None = None, within: float | None = None, enough: float = 0.0) -> DataFrame:
+    """``rows`` with ``core``: the distance to the m-th row of the part, itself counted; infinite where there are fewer.
+
+    Beyond ``within`` it may be infinite; up to ``enough`` it is ``enough``.
+    """
+    far = knn.nearest(rows, rows, max(1, m - 1), key, vector, skip_self=True, part=part, within=within, enough=enough or None).where(F.col("place") == m - 1)
+    far = far.select(F.col("query").alias(key), F.greatest(F.lit(enough), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score")))).alias("core"))
+    none = F.lit(enough if m <= 1 else float("inf"))
     return rows.join(far, key, "left").withColumn("core", F.coalesce("core", none))
 
 
@@ -76,6 +79,31 @@ def reach(rows: DataFrame, key: str, vector: str = "unit", part: str | None = No
     return rows.join(one, key, "left").withColumn("reach", F.least("core", F.coalesce("__far", F.lit(float("inf"))))).drop("__far")
 
 
+def _told_apart(rows: DataFrame, m: int, low: float, high: float) -> DataFrame:
+    """``rows`` (at, part, unit) with core, reach and via, as far as levels from ``low`` to ``high`` tell them apart.
+
+    Cores of at most ``low`` are ``low``, and distances above ``high`` may be infinite, so a row is done as soon as it has seen m rows within the least
+    level, and meets none beyond the widest. Only the others can be in a cluster by way of another row. Where that is within ``low``, exact cores
+    of the rows that are so near say which one it is.
+    """
+    mine = written(core_distances(rows, m, "at", part="part", within=high, enough=low), "open-core")
+    apart = mine.where(F.col("core") > low)
+    one = knn.nearest(apart, mine.where(F.col("core") <= high), 1, "at", "unit", "reach", skip_self=True, part="part", floor="core", within=high, enough=low)
+    one = written(one.select(F.col("query").alias("at"), (-F.col("score")).alias("__far"), F.col("target").alias("via")), "open-via")
+    beside = apart.join(one.where(F.col("__far") <= low).select("at"), "at", "left_semi")
+    if not beside.isEmpty():
+        beside = written(beside, "open-beside")
+        near = mine.where(F.col("core") <= low).drop("core")
+        near = near.join(knn.least_within(near.withColumn("value", F.col("at")), beside.withColumn("value", F.col("at")), low, "at", "unit", "value").select("at"), "at", "left_semi")
+        near = written(near, "open-near")
+        exact = knn.nearest(near, rows, max(1, m - 1), "at", "unit", skip_self=True, part="part").where(F.col("place") == m - 1)
+        exact = near.join(exact.select(F.col("query").alias("at"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))).alias("core")), "at", "left").withColumn("core", F.coalesce("core", F.lit(0.0)))
+        told = knn.nearest(beside, written(exact, "open-exact"), 1, "at", "unit", "reach", skip_self=True, part="part", floor="core")
+        told = told.select(F.col("query").alias("at"), (-F.col("score")).alias("__far"), F.col("target").alias("via"))
+        one = written(one.join(told.select("at"), "at", "left_anti").unionAll(told), "open-via")
+    return mine.join(one, "at", "left").withColumn("reach", F.least("core", F.coalesce("__far", F.lit(float("inf"))))).drop("__far")
+
+
 def density(df: DataFrame, m: int, key: str = "row_id") -> DataFrame:
     """(key, core, reach) of all rows."""
     rows = written(unit_rows(df).select(key, "unit"), "unit")
@@ -367,8 +395,7 @@ def _split_by_density(rows: DataFrame, open_: dict[str, _Node], limits: Limits)
     """(rows with ``child`` and ``loose``, accepted nodes: (level, children)) of one step of all open nodes."""
     levels = limits.levels()
     names = sorted(open_)
-    mine = written(core_distances(written(_codes(rows, names, "part"), "open"), limits.min_samples, "at", part="part"), "open-core")
-    mine = written(reach(mine, "at", part="part"), "open-reach")
+    mine = written(_told_apart(written(_codes(rows, names, "part"), "open"), limits.min_samples, levels[-1], levels[0]), "open-reach")
     # levels with too few rows in clusters need no components
     share = mine.groupBy("part").agg(*[F.avg((F.col("reach") <= e).cast("double")).alias(f"s{i}") for i, e in enumerate(levels)]).collect()
     tried = [(r["part"], i) for r in share for i in range(open_[names[r["part"]]].level, len(levels)) if r[f"s{i}"] >= limits.viable_frac]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vectide.operators import cells
 from vectide.operators.cells import Side, apart, distance, matrix, side, unit
-from vectide.operators.graph import thinned
+from vectide.operators.graph import _labels, thinned
 from vectide.sources.scratch import written
 
 __all__ = ["Best", "best_score", "coverage", "interpolate", "least_within", "links", "matrix", "nearest", "plane_nearest", "unit"]
@@ -30,6 +30,8 @@ FEW, FEW_BYTES, SCORES, ROWS, BLOCK = 8192, 64 << 20, 1 << 22, 4096, 1024
 GATHERED = 1 << 16
 #: Pairs whose cosines are made one by one at once, and found pairs that wait for a place among the best.
 PAIRS, WAITING = 1 << 15, 1 << 20
+#: Pairs for each place among the best up to which screened pairs are scored one by one; rows that stand for a group of queries, and targets that are looked at first.
+FULL, STAND, FIRST = 8, 16, 16
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
@@ -87,12 +89,12 @@ def _met(queries: DataFrame, targets: DataFrame, kernel: Callable[[Side, Side],
     few = _few(queries)
     if few is not None:
         return targets.mapInArrow(_past_queries(context.broadcast(few), kernel, plain), schema), False
-    made = cells.index(thin(targets) if thin else targets, plain)
+    made = cells.index(written(thin(targets), "thin") if thin else targets, plain)
     if made is None:
         return queries.sparkSession.createDataFrame([], schema), False
     tiled, pivots, known = made
     if cells.crowded(queries, pivots, known, k, eps, floors, plain, digits):
-        return cells.past(queries, tiled.drop("tile"), kernel, schema, plain), False
+        return cells.past(queries, tiled, kernel, schema, plain, pivots), False
     return cells.meet(cells.routes(queries, pivots, known, k, eps, floors, plain, digits), tiled, kernel, schema), False
 
 
@@ -174,8 +176,18 @@ def cosines(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nd
 
 
 class _Nearest(Kernel):
-    def __init__(self, k: int, metric: str, skip_self: bool, digits: int, rows: int, kind: pa.DataType) -> None:
+    def __init__(self, k: int, metric: str, skip_self: bool, digits: int, rows: int, kind: pa.DataType, within: float | None = None, enough: float | None = None) -> None:
         self.k, self.metric, self.skip_self, self.digits, self.rows, self.kind = k, metric, skip_self, digits, rows, kind
+        # rounded scores below which no target counts, and from which on k targets are enough
+        score, spare = (lambda far: -far) if metric == "reach" else cosine_at, 2 * 10.0**-digits
+        self.least = -np.inf if within is None else float(score(within)) - spare
+        self.stop = np.inf if enough is None else float(score(enough)) + spare
+
+    def looks(self, low: np.ndarray) -> np.ndarray:
+        """The distance of targets whose rounded score is ``low``."""
+        if self.metric == "euclid":
+            return np.full(len(low), np.inf)
+        return np.where(low == -np.inf, np.inf, -low if self.metric == "reach" else distance(np.maximum(low, -1)))
 
     def begin(self, q: Side) -> Best:
         return Best(self.k)
@@ -187,14 +199,22 @@ class _Nearest(Kernel):
                 continue
             for b in range(0, len(where), rows):
                 some = where[b : b + rows]
+                floors, found, waiting = np.maximum(best.floors(len(q)), self.least), [], 0
+                # queries that still look for something and have it in reach, and what they may reach
+                all_at = mine[part][floors[mine[part]] < self.stop]
+                inside, met = cells.reachable(q.v[all_at], t.v[some], self.looks(floors[all_at]), self.digits)
+                all_at, some = all_at[inside], some[met]
+                if not len(all_at) or not len(some):
+                    continue
                 v, step = t.v[some], max(1, SCORES // len(some))
-                floors, found, waiting = best.floors(len(q)), [], 0
-                for a in range(0, len(mine[part]), step):
-                    at = mine[part][a : a + step]
-                    low = floors[at]
+                for a in range(0, len(all_at), step):
+                    at = all_at[a : a + step]
+                    low, few = floors[at], None
                     if metric != "euclid" and (low > -np.inf).all():
                         # only what may pass the k-th best so far is scored in full
-                        i, j = close(q.v[at], v, low - 10.0**-self.digits if metric == "cosine" else cosine_at(10.0**-self.digits - low))
+                        few = close(q.v[at], v, low - 10.0**-self.digits if metric == "cosine" else cosine_at(10.0**-self.digits - low))
+                    if few is not None and len(few[0]) <= max(FULL * k * len(at), len(at) * len(some) // 64):
+                        i, j = few
                         score = cosines(q.v[at], v, i, j)
                         if metric == "reach":
                             score = np.minimum(-distance(score), -t.floor[some][j])
@@ -212,7 +232,7 @@ class _Nearest(Kernel):
                         near = np.round(score, self.digits)
                         if len(some) > k:
                             low = np.maximum(low, np.partition(near, len(some) - k, axis=1)[:, len(some) - k])
-                        i, j = np.nonzero((near >= low[:, None]) & (near > -np.inf))
+                        i, j = np.divmod(np.flatnonzero((near >= low[:, None]) & (near > -np.inf)), len(some))
                         near, score = near[i, j], score[i, j]
                     found.append((at[i], near, score, t.id[some[j]]))
                     waiting += len(i)
@@ -231,22 +251,22 @@ class _Nearest(Kernel):
         return pa.table({"query": pa.array(q.id[best.q].tolist(), kind), "target": pa.array(best.ids.tolist(), kind), "score": best.score, "near": best.near, "place": pa.array(place, pa.int32())})
 
 
-def nearest(queries: DataFrame, targets: DataFrame, k: int, key: str, vector: str = "embedding", metric: str = "cosine", skip_self: bool = False, digits: int = 9, rows: int = ROWS, part: str | None = None, floor: str | None = None) -> DataFrame:
+def nearest(queries: DataFrame, targets: DataFrame, k: int, key: str, vector: str = "embedding", metric: str = "cosine", skip_self: bool = False, digits: int = 9, rows: int = ROWS, part: str | None = None, floor: str | None = None, within: float | None = None, enough: float | None = None) -> DataFrame:
     """(query, target, score, place): the k best targets of each query; place from 1, scores equal to ``digits`` go to the smaller id.
 
     Score is the cosine, the negative distance for ``metric="euclid"``, or for "reach" the negative of the larger of a
     target's ``floor`` and the distance of unit vectors. Keys of queries are unique. The order of a task's rows or their blocks changes
-    no result.
+    no result. ``within``: targets beyond that distance may be missing. ``enough``: k targets within that distance are any k of those.
     """
     kind = queries.schema[key].dataType.simpleString()
-    kernel, schema = _Nearest(k, metric, skip_self, digits, rows, _ARROW[kind]), f"query {kind}, target {kind}, score double, near double, place int"
+    kernel, schema = _Nearest(k, metric, skip_self, digits, rows, _ARROW[kind], within, enough), f"query {kind}, target {kind}, score double, near double, place int"
 
     def thin(side_: DataFrame) -> DataFrame:
         """Of equal vectors only the k + 1 of smallest floor and id can be among the k best: copies don't meet one another."""
-        w = Window.partitionBy("part", "v").orderBy(F.round("floor", digits), "id")
+        w = Window.partitionBy("part", F.xxhash64("v"), "v").orderBy(F.round("floor", digits), "id")
         return side_.withColumn("__copy", F.row_number().over(w)).where(F.col("__copy") <= k + 1).drop("__copy")
 
-    hits, whole = _met(_side_of(queries, key, vector, part), _side_of(targets, key, vector, part, floor), kernel, schema, k + int(skip_self), 0.0, metric == "reach", metric == "euclid", digits, thin)
+    hits, whole = _met(_side_of(queries, key, vector, part), _side_of(targets, key, vector, part, floor), kernel, schema, k + int(skip_self), within or 0.0, metric == "reach", metric == "euclid", digits, thin)
     if not whole:
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "target"))
         hits = hits.withColumn("place", place).where(F.col("place") <= k)
@@ -287,8 +307,11 @@ class _Least(Kernel):
     def add(self, q: Side, best: np.ndarray, t: Side) -> None:
         mine = _by_part(q.part)
         for part, where in _by_part(t.part).items():
-            at, step = mine.get(part, np.zeros(0, np.int64)), max(1, SCORES // len(where))
-            for a in range(0, len(at), step):
+            at = mine.get(part, np.zeros(0, np.int64))
+            inside, met = cells.reachable(q.v[at], t.v[where], np.full(len(at), self.eps))
+            at, where = at[inside], where[met]
+            step = max(1, SCORES // max(1, len(where)))
+            for a in range(0, len(at) if len(where) else 0, step):
                 some = at[a : a + step]
                 i, j = close(q.v[some], t.v[where], np.full(len(some), cosine_at(self.eps)))
                 near = distance(cosines(q.v[some], t.v[where], i, j)) <= self.eps
@@ -316,59 +339,127 @@ class _Links(Kernel):
         # of each level, the group of each query: the smallest query that it is joined to here
         return [np.arange(len(q)) for _ in self.levels], [], [], []
 
+    def settled(self, q: Side, at: np.ndarray, groups: list, t: Side, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+        """(targets that no pair can tell anything more of, the first level that joins them, -1 for none, the query they are joined to, whether
+        the queries are of one group wherever they take part).
+
+        Where all queries that take part in a level and in all wider ones are of one group, a target that takes part from there on is told by one near pair.
+        """
+        levels = np.array(self.levels)
+        first, from_ = np.searchsorted(levels, q.floor[at]), np.searchsorted(levels, t.floor[some])
+        begin = int(first.min())
+        from_ = np.maximum(from_, begin)
+        one, root = np.zeros(len(levels) + 1, bool), np.zeros(len(levels) + 1, np.int64)
+        one[-1] = True
+        for n in range(len(levels) - 1, begin - 1, -1):
+            g = groups[n][at[first <= n]]
+            one[n], root[n] = one[n + 1] and (g == g[0]).all(), g[0]
+        stand = at[first == begin]
+        stand = stand[:: -(-len(stand) // STAND)]
+        near = np.maximum(distance(t.v[some] @ q.v[stand].T), np.maximum(q.floor[stand][None, :], t.floor[some][:, None])).min(1)
+        out = from_ == len(levels)
+        joined = ~out & one[from_] & (near <= np.append(levels, np.inf)[from_])
+        return out | joined, np.where(joined, from_, -1), root[from_], bool(one[begin])
+
+    def least(self, q: Side, at: np.ndarray, t: Side, some: np.ndarray) -> np.ndarray:
+        """The first level at which each target is joined to one of the queries."""
+        out, step = np.empty(len(some), np.int64), max(1, SCORES // len(at))
+        for i in range(0, len(some), step):
+            of = some[i : i + step]
+            out[i : i + step] = np.searchsorted(self.levels, np.maximum(np.maximum(distance(t.v[of] @ q.v[at].T), q.floor[at][None, :]).min(1), t.floor[of]))
+        return out
+
+    def sets(self, q: Side, at: np.ndarray, groups: list) -> list[np.ndarray]:
+        """The queries by large groups of the least level that has such groups of half of them, and the rest."""
+        first = np.searchsorted(self.levels, q.floor[at])
+        for n in range(int(first.min()), len(self.levels)):
+            _, of, many = np.unique(np.where(first <= n, groups[n][at], -1 - np.arange(len(at))), return_inverse=True, return_counts=True)
+            large = (many * STAND >= len(at)) & (many > 1)
+            if 2 * many[large].sum() >= len(at):
+                parts = [at[of == i] for i in np.flatnonzero(large).tolist()]
+                return [*parts, at[~large[of]]] if not large[of].all() else parts
+        return [at]
+
     def add(self, q: Side, known: tuple[list, list, list, list], t: Side) -> None:
         mine, (groups, a_out, b_out, level_out) = _by_part(q.part), known
-        for part, where in _by_part(t.part).items():
-            if part not in mine:
+
+        def told(some: np.ndarray, level: np.ndarray, to: np.ndarray) -> None:
+            a_out.append(t.id[some])
+            b_out.append(q.id[to])
+            level_out.append(level.astype(np.int32))
+
+        waiting = [(mine[part], where, FIRST) for part, where in _by_part(t.part).items() if part in mine]
+        while waiting:
+            at, left, size = waiting.pop()
+            inside, met = cells.reachable(q.v[at], t.v[left], np.full(len(at), self.levels[-1]))
+            at, left = at[inside], left[met]
+            if len(at):
+                at = at[q.floor[at] <= self.levels[-1]]
+            if not len(at) or not len(left):
+                continue
+            done, level, root, one = self.settled(q, at, groups, t, left)
+            told(left[level >= 0], level[level >= 0], root[level >= 0])
+            left = left[~done]
+            if not len(left):
+                continue
+            if one:
+                level = self.least(q, at, t, left)
+                near = level < len(self.levels)
+                # of that level's group: any query that takes part in it
+                first = np.searchsorted(self.levels, q.floor[at])
+                told(left[near], level[near], np.array([groups[n][at[int((first <= n).argmax())]] for n in range(len(self.levels))])[level[near]])
+                continue
+            sets = self.sets(q, at, groups)
+            if len(sets) > 1:
+                waiting += [(s, left, size) for s in sets]
                 continue
-            at = mine[part]
-            step = max(1, SCORES // len(at))
-            for begin in range(0, len(where), step):
-                some = where[begin : begin + step]
-                i, j = close(q.v[at], t.v[some], np.full(len(at), cosine_at(self.levels[-1])))
-                weight = np.maximum(np.maximum(distance(cosines(q.v[at], t.v[some], i, j)), q.floor[at][i]), t.floor[some][j])
-                weight[q.id[at][i] == t.id[some][j]] = np.inf
-                joined = np.zeros(len(some), bool)
-                for n, eps in enumerate(self.levels):
-                    near = weight <= eps
-                    if not near.any():
-                        continue
-                    x, y = i[near], j[near]
-                    touched = np.unique(y)
-                    group = groups[n][at]
-                    old = group.copy()
-                    while True:  # a target takes the smallest group near it, and gives it to all groups near it
-                        low = np.full(len(some), len(q))
-                        np.minimum.at(low, y, group[x])
-                        new = group.copy()
-                        np.minimum.at(new, x, low[y])
-                        back = np.arange(len(q) + 1)
-                        np.minimum.at(back, group, new)
-                        new = back[group]
-                        if (new == group).all():
-                            break
-                        group = new
-                    # targets that this level joins for the first time, and groups that it has brought together
-                    fresh = touched[~joined[touched]]
-                    low = low[fresh]
-                    joined[fresh] = True
-                    a_out.append(t.id[some[fresh]])
-                    b_out.append(q.id[low])
-                    level_out.append(np.full(len(fresh), n, np.int32))
-                    moved = np.flatnonzero(group != old)
-                    pairs = np.unique(np.stack([old[moved], group[moved]], 1), axis=0)
-                    a_out.append(q.id[pairs[:, 0]])
-                    b_out.append(q.id[pairs[:, 1]])
-                    level_out.append(np.full(len(pairs), n, np.int32))
-                    # what is joined here is joined at all wider levels
-                    for m in range(n, len(self.levels)):
+            picked = np.zeros(len(left), bool)
+            picked[:: -(-len(left) // size)] = True
+            some, left = left[picked], left[~picked]
+            waiting.append((at, left, min(4 * size, max(FIRST, SCORES // len(at)))))
+            i, j = close(q.v[at], t.v[some], np.full(len(at), cosine_at(self.levels[-1])))
+            weight = np.maximum(np.maximum(distance(cosines(q.v[at], t.v[some], i, j)), q.floor[at][i]), t.floor[some][j])
+            weight[q.id[at][i] == t.id[some][j]] = np.inf
+            joined = np.zeros(len(some), bool)
+            for n, eps in enumerate(self.levels):
+                near = weight <= eps
+                if not near.any():
+                    continue
+                x, y = i[near], j[near]
+                touched = np.unique(y)
+                group = groups[n][at]
+                old = group.copy()
+                while True:  # a target takes the smallest group near it, and gives it to all groups near it
+                    low = np.full(len(some), len(q))
+                    np.minimum.at(low, y, group[x])
+                    new = group.copy()
+                    np.minimum.at(new, x, low[y])
+                    back = np.arange(len(q) + 1)
+                    np.minimum.at(back, group, new)
+                    new = back[group]
+                    if (new == group).all():
+                        break
+                    group = new
+                # targets that this level joins for the first time, and groups that it has brought together
+                fresh = touched[~joined[touched]]
+                low = low[fresh]
+                joined[fresh] = True
+                a_out.append(t.id[some[fresh]])
+                b_out.append(q.id[low])
+                level_out.append(np.full(len(fresh), n, np.int32))
+                moved = np.flatnonzero(group != old)
+                pairs = np.unique(np.stack([old[moved], group[moved]], 1), axis=0)
+                a_out.append(q.id[pairs[:, 0]])
+                b_out.append(q.id[pairs[:, 1]])
+                level_out.append(np.full(len(pairs), n, np.int32))
+                # what is joined here is joined at all wider levels
+                for m in range(n, len(self.levels)):
+                    wide = groups[m][pairs]
+                    nodes, label = _labels(wide[wide[:, 0] != wide[:, 1]])
+                    if len(nodes):
                         back = np.arange(len(q))
-                        wide = groups[m][at]
-                        for c, d in pairs.tolist():
-                            c, d = back[groups[m][c]], back[groups[m][d]]
-                            if c != d:
-                                back[back == max(c, d)] = min(c, d)
-                        groups[m][at] = back[wide]
+                        back[nodes] = label
+                        groups[m] = back[groups[m]]
 
     def done(self, q: Side, known: tuple[list, list, list, list]) -> pa.Table:
         _, a_out, b_out, level_out = known
