@@ -124,6 +124,19 @@ def test_tsne_of_more_rows_than_a_task_takes(spark, monkeypatch) -> None:
     assert y.shape == (120, 2) and np.isfinite(y).all() and len(np.unique(y, axis=0)) == 120 and np.abs(y.mean(0)).max() < 1e-9
 
 
+def test_a_step_is_one_job(spark) -> None:
+    """Nothing of a step comes to the driver before the next one."""
+    start = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(60)], "at long, x double, y double")
+    graph = spark.createDataFrame([(i, i + 1, 1.0) for i in range(59)], "a long, b long, weight double")
+    context, jobs = spark.sparkContext, []
+    for steps in (1, 5):
+        context.setJobGroup(f"steps-{steps}", "")
+        layout.matched(start, graph, 3, steps=steps, early=1, rows=20)
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"steps-{steps}")))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] == 4
+
+
 def test_few_rows(spark) -> None:
     for n in (1, 2, 3):
         for method in ("pca", "umap", "tsne"):

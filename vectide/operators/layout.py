@@ -6,7 +6,7 @@ edges of a sample, whose size the caller bounds, are what that task holds.
 
 Matching of neighbour chances takes tables of any size (:func:`matched`): edges are written once in blocks of rows, and each step moves the
 rows of all blocks side by side. A task holds the edges of a block and the places of all rows, 16 bytes each, that it reads from
-the table of the step before; what passes the driver is a grid of at most 256 x 256 sums.
+the table of the step before, and makes the grid of repulsion, of at most 256 x 256 sums, from them; nothing of a step passes the driver.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.operators import knn
@@ -25,8 +26,8 @@ from vectide.sources.scratch import dropped, handed, scope, written
 BISECTIONS, LEAST_SHARE = 64, 1e-3
 #: Largest move of a point by one edge.
 CLIP = 4.0
-#: Rows of a block of a partitioned layout, its edges that are looked at at once, tasks that add up a grid, and the unit of a point's shares in it.
-BLOCK_ROWS, EDGES, GRIDS, SHARES = 1 << 14, 1 << 20, 64, 1 << 24
+#: Rows of a block of a partitioned layout, and its edges that are looked at at once.
+BLOCK_ROWS, EDGES = 1 << 14, 1 << 18
 
 
 def _neighbours(rows: DataFrame, k: int) -> DataFrame:
@@ -236,12 +237,11 @@ def placed(start: DataFrame, graph: DataFrame, kind: str, seed: int, epochs: int
 # layouts of tables of any size
 
 
-_STATE = "block long, y binary, speed binary, gains binary, x0 double, x1 double, y0 double, y1 double"
+_STATE = "block long, y binary, speed binary, gains binary"
 
 
 def _state(block: int, y: np.ndarray, speed: np.ndarray, gains: np.ndarray) -> list[pa.Array]:
-    ends = [pa.array([float(f(y[:, i]))]) for i in range(2) for f in (np.min, np.max)]
-    return [pa.array([block], pa.int64()), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (y, speed, gains)], *ends]
+    return [pa.array([block], pa.int64()), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (y, speed, gains)]]
 
 
 _STATE_NAMES = [c.split()[0] for c in _STATE.split(", ")]
@@ -252,18 +252,18 @@ def _doubles(raw: pa.Scalar) -> np.ndarray:
 
 
 def _edge_block(group: pa.Table) -> pa.Table:
-    """Edges of a block's rows, by row -> one row: how many each row has, their other ends and weights."""
+    """Edges of a block's rows, by row -> one row: how many each row has, their other ends and weights (in 32 bits, as each step reads them)."""
     group = group.sort_by([("a", "ascending"), ("b", "ascending")])
     a = group["a"].to_numpy()
     counts = np.bincount(a - a[0])
-    raw = [counts.astype(np.int32), group["b"].to_numpy().astype(np.int32), group["weight"].to_numpy()]
+    raw = [counts.astype(np.int32), group["b"].to_numpy().astype(np.int32), group["weight"].to_numpy().astype(np.float32)]
     return pa.table({"block": group["block"][:1], **{n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("counts", "ids", "weights"), raw, strict=True)}})
 
 
 def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the blocks' weights."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([float(np.frombuffer(raw.as_buffer(), np.float64).sum()) for raw in batch.column("weights")])], ["weight"])
+        yield pa.RecordBatch.from_arrays([pa.array([float(np.frombuffer(raw.as_buffer(), np.float32).sum(dtype=np.float64)) for raw in batch.column("weights")])], ["weight"])
 
 
 def _started(scale: float, seed: int):
@@ -276,44 +276,48 @@ def _started(scale: float, seed: int):
     return run
 
 
-def _charged(low: np.ndarray, h: float, m: int):
-    """Of a task: its points' shares in the nodes of the grid, and what the points add to themselves, as whole numbers: no sum depends on an order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        charge, own = np.zeros(m * m, np.int64), 0
-        for batch in batches:
-            for raw in batch.column("y"):
-                nodes, shares = _corners(_doubles(raw), low, h, m)
-                for n, s in zip(nodes, shares, strict=True):
-                    charge += np.bincount(n, np.round(s * SHARES), m * m).astype(np.int64)
-                own += int(np.round(_itself(shares, h) * SHARES).astype(np.int64).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([charge.tobytes()], pa.binary()), pa.array([own], pa.int64())], ["charge", "own"])
-
-    return run
-
-
-def _moved(sent, rate: float, exaggeration: float, early: bool):
+def _field(every: list[np.ndarray]) -> tuple[np.ndarray, float, int, list[np.ndarray], float]:
+    """(corner, width and side of a grid over the places of all blocks, both parts of a push at its nodes, the sum over all pairs): as in :func:`repulsion`."""
+    ends = [np.array([f(y[:, i]) for i in range(2) for y in every]).reshape(2, -1) for f in (np.min, np.max)]
+    low, high = ends[0].min(1), ends[1].max(1)
+    low, h, m = _grid(low, float((high - low).max()))
+    charge, own = np.zeros(m * m), 0.0
+    for y in every:
+        nodes, shares = _corners(y, low, h, m)
+        charge += np.bincount(np.concatenate(nodes), np.concatenate(shares), m * m)
+        own += float(_itself(shares, h).sum())
+    sums = _convolved(charge.reshape(m, m), h)
+    return low, h, m, sums[1:], float(charge @ sums[0]) - own
+
+
+def _pulled(mine: np.ndarray, x: np.ndarray, y: np.ndarray, counts: np.ndarray, ids: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Pulls of the edges of rows at ``mine`` to rows at ``x`` and ``y``; edges come by row, some rows at a time."""
+    end, out, a = np.cumsum(counts, dtype=np.int64), np.zeros_like(mine), 0
+    while a < len(mine):
+        begin = int(end[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(end, begin + EDGES, "right")))
+        of, to = np.repeat(np.arange(b - a), counts[a:b]), ids[begin : end[b - 1]]
+        dx, dy = mine[a:b, 0][of] - x[to], mine[a:b, 1][of] - y[to]
+        w = weight[begin : end[b - 1]] / (1 + dx * dx + dy * dy)
+        out[a:b, 0], out[a:b, 1] = np.bincount(of, w * dx, b - a), np.bincount(of, w * dy, b - a)
+        a = b
+    return out
+
+
+def _moved(weights: float, rate: float, exaggeration: float, early: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, h, m, sums, total, weights = sent.value
+        field = None
         for batch in batches:
             for i in range(batch.num_rows):
                 block = batch.column("block")[i].as_py()
-                every = batch.column("places")[i].values
-                y = np.concatenate([_doubles(raw) for raw in every])
-                first = sum(len(raw.as_buffer()) // 16 for raw in every.slice(0, block))
+                if field is None:  # the same for all blocks of a task
+                    every = [_doubles(raw) for raw in batch.column("places")[i].values]
+                    x, y = (np.concatenate([e[:, c] for e in every]) for c in range(2))
+                    low, h, m, sums, total = field = _field(every)
                 speed, gains = (_doubles(batch.column(c)[i]) for c in ("speed", "gains"))
-                mine = y[first : first + len(speed)]
-                counts, ids, weight = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (("counts", np.int32), ("ids", np.int32), ("weights", np.float64)))
-                end, pull = np.cumsum(counts, dtype=np.int64), np.zeros_like(mine)
-                a = 0
-                while a < len(mine):  # some rows at a time
-                    begin = int(end[a - 1]) if a else 0
-                    b = max(a + 1, int(np.searchsorted(end, begin + EDGES, "right")))
-                    of = np.repeat(np.arange(a, b), counts[a:b])
-                    d = mine[of] - y[ids[begin : end[b - 1]]]
-                    d *= (weight[begin : end[b - 1]] / (1 + (d**2).sum(1)))[:, None]
-                    pull[a:b] = _add_up(of - a, d, b - a)
-                    a = b
+                mine = every[block]
+                counts, ids, weight = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (("counts", np.int32), ("ids", np.int32), ("weights", np.float32)))
+                pull = _pulled(mine, x, y, counts, ids, weight)
                 nodes, shares = _corners(mine, low, h, m)
                 push = np.stack([sum(s[n] * w for n, w in zip(nodes, shares, strict=True)) for s in sums], 1)
                 slope = 4 * (exaggeration / weights * pull - push / max(total, 1e-12))
@@ -332,10 +336,10 @@ def _opened(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
 def matched(start: DataFrame, graph: DataFrame, seed: int, steps: int = 750, early: int = 250, exaggeration: float = 12.0, rows: int | None = None) -> DataFrame:
     """(at, x, y): the descent of :func:`match` over partitioned rows and edges. ``start``: at from 0 without gaps, x, y.
 
-    A step is two jobs. One spreads all points to the nodes of a grid, whose sums the driver convolves; the other one moves each block of rows
-    by its edges and the grid, and writes where they are. Blocks meet the places of all rows as a cartesian product with one row, so these are
-    read by the tasks and pass neither the driver nor a shuffle. Blocks are of fixed size and the grid is added up in whole numbers:
-    no step depends on the tasks that make it. The table of a step is deleted after the next one.
+    A step is one job: it moves each block of rows by its edges and the grid, and writes where they are. Blocks meet the places of all rows as a
+    cartesian product with one row, so these are read by the tasks and pass neither the driver nor a shuffle; each task makes the grid from them, at a
+    cost of a few numbers a row. Blocks are of fixed size and the grid is added up in their order: no step depends on the tasks that make
+    it. The table of a step is deleted after the next one; executors keep the edges, on disk where memory lacks.
     """
     spark, rows = start.sparkSession, rows or BLOCK_ROWS
     points = written(start.select("at", F.round("x", 9).alias("x"), F.round("y", 9).alias("y")), "layout-start")
@@ -344,38 +348,35 @@ def matched(start: DataFrame, graph: DataFrame, seed: int, steps: int = 750, ear
         return points
     scale = 1e-4 / max(round(max(square - mean * mean, 0.0) ** 0.5, 9), 1e-12)
     of = lambda c: F.floor(F.col(c) / rows).cast("long").alias("block")
-    # every row once more with itself, at no weight, so that none is without an edge
-    ways = graph.select("a", "b", "weight").unionAll(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).unionAll(points.select(F.col("at").alias("a"), F.col("at").alias("b"), F.lit(0.0)))
+    # the graph is made once for both ways of its edges; every row once more with itself, at no weight, so that none is without an edge
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), "weight")
+    ways = graph.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("way")).select("way.*").unionAll(points.select(F.col("at").alias("a"), F.col("at").alias("b"), F.lit(0.0)))
     blocks = -(-n // rows)
     edges = ways.select(of("a"), "a", "b", "weight").repartitionByRange(blocks, "block")
     edges = written(edges.groupBy("block").applyInArrow(_edge_block, "block long, counts binary, ids binary, weights binary"), "layout-edges")
     weights = max(sum(r[0] for r in edges.select("block", "weights").mapInArrow(_weighed, "weight double").sort("weight").collect()), 1e-300)
     rate = max(n / exaggeration / 4, 50.0)
-    with scope(spark) as made:
-
-        def kept(df: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, float, int]]:
-            """The state of a step, written, and the grid over it."""
-            seen = Observation()
-            out = written(df.observe(seen, *[f(c).alias(c) for c, f in (("x0", F.min), ("x1", F.max), ("y0", F.min), ("y1", F.max))]), "layout")
-            for path in made[:-1]:
-                dropped(spark, path)
-            del made[:-1]
-            x0, x1, y0, y1 = (seen.get[c] for c in ("x0", "x1", "y0", "y1"))
-            return out, _grid(np.array([x0, y0]), max(x1 - x0, y1 - y0))
-
-        state, grid = kept(points.select(of("at"), "at", "x", "y").groupBy("block").applyInArrow(_started(scale, seed), _STATE))
-        for e in range(steps):
-            parts = state.select("y").coalesce(GRIDS).mapInArrow(_charged(*grid), "charge binary, own long").collect()
-            charge = sum(np.frombuffer(p["charge"], np.int64) for p in parts) / SHARES
-            sums = _convolved(charge.reshape(grid[2], grid[2]), grid[1])
-            total = float(charge @ sums[0]) - sum(p["own"] for p in parts) / SHARES
-            sent = spark.sparkContext.broadcast((*grid, sums[1:], total, weights))
-            whole = state.select("block", "y", "speed", "gains").coalesce(1).agg(F.sort_array(F.collect_list(F.struct("block", "y", "speed", "gains"))).alias("all"))
-            own = F.element_at("all", F.col("block").cast("int") + 1)
-            met = edges.join(whole.hint("shuffle_replicate_nl")).select("block", "counts", "ids", "weights", F.col("all.y").alias("places"), own["speed"].alias("speed"), own["gains"].alias("gains"))
-            state, grid = kept(met.mapInArrow(_moved(sent, rate, exaggeration if e < early else 1.0, e < early), _STATE))
-            sent.unpersist()
-        last = made.pop()
+    edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        with scope(spark) as made:
+
+            def kept(df: DataFrame) -> DataFrame:
+                """The state of a step, written."""
+                out = written(df, "layout")
+                for path in made[:-1]:
+                    dropped(spark, path)
+                del made[:-1]
+                return out
+
+            state = kept(points.select(of("at"), "at", "x", "y").groupBy("block").applyInArrow(_started(scale, seed), _STATE))
+            for e in range(steps):
+                whole = state.coalesce(1).agg(F.sort_array(F.collect_list(F.struct("block", "y", "speed", "gains"))).alias("all"))
+                own = F.element_at("all", F.col("block").cast("int") + 1)
+                met = edges.join(whole.hint("shuffle_replicate_nl")).select("block", "counts", "ids", "weights", F.col("all.y").alias("places"), own["speed"].alias("speed"), own["gains"].alias("gains"))
+                state = kept(met.mapInArrow(_moved(weights, rate, exaggeration if e < early else 1.0, e < early), _STATE))
+            last = made.pop()
+    finally:
+        edges.unpersist()
     handed(last)
     out = state.select("block", "y").mapInArrow(lambda batches: _opened(batches, rows), "at long, x double, y double")
     middle = out.agg(F.avg("x"), F.avg("y")).first()
